@@ -423,7 +423,19 @@ def wkb_to_arrow(values: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf(DECODED_TYPE)
+_XY = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+_GEOM = T.StructType(
+    [
+        T.StructField("type", T.StringType()),
+        T.StructField("parts", T.ArrayType(T.ArrayType(T.ArrayType(_XY)))),
+    ]
+)
+_DECODED = T.StructType(
+    [T.StructField("members", T.ArrayType(_GEOM)), T.StructField("error", T.StringType())]
+)
+
+
+@F.arrow_udf(_DECODED)
 def _decode_wkb(values: pa.Array) -> pa.Array:
     return wkb_to_arrow(values)
 

@@ -148,6 +148,10 @@ def page(
     return limited_row_id(shown, [sort] if sort else [], size, offset)
 
 
+def page_count_column(rows: Column, size: int = PAGE_SIZE) -> Column:
+    return F.ceil(rows / F.lit(size)).cast("bigint")
+
+
 def page_count(df: DataFrame, size: int = PAGE_SIZE) -> int:
     return math.ceil(df.count() / size)
 

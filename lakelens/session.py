@@ -13,9 +13,6 @@ _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Nanosecond timestamps are otherwise refused at read time; load() turns
-    # the longs back into microsecond timestamps.
-    "spark.sql.legacy.parquet.nanosAsLong": "true",
 }
 
 STAGED = "lakelens-"

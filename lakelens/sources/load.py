@@ -14,6 +14,9 @@ from lakelens.sources.schema import dedupe_names, quoted
 
 VIEW = "data"
 
+# Set once a file with nanosecond timestamps is met; they are then read as longs.
+_NANOS = "spark.sql.legacy.parquet.nanosAsLong"
+
 
 def hadoop_uri(uri: str) -> str:
     """The URI as Spark's file systems spell it."""
@@ -70,13 +73,17 @@ def load(
     for p in paths:
         spark.catalog.refreshByPath(p)
     try:
-        df = _micros(spark, spark.read.parquet(*paths), paths)
+        df = spark.read.parquet(*paths)
+        if spark.conf.get(_NANOS, "false") == "true":
+            df = _micros(spark, df, paths)
     except AnalysisException as error:
         condition = error.getCondition() or ""
         if "ALREADY_EXISTS" in condition:
             df = load_by_position(spark, paths)
         elif "TIME" in condition or "PARQUET_TYPE" in condition:
-            df = _micros(spark, spark.read.schema(_readable_schema(spark, paths)).parquet(*paths), paths)
+            spark.conf.set(_NANOS, "true")
+            schema = _readable_schema(spark, paths)
+            df = _micros(spark, spark.read.schema(schema).parquet(*paths), paths)
         else:
             raise
     if columns:
