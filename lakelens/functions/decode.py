@@ -18,10 +18,12 @@ from lakelens.functions.geometry import (
     DECODED_TYPE,
     GEOM_TYPE,
     PARTS_TYPE,
+    let,
     make_geom,
     map_vertices,
     point,
     vertex,
+    vertices,
 )
 
 # WKB type codes. Fixed values.
@@ -35,6 +37,8 @@ WKB_NAMES = {
 }
 WKB_COLLECTION = 7
 
+_MEMBERS = f"array<{GEOM_TYPE}>"
+
 WKT_NAMES = {name.upper(): name for name in WKB_NAMES.values()}
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?"
@@ -45,28 +49,39 @@ def decoded(members: Column, error: Column) -> Column:
     return F.struct(members.alias("members"), error.alias("error")).cast(DECODED_TYPE)
 
 
-def _one(geom: Column) -> Column:
-    return F.when(geom.isNotNull(), F.array(geom))
+def _alone(geom: Column, reason: str) -> Column:
+    """A single member, or the reason there is none."""
+    return let(
+        geom,
+        lambda g: F.when(g.isNotNull(), decoded(F.array(g), F.lit(None).cast("string"))).otherwise(
+            decoded(F.lit(None).cast(_MEMBERS), F.lit(reason))),
+    )
 
 
 def only_member(value: Column) -> Column:
     """The geometry of a decoded value that is not a collection of several."""
-    return F.when(F.size(value["members"]) == 1, F.get(value["members"], F.lit(0)))
+    return let(
+        value["members"], lambda m: F.when(F.size(m) == 1, F.get(m, F.lit(0)))
+    )
 
 
 # --------------------------------------------------------------------- WKT
 
 
-def _wkt_shape(text: Column) -> Column:
-    """One non-collection WKT text (upper case, exponents lower) to a geometry."""
-    word = F.regexp_extract(text, r"^\s*([A-Z]+)", 1)
-    kind = F.element_at(
-        F.create_map(*[F.lit(v) for pair in WKT_NAMES.items() for v in pair]), word
+def _point_parts(body: Column) -> Column:
+    """Parts of ``(x y)``; null unless two to four numbers stand there."""
+    words = F.split(F.trim(F.translate(body, "()", "  ")), r"\s+")
+    return let(
+        F.transform(words, lambda w: w.try_cast("double")),
+        lambda n: F.when(
+            F.size(n).between(2, 4) & F.forall(n, lambda v: v.isNotNull()),
+            F.array(F.array(F.array(vertex(F.get(n, F.lit(0)), F.get(n, F.lit(1)))))),
+        ),
     )
-    body = F.regexp_extract(text, r"(?s)(\(.*\))\s*$", 1)
-    xy = rf"^\(\s*({_NUMBER})\s+({_NUMBER})(?:\s+{_NUMBER})*\s*\)$"
-    x = F.regexp_extract(body, xy, 1).try_cast("double")
-    y = F.regexp_extract(body, xy, 2).try_cast("double")
+
+
+def _nested_parts(word: Column, body: Column) -> Column:
+    """Parts of any other coordinate list, by way of JSON."""
     # Numbers JSON would refuse get a digit on both sides of the point.
     digits = F.when(
         body.rlike(r"(?<![0-9])\.|\.(?![0-9])|(?<![e0-9])\+"),
@@ -78,58 +93,96 @@ def _wkt_shape(text: Column) -> Column:
     pairs = F.regexp_replace(
         digits, rf"({_NUMBER})\s+({_NUMBER})(?:\s+{_NUMBER})*", '{"x":$1,"y":$2}'
     )
-    json = F.translate(pairs, "()", "[]")
-    json = F.when(
-        word == "MULTIPOINT", F.concat(F.lit("[[["), F.translate(json, "[]", ""), F.lit("]]]"))
-    ).when(word == "LINESTRING", F.concat(F.lit("[["), json, F.lit("]]"))).when(
-        word == "MULTIPOLYGON", json
-    ).otherwise(F.concat(F.lit("["), json, F.lit("]")))
-    parts = F.from_json(json, PARTS_TYPE, {"allowNumericLeadingZeros": "true"})
-    whole = ~F.exists(
-        parts,
-        lambda part: part.isNull() | F.exists(
-            part, lambda ring: ring.isNull() | F.exists(
-                ring, lambda v: v.isNull() | v["x"].isNull() | v["y"].isNull())),
+    lists = let(
+        F.translate(pairs, "()", "[]"),
+        lambda j: F.when(
+            word == "MULTIPOINT", F.concat(F.lit("[[["), F.translate(j, "[]", ""), F.lit("]]]")))
+        .when(word == "LINESTRING", F.concat(F.lit("[["), j, F.lit("]]")))
+        .when(word == "MULTIPOLYGON", j)
+        .otherwise(F.concat(F.lit("["), j, F.lit("]"))),
     )
-    empty = make_geom(kind, F.array().cast(PARTS_TYPE))
-    return (
-        F.when(kind.isNull(), F.lit(None).cast(GEOM_TYPE))
-        .when(text.rlike(r"EMPTY\s*$"), empty)
-        .when((word == "POINT") & x.isNotNull() & y.isNotNull(), point(x, y))
-        .when((word != "POINT") & whole, make_geom(kind, parts))
+    return let(
+        F.from_json(lists, PARTS_TYPE, {"allowNumericLeadingZeros": "true"}),
+        lambda parts: F.when(
+            F.forall(
+                parts,
+                lambda part: part.isNotNull() & F.forall(
+                    part, lambda ring: ring.isNotNull() & F.forall(
+                        ring, lambda v: v["x"].isNotNull() & v["y"].isNotNull())),
+            ),
+            parts,
+        ),
     )
 
 
-def decode_wkt(col: Column) -> Column:
-    text = F.regexp_replace(F.upper(F.trim(col)), r"^SRID=\d+;\s*", "")
-    text = F.regexp_replace(text, r"([0-9.])E([-+]?[0-9])", "$1e$2")
+def _wkt_shape(text: Column) -> Column:
+    """One non-collection WKT text (upper case, exponents lower) to a geometry."""
+    names = F.create_map(*[F.lit(v) for pair in WKT_NAMES.items() for v in pair])
+    split = F.struct(
+        F.regexp_extract(text, r"^\s*([A-Z]+)", 1).alias("word"),
+        F.regexp_extract(text, r"(?s)(\(.*\))\s*$", 1).alias("body"),
+    )
+
+    def build(s: Column) -> Column:
+        parts = (
+            F.when(s["body"] == "", F.array().cast(PARTS_TYPE))
+            .when(s["word"] == "POINT", _point_parts(s["body"]))
+            .otherwise(_nested_parts(s["word"], s["body"]))
+        )
+        kind = F.element_at(names, s["word"])
+        return let(parts, lambda p: F.when(p.isNotNull(), make_geom(kind, p)))
+
+    return F.when(text.rlike(rf"(?s)^{_WKT_SHAPE}\s*$"), let(split, build))
+
+
+def _wkt_value(text: Column) -> Column:
+    """A plain shape, or the shapes of a collection."""
     head = r"^GEOMETRYCOLLECTION\s*(?:ZM|Z|M)?\s*"
-    inner = F.regexp_extract(text, rf"(?s){head}\((.*)\)\s*$", 1)
-    shapes = F.regexp_extract_all(inner, F.lit(_WKT_SHAPE), F.lit(0))
-    rest = F.regexp_replace(inner, _WKT_SHAPE, "")
-    members = F.transform(shapes, _wkt_shape)
-    single = F.when(text.rlike(rf"(?s)^{_WKT_SHAPE}\s*$"), _wkt_shape(text))
-    bad = decoded(F.lit(None).cast(f"array<{GEOM_TYPE}>"), F.lit("malformed WKT"))
+    bad = decoded(F.lit(None).cast(_MEMBERS), F.lit("malformed WKT"))
     none = F.lit(None).cast("string")
+
+    def collection(inner: Column) -> Column:
+        shapes = F.regexp_extract_all(inner, F.lit(_WKT_SHAPE), F.lit(0))
+        rest = F.regexp_replace(inner, _WKT_SHAPE, "")
+        return (
+            F.when(inner.contains("GEOMETRYCOLLECTION"),
+                   decoded(F.lit(None).cast(_MEMBERS), F.lit("nested collection")))
+            .when((inner == "") | rest.rlike(r"[^\s,]"), bad)
+            .otherwise(let(
+                F.transform(shapes, _wkt_shape),
+                lambda m: F.when(F.exists(m, lambda g: g.isNull()), bad).otherwise(decoded(m, none)),
+            ))
+        )
+
     return (
-        F.when(col.isNull(), F.lit(None).cast(DECODED_TYPE))
-        .when(
-            text.startswith("GEOMETRYCOLLECTION"),
-            F.when(text.rlike(rf"{head}EMPTY\s*$"),
-                   decoded(F.array().cast(f"array<{GEOM_TYPE}>"), none))
-            .when(inner.contains("GEOMETRYCOLLECTION"),
-                  decoded(F.lit(None).cast(f"array<{GEOM_TYPE}>"), F.lit("nested collection")))
-            .when((inner == "") | rest.rlike(r"[^\s,]") | F.exists(members, lambda g: g.isNull()), bad)
-            .otherwise(decoded(members, none)),
+        F.when(
+            ~text.startswith("GEOMETRYCOLLECTION"),
+            let(_wkt_shape(text),
+                lambda g: F.when(g.isNull(), bad).otherwise(decoded(F.array(g), none))),
         )
-        .when(single.isNull(), bad)
-        .otherwise(decoded(F.array(single), none))
+        .when(text.rlike(rf"{head}EMPTY\s*$"), decoded(F.array().cast(_MEMBERS), none))
+        .otherwise(let(F.regexp_extract(text, rf"(?s){head}\((.*)\)\s*$", 1), collection))
     )
 
 
+def decode_wkt(col: Column) -> Column:
+    text = F.regexp_replace(F.upper(F.trim(col)), r"^SRID=\d+;\s*", "")
+    text = F.regexp_replace(text, r"([0-9.])E([-+]?[0-9])", "$1e$2")
+    return F.when(col.isNotNull(), let(text, _wkt_value))
+
+
 # ---------------------------------------------------------------- GeoArrow
 
 
+def _checked(geom: Column) -> Column:
+    """The geometry, or null if a coordinate is."""
+    return let(
+        geom,
+        lambda g: F.when(
+            F.forall(vertices(g), lambda v: v["x"].isNotNull() & v["y"].isNotNull()), g),
+    )
+
+
 def list_depth(dtype: T.DataType) -> tuple[int, T.DataType]:
     depth = 0
     while isinstance(dtype, T.ArrayType):
@@ -150,12 +203,7 @@ def decode_geoarrow(col: Column, dtype: T.DataType, kind: str | None = None) ->
         for _ in range(3 - depth):
             parts = F.array(parts)
     xy = map_vertices(parts, lambda v: vertex(v["x"], v["y"]))
-    usable = ~F.exists(
-        F.flatten(F.flatten(xy)), lambda v: v["x"].isNull() | v["y"].isNull()
-    )
-    geom = F.when(usable, make_geom(kind, xy))
-    return F.when(col.isNotNull(), decoded(
-        _one(geom), F.when(geom.isNull(), F.lit("null coordinate"))))
+    return F.when(col.isNotNull(), _alone(_checked(make_geom(kind, xy)), "null coordinate"))
 
 
 # --------------------------------------------------------------- Esri JSON
@@ -175,23 +223,24 @@ def esri_struct(col: Column, dtype: T.DataType) -> Column:
 
 def decode_esri(col: Column, dtype: T.DataType | None = None) -> Column:
     """Rings, paths, points or x/y, whichever comes first in that order."""
-    e = esri_struct(col, dtype or T.StringType())
+    value = esri_struct(col, dtype or T.StringType())
+    return F.when(
+        col.isNotNull(),
+        _alone(let(value, lambda e: _checked(_esri_shape(e))), "no Esri geometry"),
+    )
+
+
+def _esri_shape(e: Column) -> Column:
     xy = lambda ring: F.transform(
         ring, lambda c: vertex(F.get(c, F.lit(0)), F.get(c, F.lit(1))))
     rings = lambda rs: F.array(F.transform(rs, xy))
-    geom = (
+    return (
         F.when(e["rings"].isNotNull(), make_geom("Polygon", rings(e["rings"])))
         .when(F.size(e["paths"]) == 1, make_geom("LineString", rings(e["paths"])))
         .when(e["paths"].isNotNull(), make_geom("MultiLineString", rings(e["paths"])))
         .when(e["points"].isNotNull(), make_geom("MultiPoint", F.array(F.array(xy(e["points"])))))
         .when(e["x"].isNotNull() & e["y"].isNotNull(), point(e["x"], e["y"]))
     )
-    geom = F.when(
-        ~F.exists(F.flatten(F.flatten(geom["parts"])), lambda v: v["x"].isNull() | v["y"].isNull()),
-        geom,
-    )
-    return F.when(col.isNotNull(), decoded(
-        _one(geom), F.when(geom.isNull(), F.lit("no Esri geometry"))))
 
 
 def looks_like_esri(col: Column) -> Column:

@@ -250,3 +250,40 @@ def range_sum(
     summed = running_sum(ordered, F.col("__v"), "__sum").filter(F.col("__side") != 1)
     signed = F.coalesce(F.col("__sum"), F.lit(0)) * F.when(F.col("__side") == 2, 1).otherwise(-1)
     return summed.groupBy(F.col("__probe").alias(probe_id)).agg(F.sum(signed).alias(out))
+
+
+def quantiles(ordered: Ordered, value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per group, one column each.
+
+    ``order`` starts with ``value``, which must not be null. The two rows around
+    each quantile are fetched by id.
+    """
+    keys = list(ordered.keys)
+    val = F.col(quoted(value)).cast("double")
+    if ordered.small():
+        return ordered.df.groupBy(*keys).agg(
+            *[F.percentile(val, p).alias(name) for name, p in probs.items()]
+        )
+    rows = ordered.numbered()
+    groups = rows.groupBy(*keys).agg(
+        F.min(ROW_ID).alias("__lo"), F.count(F.lit(1)).alias("__n"))
+    wanted = F.explode(
+        F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p"))
+                  for n, p in probs.items()])
+    )
+    spots = groups.select(*keys, "__lo", "__n", wanted.alias("q")).withColumn(
+        "at", (F.col("__n") - 1) * F.col("q.p")
+    )
+    ends = spots.select(
+        *keys, F.col("q.name").alias("name"), (F.col("at") - F.floor("at")).alias("share"),
+        F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("pos"), "__lo",
+    ).distinct()
+    found = ends.join(
+        rows.select(F.col(ROW_ID).alias("__id"), val.alias("v")),
+        F.col("__lo") + F.col("pos") == F.col("__id"),
+    )
+    between = F.min("v") + (F.max("v") - F.min("v")) * F.first("share")
+    one = found.groupBy(*keys, "name").agg(between.alias("v"))
+    return one.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in probs]
+    )
