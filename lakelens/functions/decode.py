@@ -41,8 +41,9 @@ _MEMBERS = f"array<{GEOM_TYPE}>"
 
 WKT_NAMES = {name.upper(): name for name in WKB_NAMES.values()}
 
-_NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:e[-+]?\d+)?"
-_WKT_SHAPE = rf"(?:{'|'.join(WKT_NAMES)})\s*(?:ZM|Z|M)?\s*(?:EMPTY|\([^A-Z]*\))"
+_WKT_SHAPE = (
+    rf"(?i:(?:{'|'.join(WKT_NAMES)}) *(?:ZM|Z|M)? *(?:EMPTY|\([-+0-9.E, ()]*\)))"
+)
 
 
 def decoded(members: Column, error: Column) -> Column:
@@ -68,76 +69,75 @@ def only_member(value: Column) -> Column:
 # --------------------------------------------------------------------- WKT
 
 
-def _point_parts(body: Column) -> Column:
-    """Parts of ``(x y)``; null unless two to four numbers stand there."""
-    words = F.split(F.trim(F.translate(body, "()", "  ")), r"\s+")
-    return let(
-        F.transform(words, lambda w: w.try_cast("double")),
-        lambda n: F.when(
-            F.size(n).between(2, 4) & F.forall(n, lambda v: v.isNotNull()),
-            F.array(F.array(F.array(vertex(F.get(n, F.lit(0)), F.get(n, F.lit(1)))))),
-        ),
-    )
+def _ring(text: Column) -> Column:
+    """``x y, x y, ...`` to vertices; a null vertex where one is malformed."""
 
+    def spot(words: Column) -> Column:
+        x = F.get(words, F.lit(0)).try_cast("double")
+        y = F.get(words, F.lit(1)).try_cast("double")
+        return F.when(F.size(words).between(2, 4), vertex(x, y))
 
-def _nested_parts(word: Column, body: Column) -> Column:
-    """Parts of any other coordinate list, by way of JSON."""
-    # Numbers JSON would refuse get a digit on both sides of the point.
-    digits = F.when(
-        body.rlike(r"(?<![0-9])\.|\.(?![0-9])|(?<![e0-9])\+"),
-        F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(body, r"(?<![e0-9])\+", ""), r"(?<![0-9])\.", "0."),
-            r"\.(?![0-9])", ".0",
-        ),
-    ).otherwise(body)
-    pairs = F.regexp_replace(
-        digits, rf"({_NUMBER})\s+({_NUMBER})(?:\s+{_NUMBER})*", '{"x":$1,"y":$2}'
-    )
-    lists = let(
-        F.translate(pairs, "()", "[]"),
-        lambda j: F.when(
-            word == "MULTIPOINT", F.concat(F.lit("[[["), F.translate(j, "[]", ""), F.lit("]]]")))
-        .when(word == "LINESTRING", F.concat(F.lit("[["), j, F.lit("]]")))
-        .when(word == "MULTIPOLYGON", j)
-        .otherwise(F.concat(F.lit("["), j, F.lit("]"))),
-    )
-    return let(
-        F.from_json(lists, PARTS_TYPE, {"allowNumericLeadingZeros": "true"}),
-        lambda parts: F.when(
-            F.forall(
-                parts,
-                lambda part: part.isNotNull() & F.forall(
-                    part, lambda ring: ring.isNotNull() & F.forall(
-                        ring, lambda v: v["x"].isNotNull() & v["y"].isNotNull())),
-            ),
-            parts,
-        ),
+    return F.transform(F.split(text, ","), lambda pair: let(F.split(pair, " +"), spot))
+
+
+def _part(text: Column) -> Column:
+    return F.transform(F.split(text, r"\),\("), _ring)
+
+
+def _parts(word: Column, body: Column) -> Column:
+    """Vertices of a coordinate list without spaces around its brackets.
+
+    What is left of the list without its numbers shows whether the brackets are
+    nested as the type wants them; it is folded level by level, since a pattern
+    repeating a group would recurse once per ring.
+    """
+    bare = F.translate(body, "()", "")
+    inner = F.substring(body, F.lit(2), F.length(body) - 2)
+    frame = F.replace(F.regexp_replace(body, "[^()]+", ""), F.lit("()"), F.lit("o"))
+    rings = frame.rlike(r"^\(o+\)$")
+    polygons = F.regexp_replace(frame, r"\(o+\)", "p").rlike(r"^\(p+\)$")
+    rings_text = F.substring(body, F.lit(3), F.length(body) - 4)
+    parts_text = F.substring(body, F.lit(4), F.length(body) - 6)
+    return (
+        F.when(word.isin("POINT", "LINESTRING"), F.when(frame == "o", F.array(F.array(_ring(inner)))))
+        .when(word == "MULTIPOINT", F.when(rings | (frame == "o"), F.array(F.array(_ring(bare)))))
+        .when(word.isin("POLYGON", "MULTILINESTRING"), F.when(rings, F.array(_part(rings_text))))
+        .when(word == "MULTIPOLYGON",
+              F.when(polygons, F.transform(F.split(parts_text, r"\)\),\(\("), _part)))
     )
 
 
 def _wkt_shape(text: Column) -> Column:
-    """One non-collection WKT text (upper case, exponents lower) to a geometry."""
+    """One non-collection WKT text to a geometry; null if malformed."""
     names = F.create_map(*[F.lit(v) for pair in WKT_NAMES.items() for v in pair])
     split = F.struct(
-        F.regexp_extract(text, r"^\s*([A-Z]+)", 1).alias("word"),
-        F.regexp_extract(text, r"(?s)(\(.*\))\s*$", 1).alias("body"),
+        F.upper(F.regexp_extract(text, r"^([A-Za-z]+?)(?: ?[ZMzm]{1,2})? ?(?:\(|(?i:EMPTY)$)", 1))
+        .alias("word"),
+        F.regexp_extract(text, r"(\(.*\))$", 1).alias("body"),
     )
 
+    def whole(part: Column) -> Column:
+        return F.forall(part, lambda ring: F.forall(
+            ring, lambda v: v["x"].isNotNull() & v["y"].isNotNull()))
+
     def build(s: Column) -> Column:
-        parts = (
-            F.when(s["body"] == "", F.array().cast(PARTS_TYPE))
-            .when(s["word"] == "POINT", _point_parts(s["body"]))
-            .otherwise(_nested_parts(s["word"], s["body"]))
+        parts = F.when(s["body"] == "", F.array().cast(PARTS_TYPE)).otherwise(
+            _parts(s["word"], s["body"]))
+        one = (s["word"] != "POINT") | (s["body"] == "") | ~s["body"].contains(",")
+        return let(
+            parts,
+            lambda p: F.when(
+                one & F.forall(p, whole),
+                F.struct(F.element_at(names, s["word"]).alias("type"), p.alias("parts")),
+            ),
         )
-        kind = F.element_at(names, s["word"])
-        return let(parts, lambda p: F.when(p.isNotNull(), make_geom(kind, p)))
 
-    return F.when(text.rlike(rf"(?s)^{_WKT_SHAPE}\s*$"), let(split, build))
+    return F.when(text.rlike(rf"^{_WKT_SHAPE}$"), let(split, build))
 
 
 def _wkt_value(text: Column) -> Column:
     """A plain shape, or the shapes of a collection."""
-    head = r"^GEOMETRYCOLLECTION\s*(?:ZM|Z|M)?\s*"
+    head = r"^(?i)GEOMETRYCOLLECTION ?(?:ZM|Z|M)? ?"
     bad = decoded(F.lit(None).cast(_MEMBERS), F.lit("malformed WKT"))
     none = F.lit(None).cast("string")
 
@@ -145,30 +145,30 @@ def _wkt_value(text: Column) -> Column:
         shapes = F.regexp_extract_all(inner, F.lit(_WKT_SHAPE), F.lit(0))
         rest = F.regexp_replace(inner, _WKT_SHAPE, "")
         return (
-            F.when(inner.contains("GEOMETRYCOLLECTION"),
+            F.when(inner.rlike("(?i)GEOMETRYCOLLECTION"),
                    decoded(F.lit(None).cast(_MEMBERS), F.lit("nested collection")))
             .when((inner == "") | rest.rlike(r"[^\s,]"), bad)
             .otherwise(let(
-                F.transform(shapes, _wkt_shape),
+                F.transform(shapes, lambda t: _wkt_shape(F.trim(t))),
                 lambda m: F.when(F.exists(m, lambda g: g.isNull()), bad).otherwise(decoded(m, none)),
             ))
         )
 
     return (
         F.when(
-            ~text.startswith("GEOMETRYCOLLECTION"),
+            ~text.rlike("^(?i)GEOMETRYC"),
             let(_wkt_shape(text),
                 lambda g: F.when(g.isNull(), bad).otherwise(decoded(F.array(g), none))),
         )
-        .when(text.rlike(rf"{head}EMPTY\s*$"), decoded(F.array().cast(_MEMBERS), none))
-        .otherwise(let(F.regexp_extract(text, rf"(?s){head}\((.*)\)\s*$", 1), collection))
+        .when(text.rlike(rf"{head}EMPTY$"), decoded(F.array().cast(_MEMBERS), none))
+        .otherwise(let(F.regexp_extract(text, rf"{head}\((.*)\)$", 1), collection))
     )
 
 
 def decode_wkt(col: Column) -> Column:
-    text = F.regexp_replace(F.upper(F.trim(col)), r"^SRID=\d+;\s*", "")
-    text = F.regexp_replace(text, r"([0-9.])E([-+]?[0-9])", "$1e$2")
-    return F.when(col.isNotNull(), let(text, _wkt_value))
+    text = F.trim(F.when(col.startswith("SRID="), F.regexp_extract(col, r"(?s);(.*)$", 1)).otherwise(col))
+    compact = F.regexp_replace(F.translate(text, "\t\r\n", "   "), r" *([(),]) *", "$1")
+    return F.when(col.isNotNull(), let(compact, _wkt_value))
 
 
 # ---------------------------------------------------------------- GeoArrow
