@@ -8,12 +8,12 @@ Column expression; WKB bytes are walked in an Arrow function.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakelens.functions import wkb
 from lakelens.functions.geometry import (
     DECODED_TYPE,
     GEOM_TYPE,
@@ -26,20 +26,9 @@ from lakelens.functions.geometry import (
     vertices,
 )
 
-# WKB type codes. Fixed values.
-WKB_NAMES = {
-    1: "Point",
-    2: "LineString",
-    3: "Polygon",
-    4: "MultiPoint",
-    5: "MultiLineString",
-    6: "MultiPolygon",
-}
-WKB_COLLECTION = 7
-
 _MEMBERS = f"array<{GEOM_TYPE}>"
 
-WKT_NAMES = {name.upper(): name for name in WKB_NAMES.values()}
+WKT_NAMES = {name.upper(): name for name in wkb.NAMES.values()}
 
 _WKT_SHAPE = (
     rf"(?i:(?:{'|'.join(WKT_NAMES)}) *(?:ZM|Z|M)? *(?:EMPTY|\([-+0-9.E, ()]*\)))"
@@ -77,15 +66,17 @@ def _ring(text: Column) -> Column:
         y = F.get(words, F.lit(1)).try_cast("double")
         return F.when(F.size(words).between(2, 4), vertex(x, y))
 
-    return F.transform(F.split(text, ","), lambda pair: let(F.split(pair, " +"), spot))
+    return F.transform(F.split(text, ","), lambda pair: let(F.split(pair, " "), spot))
 
 
 def _part(text: Column) -> Column:
-    return F.transform(F.split(text, r"\),\("), _ring)
+    return F.transform(F.split(F.replace(text, F.lit("),("), F.lit(";")), ";"), _ring)
 
 
 def _parts(word: Column, body: Column) -> Column:
-    """Vertices of a coordinate list without spaces around its brackets.
+    """Vertices of a coordinate list without needless spaces.
+
+    Splitting is by single characters, which Spark does without a pattern.
 
     What is left of the list without its numbers shows whether the brackets are
     nested as the type wants them; it is folded level by level, since a pattern
@@ -103,7 +94,8 @@ def _parts(word: Column, body: Column) -> Column:
         .when(word == "MULTIPOINT", F.when(rings | (frame == "o"), F.array(F.array(_ring(bare)))))
         .when(word.isin("POLYGON", "MULTILINESTRING"), F.when(rings, F.array(_part(rings_text))))
         .when(word == "MULTIPOLYGON",
-              F.when(polygons, F.transform(F.split(parts_text, r"\)\),\(\("), _part)))
+              F.when(polygons, F.transform(
+                  F.split(F.replace(parts_text, F.lit(")),(("), F.lit(":")), ":"), _part)))
     )
 
 
@@ -167,7 +159,10 @@ def _wkt_value(text: Column) -> Column:
 
 def decode_wkt(col: Column) -> Column:
     text = F.trim(F.when(col.startswith("SRID="), F.regexp_extract(col, r"(?s);(.*)$", 1)).otherwise(col))
-    compact = F.regexp_replace(F.translate(text, "\t\r\n", "   "), r" *([(),]) *", "$1")
+    # No space next to a bracket or comma, one between numbers.
+    compact = F.regexp_replace(text, r"\s*([(),])\s*|\s(?=\s)", "$1")
+    compact = F.when(compact.rlike(r"[\t\r\n]"), F.translate(compact, "\t\r\n", "   ")).otherwise(
+        compact)
     return F.when(col.isNotNull(), let(compact, _wkt_value))
 
 
@@ -262,216 +257,6 @@ def esri_epsg(col: Column, dtype: T.DataType | None = None) -> Column:
 # --------------------------------------------------------------------- WKB
 
 
-class _Walk:
-    """Headers of a batch of WKB values.
-
-    Rings are noted as byte positions only; their coordinates are gathered for
-    the whole batch at once.
-    """
-
-    def __init__(self, data: np.ndarray):
-        self.data = data
-        self.rings: list[tuple] = []  # (start, stride, count, big-endian)
-        self.part_sizes: list[int] = []  # rings per part
-        self.member_sizes: list[int] = []  # parts per member
-        self.names: list[str] = []
-
-    def _u32(self, at: int, end: int, big: bool) -> int:
-        if at + 4 > end:
-            raise ValueError("truncated WKB")
-        return int.from_bytes(self.data[at:at + 4].tobytes(), "big" if big else "little")
-
-    def header(self, at: int, end: int):
-        if at + 5 > end or self.data[at] > 1:
-            raise ValueError("truncated WKB" if at + 5 > end else "bad byte order")
-        big = self.data[at] == 0
-        code, at = self._u32(at + 1, end, big), at + 5
-        dims = 2 + bool(code & 0x80000000) + bool(code & 0x40000000)
-        if code & 0x20000000:
-            at += 4
-        code &= 0x0FFFFFFF
-        dims += (0, 1, 1, 2)[min(code // 1000, 3)]
-        return big, code % 1000, 8 * dims, at
-
-    def _ring(self, at, end, big, stride):
-        count, at = self._u32(at, end, big), at + 4
-        if at + count * stride > end:
-            raise ValueError("truncated WKB")
-        return (at, stride, count, big), at + count * stride
-
-    def _spot(self, at, end, big, stride):
-        if at + stride > end:
-            raise ValueError("truncated WKB")
-        xy = np.frombuffer(self.data[at:at + 16].tobytes(), ">f8" if big else "<f8")
-        return (at, stride, 0 if np.isnan(xy).any() else 1, big), at + stride
-
-    def _polygon(self, at, end, big, stride):
-        n, at = self._u32(at, end, big), at + 4
-        rings = []
-        for _ in range(n):
-            ring, at = self._ring(at, end, big, stride)
-            rings.append(ring)
-        return rings, at
-
-    def _shape(self, at, end, nested):
-        """(name, parts) of the geometry at a position, and where it ends."""
-        big, code, stride, at = self.header(at, end)
-        if code == WKB_COLLECTION:
-            raise ValueError("nested collection")
-        if code not in WKB_NAMES:
-            raise ValueError(f"unknown WKB type {code}")
-        if code == 1:
-            ring, at = self._spot(at, end, big, stride)
-            return "Point", [[ring]], at
-        if code == 2:
-            ring, at = self._ring(at, end, big, stride)
-            return "LineString", [[ring]], at
-        if code == 3:
-            rings, at = self._polygon(at, end, big, stride)
-            return "Polygon", [rings], at
-        if nested:
-            raise ValueError("nested multi-geometry")
-        n, at = self._u32(at, end, big), at + 4
-        parts = []
-        for _ in range(n):
-            _, inner, at = self._shape(at, end, nested=True)
-            parts.extend(inner)
-        if code == 6:
-            return WKB_NAMES[code], parts, at
-        return WKB_NAMES[code], [[ring for part in parts for ring in part]], at
-
-    def value(self, at: int, end: int) -> int:
-        """Walk one value and keep its members; how many there are."""
-        big, code, _, inner = self.header(at, end)
-        shapes = []
-        if code == WKB_COLLECTION:
-            n, inner = self._u32(inner, end, big), inner + 4
-            for _ in range(n):
-                name, parts, inner = self._shape(inner, end, nested=False)
-                shapes.append((name, parts))
-        else:
-            name, parts, _ = self._shape(at, end, nested=False)
-            shapes.append((name, parts))
-        for name, parts in shapes:
-            if name == "MultiPoint":  # its points form one ring, in order
-                parts = [[self._joined(parts)]] if parts and parts[0] else []
-            filled = [p for p in parts if any(_ring_count(r) for r in p)]
-            self.names.append(name)
-            self.member_sizes.append(len(filled))
-            for part in filled:
-                self.part_sizes.append(len(part))
-                self.rings.extend(part)
-        return len(shapes)
-
-    @staticmethod
-    def _joined(parts):
-        return [ring for part in parts for ring in part if ring[2]]
-
-
-def _ring_count(ring) -> int:
-    return sum(r[2] for r in ring) if isinstance(ring, list) else ring[2]
-
-
-def _offsets(sizes) -> pa.Array:
-    return pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32))
-
-
-def _coordinates(data: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """(n, 2) doubles gathered from runs of (start, stride, count, big)."""
-    counts = runs[:, 2]
-    total = int(counts.sum())
-    if total == 0:
-        return np.empty((0, 2))
-    within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(runs[:, 0], counts) + np.repeat(runs[:, 1], counts) * within
-    raw = data[at[:, None] + np.arange(16)].view("<f8").reshape(total, 2)
-    big = np.repeat(runs[:, 3], counts).astype(bool)
-    if big.any():
-        raw[big] = raw[big].byteswap()
-    return raw
-
-
-def _plain_points(data, starts, ends):
-    """Coordinates if every value is a 2-D point of one byte order, else None."""
-    if len(starts) == 0 or not np.all(ends - starts == 21):
-        return None
-    head = data[starts[:, None] + np.arange(5)]
-    if not np.all(head == head[0]):
-        return None
-    big = head[0, 0] == 0
-    if bytes(head[0].tolist()) not in (b"\x00\x00\x00\x00\x01", b"\x01\x01\x00\x00\x00"):
-        return None
-    runs = np.column_stack(
-        [starts + 5, np.full_like(starts, 16), np.ones_like(starts), np.full_like(starts, big)]
-    )
-    xy = _coordinates(data, runs)
-    return None if np.isnan(xy).any() else xy
-
-
-def _assemble(xy, ring_sizes, part_sizes, member_sizes, names, row_sizes, errors, null):
-    vertex_array = pa.StructArray.from_arrays(
-        [pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"]
-    )
-    rings = pa.ListArray.from_arrays(_offsets(ring_sizes), vertex_array)
-    parts = pa.ListArray.from_arrays(_offsets(part_sizes), rings)
-    shapes = pa.ListArray.from_arrays(_offsets(member_sizes), parts)
-    geoms = pa.StructArray.from_arrays(
-        [pa.array(names, pa.string()), shapes], names=["type", "parts"]
-    )
-    failed = pa.array([e is not None for e in errors]) if errors else pa.array(
-        np.zeros(len(row_sizes), dtype=bool))
-    members = pa.ListArray.from_arrays(_offsets(row_sizes), geoms, mask=failed)
-    error = pa.array(errors, pa.string()) if errors else pa.nulls(len(row_sizes), pa.string())
-    return pa.StructArray.from_arrays(
-        [members, error], names=["members", "error"], mask=pa.array(null)
-    )
-
-
-def wkb_to_arrow(values: pa.Array) -> pa.Array:
-    """Decode one Arrow batch of WKB values."""
-    values = values.cast(pa.large_binary())
-    n = len(values)
-    null = values.is_null().to_numpy(zero_copy_only=False)
-    _, offset_buffer, data_buffer = values.buffers()
-    bounds = np.frombuffer(offset_buffer, np.int64)[values.offset:values.offset + n + 1]
-    data = (
-        np.frombuffer(data_buffer, np.uint8) if data_buffer is not None else np.empty(0, np.uint8)
-    )
-    starts, ends = bounds[:-1], bounds[1:]
-    kept = ~null
-    xy = _plain_points(data, starts[kept], ends[kept])
-    if xy is not None:
-        sizes = kept.astype(np.int64)
-        ones = np.ones(len(xy), dtype=np.int64)
-        names = pa.DictionaryArray.from_arrays(
-            np.zeros(len(xy), np.int32), ["Point"]).cast(pa.string())
-        return _assemble(xy, ones, ones, ones, names, sizes, None, null)
-    walk = _Walk(data)
-    row_sizes, errors = [], []
-    for i in range(n):
-        marks = len(walk.rings), len(walk.part_sizes), len(walk.member_sizes)
-        size, error = 0, None
-        if not null[i]:
-            try:
-                size = walk.value(int(starts[i]), int(ends[i]))
-            except ValueError as reason:
-                error = str(reason)
-                del walk.rings[marks[0]:], walk.part_sizes[marks[1]:]
-                del walk.member_sizes[marks[2]:], walk.names[marks[2]:]
-        row_sizes.append(size)
-        errors.append(error)
-    runs, ring_sizes = [], []
-    for ring in walk.rings:
-        pieces = ring if isinstance(ring, list) else [ring]
-        runs.extend(pieces)
-        ring_sizes.append(_ring_count(ring))
-    table = np.array(runs, dtype=np.int64).reshape(-1, 4)
-    xy = _coordinates(data, table)
-    return _assemble(
-        xy, ring_sizes, walk.part_sizes, walk.member_sizes, walk.names, row_sizes, errors, null
-    )
-
-
 _XY = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 _GEOM = T.StructType(
     [
@@ -486,7 +271,7 @@ _DECODED = T.StructType(
 
 @F.arrow_udf(_DECODED)
 def _decode_wkb(values: pa.Array) -> pa.Array:
-    return wkb_to_arrow(values)
+    return wkb.decode_batch(values)
 
 
 def decode_wkb(col: Column) -> Column:

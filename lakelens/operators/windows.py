@@ -261,8 +261,10 @@ def quantiles(ordered: Ordered, value: str, probs: dict[str, float]) -> DataFram
     keys = list(ordered.keys)
     val = F.col(quoted(value)).cast("double")
     if ordered.small():
-        return ordered.df.groupBy(*keys).agg(
-            *[F.percentile(val, p).alias(name) for name, p in probs.items()]
+        shares = F.array(*[F.lit(float(p)) for p in probs.values()])
+        found = ordered.df.groupBy(*keys).agg(F.percentile(val, shares).alias("__q"))
+        return found.select(
+            *keys, *[F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
         )
     rows = ordered.numbered()
     groups = rows.groupBy(*keys).agg(

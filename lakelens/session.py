@@ -56,3 +56,13 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/{STAGED}{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", 0).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan with fewer splits than cores out over all cores.
+
+    A small file stored as one row group would keep one core busy with costly
+    expressions. A scan with enough splits is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -29,6 +29,7 @@ from lakelens.functions.geometry import (
 )
 from lakelens.operators.detect import looks_geographic
 from lakelens.operators.features import features as build_features
+from lakelens.session import spread
 from workload.registry import Tables, query
 
 # Degrees spread over the globe by key; halves and quarters are exact doubles.
@@ -41,7 +42,7 @@ KIND = "CASE o_orderkey % 6 " + " ".join(
 
 def placed(t: Tables) -> DataFrame:
     """Orders with a place (x, y) and a geometry type to build."""
-    return t.orders.select(
+    return spread(t.orders).select(
         "*", F.expr(LON).alias("x"), F.expr(LAT).alias("y"), F.expr(KIND).alias("kind"))
 
 
