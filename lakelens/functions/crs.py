@@ -93,7 +93,7 @@ class CrsDef:
                 cone = math.log(m(p1) / m(p2)) / math.log(t(p1) / t(p2))
             af = self.a * self.k0 * m(p1) / (cone * t(p1) ** cone)
             out.update(cone=cone, scale=af, rho0=af * t(p0) ** cone)
-        return out
+        return {k: v if k == "kind" else float(v) for k, v in out.items()}
 
 
 def _isometric(phi: float, e: float) -> float:

@@ -132,11 +132,15 @@ def _from_footers(spark: SparkSession, paths: str | list[str]) -> GeoInfo | None
     only the few different remainders reach the driver.
     """
     entries = kv_metadata(spark, paths, "geo")
+    column = F.coalesce(
+        F.get_json_object("value", "$.primary_column"),
+        F.get(F.json_object_keys(F.get_json_object("value", "$.columns")), F.lit(0)),
+    )
     box = F.from_json(
-        F.get_json_object(
-            "value",
-            F.concat(F.lit("$.columns['"), F.coalesce(
-                F.get_json_object("value", "$.primary_column"), F.lit("")), F.lit("'].bbox")),
+        F.call_function(
+            "get_json_object",
+            F.col("value"),
+            F.concat(F.lit("$.columns['"), column, F.lit("'].bbox")),
         ),
         "array<double>",
     )
@@ -158,9 +162,10 @@ def _from_footers(spark: SparkSession, paths: str | list[str]) -> GeoInfo | None
     if not rows:
         return None
     info = parse_geo_metadata(rows[0]["value"])
-    if info is not None and rows[0]["boxed"]:
-        info = replace(info, bbox=tuple(rows[0][f"b{i}"] for i in range(4)))
-    return info
+    if info is None:
+        return None
+    box = tuple(rows[0][f"b{i}"] for i in range(4)) if rows[0]["boxed"] else None
+    return replace(info, bbox=box)
 
 
 # ------------------------------------------------------------ name and type

@@ -8,6 +8,7 @@ many files costs one job.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -66,9 +67,16 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return listing.coalesce(8 * spark.sparkContext.defaultParallelism)
 
 
+def empty_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Paths of files without a byte: Spark lists them but plans no task for them."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(as_list(paths))
+    names = [(unquote(f.replace("file:///", "file:/", 1)),) for f in listing.inputFiles()]
+    listed = spark.createDataFrame(names, "path string")
+    return listed.join(listing.select("path"), "path", "left_anti")
+
+
 def _open(path: str):
     import pyarrow.fs as pafs
-    from urllib.parse import unquote
 
     if path.startswith("file:"):
         local = unquote(path[len("file:"):])
@@ -206,6 +214,11 @@ def audit_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 "path", F.transform(refused, lambda c: c["name"]).alias("unsupported"), "message"
             )
         )
+        empty = empty_files(spark, present).withColumns({
+            "unsupported": F.array().cast("array<string>"),
+            "message": F.lit("not a Parquet file: no content"),
+        })
+        found = found.unionByName(empty)
     return found.select(
         "path",
         F.when(F.col("message").isNotNull(), "error")

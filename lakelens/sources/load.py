@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,14 +75,13 @@ def load(
         df = spark.read.parquet(*paths)
         if spark.conf.get(_NANOS, "false") == "true":
             df = _micros(spark, df, paths)
-    except AnalysisException as error:
-        condition = error.getCondition() or ""
-        if "ALREADY_EXISTS" in condition:
+    except Exception:  # a refused schema shows as several kinds of error
+        arrow = _first_arrow_schema(spark, paths)
+        if len({n.lower() for n in arrow.names}) < len(arrow.names):
             df = load_by_position(spark, paths)
-        elif "TIME" in condition or "PARQUET_TYPE" in condition:
+        elif any(pa.types.is_time(f.type) or _is_nanos(f.type) for f in arrow):
             spark.conf.set(_NANOS, "true")
-            schema = _readable_schema(spark, paths)
-            df = _micros(spark, spark.read.schema(schema).parquet(*paths), paths)
+            df = _micros(spark, spark.read.schema(_readable_schema(arrow)).parquet(*paths), paths)
         else:
             raise
     if columns:
@@ -107,14 +105,18 @@ def _first_arrow_schema(spark: SparkSession, paths: list[str]) -> pa.Schema:
         return pq.read_schema(handle)
 
 
-def _readable_schema(spark: SparkSession, paths: list[str]) -> T.StructType:
+def _is_nanos(dtype: pa.DataType) -> bool:
+    return pa.types.is_timestamp(dtype) and dtype.unit == "ns"
+
+
+def _readable_schema(arrow: pa.Schema) -> T.StructType:
     from pyspark.sql.pandas.types import from_arrow_type
 
     fields = []
-    for field in _first_arrow_schema(spark, paths):
+    for field in arrow:
         if pa.types.is_time(field.type):
             continue
-        if pa.types.is_timestamp(field.type) and field.type.unit == "ns":
+        if _is_nanos(field.type):
             dtype: T.DataType = T.LongType()
         else:
             dtype = from_arrow_type(field.type, prefer_timestamp_ntz=True)
@@ -129,7 +131,7 @@ def _micros(spark: SparkSession, df: DataFrame, paths: list[str]) -> DataFrame:
     nanos = {
         f.name: f.type.tz is not None
         for f in _first_arrow_schema(spark, paths)
-        if pa.types.is_timestamp(f.type) and f.type.unit == "ns"
+        if _is_nanos(f.type)
     }
     if not nanos:
         return df

@@ -24,20 +24,24 @@ def quoted(name: str) -> str:
 
 
 def dedupe_names(names: list[str]) -> list[str]:
-    """Give repeated names the suffixes ``_1``, ``_2``, ... in order."""
-    taken = set(names)
+    """Give repeated names the suffixes ``_1``, ``_2``, ... in order.
+
+    Names that differ by case alone repeat each other: queries ignore case.
+    """
+    taken = {name.lower() for name in names}
     seen: dict[str, int] = {}
     out = []
     for name in names:
-        if name not in seen:
-            seen[name] = 0
+        key = name.lower()
+        if key not in seen:
+            seen[key] = 0
             out.append(name)
             continue
         candidate = name
-        while candidate in taken:
-            seen[name] += 1
-            candidate = f"{name}_{seen[name]}"
-        taken.add(candidate)
+        while candidate.lower() in taken:
+            seen[key] += 1
+            candidate = f"{name}_{seen[key]}"
+        taken.add(candidate.lower())
         out.append(candidate)
     return out
 
