@@ -19,6 +19,7 @@ from lakelens.sources.schema import is_opaque, quoted
 
 PAGE_SIZE = 1000
 BLOCK_ROWS = 1 << 20  # rows numbered together in one task
+SMALL_CHUNK = 1 << 14  # rows worth a task of their own
 TOP_ROWS = 200_000  # a sorted prefix up to this long is taken as a top-k
 
 _FILE, _POS, _BLOCK, _CHUNK = "__file", "__pos", "__block", "__chunk"
@@ -77,6 +78,13 @@ def _file_order_ids(df: DataFrame, block_rows: int) -> DataFrame:
     )
 
 
+def _chunks(df: DataFrame, rows: int, block_rows: int) -> int:
+    """At most ``block_rows`` a chunk; small relations still use all cores."""
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    worth_a_task = min(shuffle, math.ceil(rows / SMALL_CHUNK))
+    return max(1, worth_a_task, math.ceil(rows / block_rows))
+
+
 def _sorted_ids(df: DataFrame, keys: list[Column], block_rows: int) -> DataFrame:
     """Range-partition, sort, write once: a row's place in its file is its rank.
 
@@ -85,8 +93,7 @@ def _sorted_ids(df: DataFrame, keys: list[Column], block_rows: int) -> DataFrame
     """
     tagged = with_position(df)
     rows = tagged.count()
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(shuffle if rows > block_rows else 1, math.ceil(rows / block_rows))
+    chunks = _chunks(df, rows, block_rows)
     order = [*keys, F.col(_FILE).asc(), F.col(_POS).asc()]
     written = stage(
         tagged.repartitionByRange(chunks, *order)
