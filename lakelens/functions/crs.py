@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.functions.geometry import GEOM_TYPE, map_vertices, vertex, vertices
-
-BROADCAST_ROWS = 100_000  # registry rows (or cells) small enough to broadcast
+from lakelens.session import bounded_broadcast
 
 # Ellipsoids as (semi-major axis in m, inverse flattening). Fixed values.
 ELLIPSOIDS = {
@@ -200,11 +199,6 @@ def crs_registry(spark: SparkSession, extra: list[tuple] | None = None) -> DataF
     return spark.createDataFrame(rows + list(extra or []), REGISTRY_SCHEMA)
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``limit`` rows; leave it to Spark if not."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def with_crs(df: DataFrame, registry: DataFrame, epsg: str = "epsg") -> DataFrame:
     """Look up the CRS of each row; unknown codes keep the row with null fields."""
     looked_up = registry.select(

@@ -39,12 +39,35 @@ def _shown(value: Column, dtype: T.DataType) -> Column:
     return fmt_number(value) if is_numeric(dtype) else value.cast("string")
 
 
-def _column_profile(df: DataFrame, name: str, approx: bool) -> DataFrame:
-    """One row for one column.
-
-    The exact form groups by the value first: that collapses repeats map-side,
-    spreads distinct values over the tasks, and every other figure follows from
-    the groups.
+def _approximate(df: DataFrame, names: list[str]) -> DataFrame:
+    """All columns in one aggregate and one pass; distincts are estimates."""
+    aggs, rows = [F.count(F.lit(1)).alias("total")], []
+    nothing = F.lit(None).cast("string")
+    for i, name in enumerate(names):
+        field, col = field_of(df, name), F.col(quoted(name))
+        aggs.append(F.count_if(col.isNull()).alias(f"nulls{i}"))
+        distinct, lo, hi = F.lit(0).cast("bigint"), nothing, nothing
+        if not holds_geometry(field) and not _has_map(field.dataType):
+            aggs += [F.approx_count_distinct(col, 0.02).alias(f"distinct{i}"),
+                     F.min(col).alias(f"lo{i}"), F.max(col).alias(f"hi{i}")]
+            distinct = F.col(f"distinct{i}")
+            lo, hi = (_shown(F.col(f"{end}{i}"), field.dataType) for end in ("lo", "hi"))
+        rows.append(F.struct(
+            F.lit(name).alias("name"), F.col(f"nulls{i}").alias("null_count"),
+            distinct.alias("distinct_count"), F.col("total").alias("total"),
+            lo.alias("min_val"), hi.alias("max_val"),
+            null_percentage(F.col(f"nulls{i}"), F.col("total")).alias("null_pct"),
+        ))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def _column_profile(df: DataFrame, name: str) -> DataFrame:
+    """One row for one column, exact.
+
+    Grouping by the value first collapses repeats map-side and spreads distinct
+    values over the tasks; every other figure follows from the groups. One
+    aggregate with a distinct count per column would copy each row once per
+    column instead.
     """
     field = field_of(df, name)
     col = F.col(quoted(name))
@@ -54,12 +77,6 @@ def _column_profile(df: DataFrame, name: str, approx: bool) -> DataFrame:
             F.count_if(is_null).alias("null_count"), F.count(F.lit(1)).alias("total"),
         ).withColumns({"distinct_count": F.lit(0).cast("bigint"), "lo": F.lit(None).cast("string"),
                        "hi": F.lit(None).cast("string")})
-    elif approx:
-        grouped = df.agg(
-            F.count_if(is_null).alias("null_count"),
-            F.approx_count_distinct(col, 0.02).alias("distinct_count"),
-            F.count(F.lit(1)).alias("total"), F.min(col).alias("lo"), F.max(col).alias("hi"),
-        )
     else:
         grouped = (
             df.groupBy(col.alias("v")).agg(F.count(F.lit(1)).alias("n"))
@@ -94,4 +111,6 @@ def profile(
     if sample_rows is not None:
         df = sample_prefix(df, sample_rows)
     names = cols or df.columns
-    return reduce(DataFrame.unionByName, [_column_profile(df, c, approx) for c in names])
+    if approx:
+        return _approximate(df, names)
+    return reduce(DataFrame.unionByName, [_column_profile(df, c) for c in names])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.operators.ordering import ROW_ID, Sort, sort_keys
-from lakelens.session import STAGED, stage
+from lakelens.session import STAGED, bounded_broadcast, stage
 from lakelens.sources.schema import is_opaque, quoted
 
 PAGE_SIZE = 1000
@@ -110,6 +110,22 @@ def _sorted_ids(df: DataFrame, keys: list[Column], block_rows: int) -> DataFrame
     )
 
 
+def number_scan(df: DataFrame) -> DataFrame:
+    """``__row_id`` for a plain scan, rows and columns as loaded, without a shuffle.
+
+    A row's id is its place in its file plus the rows of the files before.
+    """
+    path, row = file_position(df)
+    tagged = df.select("*", path.alias(_FILE), row.alias(_POS))
+    # Counting reads footers alone; one row per file, as many as Spark lists.
+    counts = tagged.groupBy(_FILE).agg(F.count(F.lit(1)).alias("n"))
+    offsets = bounded_broadcast(_offsets(counts, [_FILE]))
+    return tagged.join(offsets, _FILE).select(
+        (F.col("__before") + F.col(_POS)).alias(ROW_ID),
+        *[F.col(quoted(c)) for c in df.columns],
+    )
+
+
 def with_row_id(
     df: DataFrame,
     order_by: list[Sort] | tuple[Sort, ...] | None = None,
@@ -147,11 +163,11 @@ def page(
     kept = [f.name for f in df.schema.fields if f.dataType.typeName() != "binary"]
     shown = df.select([F.col(quoted(c)) for c in kept]) if kept else df
     if sort is None:
-        if offset == 0:
-            shown = sample_prefix(shown, size)
-        elif offset + size > TOP_ROWS:
+        if offset + size > TOP_ROWS:
             ids = with_row_id(shown)
             return ids.filter((F.col(ROW_ID) >= offset) & (F.col(ROW_ID) < offset + size))
+        if offset == 0:
+            shown = sample_prefix(shown, size)
     return limited_row_id(shown, [sort] if sort else [], size, offset)
 
 
@@ -177,9 +193,11 @@ def sample_prefix(df: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows in file order.
 
     Only as many leading files are read as hold ``n`` rows of ``df``: the file
-    list doubles until they do.
+    list doubles until they do. A prefix too long for a top-k is cut by row ids.
     """
     position = file_position(df)
+    if n > TOP_ROWS:
+        return with_row_id(df).filter(F.col(ROW_ID) < n).drop(ROW_ID)
     if position is None:
         return df.limit(n)
     path, row = position

@@ -20,7 +20,7 @@ from lakelens.sources.schema import quoted
 
 GROUP_ROWS = 4_000_000  # largest group left to a plain window
 
-_BLOCK = "__block"
+_BLOCK, _GROUP = "__block", "__group"
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -52,21 +52,32 @@ class Ordered:
         return with_row_id(self.df, sorts, self.block_rows)
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on keys that may be null."""
-    renamed = right.select(
-        *[F.col(quoted(k)).alias(f"__r_{k}") for k in keys],
-        *[F.col(quoted(c)) for c in right.columns if c not in keys],
+def _packed(keys: list[str]) -> Column:
+    """Keys as one struct: never null itself, and equal where its nulls are."""
+    return F.struct(*[F.col(quoted(k)) for k in keys])
+
+
+def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be null."""
+    kept = [F.col(quoted(c)) for c in right.columns if c not in keys]
+    return (
+        left.withColumn(_GROUP, _packed(keys))
+        .join(right.select(_packed(keys).alias(_GROUP), *kept), _GROUP, "left")
+        .drop(_GROUP)
     )
-    on = [F.col(quoted(k)).eqNullSafe(F.col(quoted(f"__r_{k}"))) for k in keys]
-    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def _blocks(ordered: Ordered) -> DataFrame:
     numbered = ordered.numbered()
-    return numbered.withColumn(
-        _BLOCK, F.floor(F.col(ROW_ID) / F.lit(ordered.block_rows)).cast("bigint")
-    )
+    block = F.floor(F.col(ROW_ID) / F.lit(ordered.block_rows)).cast("bigint")
+    return numbered.withColumns({_BLOCK: block, _GROUP: _packed(list(ordered.keys))})
+
+
+def _block_windows(first: int, last: int):
+    """The frame inside a block, and that of the blocks before it."""
+    inside = Window.partitionBy(_BLOCK, _GROUP).orderBy(ROW_ID).rowsBetween(first, last)
+    earlier = Window.partitionBy(_GROUP).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return inside, earlier
 
 
 def running_sum(ordered: Ordered, value: Column, out: str) -> DataFrame:
@@ -74,21 +85,17 @@ def running_sum(ordered: Ordered, value: Column, out: str) -> DataFrame:
     if ordered.small():
         frame = ordered.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return ordered.df.withColumn(out, F.sum(value).over(frame))
-    keys = list(ordered.keys)
     rows = _blocks(ordered).withColumn("__value", value)
-    inside = Window.partitionBy(_BLOCK, *keys).orderBy(ROW_ID).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(
-        Window.unboundedPreceding, -1)
-    carry = rows.groupBy(_BLOCK, *keys).agg(F.sum("__value").alias("__sum")).select(
-        _BLOCK, *keys, F.sum("__sum").over(earlier).alias("__carry"))
+    inside, earlier = _block_windows(Window.unboundedPreceding, Window.currentRow)
+    carry = rows.groupBy(_BLOCK, _GROUP).agg(F.sum("__value").alias("__sum")).select(
+        _BLOCK, _GROUP, F.sum("__sum").over(earlier).alias("__carry"))
     local = rows.withColumn("__local", F.sum("__value").over(inside))
     total = F.when(F.col("__carry").isNull(), F.col("__local")).otherwise(
         F.col("__carry") + F.coalesce(F.col("__local"), F.lit(0)))
     return (
-        _same_keys(local, carry, [_BLOCK, *keys])
+        local.join(carry, [_BLOCK, _GROUP], "left")
         .withColumn(out, total)
-        .drop(_BLOCK, "__value", "__local", "__carry", ROW_ID)
+        .drop(_BLOCK, _GROUP, "__value", "__local", "__carry", ROW_ID)
     )
 
 
@@ -97,20 +104,16 @@ def last_before(ordered: Ordered, value: Column, out: str) -> DataFrame:
     if ordered.small():
         frame = ordered.window().rowsBetween(Window.unboundedPreceding, -1)
         return ordered.df.withColumn(out, F.last(value, ignorenulls=True).over(frame))
-    keys = list(ordered.keys)
     rows = _blocks(ordered).withColumn("__value", value)
-    inside = Window.partitionBy(_BLOCK, *keys).orderBy(ROW_ID).rowsBetween(
-        Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(
-        Window.unboundedPreceding, -1)
+    inside, earlier = _block_windows(Window.unboundedPreceding, -1)
     at = F.when(F.col("__value").isNotNull(), F.col(ROW_ID))
-    carry = rows.groupBy(_BLOCK, *keys).agg(F.max_by("__value", at).alias("__last")).select(
-        _BLOCK, *keys, F.last("__last", ignorenulls=True).over(earlier).alias("__carry"))
+    carry = rows.groupBy(_BLOCK, _GROUP).agg(F.max_by("__value", at).alias("__last")).select(
+        _BLOCK, _GROUP, F.last("__last", ignorenulls=True).over(earlier).alias("__carry"))
     local = rows.withColumn("__local", F.last("__value", ignorenulls=True).over(inside))
     return (
-        _same_keys(local, carry, [_BLOCK, *keys])
+        local.join(carry, [_BLOCK, _GROUP], "left")
         .withColumn(out, F.coalesce("__local", "__carry"))
-        .drop(_BLOCK, "__value", "__local", "__carry", ROW_ID)
+        .drop(_BLOCK, _GROUP, "__value", "__local", "__carry", ROW_ID)
     )
 
 

@@ -57,8 +57,8 @@ def run_spec(df: DataFrame, spec: QuerySpec) -> DataFrame:
     keys = sort_keys(out, spec.sorts)
     if spec.limit is None:
         out = out.orderBy(*keys) if keys else out
-    elif spec.limit > TOP_ROWS and keys:
-        # A long sorted prefix would be gathered in one place as a top-k.
+    elif spec.limit > TOP_ROWS:
+        # A long prefix would be gathered in one place as a limit or top-k.
         ids = with_row_id(out, spec.sorts)
         out = ids.filter(F.col(ROW_ID) < spec.limit).orderBy(ROW_ID).drop(ROW_ID)
     elif keys:
@@ -73,10 +73,12 @@ def run_spec_numbered(df: DataFrame, spec: QuerySpec) -> DataFrame:
     out = _shaped(df, spec)
     if spec.limit is not None and spec.sorts:
         numbered = limited_row_id(out, spec.sorts, spec.limit)
+    elif spec.limit is not None and spec.limit <= TOP_ROWS:
+        numbered = with_row_id(sample_prefix(out, spec.limit))
     else:
-        if spec.limit is not None:
-            out = sample_prefix(out, spec.limit)
         numbered = with_row_id(out, spec.sorts)
+        if spec.limit is not None:
+            numbered = numbered.filter(F.col(ROW_ID) < spec.limit)
     if spec.mode == "aggregate" or not spec.columns:
         return numbered
     shown = [c for c in out.columns if c in spec.columns or c in spec.keep]

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,6 +17,7 @@ _SETTINGS = {
 }
 
 STAGED = "lakelens-"
+BROADCAST_ROWS = 100_000  # narrow rows small enough to send to every executor
 
 _local_scratch: str | None = None
 
@@ -66,3 +68,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` if it has at most ``limit`` rows; leave it to Spark if not."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

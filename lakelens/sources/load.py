@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakelens.operators.rows import file_position, number_scan, with_row_id
 from lakelens.session import configure
 from lakelens.sources.footers import _open, as_list, list_files
 from lakelens.sources.schema import dedupe_names, quoted
@@ -60,9 +61,12 @@ def load(
     path: str | list[str],
     view: str | None = VIEW,
     columns: list[str] | None = None,
+    row_id: bool = False,
 ) -> DataFrame:
     """Read Parquet and register it, replacing what ``view`` named before.
 
+    ``row_id`` adds dense ids in file order, which at this point need no shuffle.
+
     Files Spark's reader refuses get a second way in: nanosecond timestamps are
     read as microseconds, columns of type TIME are left out, and repeated
     column names are read by position.
@@ -86,6 +90,8 @@ def load(
             raise
     if columns:
         df = df.select([F.col(quoted(c)) for c in columns])
+    if row_id:
+        df = number_scan(df) if file_position(df) else with_row_id(df)
     if view:
         df.createOrReplaceTempView(view)
     return df

@@ -38,6 +38,20 @@ def test_file_order_ids(spark, folder):
     assert sorted((r["__row_id"], r.n) for r in kept) == [(i, 3 * i) for i in range(25)]
 
 
+def test_plain_scan_ids_need_no_shuffle_of_rows(spark, folder):
+    df = L.load(spark, folder, view="data", row_id=True)
+    assert sorted((r["__row_id"], r.n) for r in df.collect()) == [(i, i) for i in range(75)]
+    assert spark.table("data").columns[0] == "__row_id"
+    for piece in plan(df).split("Exchange hashpartitioning")[1:]:
+        assert "HashAggregate" in piece.split("FileScan")[0]
+
+
+def test_long_unsorted_prefix(spark, folder, monkeypatch):
+    monkeypatch.setattr(rows_module, "TOP_ROWS", 10)
+    df = L.load(spark, folder)
+    assert sorted(r.n for r in L.sample_prefix(df, 30).collect()) == list(range(30))
+
+
 def test_prefix_reads_leading_files(spark, folder):
     df = L.load(spark, folder)
     assert [r.n for r in L.sample_prefix(df, 7).collect()] == list(range(7))
@@ -112,6 +126,16 @@ def test_long_limit_takes_the_distributed_way(spark, monkeypatch):
     assert [r[0] for r in L.run_spec(df, spec).collect()] == expected
 
 
+def test_numbered_limits_without_a_sort(spark, folder, monkeypatch):
+    from lakelens.plans import spec as spec_module
+
+    df = L.load(spark, folder)
+    for top in (rows_module.TOP_ROWS, 10):
+        monkeypatch.setattr(spec_module, "TOP_ROWS", top)
+        got = L.run(df, L.QuerySpec(filters=(L.Filter("n", ">=", 3),), limit=50)).df.collect()
+        assert sorted((r["__row_id"], r.n) for r in got) == [(i, i + 3) for i in range(50)]
+
+
 def test_sql_ids_follow_the_query_order(spark, folder):
     df = L.load(spark, folder)
     got = L.run_sql_numbered(spark, 'SELECT "n" FROM data ORDER BY n DESC;', {"data": df})

@@ -86,3 +86,17 @@ def test_asof_and_range_by_brute_force(spark):
         found = {r.id: r.n for r in sums.collect()}
         for i, k, s, _ in left_rows:
             assert found[i] == sum(v for _, key, t, v in right_rows if key == k and s - 5 <= t <= s + 2)
+
+
+def test_multisets(spark):
+    from collections import Counter
+
+    from lakelens.operators.sets import except_all, intersect_all
+
+    left = ["a"] * 50 + ["b"] * 3 + [None] * 4 + ["c"]
+    right = ["a"] * 20 + ["b"] * 9 + [None]
+    dl, dr = (spark.createDataFrame([(v,) for v in x], "v string") for x in (left, right))
+    got = lambda df: Counter(r.v for r in df.collect())
+    for run in (7, 1000):
+        assert got(except_all(dl, dr, run)) == Counter(left) - Counter(right)
+        assert got(intersect_all(dl, dr, run)) == Counter(left) & Counter(right)

@@ -291,6 +291,12 @@ def row_ids_file_order(t: Tables) -> DataFrame:
     return L.with_row_id(rows, block_rows=4096)
 
 
+@query("SELECT row_number() OVER () - 1 AS __row_id, o_orderkey, o_totalprice FROM orders")
+def row_ids_plain_scan(t: Tables) -> DataFrame:
+    loaded = L.load(t.spark, t.path("orders"), view=None, row_id=True)
+    return loaded.select(ROW_ID, "o_orderkey", "o_totalprice")
+
+
 _LINE_ORDER = "l_returnflag DESC, l_orderkey, l_partkey, l_suppkey, l_linenumber"
 _LINE_SORTS = [Sort("l_returnflag", "DESC"), *map(Sort, (
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))]

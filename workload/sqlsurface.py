@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import lakelens as L
+from lakelens.operators.sets import except_all, intersect_all
 from lakelens.operators.windows import (
     Ordered,
     asof,
@@ -29,10 +30,13 @@ SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY n_name""")
 def inner_join(t: Tables) -> DataFrame:
-    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(
+    # Summed per customer map-side first: no customer's orders meet in one task.
+    spent = t.orders.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("total"))
+    joined = spent.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(
         t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name").agg(
-        F.count(F.lit(1)).alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+        F.sum("orders").alias("orders"), F.round(F.sum("total"), 2).alias("total"))
 
 
 @query("""
@@ -49,10 +53,15 @@ def left_join(t: Tables) -> DataFrame:
 SELECT p_partkey, p_brand, l_orderkey, l_linenumber FROM lineitem
 RIGHT JOIN (SELECT * FROM part WHERE p_size < 10) ON l_partkey = p_partkey AND l_quantity > 49""")
 def right_join(t: Tables) -> DataFrame:
+    # Spark can split a hot key on the left of an inner join, not of a right one:
+    # matches and lonely parts are found separately.
     lines = t.lineitem.filter("l_quantity > 49")
     parts = t.part.filter("p_size < 10")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey"), "right").select(
-        "p_partkey", "p_brand", "l_orderkey", "l_linenumber")
+    same = F.col("l_partkey") == F.col("p_partkey")
+    shown = ["p_partkey", "p_brand", "l_orderkey", "l_linenumber"]
+    lonely = parts.join(lines.select("l_partkey").distinct(), same, "left_anti")
+    return lines.join(parts, same).select(shown).unionByName(
+        lonely.select("p_partkey", "p_brand"), allowMissingColumns=True)
 
 
 @query("""
@@ -71,15 +80,16 @@ def full_join(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def semi_join(t: Tables) -> DataFrame:
+    buyers = t.orders.select("o_custkey").distinct()
     return t.customer.join(
-        t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
+        buyers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
 @query("""
 SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS
   (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)""")
 def anti_join(t: Tables) -> DataFrame:
-    dear = t.orders.filter("o_totalprice > 300000")
+    dear = t.orders.filter("o_totalprice > 300000").select("o_custkey").distinct()
     return t.customer.join(
         dear, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
@@ -149,6 +159,14 @@ JOIN mean ON k = o_custkey WHERE o_totalprice > 1.5 * m
 
 @query(_ABOVE)
 def subqueries(t: Tables) -> DataFrame:
+    distinct_lines = _ABOVE.replace(
+        "EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25)",
+        "o_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 25)")
+    return L.run_sql(t.spark, distinct_lines, {"orders": t.orders, "lineitem": t.lineitem})
+
+
+@query(_ABOVE)
+def correlated_subqueries(t: Tables) -> DataFrame:
     return L.run_sql(t.spark, _ABOVE, {"orders": t.orders, "lineitem": t.lineitem})
 
 
@@ -182,26 +200,26 @@ def set_union_all(t: Tables) -> DataFrame:
 @query(f"{_LEFT} INTERSECT {_RIGHT}")
 def set_intersect(t: Tables) -> DataFrame:
     left, right = _nations(t)
-    return left.intersect(right)
+    return left.distinct().intersect(right.distinct())
 
 
 @query(f"{_LEFT} INTERSECT ALL {_RIGHT}")
 def set_intersect_all(t: Tables) -> DataFrame:
     left, right = _nations(t)
-    return left.intersectAll(right)
+    return intersect_all(left, right)
 
 
 @query(f"{_RIGHT} EXCEPT {_LEFT.replace('> 0', '> 9500')}")
 def set_except(t: Tables) -> DataFrame:
     _, right = _nations(t)
     rich = t.customer.filter("c_acctbal > 9500").select(F.col("c_nationkey").alias("nation"))
-    return right.subtract(rich)
+    return right.distinct().subtract(rich.distinct())
 
 
 @query(f"{_LEFT} EXCEPT ALL {_RIGHT}")
 def set_except_all(t: Tables) -> DataFrame:
     left, right = _nations(t)
-    return left.exceptAll(right)
+    return except_all(left, right)
 
 
 # ----------------------------------------------------------------- windows
