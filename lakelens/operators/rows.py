@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.operators.ordering import ROW_ID, Sort, sort_keys
-from lakelens.session import STAGED, bounded_broadcast, stage
+from lakelens.session import bounded_broadcast, stage
 from lakelens.sources.schema import is_opaque, quoted
 
 PAGE_SIZE = 1000
 BLOCK_ROWS = 1 << 20  # rows numbered together in one task
+BROADCAST_BLOCKS = 1_000_000  # block counts (a name and two numbers) sent to executors
 SMALL_CHUNK = 1 << 14  # rows worth a task of their own
 TOP_ROWS = 200_000  # a sorted prefix up to this long is taken as a top-k
 
@@ -35,46 +36,57 @@ def file_position(df: DataFrame) -> tuple[Column, Column] | None:
     return path, row
 
 
-def positioned(df: DataFrame) -> DataFrame:
-    """``df`` as rows of files: written to the scratch folder if need be."""
-    return df if file_position(df) else stage(df)
-
-
 def with_position(df: DataFrame) -> DataFrame:
-    df = positioned(df)
+    """Add file and row in file; what no longer is rows of files gets written."""
+    df = df if file_position(df) else stage(df)
     path, row = file_position(df)
-    return df.select("*", _file_key(path).alias(_FILE), row.alias(_POS))
-
-
-def _file_key(path: Column) -> Column:
-    """File order by name; staged files by task number, whatever its width."""
-    number = F.regexp_extract(path, rf"/{STAGED}[0-9a-f]+/part-(\d+)", 1)
-    return F.when(number != "", F.lpad(number, 12, "0")).otherwise(path)
+    return df.select("*", path.alias(_FILE), row.alias(_POS))
 
 
 def _offsets(counts: DataFrame, order: list[str]) -> DataFrame:
-    """Rows before each block. One input row per block, so one task will do."""
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    """Number of each block and rows before it.
+
+    One input row per block, so one task will do.
+    """
+    blocks = Window.orderBy(*order)
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
-        *order, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before")
+        *order,
+        F.row_number().over(blocks).alias("__no"),
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"),
     )
 
 
+def _columns(df: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def _file_order_ids(df: DataFrame, block_rows: int) -> DataFrame:
-    """Blocks are stretches of a file, so the same rows meet on every run."""
-    blocked = with_position(df).withColumn(
-        _BLOCK, F.floor(F.col(_POS) / F.lit(block_rows)).cast("bigint")
-    )
+    """Blocks are stretches of a file, so the same rows meet on every run.
+
+    Blocks get their number before the shuffle, which then carries a number per
+    row and no file name.
+    """
+    blocked = with_position(df).withColumn(_BLOCK, F.expr(f"{_POS} div {block_rows}"))
     counts = blocked.groupBy(_FILE, _BLOCK).agg(F.count(F.lit(1)).alias("n"))
-    offsets = _offsets(counts, [_FILE, _BLOCK])
-    within = Window.partitionBy(_FILE, _BLOCK).orderBy(_POS)
-    return (
-        blocked.withColumn("__rank", F.row_number().over(within))
-        .join(offsets, [_FILE, _BLOCK])
-        .select(
-            (F.col("__before") + F.col("__rank") - 1).alias(ROW_ID),
-            *[F.col(quoted(c)) for c in df.columns],
-        )
+    offsets = bounded_broadcast(_offsets(counts, [_FILE, _BLOCK]), BROADCAST_BLOCKS)
+    rank = F.row_number().over(Window.partitionBy("__no").orderBy(_POS))
+    return blocked.join(offsets, [_FILE, _BLOCK]).select(
+        (F.col("__before") + rank - 1).alias(ROW_ID), *_columns(df)
+    )
+
+
+def written_ids(df: DataFrame) -> DataFrame:
+    """Write ``df`` once; ids follow its partitions and the order inside them.
+
+    A task writes one file, so a row's place in its file is its rank there.
+    """
+    written = stage(df.select(*_columns(df), F.spark_partition_id().alias(_CHUNK)))
+    counts = written.groupBy(_CHUNK).agg(F.count(F.lit(1)).alias("n"))
+    offsets = bounded_broadcast(_offsets(counts, [_CHUNK]), BROADCAST_BLOCKS)
+    placed = written.select("*", F.col("_metadata.row_index").alias(_POS))
+    return placed.join(offsets, _CHUNK).select(
+        (F.col("__before") + F.col(_POS)).alias(ROW_ID), *_columns(df)
     )
 
 
@@ -95,19 +107,8 @@ def _sorted_ids(df: DataFrame, keys: list[Column], block_rows: int) -> DataFrame
     rows = tagged.count()
     chunks = _chunks(df, rows, block_rows)
     order = [*keys, F.col(_FILE).asc(), F.col(_POS).asc()]
-    written = stage(
-        tagged.repartitionByRange(chunks, *order)
-        .sortWithinPartitions(*order)
-        .select(*[F.col(quoted(c)) for c in df.columns], F.spark_partition_id().alias(_CHUNK))
-    )
-    counts = written.groupBy(_CHUNK).agg(F.count(F.lit(1)).alias("n"))
-    # As many offsets as chunks, a number fixed above.
-    offsets = F.broadcast(_offsets(counts, [_CHUNK]))
-    placed = written.select("*", F.col("_metadata.row_index").alias(_POS))
-    return placed.join(offsets, _CHUNK).select(
-        (F.col("__before") + F.col(_POS)).alias(ROW_ID),
-        *[F.col(quoted(c)) for c in df.columns],
-    )
+    ranges = tagged.repartitionByRange(chunks, *order).sortWithinPartitions(*order)
+    return written_ids(ranges.select(*_columns(df)))
 
 
 def number_scan(df: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def number_scan(df: DataFrame) -> DataFrame:
     offsets = bounded_broadcast(_offsets(counts, [_FILE]))
     return tagged.join(offsets, _FILE).select(
         (F.col("__before") + F.col(_POS)).alias(ROW_ID),
-        *[F.col(quoted(c)) for c in df.columns],
+        *_columns(df),
     )
 
 
@@ -134,7 +135,9 @@ def with_row_id(
     """Add ``__row_id`` = 0, 1, 2, ... in sort order, else in file order."""
     if order_by:
         return _sorted_ids(df, sort_keys(df, order_by), block_rows)
-    return _file_order_ids(df, block_rows)
+    if file_position(df):
+        return _file_order_ids(df, block_rows)
+    return written_ids(df)
 
 
 def limited_row_id(
@@ -145,7 +148,7 @@ def limited_row_id(
     if end > TOP_ROWS:
         ids = with_row_id(df, order_by)
         return ids.filter((F.col(ROW_ID) >= offset) & (F.col(ROW_ID) < end))
-    columns = [F.col(quoted(c)) for c in df.columns]
+    columns = _columns(df)
     keys = sort_keys(df, order_by)
     if not keys or file_position(df):
         df = with_position(df)
@@ -211,7 +214,7 @@ def sample_prefix(df: DataFrame, n: int) -> DataFrame:
             break
         take *= 2
         prefix = df
-    columns = [F.col(quoted(c)) for c in df.columns]
+    columns = _columns(df)
     return with_position(prefix).orderBy(_FILE, _POS).limit(n).select(columns)
 
 

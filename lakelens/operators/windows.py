@@ -69,7 +69,7 @@ def _same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def _blocks(ordered: Ordered) -> DataFrame:
     numbered = ordered.numbered()
-    block = F.floor(F.col(ROW_ID) / F.lit(ordered.block_rows)).cast("bigint")
+    block = F.expr(f"{ROW_ID} div {ordered.block_rows}")
     return numbered.withColumns({_BLOCK: block, _GROUP: _packed(list(ordered.keys))})
 
 
@@ -175,7 +175,7 @@ def ranks(ordered: Ordered, value: str, tiles: int = 4) -> DataFrame:
     number = F.col(ROW_ID) - F.col("__lo") + 1
     rank = F.col("__tie") - F.col("__lo") + 1
     n, k = F.col("__n"), F.lit(tiles)
-    small, extra = F.floor(n / k), n % k
+    small, extra = (n - n % k) / k, n % k
     big = extra * (small + 1)
     tile = F.when(number <= big, F.floor((number - 1) / (small + 1)) + 1).otherwise(
         extra + F.floor((number - 1 - big) / F.greatest(small, F.lit(1))) + 1)

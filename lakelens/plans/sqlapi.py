@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakelens.operators.ordering import Sort
-from lakelens.operators.rows import with_row_id
-from lakelens.session import configure, stage
+from lakelens.operators.rows import with_row_id, written_ids
+from lakelens.session import configure
 
 _QUOTES = "spark.sql.ansi.doubleQuotedIdentifiers"
 _COMMANDS = ("describe", "desc", "show", "explain", "set", "refresh", "analyze", "summarize")
@@ -40,4 +40,4 @@ def run_sql_numbered(
     df = run_sql(spark, text, views)
     if text.split(None, 1)[0].lower() in _COMMANDS:
         return df
-    return with_row_id(df, order_by) if order_by else with_row_id(stage(df))
+    return with_row_id(df, order_by) if order_by else written_ids(df)

@@ -16,7 +16,6 @@ _SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-STAGED = "lakelens-"
 BROADCAST_ROWS = 100_000  # narrow rows small enough to send to every executor
 
 _local_scratch: str | None = None
@@ -55,7 +54,7 @@ def stage(df: DataFrame) -> DataFrame:
     relation is written in its order: one file per task, numbered by task.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{STAGED}{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/lakelens-{uuid.uuid4().hex}"
     df.write.option("maxRecordsPerFile", 0).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
