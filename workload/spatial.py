@@ -71,23 +71,72 @@ CORNERS = {
 }
 
 
-def _wkt_text(kind: str) -> str:
-    ring = lambda points: " || ', ' || ".join(_pair(*p) for p in points)
-    wrap = lambda body: f"'(' || {body} || ')'"
-    rings = lambda part: " || ', ' || ".join(wrap(ring(r)) for r in part)
+# Stored forms as templates: "@" stands for a corner, in the order of CORNERS.
+
+
+def _wkt_template(kind: str) -> str:
+    ring = lambda r: "(" + ", ".join("@" for _ in r) + ")"
+    part = lambda p: "(" + ", ".join(map(ring, p)) + ")"
     parts = CORNERS[kind]
-    if kind in ("Point", "LineString"):
-        body = wrap(ring(parts[0][0]))
-    elif kind == "MultiPoint":
-        body = wrap(" || ', ' || ".join(wrap(_pair(*p)) for p in parts[0][0]))
+    if kind == "MultiPoint":
+        body = "(" + ", ".join("(@)" for _ in parts[0][0]) + ")"
+    elif kind in ("Point", "LineString"):
+        body = ring(parts[0][0])
     elif kind == "MultiPolygon":
-        body = wrap(" || ', ' || ".join(wrap(rings(p)) for p in parts))
+        body = "(" + ", ".join(map(part, parts)) + ")"
     else:
-        body = wrap(rings(parts[0]))
-    return f"'{kind.upper()} ' || {body}"
+        body = part(parts[0])
+    return f"{kind.upper()} {body}"
+
+
+def _wkb_template(kind: str) -> str:
+    """Hex of big-endian WKB."""
+    head = lambda name: f"00{SHAPES.index(name) + 1:08X}"
+    count = lambda items: f"{len(items):08X}"
+    ring = lambda r: count(r) + "@" * len(r)
+    part = lambda p: count(p) + "".join(map(ring, p))
+    parts = CORNERS[kind]
+    body = {
+        "Point": lambda: "@",
+        "LineString": lambda: ring(parts[0][0]),
+        "Polygon": lambda: part(parts[0]),
+        "MultiPoint": lambda: count(parts[0][0]) + (head("Point") + "@") * len(parts[0][0]),
+        "MultiLineString": lambda: count(parts[0]) + "".join(
+            head("LineString") + ring(r) for r in parts[0]),
+        "MultiPolygon": lambda: count(parts) + "".join(head("Polygon") + part(p) for p in parts),
+    }[kind]()
+    return head(kind) + body
+
+
+def _filled(template: str, kind: str, spot) -> Column:
+    """A template with its corners written by ``spot``."""
+    *prefixes, suffix = template.split("@")
+    corners = [p for part in CORNERS[kind] for ring in part for p in ring]
+    pieces = F.array(*[
+        F.struct(F.lit(prefix).alias("text"), F.lit(float(dx)).alias("dx"), F.lit(float(dy)).alias("dy"))
+        for prefix, (dx, dy) in zip(prefixes, corners, strict=True)
+    ])
+    written = F.transform(pieces, lambda c: F.concat(
+        c["text"], spot(F.col("x") + c["dx"], F.col("y") + c["dy"])))
+    return F.concat(F.array_join(written, ""), F.lit(suffix))
+
+
+def _by_kind(build) -> Column:
+    return reduce(
+        lambda chain, k: chain.when(F.col("kind") == k, build(k)), SHAPES, F.when(F.lit(False), ""))
+
 
+def _decimal(value: Column) -> Column:
+    return value.cast("decimal(9,4)").cast("string")
 
-WKT = "CASE kind " + " ".join(f"WHEN '{k}' THEN {_wkt_text(k)}" for k in SHAPES) + " END"
+
+def _wkt(kind: str) -> Column:
+    return _filled(
+        _wkt_template(kind), kind, lambda x, y: F.concat(_decimal(x), F.lit(" "), _decimal(y)))
+
+
+def wkt() -> Column:
+    return _by_kind(_wkt)
 
 
 def _bits(value: Column) -> Column:
@@ -100,39 +149,13 @@ def _bits(value: Column) -> Column:
     return F.when(value == 0, "0" * 16).otherwise(F.lpad(F.hex(word), 16, "0"))
 
 
-def _wkb_hex(kind: str) -> Column:
-    head = lambda name: f"00{SHAPES.index(name) + 1:08X}"
-    spot = lambda p: F.concat(_bits(F.col("x") + p[0]), _bits(F.col("y") + p[1]))
-    ring = lambda pts: [F.lit(f"{len(pts):08X}"), *map(spot, pts)]
-    parts = CORNERS[kind]
-    pieces: list[Column] = [F.lit(head(kind))]
-    if kind == "Point":
-        pieces.append(spot(parts[0][0][0]))
-    elif kind == "LineString":
-        pieces.extend(ring(parts[0][0]))
-    elif kind == "Polygon":
-        pieces.append(F.lit(f"{len(parts[0]):08X}"))
-        for r in parts[0]:
-            pieces.extend(ring(r))
-    elif kind == "MultiPoint":
-        pieces.append(F.lit(f"{len(parts[0][0]):08X}"))
-        for p in parts[0][0]:
-            pieces.extend([F.lit(head("Point")), spot(p)])
-    elif kind == "MultiLineString":
-        pieces.append(F.lit(f"{len(parts[0]):08X}"))
-        for r in parts[0]:
-            pieces.extend([F.lit(head("LineString")), *ring(r)])
-    else:
-        pieces.append(F.lit(f"{len(parts):08X}"))
-        for part in parts:
-            pieces.extend([F.lit(head("Polygon")), F.lit(f"{len(part):08X}")])
-            for r in part:
-                pieces.extend(ring(r))
-    return F.concat(*pieces)
+def _wkb(kind: str) -> Column:
+    hex_text = _filled(_wkb_template(kind), kind, lambda x, y: F.concat(_bits(x), _bits(y)))
+    return F.unhex(hex_text)
 
 
-def wkb(kind: Column) -> Column:
-    return F.unhex(reduce(lambda c, k: c.when(kind == k, _wkb_hex(k)), SHAPES, F.when(F.lit(False), "")))
+def wkb() -> Column:
+    return _by_kind(_wkb).cast("binary")
 
 
 # ---------------------------------------------------------------- decoding
@@ -140,15 +163,14 @@ def wkb(kind: Column) -> Column:
 
 @query(f"SELECT o_orderkey, {LON} AS x, {LAT} AS y FROM orders")
 def wkt_points(t: Tables) -> DataFrame:
-    text = F.expr(_wkt_text("Point"))
-    decoded = placed(t).select("o_orderkey", from_wkt(text).alias("geom"))
+    decoded = placed(t).select("o_orderkey", from_wkt(_wkt("Point")).alias("geom"))
     return decoded.select("o_orderkey", first_vertex(F.col("geom"))["x"].alias("x"),
                           first_vertex(F.col("geom"))["y"].alias("y"))
 
 
 @query(f"SELECT o_orderkey, {LON} AS x, {LAT} AS y FROM orders")
 def wkb_points(t: Tables) -> DataFrame:
-    decoded = placed(t).select("o_orderkey", from_wkb(F.unhex(_wkb_hex("Point"))).alias("geom"))
+    decoded = placed(t).select("o_orderkey", from_wkb(_wkb("Point")).alias("geom"))
     return decoded.select("o_orderkey", first_vertex(F.col("geom"))["x"].alias("x"),
                           first_vertex(F.col("geom"))["y"].alias("y"))
 
@@ -200,12 +222,12 @@ def _shape_facts(decoded: DataFrame) -> DataFrame:
 
 @query(_SHAPE_SQL)
 def wkt_shapes(t: Tables) -> DataFrame:
-    return _shape_facts(placed(t).select("o_orderkey", from_wkt(F.expr(WKT)).alias("geom")))
+    return _shape_facts(placed(t).select("o_orderkey", from_wkt(wkt()).alias("geom")))
 
 
 @query(_SHAPE_SQL)
 def wkb_shapes(t: Tables) -> DataFrame:
-    return _shape_facts(placed(t).select("o_orderkey", from_wkb(wkb(F.col("kind"))).alias("geom")))
+    return _shape_facts(placed(t).select("o_orderkey", from_wkb(wkb()).alias("geom")))
 
 
 def _nested(kind: str) -> Column:
@@ -234,32 +256,28 @@ def geoarrow_shapes(t: Tables) -> DataFrame:
     return _shape_facts(reduce(DataFrame.unionByName, frames))
 
 
-_ESRI_SPOT = "'[' || " + _text("x + {0}") + " || ',' || " + _text("y + {1}") + " || ']'"
-
-
-def _esri_text(kind: str) -> str:
-    spot = lambda p: _ESRI_SPOT.format(*p)
-    wrap = lambda items: "'[' || " + " || ',' || ".join(items) + " || ']'"
-    rings = lambda part: wrap([wrap(map(spot, r)) for r in part])
-    tail = "',\"spatialReference\":{\"wkid\":' || (o_orderkey % 5 + 4322) || '}}'"
+def _esri(kind: str) -> Column:
+    """A multi-polygon has no Esri form: its rows carry the polygon's rings."""
+    kind = "Polygon" if kind == "MultiPolygon" else kind
+    ring = lambda r: "[" + ",".join("@" for _ in r) + "]"
+    rings = "[" + ",".join(map(ring, CORNERS[kind][0])) + "]"
+    body = {
+        "Point": "@", "MultiPoint": '"points":' + ring(CORNERS[kind][0][0]),
+        "LineString": f'"paths":{rings}', "MultiLineString": f'"paths":{rings}',
+        "Polygon": f'"rings":{rings}',
+    }[kind]
     if kind == "Point":
-        body = f"'{{\"x\":' || {_text('x')} || ',\"y\":' || {_text('y')}"
-    elif kind == "MultiPoint":
-        body = "'{\"points\":' || " + wrap(map(spot, CORNERS[kind][0][0]))
-    elif kind in ("LineString", "MultiLineString"):
-        body = "'{\"paths\":' || " + rings(CORNERS[kind][0])
+        spot = lambda x, y: F.concat(F.lit('"x":'), _decimal(x), F.lit(',"y":'), _decimal(y))
     else:
-        body = "'{\"rings\":' || " + rings(CORNERS["Polygon"][0])
-    return f"{body} || {tail}"
-
-
-# A multi-polygon has no Esri form: its rows carry the polygon's rings.
-ESRI = "CASE kind " + " ".join(f"WHEN '{k}' THEN {_esri_text(k)}" for k in SHAPES) + " END"
+        spot = lambda x, y: F.concat(F.lit("["), _decimal(x), F.lit(","), _decimal(y), F.lit("]"))
+    code = (F.col("o_orderkey") % 5 + 4322).cast("string")
+    return F.concat(_filled("{" + body, kind, spot),
+                    F.lit(',"spatialReference":{"wkid":'), code, F.lit("}}"))
 
 
 def _esri_rows(t: Tables) -> DataFrame:
     """Every other row in the single-quoted form."""
-    text = F.expr(ESRI)
+    text = _by_kind(_esri)
     quoted = F.when(F.col("o_orderkey") % 2 == 0, F.translate(text, '"', "'")).otherwise(text)
     return placed(t).select("o_orderkey", quoted.alias("shape"))
 
@@ -304,7 +322,7 @@ SELECT o_orderkey, '{{"type":"LineString","coordinates":[[' || x || ',' || y ||
   || (y + 0.5) || '],[' || (x + 2.0) || ',' || y || ']]}}' AS geojson
 FROM {_PLACED}""")
 def geojson_lines(t: Tables) -> DataFrame:
-    rows = placed(t).select("o_orderkey", from_wkt(F.expr(_wkt_text("LineString"))).alias("geom"))
+    rows = placed(t).select("o_orderkey", from_wkt(_wkt("LineString")).alias("geom"))
     return rows.select("o_orderkey", to_geojson(F.col("geom")).alias("geojson"))
 
 
@@ -337,7 +355,7 @@ SELECT o_orderpriority, min(x) AS min_x, min(y) AS min_y, max(x + {_FAR}) AS max
   max(y + {_HIGH}) AS max_y
 FROM {_PLACED} GROUP BY o_orderpriority""")
 def extent_by_group(t: Tables) -> DataFrame:
-    rows = placed(t).select("o_orderpriority", from_wkt(F.expr(WKT)).alias("geom"))
+    rows = placed(t).select("o_orderpriority", from_wkt(wkt()).alias("geom"))
     return L.extent(rows, by="o_orderpriority")
 
 
@@ -345,7 +363,7 @@ def extent_by_group(t: Tables) -> DataFrame:
 SELECT min(x) AS min_x, min(y) AS min_y, max(x + {_FAR}) AS max_x, max(y + {_HIGH}) AS max_y
 FROM {_PLACED}""")
 def extent_of_all(t: Tables) -> DataFrame:
-    return L.extent(placed(t).select(from_wkb(wkb(F.col("kind"))).alias("geom")))
+    return L.extent(placed(t).select(from_wkb(wkb()).alias("geom")))
 
 
 # --------------------------------------------------------------------- CRS
@@ -455,7 +473,7 @@ _NUMBERED = f"""(SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderke
 
 def _mapped(t: Tables) -> DataFrame:
     """Orders with a text geometry; one row in eleven has an unreadable one."""
-    text = F.when(F.col("o_orderkey") % 11 == 0, F.lit("POINT (nowhere)")).otherwise(F.expr(WKT))
+    text = F.when(F.col("o_orderkey") % 11 == 0, F.lit("POINT (nowhere)")).otherwise(wkt())
     return placed(t).select("o_orderkey", "o_orderpriority", "o_totalprice", text.alias("geometry"))
 
 
@@ -480,7 +498,7 @@ def features_from_wkb_mercator(t: Tables) -> DataFrame:
     rows = placed(t).select(
         "o_orderkey", (F.lit(r) * F.radians("x")).alias("x"),
         (F.lit(r) * F.log(F.tan(F.lit(math.pi / 4) + F.radians("y") / 2))).alias("y"))
-    stored = rows.select("o_orderkey", F.unhex(_wkb_hex("Point")).alias("geometry"))
+    stored = rows.select("o_orderkey", _wkb("Point").alias("geometry"))
     geo = GeoInfo("geometry", "wkb").with_epsg(3857)
     feats = L.features(stored, geo, QuerySpec(sorts=(Sort("o_orderkey"),), limit=2000))
     spot = first_vertex(F.col("geom"))
