@@ -70,5 +70,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``limit`` rows; leave it to Spark if not."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Broadcast ``df`` if it has at most ``limit`` rows; leave it to Spark if not.
+
+    The rows fetched for the check are the rows sent, so ``df`` runs once.
+    """
+    head = df.limit(limit + 1).toArrow()
+    if head.num_rows > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))

@@ -49,6 +49,16 @@ ERROR_CLASSES = (
     ("zstd", (("zstd", "zstandard"),)),
 )
 
+# What to do about each class of error.
+ADVICE = {
+    "cors": "copy the file to storage the cluster reads and load it from there",
+    "forbidden": "the file is not readable with these credentials",
+    "not_found": "check the address: nothing is stored there",
+    "not_parquet": "the bytes are not a Parquet file: write it again",
+    "zstd": "rewrite it with another codec, for example recompress(spark, src, dst, 'snappy')",
+    "unsupported_type": "load() leaves these columns out; cast them when writing",
+}
+
 
 def as_list(paths: str | list[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
@@ -177,6 +187,11 @@ def classify_message(message: Column) -> Column:
     return chain.otherwise(F.lit("other"))
 
 
+def advice(error_class: Column) -> Column:
+    known = F.create_map(*[F.lit(v) for pair in ADVICE.items() for v in pair])
+    return F.element_at(known, error_class)
+
+
 def _audit_class(message: Column) -> Column:
     """Classes a storage reader adds to the message rules."""
     text = F.lower(message)
@@ -235,4 +250,4 @@ def audit_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 F.concat(F.lit("columns of type TIME: "), F.array_join("unsupported", ", ")),
             ),
         ).alias("message"),
-    )
+    ).withColumn("advice", advice(F.col("error_class")))

@@ -96,7 +96,7 @@ def test_audit(spark, files):
         "empty.parquet": ("error", "not_parquet"),
         "missing.parquet": ("error", "not_found"),
     }
-    assert all(r.message for r in rows if r.status != "ok")
+    assert all(r.message and r.advice for r in rows if r.status != "ok")
 
 
 def test_message_classes(spark):
@@ -199,3 +199,24 @@ def test_types_file(spark, tmp_path):
     assert cells["ts"] == "2020-01-02 03:04:05" and cells["day"] == "2020-01-02 00:00:00"
     assert cells["st"] == '{"x":1}' and cells["dec"] == "1.50" and cells["flag"] == "true"
     assert L.preview(df).columns == [c for c in df.columns if c != "bin"]
+
+
+def test_scratch_folder_is_shared():
+    from types import SimpleNamespace
+
+    from lakelens.session import scratch_dir
+
+    session = lambda conf: SimpleNamespace(conf=SimpleNamespace(
+        get=lambda key, default=None: conf.get(key, default)))
+    assert scratch_dir(session({"spark.checkpoint.dir": "s3a://b/c/"})) == "s3a://b/c"
+    assert scratch_dir(session({"spark.master": "local[2]"})) != ""
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(session({"spark.master": "yarn"}))
+
+
+def test_broadcast_is_bounded(spark):
+    from lakelens.session import bounded_broadcast
+
+    plan = lambda df: spark.range(10).join(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(bounded_broadcast(spark.range(10), 10))
+    assert "strategy=broadcast" not in plan(bounded_broadcast(spark.range(11), 10))
