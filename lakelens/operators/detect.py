@@ -126,29 +126,25 @@ def parse_geo_metadata(text: str) -> GeoInfo | None:
 
 
 def _from_footers(spark: SparkSession, paths: str | list[str]) -> GeoInfo | None:
-    """Different ``geo`` values of all files; bounding boxes are united in Spark.
+    """What the first file's ``geo`` value says, with the bbox of all its kind.
 
-    Files of one dataset differ in their bbox, so that is taken apart first and
-    only the few different remainders reach the driver.
+    Files of one dataset differ in bbox and other details; those that agree on
+    column and CRS have their boxes united in Spark.
     """
     entries = kv_metadata(spark, paths, "geo")
     column = F.coalesce(
         F.get_json_object("value", "$.primary_column"),
         F.get(F.json_object_keys(F.get_json_object("value", "$.columns")), F.lit(0)),
     )
-    box = F.from_json(
-        F.call_function(
-            "get_json_object",
-            F.col("value"),
-            F.concat(F.lit("$.columns['"), column, F.lit("'].bbox")),
-        ),
-        "array<double>",
-    )
+    about = F.concat(F.lit("$.columns['"), F.col("geo_column"), F.lit("']"))
+    detail = lambda key: F.call_function(
+        "get_json_object", F.col("value"), F.concat(about, F.lit(f".{key}")))
+    box = F.from_json(detail("bbox"), "array<double>")
     usable = F.when((F.size(box) == 4) & F.forall(box, lambda v: v.isNotNull() & ~F.isnan(v)), box)
-    rest = F.regexp_replace("value", r'"bbox"\s*:\s*\[[^\]]*\]', '"bbox":null')
+    files = entries.withColumn("geo_column", column).select(
+        "path", "value", "geo_column", detail("crs").alias("crs"), usable.alias("box"))
     rows = (
-        entries.select("path", "value", rest.alias("rest"), usable.alias("box"))
-        .groupBy("rest")
+        files.groupBy("geo_column", "crs")
         .agg(
             F.min_by("value", "path").alias("value"), F.min("path").alias("path"),
             F.bool_and(F.col("box").isNotNull()).alias("boxed"),
@@ -159,9 +155,7 @@ def _from_footers(spark: SparkSession, paths: str | list[str]) -> GeoInfo | None
         .limit(1)
         .collect()
     )
-    if not rows:
-        return None
-    info = parse_geo_metadata(rows[0]["value"])
+    info = parse_geo_metadata(rows[0]["value"]) if rows else None
     if info is None:
         return None
     box = tuple(rows[0][f"b{i}"] for i in range(4)) if rows[0]["boxed"] else None

@@ -73,7 +73,7 @@ def test_native_encodings(spark, tmp_path):
 def test_boxes_of_many_files_are_united(spark, tmp_path):
     for i in range(3):
         save(tmp_path / f"{i}.parquet", {"geometry": [wkb("Point", FAR)]},
-             meta(crs=crs(32612), bbox=[500000 + i, 4400000 - i, 500010 + i, 4400010]))
+             meta(crs=crs(32612), geometry_types=["Point"] * (i + 1), bbox=[500000 + i, 4400000 - i, 500010 + i, 4400010]))
     no_primary = meta(crs=crs(32612), bbox=[0, 0, 1, 1])
     del no_primary["primary_column"]
     lone = detect(spark, save(tmp_path.parent / f"{tmp_path.name}.parquet", {

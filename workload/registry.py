@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakelens import load
 
@@ -34,13 +35,22 @@ class Tables:
         return load(self.spark, self.path(name), view=None)
 
 
-def query(sql: str | None = None):
-    """Register a function of ``Tables``; its check SQL runs on the same tables."""
+def query(sql: str | None = None, as_double: tuple[str, ...] = ()):
+    """Register a function of ``Tables``; its check SQL runs on the same tables.
+
+    Integer columns with nulls are named in ``as_double``: data frames of the
+    two engines would hold them in different types otherwise.
+    """
 
     def register(fn: Callable[[Tables], DataFrame]):
-        QUERIES[fn.__name__] = lambda spark, folder: fn(Tables(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            out = fn(Tables(spark, folder))
+            return out.withColumns({c: F.col(c).cast("double") for c in as_double}) if as_double else out
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
-            ORACLES[fn.__name__] = sql
+            casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in as_double)
+            ORACLES[fn.__name__] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
         return fn
 
     return register

@@ -377,7 +377,7 @@ def row_by_id(t: Tables) -> DataFrame:
 @query("""
 SELECT row_number() OVER (ORDER BY nation ASC NULLS LAST, c_acctbal DESC NULLS LAST, c_custkey) - 1
   AS __row_id, c_custkey, nation, c_acctbal
-FROM (SELECT *, nullif(c_nationkey, 0) AS nation FROM customer)""")
+FROM (SELECT *, nullif(c_nationkey, 0) AS nation FROM customer)""", as_double=('nation',))
 def sort_nulls_last(t: Tables) -> DataFrame:
     rows = t.customer.select(
         "c_custkey", F.nullif("c_nationkey", F.lit(0)).alias("nation"), "c_acctbal")
@@ -465,13 +465,14 @@ def distinct_groups(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_orderpriority, CAST(sum(CAST(o_orderkey AS BIGINT) * 1000003) AS DECIMAL(38,0)) AS wide
+SELECT o_orderpriority, CAST(sum(CAST(o_orderkey AS BIGINT) * 1000003) AS VARCHAR) AS wide
 FROM orders GROUP BY o_orderpriority""")
 def widened_sum(t: Tables) -> DataFrame:
     data = t.orders.withColumn("product", F.col("o_orderkey") * F.lit(1000003))
     return L.run_spec(data, QuerySpec(
         mode="aggregate", group_by=("o_orderpriority",),
-        aggregates=(Agg("SUM", "product", "wide"),), widen_sums=True))
+        aggregates=(Agg("SUM", "product", "wide"),), widen_sums=True)
+    ).withColumn("wide", F.col("wide").cast("string"))
 
 
 @query("""
@@ -638,7 +639,7 @@ _EPSG_FORMS = {
     + r"""), n AS (SELECT o_orderkey, form,
     TRY_CAST(regexp_extract(regexp_replace(trim(text), '^(?i)EPSG:\s*', ''), '^[-+]?\d+') AS BIGINT) AS c
   FROM f)
-SELECT o_orderkey, form, CASE WHEN c > 0 AND c <= 999999 THEN CAST(c AS INTEGER) END AS epsg FROM n""")
+SELECT o_orderkey, form, CASE WHEN c > 0 AND c <= 999999 THEN CAST(c AS INTEGER) END AS epsg FROM n""", as_double=('epsg',))
 def parsed_epsg(t: Tables) -> DataFrame:
     forms = union(
         t.orders.select("o_orderkey", F.lit(n).alias("form"),

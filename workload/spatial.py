@@ -292,7 +292,7 @@ def esri_shapes(t: Tables) -> DataFrame:
 
 @query("""
 SELECT o_orderkey, o_orderkey % 3 < 2 AS esri,
-  CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderkey % 5 + 4322 AS INTEGER) END AS epsg FROM orders""")
+  CASE WHEN o_orderkey % 3 < 2 THEN CAST(o_orderkey % 5 + 4322 AS INTEGER) END AS epsg FROM orders""", as_double=('epsg',))
 def esri_sniffing(t: Tables) -> DataFrame:
     plain = F.when(F.col("o_orderkey") % 3 < 2, F.col("shape")).otherwise(
         F.lit('{"name":"not a shape"}'))
@@ -397,7 +397,7 @@ def _utm_forward(x: Column, y: Column, zone: Column) -> Column:
 @query(f"""
 SELECT o_orderkey, CASE WHEN kind LIKE 'Multi%' THEN 3857 WHEN y < 0 THEN 32700 + {_ZONE}
     ELSE 32600 + {_ZONE} END AS epsg,
-  round(x, 7) AS lon, round(y, 7) AS lat, CAST(NULL AS VARCHAR) AS geom_error
+  round(x, 7) AS lon, round(y, 7) AS lat, '' AS problem
 FROM {_PLACED}""")
 def reprojected_by_registry(t: Tables) -> DataFrame:
     zone = F.expr(_ZONE)
@@ -412,7 +412,7 @@ def reprojected_by_registry(t: Tables) -> DataFrame:
     spot = first_vertex(F.col("geom"))
     return L.reproject(rows).select(
         "o_orderkey", "epsg", F.round(spot["x"], 7).alias("lon"), F.round(spot["y"], 7).alias("lat"),
-        "geom_error")
+        F.coalesce("geom_error", F.lit("")).alias("problem"))
 
 
 @query(f"SELECT o_orderkey, round(x, 7) AS lon, round(y, 7) AS lat FROM {_PLACED}")

@@ -51,7 +51,7 @@ def left_join(t: Tables) -> DataFrame:
 
 @query("""
 SELECT p_partkey, p_brand, l_orderkey, l_linenumber FROM lineitem
-RIGHT JOIN (SELECT * FROM part WHERE p_size < 10) ON l_partkey = p_partkey AND l_quantity > 49""")
+RIGHT JOIN (SELECT * FROM part WHERE p_size < 10) ON l_partkey = p_partkey AND l_quantity > 49""", as_double=('l_orderkey', 'l_linenumber'))
 def right_join(t: Tables) -> DataFrame:
     # Spark can split a hot key on the left of an inner join, not of a right one:
     # matches and lonely parts are found separately.
@@ -68,7 +68,7 @@ def right_join(t: Tables) -> DataFrame:
 SELECT coalesce(c_nationkey, s_nationkey) AS nation, customers, suppliers FROM
   (SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_acctbal > 5000 GROUP BY 1)
   FULL JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier WHERE s_acctbal < 0 GROUP BY 1)
-  ON c_nationkey = s_nationkey""")
+  ON c_nationkey = s_nationkey""", as_double=('nation', 'customers', 'suppliers'))
 def full_join(t: Tables) -> DataFrame:
     customers = t.customer.filter("c_acctbal > 5000").groupBy("c_nationkey").agg(
         F.count(F.lit(1)).alias("customers"))
@@ -137,12 +137,12 @@ def _asof(t: Tables, **sizes) -> DataFrame:
     return asof(purchases, clicks, "user_id", "ts", take, **sizes).drop("user_id")
 
 
-@query(_ASOF)
+@query(_ASOF, as_double=('click_id',))
 def asof_join(t: Tables) -> DataFrame:
     return _asof(t)
 
 
-@query(_ASOF)
+@query(_ASOF, as_double=('click_id',))
 def asof_join_split(t: Tables) -> DataFrame:
     return _asof(t, **SPLIT)
 
@@ -277,15 +277,16 @@ def analytic_windows_split(t: Tables) -> DataFrame:
 
 
 _RUNNING = """
-SELECT event_id, user_id, sum(CAST(value AS DECIMAL(18,2))) OVER (
-  PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running FROM events"""
+SELECT event_id, user_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER (
+  PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running
+FROM events"""
 
 
 def _running(t: Tables, **sizes) -> DataFrame:
     ordered = Ordered(t.events.select("event_id", "user_id", "ts", "value"),
                       ("user_id",), ("ts", "event_id"), **sizes)
     out = running_sum(ordered, F.col("value").cast("decimal(18,2)"), "running")
-    return out.select("event_id", "user_id", F.col("running").cast("decimal(38,2)").alias("running"))
+    return out.select("event_id", "user_id", F.col("running").cast("double").alias("running"))
 
 
 @query(_RUNNING)
@@ -333,7 +334,7 @@ def rollup_groups(t: Tables) -> DataFrame:
 
 @query(f"""
 SELECT l_returnflag, l_linestatus, l_linenumber, {_SUMS} FROM lineitem
-GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)""")
+GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)""", as_double=('l_linenumber',))
 def cube_groups(t: Tables) -> DataFrame:
     return t.lineitem.cube("l_returnflag", "l_linestatus", "l_linenumber").agg(
         F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
@@ -341,7 +342,7 @@ def cube_groups(t: Tables) -> DataFrame:
 
 @query(f"""
 SELECT l_returnflag, l_linenumber, {_SUMS} FROM lineitem
-GROUP BY GROUPING SETS ((l_returnflag), (l_linenumber), ())""")
+GROUP BY GROUPING SETS ((l_returnflag), (l_linenumber), ())""", as_double=('l_linenumber',))
 def grouping_sets(t: Tables) -> DataFrame:
     return L.run_sql(
         t.spark,
@@ -435,7 +436,7 @@ def text_statistics(t: Tables) -> DataFrame:
 @query("""
 SELECT date_trunc('month', o_orderdate) AS month, CAST(extract(dow FROM o_orderdate) AS INTEGER) AS dow,
   count(*) AS n, min(datediff('day', TIMESTAMP '1995-01-01', o_orderdate)) AS first_day,
-  max(CAST(o_orderdate AS DATE) + 30) AS due, max(CAST(extract(year FROM o_orderdate) AS INTEGER)) AS year
+  CAST(max(CAST(o_orderdate AS DATE) + 30) AS VARCHAR) AS due, max(CAST(extract(year FROM o_orderdate) AS INTEGER)) AS year
 FROM orders GROUP BY 1, 2""".replace("min(datediff", "min(CAST(datediff").replace(
     "o_orderdate)) AS first_day", "o_orderdate) AS INTEGER)) AS first_day").replace(
     "date_trunc('month', o_orderdate)", "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)"))
@@ -447,7 +448,7 @@ def date_functions(t: Tables) -> DataFrame:
     return keyed.groupBy("month", "dow").agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.datediff(day, F.lit("1995-01-01").cast("date"))).alias("first_day"),
-        F.max(F.date_add(day.cast("date"), 30)).alias("due"), F.max(F.year(day)).alias("year"),
+        F.max(F.date_add(day.cast("date"), 30)).cast("string").alias("due"), F.max(F.year(day)).alias("year"),
     )
 
 
