@@ -20,6 +20,7 @@ from lakelens.operators.ordering import Sort, natural_sort
 from lakelens.operators.predicates import Filter, where
 from lakelens.operators.profile import profile
 from lakelens.operators.rows import (
+    numbered_page,
     page,
     page_count,
     row_lookup,

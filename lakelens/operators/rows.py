@@ -166,19 +166,27 @@ def limited_row_id(
 def page(
     df: DataFrame, page: int = 0, size: int = PAGE_SIZE, sort: Sort | None = None
 ) -> DataFrame:
-    """One page with 0-based ids; binary columns are left out."""
+    """One page with 0-based ids; binary columns are left out.
+
+    Pages beyond ``TOP_ROWS`` number the relation first. To turn many of those,
+    keep ``with_row_id(df, ...)`` and take them with ``numbered_page``.
+    """
     offset = max(0, page) * size
     kept = [f.name for f in df.schema.fields if f.dataType.typeName() != "binary"]
     shown = df.select([F.col(quoted(c)) for c in kept]) if kept else df
     if sort is None:
         if offset + size > TOP_ROWS:
-            ids = with_row_id(shown)
-            return ids.filter((F.col(ROW_ID) >= offset) & (F.col(ROW_ID) < offset + size))
-        if offset == 0:
-            shown = sample_prefix(shown, size)
+            return numbered_page(with_row_id(shown), page, size)
+        shown = sample_prefix(shown, offset + size)
     return limited_row_id(shown, [sort] if sort else [], size, offset)
 
 
+def numbered_page(numbered: DataFrame, page: int = 0, size: int = PAGE_SIZE) -> DataFrame:
+    """A page of a relation that has its ids already."""
+    first = max(0, page) * size
+    return numbered.filter((F.col(ROW_ID) >= first) & (F.col(ROW_ID) < first + size))
+
+
 def page_count_column(rows: Column, size: int = PAGE_SIZE) -> Column:
     return F.ceil(rows / F.lit(size)).cast("bigint")
 

@@ -4,7 +4,6 @@ import warnings
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from pyspark.sql import functions as F
 
 import lakelens as L
 from lakelens import GeoInfo, QuerySpec, Sort
@@ -214,4 +213,3 @@ def test_only_wkb_leaves_the_jvm(spark):
     assert "Python" not in text(GeoInfo("wkt", "wkt")) and "BatchEval" not in text(GeoInfo("wkt", "wkt"))
     assert "ArrowEvalPython" in text(GeoInfo("geometry", "wkb"))
     assert "BatchEvalPython" not in text(GeoInfo("geometry", "wkb"))
-    assert F is not None

@@ -3,7 +3,6 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import lakelens as L
@@ -112,6 +111,8 @@ def test_unsorted_pages(spark, folder, monkeypatch):
         monkeypatch.setattr(rows_module, "TOP_ROWS", top)
         got = [(r["__row_id"], r.n) for p in range(4) for r in L.page(df, p, 20).collect()]
         assert sorted(got) == [(i, i) for i in range(75)]
+    numbered = L.with_row_id(df)
+    assert sorted(r.n for r in L.numbered_page(numbered, 3, 20).collect()) == list(range(60, 75))
     assert L.page(df, -3, 20).agg(F.max("n")).first()[0] == 19
     assert L.page_count(df.limit(0)) == 0
 
@@ -168,4 +169,3 @@ def test_recent_distinct_limits_before_the_shuffle(spark):
     df = L.load(spark, f"{TESTDATA}/events.parquet")
     text = plan(L.recent_distinct(df, "user_id", "event_type", "ts", 2))
     assert "WindowGroupLimit" in text
-    assert Window is not None
