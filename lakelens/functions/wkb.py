@@ -23,6 +23,9 @@ NAMES = {
 COLLECTION = 7
 _MULTI = {4: 1, 5: 2, 6: 3}  # multi type: type of its items
 
+GATHER = 1 << 16  # coordinates fetched at once
+LONG_RUN = 32  # from this mean length on, runs are copied one by one
+
 # Columns of the run table.
 ROW, MEMBER, PART, RING, START, STRIDE, COUNT, BIG = range(8)
 
@@ -188,9 +191,19 @@ def _coordinates(data: np.ndarray, runs: np.ndarray) -> np.ndarray:
     total = int(counts.sum())
     if total == 0:
         return np.empty((0, 2))
-    within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(runs[:, START], counts) + np.repeat(runs[:, STRIDE], counts) * within
-    raw = data[at[:, None] + np.arange(16)].view("<f8").reshape(total, 2)
+    raw = np.empty((total, 2), dtype="<f8")
+    if total >= LONG_RUN * len(runs):
+        low = 0
+        for start, stride, count in runs[:, [START, STRIDE, COUNT]].tolist():
+            block = np.lib.stride_tricks.as_strided(data[start:], (count, 16), (stride, 1))
+            raw[low:low + count] = np.ascontiguousarray(block).view("<f8")
+            low += count
+    else:
+        within = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(runs[:, START], counts) + np.repeat(runs[:, STRIDE], counts) * within
+        for low in range(0, total, GATHER):  # the index is larger than what it fetches
+            part = at[low:low + GATHER]
+            raw[low:low + GATHER] = data[part[:, None] + np.arange(16)].view("<f8")
     big = np.repeat(runs[:, BIG], counts).astype(bool)
     if big.any():
         raw[big] = raw[big].byteswap()

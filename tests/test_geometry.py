@@ -129,6 +129,21 @@ def test_wkb_branches(spark):
     ]
 
 
+@pytest.mark.parametrize("kind", ["MultiPoint", "LineString", "Polygon", "MultiPolygon"])
+def test_long_runs(kind):
+    import pyarrow as pa
+
+    from lakelens.functions import wkb as batches
+
+    ring = [(float(i), i / 7) for i in range(500)]
+    parts = [[ring]] if kind != "MultiPolygon" else [[ring, ring], [ring]]
+    values = [wkb(kind, parts), wkb(kind, parts, ">"), None, wkb(kind, parts, flags=1000, extra=(3.0,)),
+              wkb(kind, parts)]
+    got = batches.decode_batch(pa.array(values, pa.binary())).to_pylist()
+    for value, row in zip(values, got):
+        assert row is None if value is None else plain(row["members"][0]) == (kind, parts)
+
+
 def test_wkt_branches(spark):
     one = [("Point", [[[(1.0, 2.0)]]])]
     cases = {
