@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakelens.llm import mixing, secrets
+from lakelens.llm import mixing, near, secrets
 from lakelens.llm.shared import table
 
 QUERIES: dict = {}
@@ -33,3 +33,8 @@ def op4_mixing(spark, folder):
 @query()
 def op10_secrets(spark, folder):
     return secrets.scan(table(spark, folder, "documents"))
+
+
+@query()
+def op1_near_dedup(spark, folder):
+    return near.near_classes(table(spark, folder, "documents"), shingle=4, similarity=0.8)
