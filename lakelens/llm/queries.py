@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakelens.llm import mixing, near, secrets
+from lakelens.llm import fingerprints, mixing, near, secrets
 from lakelens.llm.shared import table
 
 QUERIES: dict = {}
@@ -38,3 +38,8 @@ def op10_secrets(spark, folder):
 @query()
 def op1_near_dedup(spark, folder):
     return near.near_classes(table(spark, folder, "documents"), shingle=4, similarity=0.8)
+
+
+@query()
+def op3_fingerprints(spark, folder):
+    return fingerprints.fingerprints(table(spark, folder, "documents"))
