@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakelens.llm import fingerprints, mixing, near, secrets
+from lakelens.llm import bpe, fingerprints, mixing, near, secrets
 from lakelens.llm.shared import table
 
 QUERIES: dict = {}
@@ -43,3 +43,14 @@ def op1_near_dedup(spark, folder):
 @query()
 def op3_fingerprints(spark, folder):
     return fingerprints.fingerprints(table(spark, folder, "documents"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op9_bpe(spark, folder):
+    return bpe.digests(bpe.encode(table(spark, folder, "documents"), vocabulary()))
