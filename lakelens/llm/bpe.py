@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from lakelens.session import stage
 LEAF = 1 << 15
 
 #: Words whose codes a task keeps; the table is emptied when it is full.
-_KEPT = 200_000
+_KEPT = 400_000
 
 # White space as the library's patterns see it; Python's own split() also cuts at 1C-1F.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -69,9 +70,11 @@ class Encoder:
     """Codes of texts, with the words met so far."""
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
+        self.token = {i: t for t, i in self.tokenizer.get_vocab().items()}
         self.by_word = splits_at_spaces(spec)
         self.kept: dict[str, tuple[int, str, str]] = {}
 
@@ -82,7 +85,9 @@ class Encoder:
         if len(self.kept) + len(new) > _KEPT:
             self.kept.clear()
         for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.kept[word] = (len(code.ids), " ".join(map(str, code.ids)), self._decoded(code.ids))
+            ids = code.ids
+            # without a decoder step, decode() is the tokens' own texts
+            self.kept[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
 
     def encode(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids as text, decoded text)."""
@@ -107,8 +112,8 @@ class Encoder:
         code = self.tokenizer.encode(text, add_special_tokens=False)
         return [(i, a + start, b + start) for i, (a, b) in zip(code.ids, code.offsets)]
 
-    def join(self, text: str, left: list, right: list, cut: int, window: int = 64) -> list:
-        """Tokens of a text from those of its two parts, which meet at ``cut``.
+    def join(self, text: str, left: list, right: list, ends: tuple[int, int, int], window: int = 64) -> list:
+        """Tokens of a part of a text from those of its halves; ``ends``: begin, cut, end.
 
         The window begins where a token of the left part begins and ends where one of
         the right part ends, unless it has reached an end of the text. It agrees with
@@ -117,8 +122,7 @@ class Encoder:
         place on, neither part's edge can have had a say. A part whose agreement is
         its outer end agrees by itself.
         """
-        begin, end = (left[0][1] if left else cut), (right[-1][2] if right else cut)
-        lo_text, hi_text = min(begin, cut), max(end, cut)
+        lo_text, cut, hi_text = ends
         while True:
             lo = max(lo_text, cut - window)
             hi = min(hi_text, cut + window)
@@ -164,7 +168,7 @@ class Encoder:
         while len(parts) > 1:
             joined = []
             for a, b in zip(parts[::2], parts[1::2]):
-                joined.append((a[0], b[1], self.join(text, a[2], b[2], b[0])))
+                joined.append((a[0], b[1], self.join(text, a[2], b[2], (a[0], b[0], b[1]))))
             parts = joined + parts[len(joined) * 2:]
         return parts[0][2] if parts else []
 
