@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lakelens.llm import bpe, fingerprints, mixing, near, secrets
+from lakelens.llm import bpe, fingerprints, mixing, near, secrets, warc
 from lakelens.llm.shared import table
+from lakelens.session import scratch_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -54,3 +57,24 @@ def vocabulary() -> str:
 @query()
 def op9_bpe(spark, folder):
     return bpe.digests(bpe.encode(table(spark, folder, "documents"), vocabulary()))
+
+
+@query("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, html, h, max(page_id) OVER (PARTITION BY h) AS top,
+    array_to_string(list_transform(string_split(h, ''), lambda c: substr(
+        '0000000100100011010001010110011110001001101010111100110111101111',
+        CAST(4 * (strpos('0123456789abcdef', c) - 1) + 1 AS BIGINT), 4)), '') AS bits FROM p),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, top,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + 16 * CAST(substr(bits, CAST(5 * i + 1 AS BIGINT), 1) AS INTEGER)
+    + 8 * CAST(substr(bits, CAST(5 * i + 2 AS BIGINT), 1) AS INTEGER)
+    + 4 * CAST(substr(bits, CAST(5 * i + 3 AS BIGINT), 1) AS INTEGER)
+    + 2 * CAST(substr(bits, CAST(5 * i + 4 AS BIGINT), 1) AS INTEGER)
+    + CAST(substr(bits, CAST(5 * i + 5 AS BIGINT), 1) AS INTEGER) AS BIGINT), 1)), '') AS payload_digest FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+    CAST(CASE WHEN page_id = top THEN NULL ELSE top END AS BIGINT) AS refers_to FROM d
+""")
+def op5_warc(spark, folder):
+    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return warc.page_captures(table(spark, folder, "pages"), path)
