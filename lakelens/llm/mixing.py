@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakelens.llm.shared import text_or_empty
-from lakelens.session import stage
+from lakelens.session import bounded_broadcast, stage
 
 LEVELS = ("domain", "lang", "source")
 
@@ -136,6 +136,7 @@ def thresholds(rows: DataFrame, mix: Mix) -> DataFrame:
         F.when(F.col("_budget") < F.col("_tokens") * mix.epochs,
                F.col("_budget") % F.col("_tokens")).otherwise(F.lit(0)).alias("_rest"),
     )
+    plan = bounded_broadcast(plan)  # one row per leaf, if those are few
     placed = rows.join(plan, leaf).withColumn("_key", order_key(F.col("_full"), mix.seed))
     placed = placed.withColumn("_bucket", F.substring("_key", 1, _BUCKET_DIGITS))
     sums = placed.groupBy(*leaf, "_full", "_rest", "_bucket").agg(F.sum("_tokens").alias("_sum"))
@@ -175,7 +176,8 @@ def mix(docs: DataFrame, how: Mix = DEFAULT_MIX, domain: str = DOMAIN_SQL) -> Da
     names = docs.columns
     rows = stage(tree(docs, domain))  # narrow; read five times, so that texts are counted once
     leaf = [f"_{x}" for x in LEVELS]
-    cut = thresholds(rows, how)
+    # few leaves are sent to the texts; many are joined, with the hot ones split by Spark
+    cut = bounded_broadcast(thresholds(rows, how))
     keyed = docs.withColumns({
         "_domain": F.expr(domain),
         "_lang": F.coalesce("lang", F.lit("")),

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lakelens.llm import bpe, fingerprints, mixing, near, secrets, warc
+from lakelens.llm import bpe, fingerprints, mixing, near, secrets, topk, warc
 from lakelens.llm.shared import table
 from lakelens.session import scratch_dir
 
@@ -78,3 +78,16 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'res
 def op5_warc(spark, folder):
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     return warc.page_captures(table(spark, folder, "pages"), path)
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
+    (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+""")
+def op7_topk(spark, folder):
+    return topk.top_k(table(spark, folder, "embeddings"))
