@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lakelens.llm import bpe, fingerprints, mixing, near, secrets, topk, warc
+from lakelens.llm import bpe, fingerprints, langid, mixing, near, quality, secrets, topk, toxicity, warc
 from lakelens.llm.shared import table
 from lakelens.session import scratch_dir
 
@@ -91,3 +91,20 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
 """)
 def op7_topk(spark, folder):
     return topk.top_k(table(spark, folder, "embeddings"))
+
+
+@query()
+def op2_toxicity(spark, folder):
+    return toxicity.detect(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query()
+def op6_quality(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.rate(docs.select("doc_id", "text"), model).drop("text")
+
+
+@query()
+def op8_language(spark, folder):
+    return langid.identify(table(spark, folder, "documents"))
