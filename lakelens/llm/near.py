@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakelens.llm.shared import slices, text_or_empty
@@ -290,7 +290,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, row, leads.
 
     ``component_id`` is the smallest doc_id among all rows reachable by links of at
     least ``similarity`` (kept to hundredths), the row's own included; ``kept`` says
@@ -298,21 +298,23 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     one class however often they come. A null or wordless text is linked with
     nothing and its component is its own id. A null doc_id never is a component's
     smallest id; where a class has no other, ``component_id`` and ``kept`` are null.
-    An empty table gives no rows. Other columns are not read.
+    An empty table gives no rows. Other columns are not read. ``row`` is a hash of id
+    and text, and ``leads`` is true for one (id, text) of each class and for each text
+    without words.
     """
     share, least = round(similarity * 100), _margin(similarity)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    source = source.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    source = source.select("doc_id", row_key().alias("row"), "text")
     rows = stage(source.mapInArrow(
         _sketched(shingle), "doc_id bigint, row bigint, n bigint, set_key binary, regs binary"))
 
     # one vertex per distinct shingle set; its id is its place, fixed by writing
     classes = (
         rows.where("n > 0").groupBy("set_key")
-        .agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"),
-             F.first("regs").alias("regs"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("lead"),
+             F.first("n").alias("n"), F.first("regs").alias("regs"))
     )
-    classes = stage(classes.select(F.monotonically_increasing_id().alias("v"), "*"))
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("v"), "set_key", "lead", "n", "regs"))
     bands = classes.select("v", "n", "regs").mapInArrow(_banded, "bucket bigint, v bigint, n bigint")
     hubs = bands.groupBy("bucket").agg(
         F.min(F.struct("v", "n")).alias("hub"), F.max("v").alias("most")).where("hub.v < most")
@@ -329,7 +331,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-        wanted = ends.join(classes.select("v", "row"), "v")
+        wanted = ends.join(classes.select("v", F.col("lead.row").alias("row")), "v")
         sets = texts.join(wanted, "row").select("v", "text").mapInArrow(
             _sets(shingle), "v bigint, shingles binary")
         # a class's row may come several times; dealt by v, as both joins need it
@@ -367,11 +369,27 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         tried = stage(tried.union(more))
         links = stage(links.union(verified(more)))
     comp = components(links)
-    named = classes.select("v", "set_key", "doc_id").join(comp, "v", "left").withColumn(
-        "comp", F.coalesce("comp", "v"))
-    smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    ids = named.join(smallest, "comp").select("set_key", "component_id")
-    out = rows.select("doc_id", "n", "set_key").join(ids, "set_key", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      (F.col("doc_id") == component).alias("kept"))
+    named = classes.select("v", "set_key", "lead").join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    first = named.groupBy("comp").agg(F.min("lead").alias("first"))
+    ids = named.join(first, "comp").select("set_key", "first")
+    out = rows.select("doc_id", "row", "n", "set_key").join(ids, "set_key", "left")
+    alone = F.col("n") == 0
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        (F.col("doc_id") == component).alias("kept"), "row",
+        (alone | (F.col("row") == F.col("first.row"))).alias("leads"))
+
+
+def row_key() -> Column:
+    """A hash of a row's id and text, as ``near_classes`` has it."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), text_or_empty())
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each near-duplicate class of ``docs``, that with the smallest id, as it
+    came. Texts without words are no copies of each other; rows repeated with the
+    same id and text are one."""
+    leads = near_classes(docs, shingle, similarity).where("leads").select(F.col("row").alias("_row")).distinct()
+    keyed = docs.withColumn("_row", row_key())
+    return keyed.join(leads, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lakelens.llm import bpe, fingerprints, langid, mixing, near, quality, secrets, topk, toxicity, warc
 from lakelens.llm.shared import table
 from lakelens.session import scratch_dir
 
-QUERIES: dict = {}
+QUERIES: dict = {"pipeline": corpus_pipeline.run}
 ORACLES: dict = {}
 
 
@@ -40,7 +41,8 @@ def op10_secrets(spark, folder):
 
 @query()
 def op1_near_dedup(spark, folder):
-    return near.near_classes(table(spark, folder, "documents"), shingle=4, similarity=0.8)
+    classes = near.near_classes(table(spark, folder, "documents"), shingle=4, similarity=0.8)
+    return classes.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query()
@@ -48,15 +50,9 @@ def op3_fingerprints(spark, folder):
     return fingerprints.fingerprints(table(spark, folder, "documents"))
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query()
 def op9_bpe(spark, folder):
-    return bpe.digests(bpe.encode(table(spark, folder, "documents"), vocabulary()))
+    return bpe.digests(bpe.encode(table(spark, folder, "documents"), corpus_pipeline.vocabulary()))
 
 
 @query("""
