@@ -122,12 +122,36 @@ def utm(zone: int, south: bool = False, rf: float = 298.257223563) -> CrsDef:
     )
 
 
+#: Arguments of a definition that are used, or that change no coordinate.
+_KNOWN_ARGS = frozenset("""proj datum ellps a b rf units to_meter zone south lon_0 lat_0 lat_1 lat_2 lat_ts
+    x_0 y_0 k k_0 towgs84 nadgrids axis pm no_defs type wktext over title""".split()) | {""}
+
+#: Prime meridians by name, degrees east of Greenwich: fixed values.
+_MERIDIANS = {"greenwich": 0.0, "paris": 2.337229167, "lisbon": -9.131906111, "bogota": -74.080916667,
+              "madrid": -3.687938889, "rome": 12.452333333, "bern": 7.439583333, "jakarta": 106.807719444,
+              "ferro": -17.666666667, "brussels": 4.367975, "stockholm": 18.058277778, "athens": 23.7163375,
+              "oslo": 10.722916667}
+
+
+def _meridian(text: str) -> float:
+    if text.lower() in _MERIDIANS:
+        return _MERIDIANS[text.lower()]
+    try:
+        return float(text)
+    except ValueError:
+        raise ValueError(f"unsupported: prime meridian {text}") from None
+
+
 def parse_definition(text: str) -> CrsDef:
     """A ``+proj=...`` definition text; anything not supported raises."""
     args = {}
     for token in text.split():
         key, _, value = token.lstrip("+").partition("=")
         args[key] = value
+    if unknown := set(args) - _KNOWN_ARGS:
+        raise ValueError(f"unsupported: {', '.join(sorted(unknown))}")
+    if args.get("axis", "enu") != "enu":
+        raise ValueError(f"unsupported: axis {args['axis']}")
     proj = args.get("proj", "")
     number = lambda key, default=0.0: float(args.get(key) or default)
     if any(float(v) for v in args.get("towgs84", "").split(",") if v):
@@ -145,6 +169,9 @@ def parse_definition(text: str) -> CrsDef:
     if not unit:
         raise ValueError(f"unsupported: units {args.get('units')}")
     common = dict(a=a, rf=rf, unit=unit)
+    pm = _meridian(args.get("pm", "0"))
+    if pm and proj in ("longlat", "latlong", "utm"):
+        raise ValueError(f"unsupported: {proj} from another prime meridian")
     if proj in ("longlat", "latlong"):
         return CrsDef("longlat")
     if proj == "utm":
@@ -153,7 +180,7 @@ def parse_definition(text: str) -> CrsDef:
                       unit=unit)
     lat1 = number("lat_1", number("lat_0"))
     place = dict(
-        lon0=number("lon_0"), lat0=number("lat_0"), fe=number("x_0"), fn=number("y_0"),
+        lon0=number("lon_0") + pm, lat0=number("lat_0"), fe=number("x_0"), fn=number("y_0"),
         k0=number("k_0", number("k", 1.0)),
     )
     if proj == "merc":
@@ -378,12 +405,22 @@ def suggest_crs(
 
     The registry is laid on a grid: each cell holds its candidates in order, a
     point finds its cell by an equi-join and filters that list exactly. No point
-    is shuffled and no point-by-registry product is formed.
+    is shuffled and no point-by-registry product is formed. An area of use that
+    crosses the 180th meridian (``min_lon > max_lon``) is laid out as two.
     """
-    area = (F.col("max_lon") - F.col("min_lon")) * (F.col("max_lat") - F.col("min_lat"))
+    crosses = F.col("min_lon") > F.col("max_lon")
+    width = F.when(crosses, F.lit(360.0)).otherwise(F.lit(0.0)) + F.col("max_lon") - F.col("min_lon")
+    boxes = F.when(crosses, F.array(
+        F.struct(F.col("min_lon").alias("lo"), F.lit(180.0).alias("hi")),
+        F.struct(F.lit(-180.0).alias("lo"), F.col("max_lon").alias("hi")),
+    )).otherwise(F.array(F.struct(F.col("min_lon").alias("lo"), F.col("max_lon").alias("hi"))))
+    registry = (
+        registry.withColumn("area", width * (F.col("max_lat") - F.col("min_lat")))
+        .select("*", F.explode(boxes).alias("box"))
+        .withColumns({"min_lon": F.col("box.lo"), "max_lon": F.col("box.hi")}).drop("box")
+    )
     cells = (
-        registry.withColumn("area", area)
-        .withColumn("cx", F.explode(F.sequence(_cell(F.col("min_lon"), CELL_LON),
+        registry.withColumn("cx", F.explode(F.sequence(_cell(F.col("min_lon"), CELL_LON),
                                                _cell(F.col("max_lon"), CELL_LON))))
         .withColumn("cy", F.explode(F.sequence(_cell(F.col("min_lat"), CELL_LAT),
                                                _cell(F.col("max_lat"), CELL_LAT))))

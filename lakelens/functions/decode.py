@@ -163,6 +163,9 @@ def decode_wkt(col: Column) -> Column:
     compact = F.regexp_replace(text, r"\s*([(),])\s*|\s(?=\s)", "$1")
     compact = F.when(compact.rlike(r"[\t\r\n]"), F.translate(compact, "\t\r\n", "   ")).otherwise(
         compact)
+    # Empty members of a list add nothing to it.
+    compact = F.when(compact.rlike("(?i)[(,]EMPTY"), F.regexp_replace(
+        F.regexp_replace(compact, r"(?i),EMPTY(?=[,)])", ""), r"(?i)(?<=\()EMPTY,", "")).otherwise(compact)
     return F.when(col.isNotNull(), let(compact, _wkt_value))
 
 
@@ -170,11 +173,12 @@ def decode_wkt(col: Column) -> Column:
 
 
 def _checked(geom: Column) -> Column:
-    """The geometry, or null if a coordinate is."""
+    """The geometry, or null if a coordinate is null or NaN."""
     return let(
         geom,
         lambda g: F.when(
-            F.forall(vertices(g), lambda v: v["x"].isNotNull() & v["y"].isNotNull()), g),
+            F.forall(vertices(g), lambda v: v["x"].isNotNull() & v["y"].isNotNull()
+                     & ~F.isnan(v["x"]) & ~F.isnan(v["y"])), g),
     )
 
 
@@ -198,7 +202,11 @@ def decode_geoarrow(col: Column, dtype: T.DataType, kind: str | None = None) ->
         for _ in range(3 - depth):
             parts = F.array(parts)
     xy = map_vertices(parts, lambda v: vertex(v["x"], v["y"]))
-    return F.when(col.isNotNull(), _alone(_checked(make_geom(kind, xy)), "null coordinate"))
+    shape = _checked(make_geom(kind, xy))
+    if kind == "Point":  # an empty point is written as NaN
+        hollow = F.isnan(col["x"]) & F.isnan(col["y"])
+        shape = F.when(hollow, make_geom(kind, F.array().cast(PARTS_TYPE))).otherwise(shape)
+    return F.when(col.isNotNull(), _alone(shape, "null or NaN coordinate"))
 
 
 # --------------------------------------------------------------- Esri JSON

@@ -75,8 +75,8 @@ def fmt_bytes(size: Column) -> Column:
 
 
 def fmt_number(number: Column) -> Column:
-    """Thousands-grouped text with at most three decimals."""
-    return F.coalesce(F.call_function("format_number", number, F.lit("#,##0.###")), F.lit(MISSING))
+    """Thousands-grouped text with at most three decimals; ties round away from 0."""
+    return F.coalesce(F.call_function("format_number", F.round(number, 3), F.lit("#,##0.###")), F.lit(MISSING))
 
 
 def plain_number(number: Column) -> Column:

@@ -125,8 +125,9 @@ def to_geojson(geom: Column) -> Column:
 
 def bounds_columns(geom: Column) -> dict[str, Column]:
     """Aggregates giving the bounds of every vertex of a geometry column."""
-    xs = F.transform(vertices(geom), lambda v: v["x"])
-    ys = F.transform(vertices(geom), lambda v: v["y"])
+    # NaN is greater than all numbers, and no coordinate
+    number = lambda a: F.filter(F.transform(vertices(geom), lambda v: v[a]), lambda c: ~F.isnan(c))
+    xs, ys = number("x"), number("y")
     return {
         "min_x": F.min(F.array_min(xs)),
         "min_y": F.min(F.array_min(ys)),

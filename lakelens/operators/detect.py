@@ -34,7 +34,7 @@ NATIVE_ENCODINGS = {
     "multipolygon": "MultiPolygon",
 }
 
-RANGE_ROWS = 5
+RANGE_ROWS = None  # rows whose first vertices are looked at; None: all
 
 
 @dataclass(frozen=True)
@@ -251,7 +251,9 @@ def resolve_encoding(df: DataFrame, info: GeoInfo) -> GeoInfo:
 
 
 def in_degree_range(spot: Column) -> Column:
-    return (F.abs(spot["x"]) <= 180) & (F.abs(spot["y"]) <= 90)
+    """Null for a vertex that is no number: an empty point says nothing."""
+    finite = ~F.isnan(spot["x"]) & ~F.isnan(spot["y"])
+    return F.when(finite, (F.abs(spot["x"]) <= 180) & (F.abs(spot["y"]) <= 90))
 
 
 def looks_geographic(
@@ -274,9 +276,15 @@ def looks_geographic(
 
 
 def detect_geometry(
-    df: DataFrame, paths: str | list[str] | None = None, check_range: bool = True
+    df: DataFrame,
+    paths: str | list[str] | None = None,
+    check_range: bool = True,
+    range_rows: int | None = RANGE_ROWS,
 ) -> GeoInfo | None:
-    """Footer metadata first, then column types and names."""
+    """Footer metadata first, then column types and names.
+
+    Whether coordinates are degrees is asked of all rows, or of ``range_rows``.
+    """
     info = _from_footers(df.sparkSession, paths) if paths else None
     if info is not None and info.column not in df.columns:
         info = None
@@ -285,7 +293,7 @@ def detect_geometry(
         return None
     info = resolve_encoding(df, info)
     if check_range and info.is_wgs84 and info.encoding != "esri" and _decodable(df, info):
-        if not looks_geographic(df, info).first()[0]:
+        if not looks_geographic(df, info, range_rows).first()[0]:
             info = replace(info, is_wgs84=False)
     return info
 

@@ -59,7 +59,7 @@ def features(
         df = df.filter(F.lit(False))
     if spec is not None:
         numbered = run_spec_numbered(
-            df, QuerySpec(**{**spec.__dict__, "keep": (geo.column,)})
+            df, QuerySpec(**{**spec.__dict__, "keep": (*spec.keep, geo.column)})
         )
     else:
         numbered = df if ROW_ID in df.columns else with_row_id(df)

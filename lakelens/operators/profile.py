@@ -10,10 +10,9 @@ from pyspark.sql import types as T
 
 from lakelens.functions.format import GEOMETRY_NAMES, fmt_number
 from lakelens.operators.rows import sample_prefix
+from lakelens.session import stage
 from lakelens.sources.schema import field_of, is_numeric, is_opaque, quoted
 
-SAMPLE_ROWS = 10_000
-
 
 def holds_geometry(field: T.StructField) -> bool:
     """Binary, native geometry, or a name geometry columns go by."""
@@ -101,15 +100,17 @@ def _column_profile(df: DataFrame, name: str) -> DataFrame:
 def profile(
     df: DataFrame,
     cols: list[str] | None = None,
-    sample_rows: int | None = SAMPLE_ROWS,
+    sample_rows: int | None = None,
     approx: bool = False,
 ) -> DataFrame:
     """Nulls, distincts, minimum and maximum of each column, one row per column.
 
-    By default of the first rows in file order; ``sample_rows=None`` reads all.
+    Of all rows, or of the first ``sample_rows`` in file order, which are then
+    written once for all columns to read.
     """
     if sample_rows is not None:
         df = sample_prefix(df, sample_rows)
+        df = df if approx else stage(df)
     names = cols or df.columns
     if approx:
         return _approximate(df, names)

@@ -7,16 +7,15 @@ small row each) are summed up in order.
 
 from __future__ import annotations
 
-import logging
 import math
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakelens.operators.ordering import ROW_ID, Sort, sort_keys
 from lakelens.session import bounded_broadcast, stage
-from lakelens.sources.schema import is_opaque, quoted
+from lakelens.sources.schema import is_native_geometry, is_opaque, quoted
 
 PAGE_SIZE = 1000
 BLOCK_ROWS = 1 << 20  # rows numbered together in one task
@@ -29,16 +28,12 @@ _FILE, _POS, _BLOCK, _CHUNK = "__file", "__pos", "__block", "__chunk"
 
 def file_position(df: DataFrame) -> tuple[Column, Column] | None:
     """(file, row in file) if the rows of ``df`` still are rows of files."""
-    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    log = logging.getLogger("DataFrameQueryContextLogger")
-    was, log.disabled = log.disabled, True  # a miss is an answer here, not an error
-    try:
-        df.select(path, row)
-    except AnalysisException:
-        return None
-    finally:
-        log.disabled = was
-    return path, row
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    for i in range(hidden.size()):
+        column = hidden.apply(i)
+        if column.name() == "_metadata" and "row_index:" in column.dataType().simpleString():
+            return F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    return None
 
 
 def with_position(df: DataFrame) -> DataFrame:
@@ -62,6 +57,22 @@ def _offsets(counts: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def _ties(df: DataFrame) -> list[Column]:
+    """What ends a sort key: nothing for rows of files, whose position does, else
+    every column that can be compared, so that pages agree with each other."""
+    if file_position(df):
+        return []
+    return [F.col(quoted(f.name)).asc_nulls_last() for f in df.schema.fields if _comparable(f.dataType)]
+
+
+def _comparable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _comparable(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return all(_comparable(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.AtomicType) and not isinstance(dtype, T.VariantType) and not is_native_geometry(dtype)
+
+
 def _columns(df: DataFrame) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns]
 
@@ -139,7 +150,7 @@ def with_row_id(
 ) -> DataFrame:
     """Add ``__row_id`` = 0, 1, 2, ... in sort order, else in file order."""
     if order_by:
-        return _sorted_ids(df, sort_keys(df, order_by), block_rows)
+        return _sorted_ids(df, [*sort_keys(df, order_by), *_ties(df)], block_rows)
     if file_position(df):
         return _file_order_ids(df, block_rows)
     return written_ids(df)
@@ -158,6 +169,8 @@ def limited_row_id(
     if not keys or file_position(df):
         df = with_position(df)
         keys = [*keys, F.col(_FILE).asc(), F.col(_POS).asc()]
+    else:
+        keys = [*keys, *_ties(df)]
     top = df.orderBy(*keys).offset(offset).limit(limit)
     number = F.row_number().over(Window.orderBy(*keys)) - 1 + offset
     return top.select(number.cast("bigint").alias(ROW_ID), *columns)
@@ -210,12 +223,14 @@ def sample_prefix(df: DataFrame, n: int) -> DataFrame:
 
     Only as many leading files are read as hold ``n`` rows of ``df``: the file
     list doubles until they do. A prefix too long for a top-k is cut by row ids.
+    What no longer is rows of files is written first, and its order is that of the
+    written files: at every length the same.
     """
     position = file_position(df)
     if n > TOP_ROWS:
         return with_row_id(df).filter(F.col(ROW_ID) < n).drop(ROW_ID)
     if position is None:
-        return df.limit(n)
+        return sample_prefix(stage(df), n)
     path, row = position
     # The file list writes file:///a where the metadata column has file:/a.
     files = sorted(f.replace("file:///", "file:/", 1) for f in df.inputFiles())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ class QuerySpec:
     group_by: tuple[str, ...] = ()
     aggregates: tuple[Agg, ...] = ()
     sorts: tuple[Sort, ...] = ()
-    limit: int | None = DEFAULT_LIMIT
+    limit: int | None = None
     widen_sums: bool = False
     keep: tuple[str, ...] = field(default=(), compare=False)  # shown although opaque
 
@@ -51,8 +51,20 @@ def _shaped(df: DataFrame, spec: QuerySpec) -> DataFrame:
     return kept.select([F.col(quoted(c)) for c in names])
 
 
+def _in_order(spec: QuerySpec) -> QuerySpec:
+    """Groups have no file order: cut without a sort, they are sorted by their keys."""
+    if spec.mode == "aggregate" and spec.limit is not None and not spec.sorts and spec.group_by:
+        return replace(spec, sorts=tuple(Sort(c) for c in spec.group_by))
+    return spec
+
+
 def run_spec(df: DataFrame, spec: QuerySpec) -> DataFrame:
-    """The query as one lazy plan. Aggregates may be sorted by their alias."""
+    """The query's rows. Aggregates may be sorted by their alias.
+
+    A limit without a sort takes the first rows in file order at every length, as
+    ``run_spec_numbered`` does; aggregates are then in order of their groups.
+    """
+    spec = _in_order(spec)
     out = _shaped(df, spec)
     keys = sort_keys(out, spec.sorts)
     if spec.limit is None:
@@ -64,12 +76,13 @@ def run_spec(df: DataFrame, spec: QuerySpec) -> DataFrame:
     elif keys:
         out = out.orderBy(*keys).limit(spec.limit)
     else:
-        out = out.limit(spec.limit)
+        out = sample_prefix(out, spec.limit)
     return select_visible(out, list(spec.columns)) if spec.mode == "select" else out
 
 
 def run_spec_numbered(df: DataFrame, spec: QuerySpec) -> DataFrame:
     """``run_spec`` with ``__row_id`` counting in result order."""
+    spec = _in_order(spec)
     out = _shaped(df, spec)
     if spec.limit is not None and spec.sorts:
         numbered = limited_row_id(out, spec.sorts, spec.limit)

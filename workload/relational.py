@@ -542,7 +542,7 @@ def profile_prefix(t: Tables) -> DataFrame:
     data = t.orders.select(
         "o_orderkey", "o_totalprice", "o_orderdate",
         F.nullif("o_orderstatus", F.lit("F")).alias("status"))
-    return L.profile(data)
+    return L.profile(data, sample_rows=10_000)
 
 
 @query()

@@ -492,7 +492,7 @@ def features_from_query(t: Tables) -> DataFrame:
 @query(f"""
 SELECT __row_id, round(x, 6) AS lon, round(y, 6) AS lat, o_orderkey FROM (
   SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS __row_id, o_orderkey,
-    {LON} AS x, {LAT} AS y FROM orders) ORDER BY __row_id LIMIT 2000""")
+    {LON} AS x, {LAT} AS y FROM orders)""")
 def features_from_wkb_mercator(t: Tables) -> DataFrame:
     r = 6378137.0
     rows = placed(t).select(
@@ -500,7 +500,7 @@ def features_from_wkb_mercator(t: Tables) -> DataFrame:
         (F.lit(r) * F.log(F.tan(F.lit(math.pi / 4) + F.radians("y") / 2))).alias("y"))
     stored = rows.select("o_orderkey", _wkb("Point").alias("geometry"))
     geo = GeoInfo("geometry", "wkb").with_epsg(3857)
-    feats = L.features(stored, geo, QuerySpec(sorts=(Sort("o_orderkey"),), limit=2000))
+    feats = L.features(stored, geo, QuerySpec(sorts=(Sort("o_orderkey"),)))
     spot = first_vertex(F.col("geom"))
     return feats.select("__row_id", F.round(spot["x"], 6).alias("lon"),
                         F.round(spot["y"], 6).alias("lat"), F.col("properties.o_orderkey"))
