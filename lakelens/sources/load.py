@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lakelens.operators.rows import file_position, number_scan, with_row_id
 from lakelens.session import configure
@@ -14,8 +16,8 @@ from lakelens.sources.schema import dedupe_names, quoted
 
 VIEW = "data"
 
-# Set once a file with nanosecond timestamps is met; they are then read as longs.
-_NANOS = "spark.sql.legacy.parquet.nanosAsLong"
+# A bucket's own https address, as ``normalized_url`` writes it.
+_BUCKET_URL = re.compile(r"(?i)^https?://([^/]+)\.s3(?:[.-][a-z0-9-]+)?\.amazonaws\.com/(.*)$")
 
 
 def hadoop_uri(uri: str) -> str:
@@ -23,6 +25,8 @@ def hadoop_uri(uri: str) -> str:
     uri = uri.strip()
     if uri.startswith("s3://"):
         return "s3a://" + uri[len("s3://"):]
+    if bucket := _BUCKET_URL.match(uri):
+        return f"s3a://{bucket[1]}/{bucket[2]}"
     if uri.lower().startswith(("http://", "https://")):
         raise ValueError(
             "Spark has no seekable HTTP file system: copy the file to shared storage first"
@@ -62,14 +66,18 @@ def load(
     view: str | None = VIEW,
     columns: list[str] | None = None,
     row_id: bool = False,
+    mixed_units: bool = False,
 ) -> DataFrame:
     """Read Parquet and register it, replacing what ``view`` named before.
 
     ``row_id`` adds dense ids in file order, which at this point need no shuffle.
 
-    Files Spark's reader refuses get a second way in: nanosecond timestamps are
-    read as microseconds, columns of type TIME are left out, and repeated
-    column names are read by position.
+    Files Spark's reader refuses, by the first file's footer, are read through Arrow,
+    a task per row group: nanosecond timestamps become microseconds (earlier ones
+    within a microsecond, by floor), times of day become microseconds since
+    midnight, and repeated column names are told apart by position. No setting of
+    the session is touched. ``mixed_units`` looks at every footer, for folders in
+    which only later files hold such columns.
     """
     configure(spark)
     paths = [hadoop_uri(p) for p in as_list(path)]
@@ -77,17 +85,12 @@ def load(
         spark.catalog.refreshByPath(p)
     try:
         df = spark.read.parquet(*paths)
-        if spark.conf.get(_NANOS, "false") == "true":
-            df = _micros(spark, df, paths)
-    except Exception:  # a refused schema shows as several kinds of error
-        arrow = _first_arrow_schema(spark, paths)
-        if len({n.lower() for n in arrow.names}) < len(arrow.names):
+        if mixed_units and _any_foreign(spark, paths):
             df = load_by_position(spark, paths)
-        elif any(pa.types.is_time(f.type) or _is_nanos(f.type) for f in arrow):
-            spark.conf.set(_NANOS, "true")
-            df = _micros(spark, spark.read.schema(_readable_schema(arrow)).parquet(*paths), paths)
-        else:
+    except Exception:  # a refused schema shows as several kinds of error
+        if not _foreign(_first_arrow_schema(spark, paths)):
             raise
+        df = load_by_position(spark, paths)
     if columns:
         df = df.select([F.col(quoted(c)) for c in columns])
     if row_id:
@@ -97,15 +100,14 @@ def load(
     return df
 
 
+def _data_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return list_files(spark, paths).filter(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]"))
+
+
 def _first_arrow_schema(spark: SparkSession, paths: list[str]) -> pa.Schema:
     import pyarrow.parquet as pq
 
-    first = (
-        list_files(spark, paths)
-        .filter(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]"))
-        .agg(F.min("path"))
-        .first()[0]
-    )
+    first = _data_files(spark, paths).agg(F.min("path")).first()[0]
     fs, name = _open(first)
     with fs.open_input_file(name) as handle:
         return pq.read_schema(handle)
@@ -115,51 +117,49 @@ def _is_nanos(dtype: pa.DataType) -> bool:
     return pa.types.is_timestamp(dtype) and dtype.unit == "ns"
 
 
-def _readable_schema(arrow: pa.Schema) -> T.StructType:
-    from pyspark.sql.pandas.types import from_arrow_type
-
-    fields = []
-    for field in arrow:
-        if pa.types.is_time(field.type):
-            continue
-        if _is_nanos(field.type):
-            dtype: T.DataType = T.LongType()
-        else:
-            dtype = from_arrow_type(field.type, prefer_timestamp_ntz=True)
-        fields.append(T.StructField(field.name, dtype, field.nullable))
-    return T.StructType(fields)
-
-
-def _micros(spark: SparkSession, df: DataFrame, paths: list[str]) -> DataFrame:
-    """Turn nanosecond longs back into timestamps (only files with longs look)."""
-    if not any(isinstance(f.dataType, T.LongType) for f in df.schema.fields):
-        return df
-    nanos = {
-        f.name: f.type.tz is not None
-        for f in _first_arrow_schema(spark, paths)
-        if _is_nanos(f.type)
-    }
-    if not nanos:
-        return df
-    out = []
-    for name in df.columns:
-        c = F.col(quoted(name))
-        if name in nanos:
-            c = F.timestamp_micros(F.floor(c / F.lit(1000)).cast("long"))
-            c = c if nanos[name] else c.cast("timestamp_ntz")
-        out.append(c.alias(name))
-    return df.select(out)
+def _foreign(schema: pa.Schema) -> bool:
+    """Whether Spark's own reader would refuse a file of this schema."""
+    repeated = len({n.lower() for n in schema.names}) < len(schema.names)
+    return repeated or any(pa.types.is_time(f.type) or _is_nanos(f.type) for f in schema)
+
+
+def _any_foreign(spark: SparkSession, paths: list[str]) -> bool:
+    import pyarrow.parquet as pq
+
+    def look(batches):
+        for batch in batches:
+            for file in batch.column("path").to_pylist():
+                fs, name = _open(file)
+                with fs.open_input_file(name) as handle:
+                    if _foreign(pq.read_schema(handle)):
+                        yield pa.RecordBatch.from_pydict({"path": [file]})
+
+    return not _data_files(spark, paths).mapInArrow(look, "path string").isEmpty()
+
+
+def _plain_type(dtype: pa.DataType) -> pa.DataType:
+    if pa.types.is_time(dtype):
+        return pa.int64()
+    return pa.timestamp("us", dtype.tz) if _is_nanos(dtype) else dtype
+
+
+def _plain(column: pa.ChunkedArray, dtype: pa.DataType) -> pa.ChunkedArray:
+    if pa.types.is_time(column.type):
+        column = column.cast(pa.time64("us"), safe=False).cast(pa.int64())
+    elif _is_nanos(column.type):
+        column = pa.compute.floor_temporal(column, unit="microsecond").cast(pa.timestamp("us", column.type.tz))
+    return column.cast(dtype)
 
 
 def load_by_position(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Read files whose footers repeat a column name; one task per row group."""
+    """Read files Spark's reader refuses, columns by position; one task per row group."""
     import pyarrow.parquet as pq
     from pyspark.sql.pandas.types import from_arrow_schema
 
     paths = [hadoop_uri(p) for p in as_list(path)]
     arrow = _first_arrow_schema(spark, paths)
     names = dedupe_names(arrow.names)
-    target = pa.schema([f.with_name(n) for f, n in zip(arrow, names)])
+    target = pa.schema([pa.field(n, _plain_type(f.type), f.nullable) for f, n in zip(arrow, names)])
     schema = from_arrow_schema(target, prefer_timestamp_ntz=True)
 
     def count_groups(batches):
@@ -178,7 +178,8 @@ def load_by_position(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 fs, name = _open(file)
                 with fs.open_input_file(name) as handle:
                     table = pq.ParquetFile(handle).read_row_group(group)
-                yield from table.rename_columns(names).cast(target).to_batches()
+                columns = [_plain(c, f.type) for c, f in zip(table.columns, target)]
+                yield from pa.Table.from_arrays(columns, schema=target).to_batches()
 
-    groups = list_files(spark, paths).mapInArrow(count_groups, "path string, `group` bigint")
+    groups = _data_files(spark, paths).mapInArrow(count_groups, "path string, `group` bigint")
     return groups.repartition("path", "group").mapInArrow(read_groups, schema)

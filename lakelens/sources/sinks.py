@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakelens.functions.geometry import to_geojson
-from lakelens.sources.load import hadoop_uri
+from lakelens.sources.load import hadoop_uri, load
 
 
 def recompress(spark: SparkSession, src: str, dst: str, codec: str = "snappy") -> None:
-    """Rewrite Parquet with another codec; rows and columns stay as they are."""
-    df = spark.read.parquet(hadoop_uri(src))
+    """Rewrite Parquet with another codec; rows and columns stay as ``load`` reads them."""
+    df = load(spark, src, view=None)
     df.write.option("compression", codec).parquet(hadoop_uri(dst))
 
 

@@ -139,16 +139,40 @@ def test_names_differing_by_case(spark, tmp_path):
 
 
 def test_time_and_nanosecond_columns(spark, tmp_path, files):
-    assert L.load(spark, str(files / "time.parquet")).columns == ["a"]
+    assert set(L.load(spark, str(files / "time.parquet")).columns) > {"a"}
+    before = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
     moment = dt.datetime(2024, 5, 6, 7, 8, 9, 123456)
-    table = pa.table({"n": [7], "t": pa.array([moment], pa.timestamp("ns"))})
+    table = pa.table({"n": [7], "t": pa.array([moment], pa.timestamp("ns")),
+                      "clock": pa.array([dt.time(1, 2, 3, 4)], pa.time64("us")),
+                      "short": pa.array([dt.time(0, 0, 1)], pa.time32("ms"))})
     path = write(tmp_path / "ns.parquet", table)
-    try:
-        assert tuple(L.load(spark, path).first()) == (7, moment)
-        assert tuple(L.load(spark, path).first()) == (7, moment)
-        assert L.load(spark, f"{TESTDATA}/events.parquet").schema["event_id"].dataType.typeName() == "long"
-    finally:
-        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "false")
+    for _ in range(2):
+        assert tuple(L.load(spark, path).first()) == (7, moment, 3723000004, 1000000)
+    assert L.load(spark, f"{TESTDATA}/events.parquet").schema["event_id"].dataType.typeName() == "long"
+    after = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    assert {k: v for k, v in after.items() if "arquet" in k} == {k: v for k, v in before.items() if "arquet" in k}
+    out = str(tmp_path / "again")
+    L.recompress(spark, path, out, "gzip")
+    assert spark.read.parquet(out).schema["t"].dataType.typeName().startswith("timestamp")
+    assert spark.read.parquet(out).first().t == moment
+
+
+def test_a_folder_of_mixed_units(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    early = dt.datetime(1960, 1, 2, 3, 4, 5, 6)
+    write(folder / "a.parquet", pa.table({"t": pa.array([early], pa.timestamp("us"))}))
+    write(folder / "b.parquet", pa.table({"t": pa.array([early], pa.timestamp("ns"))}))
+    assert [r.t for r in L.load(spark, str(folder), mixed_units=True).collect()] == [early, early]
+
+
+def test_bucket_addresses_load_as_s3a():
+    from lakelens.sources.load import hadoop_uri
+
+    assert hadoop_uri("https://b.s3.amazonaws.com/k/x.parquet") == "s3a://b/k/x.parquet"
+    assert hadoop_uri("https://my.b.s3.eu-west-1.amazonaws.com/k") == "s3a://my.b/k"
+    with pytest.raises(ValueError):
+        hadoop_uri("https://example.com/x.parquet")
 
 
 def test_schema_drift(spark, tmp_path):
