@@ -34,7 +34,7 @@ def op4_mixing(spark, folder):
         F.coalesce("source", F.lit("")).alias("source"), mixing.token_count().alias("n_tokens"), "epoch")
 
 
-@query()
+@query(secrets.scan_sql())
 def op10_secrets(spark, folder):
     return secrets.scan(table(spark, folder, "documents"))
 

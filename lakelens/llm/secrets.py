@@ -310,3 +310,27 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
     return out.select(*names)
+
+
+def scan_sql(rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> str:
+    """``scan`` in DuckDB SQL, every rule over every text."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    found = "\nUNION ALL\n".join(
+        f"SELECT row, {rank} AS rank, {quoted(r.kind)} AS kind, {r.least} AS least, "
+        f"regexp_extract_all(text, {quoted(r.pattern)}, 0) AS hits, "
+        f"regexp_extract_all(text, {quoted(r.pattern)}, {r.group}) AS parts, "
+        f"string_split_regex(text, {quoted(r.pattern)}) AS gaps FROM d"
+        for rank, r in enumerate(rules))
+    counts = ", ".join(f"count(kind) FILTER (rank = {i}) AS n_{rules[i].kind}" for i in range(base))
+    listed = "string_agg(kind || ':' || begins || ':' || (begins + size), ',' ORDER BY begins, rank)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({found}),
+each AS (SELECT row, rank, kind, least, hits, parts, gaps, unnest(range(1, len(hits) + 1)) AS i FROM found),
+spans AS (SELECT row, rank, kind, length(hits[i]) AS size,
+    list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+    + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS begins
+    FROM each WHERE length(parts[i]) >= least)
+SELECT any_value(doc_id) AS doc_id, {counts},
+    sha256(coalesce({listed} FILTER (rank < {base}), '')) AS base_sha256, coalesce({listed}, '') AS spans
+FROM d LEFT JOIN spans USING (row) GROUP BY row"""
