@@ -8,14 +8,15 @@ often as their sets are alike, so
 
 1. texts of equal shingle sets become one class, which goes on alone;
 2. classes that agree in all registers of some band share a bucket; each member is
-   compared with its bucket's first member (a star, never all pairs);
+   compared with its bucket's smallest set (a star, never all pairs);
 3. a pair's likeness is estimated from the counts of larger, equal and smaller
    registers jointly with both set sizes, by the sign of the derivative of their
    likelihood at a similarity four standard errors below the wanted one;
 4. pairs that pass are verified on their full shingle sets;
-5. a bucket whose members are in several components after that is searched again:
-   its members are compared block by block in numpy, sketches only, and what may
-   still link two components is verified too.
+5. a bucket with members in several components after that is searched in blocks: full
+   sets meet in numpy, and of the links found only those come out that still join
+   two components. Shingles that one member alone has cannot be shared, so many
+   texts around one passage cost as much as the passage.
 
 Nothing is capped: a long bucket is dealt out as pairs of blocks.
 """
@@ -39,8 +40,9 @@ from lakelens.session import stage
 REGISTERS, BAND, BASE, RATE = 256, 6, 1.001, 20.0
 BANDS = REGISTERS // BAND
 
-#: Members of a bucket that are compared in one piece.
-BLOCK = 512
+#: Members of a block of a bucket, and shingles of all its sets, both about;
+#: members and columns of one matrix product.
+BLOCK, BLOCK_SHINGLES, TILE, COLUMNS = 2048, 2_000_000, 512, 4096
 
 
 def sketches(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
@@ -88,10 +90,7 @@ def may_be_alike(a: np.ndarray, b: np.ndarray, na, nb, least: float) -> np.ndarr
     both are equal is concave in the similarity, so its maximum is at ``least`` or
     above it exactly if it does not fall there.
     """
-    return _rising((a > b).sum(-1), (b > a).sum(-1), a.shape[-1], na, nb, least)
-
-
-def _rising(above, below, registers, na, nb, least):
+    above, below, registers = (a > b).sum(-1), (b > a).sum(-1), a.shape[-1]
     total = na + nb
     u, v = na / total, nb / total
     possible = np.minimum(na, nb) >= least * np.maximum(na, nb)
@@ -163,78 +162,109 @@ def _estimated(least: float):
     return run
 
 
-def _searched(least: float, spanning: bool):
-    """Pairs of members of one (bucket, i, j) in different components that may be alike.
+class _Forest:
+    """Which components the links found so far lead together."""
+
+    def __init__(self, names):
+        self.root = {c: c for c in names}
+
+    def find(self, c):
+        root = self.root
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    def join(self, a, b) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.root[a] = b
+        return a != b
 
-    Rows come sorted by (bucket, i, j). With ``spanning``, a pair is left out if
-    better pairs of the same piece already lead from one to the other.
+
+def linking(sets: list[np.ndarray], v: np.ndarray, comp: np.ndarray, side: np.ndarray, share: int):
+    """Links between different components that together lead as far as all of them.
+
+    With two sides only pairs across them are looked at; what one side alone can
+    link is another piece's. Members come in order of component, so that tiles
+    within one component are passed over.
     """
-    def pairs(n, comp, regs, left, right):
-        above = np.empty((len(left), len(right)), np.int32)
-        below = np.empty_like(above)
-        for row, i in enumerate(left):
-            above[row] = (regs[i] > regs[right]).sum(1)
-            below[row] = (regs[i] < regs[right]).sum(1)
-        ok = _rising(above, below, REGISTERS, n[left][:, None].astype(float), n[right][None, :].astype(float), least)
-        ok &= comp[left][:, None] != comp[right][None, :]
-        x, y = np.nonzero(ok)
-        order = np.argsort((above + below)[x, y], kind="stable")
-        return left[x[order]], right[y[order]]
-
-    def one(table: pa.Table):
-        v, n, comp = (table.column(c).to_numpy() for c in ("v", "n", "comp"))
-        regs = _registers(table.column("regs").combine_chunks())
-        side = table.column("side").to_numpy()
-        if len(set(comp.tolist())) < 2:
+    order = np.lexsort((v, comp, side))
+    sets, v, comp, side = [sets[i] for i in order], v[order], comp[order], side[order]
+    sizes = np.array([len(s) for s in sets])
+    _, code, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = seen > 1
+    number = np.cumsum(shared) - 1
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    keep = shared[code]
+    owner, code = owner[keep], number[code[keep]]
+    starts = np.searchsorted(owner, np.arange(len(sets) + 1))
+    forest = _Forest(set(comp.tolist()))
+    out_a, out_b = [], []
+    two = side[0] != side[-1]
+    columns = int(number[-1]) + 1 if len(number) else 0
+
+    def dense(lo, hi, left, right):
+        part = slice(starts[lo], starts[hi])
+        inside = (code[part] >= left) & (code[part] < right)
+        out = np.zeros((hi - lo, right - left), np.float32)
+        out[owner[part][inside] - lo, code[part][inside] - left] = 1
+        return out
+
+    tiles = [(i, min(i + TILE, len(sets))) for i in range(0, len(sets), TILE)]
+    for x, (a, b) in enumerate(tiles):
+        for c, d in tiles[x:]:
+            if comp[a] == comp[d - 1] and comp[a:d].min() == comp[a:d].max():
+                continue
+            if two and side[a] == side[d - 1]:
+                continue
+            both = np.zeros((b - a, d - c), np.float32)
+            for left in range(0, columns, COLUMNS):
+                right = min(columns, left + COLUMNS)
+                both += dense(a, b, left, right) @ dense(c, d, left, right).T
+            union = sizes[a:b, None] + sizes[None, c:d] - both
+            hit = (100 * both >= share * union) & (comp[a:b, None] != comp[None, c:d])
+            if two:
+                hit &= side[a:b, None] != side[None, c:d]
+            for i, j in zip(*np.nonzero(hit)):
+                if forest.join(comp[a + i], comp[c + j]):
+                    out_a.append(v[a + i])
+                    out_b.append(v[c + j])
+    return out_a, out_b
+
+
+def _searched(share: int):
+    """The links of one (bucket, i, j) after the other; rows come sorted so."""
+    def one(piece: pa.Table):
+        v, comp, side = (piece.column(c).to_numpy() for c in ("v", "comp", "side"))
+        if comp.min() == comp.max():
             return [], []
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        every = np.arange(len(v))
-        left, right = (every, every) if i == j else (np.flatnonzero(side == i), np.flatnonzero(side == j))
-        a, b = pairs(n, comp, regs, left, right)
-        keep = v[a] < v[b] if i == j else v[a] != v[b]
-        a, b = a[keep], b[keep]
-        if spanning:
-            root = {c: c for c in comp.tolist()}
-
-            def find(c):
-                while root[c] != c:
-                    root[c] = root[root[c]]
-                    c = root[c]
-                return c
-
-            chosen = []
-            for k, (p, q) in enumerate(zip(comp[a].tolist(), comp[b].tolist())):
-                p, q = find(p), find(q)
-                if p != q:
-                    root[p] = q
-                    chosen.append(k)
-            a, b = a[chosen], b[chosen]
-        return np.minimum(v[a], v[b]), np.maximum(v[a], v[b])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in piece.column("shingles")]
+        return linking(sets, v, comp, side, share)
 
     def run(batches):
-        held = None
+        held = []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            keys = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
-            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            start = 0
+            keys = [batch.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist(), batch.num_rows]
             out = [], []
-            for cut in cuts.tolist():
-                for have, new in zip(out, one(table.slice(start, cut - start))):
-                    have.append(new)
-                start = cut
-            held = table.slice(start)
+            for start, end in zip(cuts, cuts[1:]):
+                part = batch.slice(start, end - start)
+                if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in ("bucket", "i", "j")):
+                    for have, new in zip(out, one(pa.Table.from_batches(held))):
+                        have.append(new)
+                    held = []
+                if part.num_rows:
+                    held.append(part)
             yield _pairs(out)
-        if held is not None and held.num_rows:
-            a, b = one(held)
+        if held:
+            a, b = one(pa.Table.from_batches(held))
             yield _pairs(([a], [b]))
 
     return run
 
 
 def _pairs(parts) -> pa.RecordBatch:
-    a, b = (np.concatenate([np.empty(0, np.int64), *p]).astype(np.int64) for p in parts)
+    a, b = (np.concatenate([np.empty(0, np.int64), *[np.asarray(x, np.int64) for x in p]]) for p in parts)
     return pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
 
@@ -317,7 +347,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     classes = stage(classes.select(F.monotonically_increasing_id().alias("v"), "set_key", "lead", "n", "regs"))
     bands = classes.select("v", "n", "regs").mapInArrow(_banded, "bucket bigint, v bigint, n bigint")
     hubs = bands.groupBy("bucket").agg(
-        F.min(F.struct("v", "n")).alias("hub"), F.max("v").alias("most")).where("hub.v < most")
+        F.min(F.struct("n", "v")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
     member = stage(bands.join(hubs.select("bucket", "hub"), "bucket"))  # buckets of two and more
 
     texts = source.select("row", "text")
@@ -329,45 +359,43 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(
             _estimated(least), "a bigint, b bigint")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-        wanted = ends.join(classes.select("v", F.col("lead.row").alias("row")), "v")
+    def full_sets(ends: DataFrame) -> DataFrame:
+        """(v, shingles) of the classes ``ends`` (v)."""
+        wanted = ends.distinct().join(classes.select("v", F.col("lead.row").alias("row")), "v")
         sets = texts.join(wanted, "row").select("v", "text").mapInArrow(
             _sets(shingle), "v bigint, shingles binary")
-        # a class's row may come several times; dealt by v, as both joins need it
-        sets = sets.dropDuplicates(["v"])
+        # a class's row may come several times; dealt by v, as the joins need it
+        return sets.dropDuplicates(["v"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = full_sets(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))))
         a = sets.select(F.col("v").alias("a"), F.col("shingles").alias("set_a"))
         b = sets.select(F.col("v").alias("b"), F.col("shingles").alias("set_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(
             _verified(share), "a bigint, b bigint")
 
-    stars = member.where("v <> hub.v AND least(n, hub.n) * 100 >= greatest(n, hub.n) * " + str(share)).select(
+    others = member.where("v <> hub.v")
+    stars = others.where("least(n, hub.n) * 100 >= greatest(n, hub.n) * " + str(share)).select(
         F.col("hub.v").alias("a"), F.col("v").alias("b")).distinct()
-    tried = stage(estimated(stars))
-    links = stage(verified(tried))
-    for spanning in (True, False):
-        comp = components(links)
-        labelled = member.select("bucket", "v").join(comp, "v", "left").withColumn(
-            "comp", F.coalesce("comp", "v"))
-        open_ = labelled.groupBy("bucket").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")
-        ).where("lo < hi").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-        part = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
-        # a member meets every block once: as the left or as the right one of a pair of blocks
-        meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        pieces = (
-            labelled.join(open_, "bucket").withColumn("side", part).select("*", meets.alias("other"))
-            .select("bucket", "v", "comp", "side", F.least("side", "other").alias("i"),
-                    F.greatest("side", "other").alias("j"))
-            .join(regs, "v")
-            .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        )
-        more = pieces.mapInArrow(_searched(least, spanning), "a bigint, b bigint").distinct()
-        more = stage(more.join(tried, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            break
-        tried = stage(tried.union(more))
-        links = stage(links.union(verified(more)))
+    links = stage(verified(stage(estimated(stars))))
+    # a bucket's hub has met all others; what is left are pairs of others
+    labelled = others.select("bucket", "v", "n").join(components(links), "v", "left").withColumn(
+        "comp", F.coalesce("comp", "v"))
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    open_ = labelled.groupBy("bucket").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(size).cast("int").alias("blocks")
+    ).where("lo < hi").select("bucket", "blocks")
+    # a member meets every block once: as the left or as the right one of a pair of blocks
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    search = stage(
+        labelled.join(open_, "bucket")
+        .withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select("*", meets.alias("other"))
+        .select("bucket", "v", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")))
+    pieces = search.join(full_sets(search.select("v")), "v").select(
+        "bucket", "i", "j", "v", "comp", "side", "shingles")
+    more = pieces.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(
+        _searched(share), "a bigint, b bigint").distinct()
+    links = stage(links.union(more))
     comp = components(links)
     named = classes.select("v", "set_key", "lead").join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     first = named.groupBy("comp").agg(F.min("lead").alias("first"))
