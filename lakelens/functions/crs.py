@@ -2,7 +2,8 @@
 
 Reprojection is Column arithmetic over nested arrays. Transverse Mercator uses
 the Krueger series to fourth order in the third flattening; every conformal
-projection ends in the same series from conformal to geodetic latitude.
+projection ends in the same series from conformal to geodetic latitude. Equal-area
+projections (Albers, Lambert azimuthal) do so from authalic latitude.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ ELLIPSOIDS = {
 # Metres per unit. Fixed values.
 UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048, "us-ft": 1200.0 / 3937.0}
 
-KINDS = ("longlat", "webmerc", "merc", "tmerc", "lcc")
+KINDS = ("longlat", "webmerc", "merc", "tmerc", "lcc", "stere", "aea", "laea", "eqc")
 
 PARAMS_TYPE = (
     "struct<kind: string, fe: double, fn: double, unit: double, lon0: double, scale: double,"
     " xi0: double, b1: double, b2: double, b3: double,"
     " d1: double, d2: double, d3: double, d4: double,"
-    " cone: double, rho0: double>"
+    " cone: double, rho0: double, sin0: double, cos0: double, stretch: double, q0: double>"
 )
 REGISTRY_SCHEMA = (
     f"epsg int, name string, params {PARAMS_TYPE}, units string,"
@@ -54,6 +55,7 @@ class CrsDef:
     lat0: float = 0.0
     lat1: float = 0.0
     lat2: float = 0.0
+    lat_ts: float | None = None
     k0: float = 1.0
     fe: float = 0.0
     fn: float = 0.0
@@ -75,7 +77,7 @@ class CrsDef:
             "d2": 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45,
             "d3": 56 * n**3 / 15 - 136 * n**4 / 35,
             "d4": 4279 * n**4 / 630,
-            "cone": 1.0, "rho0": 0.0,
+            "cone": 1.0, "rho0": 0.0, "sin0": 0.0, "cos0": 1.0, "stretch": 1.0, "q0": 0.0,
         }
         if self.kind == "tmerc":
             radius = self.a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
@@ -92,8 +94,63 @@ class CrsDef:
                 cone = math.log(m(p1) / m(p2)) / math.log(t(p1) / t(p2))
             af = self.a * self.k0 * m(p1) / (cone * t(p1) ** cone)
             out.update(cone=cone, scale=af, rho0=af * t(p0) ** cone)
+        if self.kind in ("aea", "laea"):
+            out.update(zip(("d1", "d2", "d3", "d4"), _authalic_series(n)))
+            out.update(self._equal_area(math.sqrt(f * (2 - f))))
+        if self.kind == "stere":
+            out.update(self._stereographic(math.sqrt(f * (2 - f))))
+        if self.kind == "eqc":
+            out.update(d1=0.0, d2=0.0, d3=0.0, d4=0.0, xi0=math.radians(self.lat0),
+                       cos0=math.cos(math.radians(self.lat_ts or 0.0)), scale=self.a)
         return {k: v if k == "kind" else float(v) for k, v in out.items()}
 
+    def _equal_area(self, e: float) -> dict[str, float]:
+        p1, p2, p0 = (math.radians(v) for v in (self.lat1, self.lat2, self.lat0))
+        m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
+        pole, q0 = _authalic(math.pi / 2, e), _authalic(p0, e)
+        if self.kind == "laea":
+            beta = math.asin(max(-1.0, min(1.0, q0 / pole)))
+            radius = self.a * math.sqrt(pole / 2)
+            polar = abs(abs(self.lat0) - 90) < 1e-9
+            stretch = 1.0 if polar else self.a * m(p0) / (radius * math.cos(beta))
+            return {"scale": radius, "sin0": math.sin(beta), "cos0": 0.0 if polar else math.cos(beta), "stretch": stretch}
+        cone = math.sin(p1) if abs(p1 - p2) < 1e-12 else (
+            (m(p1) ** 2 - m(p2) ** 2) / (_authalic(p2, e) - _authalic(p1, e)))
+        c = m(p1) ** 2 + cone * _authalic(p1, e)
+        return {"scale": self.a, "cone": cone, "rho0": self.a * math.sqrt(c - cone * q0) / cone, "q0": c, "stretch": pole}
+
+    def _stereographic(self, e: float) -> dict[str, float]:
+        """``scale`` is the distance from the centre at which the half angle's tangent is 1."""
+        p0 = math.radians(self.lat0)
+        m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
+        t = lambda p: math.exp(-_isometric(p, e))
+        if abs(abs(self.lat0) - 90) < 1e-9:
+            side = math.copysign(1.0, self.lat0)
+            if self.lat_ts is not None and abs(abs(self.lat_ts) - 90) > 1e-9:
+                true = math.radians(abs(self.lat_ts))
+                scale = self.a * m(true) / t(true)
+            else:
+                scale = 2 * self.a * self.k0 / math.sqrt((1 + e) ** (1 + e) * (1 - e) ** (1 - e))
+            return {"scale": scale, "sin0": side, "cos0": 0.0}
+        chi = math.asin(math.tanh(_isometric(p0, e)))
+        return {"scale": 2 * self.a * self.k0 * m(p0) / math.cos(chi), "sin0": math.sin(chi), "cos0": math.cos(chi)}
+
+
+def _authalic(phi: float, e: float) -> float:
+    """The equal-area function q of a latitude."""
+    s = math.sin(phi)
+    return 2 * s if e == 0 else (1 - e * e) * (s / (1 - (e * s) ** 2) + math.atanh(e * s) / e)
+
+
+def _authalic_series(n: float) -> tuple[float, float, float, float]:
+    """From authalic to geodetic latitude, to fourth order."""
+    return (
+        4 * n / 3 + 4 * n**2 / 45 - 16 * n**3 / 35 - 2582 * n**4 / 14175,
+        46 * n**2 / 45 + 152 * n**3 / 945 - 11966 * n**4 / 14175,
+        3044 * n**3 / 2835 + 3802 * n**4 / 14175,
+        6059 * n**4 / 4725,
+    )
+
 
 def _isometric(phi: float, e: float) -> float:
     s = math.sin(phi)
@@ -189,8 +246,10 @@ def parse_definition(text: str) -> CrsDef:
             ts = math.radians(number("lat_ts"))
             place["k0"] = math.cos(ts) / math.sqrt(1 - e2 * math.sin(ts) ** 2)
         return CrsDef("webmerc" if rf == 0 else "merc", **common, **place)
-    if proj == "tmerc":
-        return CrsDef("tmerc", **common, **place)
+    if proj in ("tmerc", "aea", "laea", "stere", "eqc"):
+        place |= dict(lat1=lat1, lat2=number("lat_2", lat1)) if proj == "aea" else {}
+        place |= dict(lat_ts=number("lat_ts")) if "lat_ts" in args else {}
+        return CrsDef(proj, **common, **place)
     if proj == "lcc":
         return CrsDef("lcc", **common, **place, lat1=lat1, lat2=number("lat_2", lat1))
     raise ValueError(f"unsupported: projection {proj!r}")
@@ -306,8 +365,58 @@ def _conformal_lcc(parts: Column, p: Column) -> Column:
     )
 
 
+def _centred(parts: Column, p: Column, half_angle) -> Column:
+    """Azimuthal metres to auxiliary radians around the centre (sin0, cos0).
+
+    ``half_angle`` of the distance is half the angle at the sphere's centre.
+    """
+    ring = map_vertices(parts, lambda v: F.struct(
+        ((v["x"] * p["unit"] - p["fe"]) / p["stretch"]).alias("x"),
+        ((v["y"] * p["unit"] - p["fn"]) * p["stretch"]).alias("y"),
+    ))
+    polar = map_vertices(ring, lambda v: F.struct(
+        v["x"].alias("x"), v["y"].alias("y"), F.hypot(v["x"], v["y"]).alias("r"),
+        (F.lit(2.0) * half_angle(F.hypot(v["x"], v["y"]) / p["scale"])).alias("c"),
+    ))
+    return map_vertices(polar, lambda v: F.struct(
+        F.when(v["r"] == 0, p["lon0"]).otherwise(p["lon0"] + F.atan2(
+            v["x"] * F.sin(v["c"]),
+            v["r"] * p["cos0"] * F.cos(v["c"]) - v["y"] * p["sin0"] * F.sin(v["c"]))).alias("x"),
+        F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos(v["c"]) * p["sin0"] + F.when(
+            v["r"] == 0, 0.0).otherwise(v["y"] * F.sin(v["c"]) * p["cos0"] / v["r"])))).alias("y"),
+    ))
+
+
+def _conformal_stere(parts: Column, p: Column) -> Column:
+    return _centred(parts, p, F.atan)
+
+
+def _authalic_laea(parts: Column, p: Column) -> Column:
+    return _centred(parts, p, lambda r: F.asin(F.least(F.lit(1.0), r / F.lit(2.0))))
+
+
+def _authalic_aea(parts: Column, p: Column) -> Column:
+    side = F.signum(p["cone"])
+    polar = map_vertices(parts, lambda v: F.struct(
+        (side * (v["x"] * p["unit"] - p["fe"])).alias("x"),
+        (side * (p["rho0"] - (v["y"] * p["unit"] - p["fn"]))).alias("y"),
+    ))
+    q = lambda v: (p["q0"] - F.pow(F.hypot(v["x"], v["y"]) * p["cone"] / p["scale"], F.lit(2.0))) / p["cone"]
+    return map_vertices(polar, lambda v: F.struct(
+        (p["lon0"] + F.atan2(v["x"], v["y"]) / p["cone"]).alias("x"),
+        F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q(v) / p["stretch"]))).alias("y"),
+    ))
+
+
+def _plate_carree(parts: Column, p: Column) -> Column:
+    return map_vertices(parts, lambda v: F.struct(
+        (p["lon0"] + (v["x"] * p["unit"] - p["fe"]) / (p["scale"] * p["cos0"])).alias("x"),
+        (p["xi0"] + (v["y"] * p["unit"] - p["fn"]) / p["scale"]).alias("y"),
+    ))
+
+
 def _geodetic(parts: Column, p: Column) -> Column:
-    """Conformal radians to longitude and latitude in degrees."""
+    """Auxiliary (conformal or authalic) radians to longitude and latitude in degrees."""
 
     def unbend(v: Column) -> Column:
         lat = v["y"]
@@ -320,11 +429,15 @@ def _geodetic(parts: Column, p: Column) -> Column:
     return map_vertices(parts, unbend)
 
 
-_CONFORMAL = {
+_TO_AUXILIARY = {
     "webmerc": _conformal_merc,
     "merc": _conformal_merc,
     "tmerc": _conformal_tmerc,
     "lcc": _conformal_lcc,
+    "stere": _conformal_stere,
+    "laea": _authalic_laea,
+    "aea": _authalic_aea,
+    "eqc": _plate_carree,
 }
 
 
@@ -332,9 +445,9 @@ def to_wgs84(geom: Column, params: Column, kinds: tuple[str, ...] = KINDS) -> Co
     """Every vertex to WGS 84; null where a result is not a finite coordinate."""
     parts = F.when(params["kind"] == "longlat", geom["parts"])
     for kind in kinds:
-        if kind in _CONFORMAL:
+        if kind in _TO_AUXILIARY:
             parts = parts.when(
-                params["kind"] == kind, _geodetic(_CONFORMAL[kind](geom["parts"], params), params)
+                params["kind"] == kind, _geodetic(_TO_AUXILIARY[kind](geom["parts"], params), params)
             )
     moved = F.struct(geom["type"].alias("type"), parts.alias("parts")).cast(GEOM_TYPE)
     finite = F.forall(

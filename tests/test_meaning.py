@@ -110,3 +110,42 @@ def test_ties_round_away_from_zero(spark):
     row = spark.sql("SELECT 0.0005D a, 2.5005D b, -1.2345D c, CAST(7 AS INT) d").select(
         *[fmt_number(F.col(c)).alias(c) for c in "abcd"]).first()
     assert tuple(row) == ("0.001", "2.501", "-1.235", "7")
+
+
+# Worked examples of the published guidance on coordinate conversions.
+EXAMPLES = [
+    ("+proj=laea +lat_0=52 +lon_0=10 +x_0=4321000 +y_0=3210000 +ellps=GRS80", 3962799.45, 2999718.85, 5.0, 50.0),
+    ("+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=-96 +ellps=clrk66", 1885472.7, 1535925.0, -75.0, 35.0),
+    ("+proj=stere +lat_0=90 +lon_0=0 +k=0.994 +x_0=2000000 +y_0=2000000", 3320416.75, 632668.43, 44.0, 73.0),
+    ("+proj=stere +lat_0=-90 +lat_ts=-71 +lon_0=70 +x_0=6000000 +y_0=6000000", 7255380.79, 7053389.56, 120.0, -75.0),
+    ("+proj=eqc +lat_ts=60 +lon_0=10", 20037508.342789244 / 18 / 2, 10018754.171394622 / 3, 20.0, 30.0),
+    ("+proj=laea +lat_0=90 +lon_0=0", 0.0, 0.0, 0.0, 90.0),
+]
+
+
+@pytest.mark.parametrize("text, x, y, lon, lat", EXAMPLES)
+def test_published_points(spark, text, x, y, lon, lat):
+    from lakelens.functions.crs import reproject
+    from lakelens.functions.geometry import first_vertex, point
+
+    df = spark.range(1).select(point(F.lit(x), F.lit(y)).alias("geom"))
+    spot = reproject(df, "geom", parse_definition(text)).select(first_vertex(F.col("geom")).alias("v")).first().v
+    assert (spot.x, spot.y) == (pytest.approx(lon, abs=2e-6), pytest.approx(lat, abs=2e-6))
+
+
+def test_oblique_stereographic_by_its_forward_formula(spark):
+    from lakelens.functions.crs import _isometric, reproject
+    from lakelens.functions.geometry import first_vertex, point
+
+    a, e = 6378137.0, math.sqrt(2 / 298.257223563 - 1 / 298.257223563**2)
+    chi = lambda p: math.asin(math.tanh(_isometric(math.radians(p), e)))
+    lat0, lon0, lat, lon = 46.0, 25.0, 44.5, 28.0
+    c0, c, dl = chi(lat0), chi(lat), math.radians(lon - lon0)
+    m0 = math.cos(math.radians(lat0)) / math.sqrt(1 - (e * math.sin(math.radians(lat0))) ** 2)
+    k = 2 * a * 0.9998 * m0 / (math.cos(c0) * (1 + math.sin(c0) * math.sin(c) + math.cos(c0) * math.cos(c) * math.cos(dl)))
+    x = k * math.cos(c) * math.sin(dl)
+    y = k * (math.cos(c0) * math.sin(c) - math.sin(c0) * math.cos(c) * math.cos(dl))
+    df = spark.range(1).select(point(F.lit(x), F.lit(y)).alias("geom"))
+    crs = parse_definition(f"+proj=stere +lat_0={lat0} +lon_0={lon0} +k=0.9998")
+    spot = reproject(df, "geom", crs).select(first_vertex(F.col("geom")).alias("v")).first().v
+    assert (spot.x, spot.y) == (pytest.approx(lon, abs=1e-9), pytest.approx(lat, abs=1e-9))
