@@ -1,7 +1,7 @@
 """MinHash fingerprints of documents, and near pairs by banded signatures.
 
 A signature has one minimum per hash function of a universal family (multiply, add,
-keep the high bits) over the text's shingles; functions and shingles meet in numpy,
+keep the 16 high bits of the minimum) over the text's shingles; functions and shingles meet in numpy,
 many texts at once. Equal places of two signatures estimate the Jaccard similarity.
 ``near_pairs`` joins signature bands in Spark and verifies on the full sets.
 """
@@ -21,19 +21,23 @@ from lakelens.llm.shingles import Powers, mix, shingle_sets
 from lakelens.session import stage
 
 HASHES = 128
-_EMPTY = np.uint32(0xFFFFFFFF)
+_EMPTY = np.uint16(0xFFFF)
 
 
 def universal(count: int = HASHES, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets modulo 2**64; the high 32 bits are the hash."""
+    """Odd multipliers and offsets modulo 2**64."""
     with np.errstate(over="ignore"):
         numbers = mix(np.arange(1, 2 * count + 1, dtype=np.uint64) + np.uint64(seed << 32))
     return numbers[:count] | np.uint64(1), numbers[count:]
 
 
 def signatures(sets: list[np.ndarray], count: int = HASHES, seed: int = 1) -> np.ndarray:
-    """uint32 minima, one row per set; an empty set has the greatest value everywhere."""
-    out = np.full((len(sets), count), _EMPTY, np.uint32)
+    """uint16 per hash function, one row per set; an empty set has the greatest everywhere.
+
+    The minimum itself is taken over 64 bits and mixed before 16 of them are kept:
+    the high bits of a minimum are nearly always 0.
+    """
+    out = np.full((len(sets), count), _EMPTY, np.uint16)
     sizes = np.array([len(s) for s in sets])
     full = np.flatnonzero(sizes)
     if not len(full):
@@ -46,12 +50,12 @@ def signatures(sets: list[np.ndarray], count: int = HASHES, seed: int = 1) -> np
         for i in range(count):
             np.multiply(items, times[i], out=work)
             np.add(work, plus[i], out=work)
-            out[full, i] = np.minimum.reduceat(work, starts) >> np.uint64(32)
+            out[full, i] = mix(np.minimum.reduceat(work, starts)) >> np.uint64(48)
     return out
 
 
-def _hex(rows: np.ndarray) -> list[str]:
-    return [r.astype(">u4").tobytes().hex() for r in rows]
+def _packed(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows.astype(">u2")], pa.binary())
 
 
 def _edited(text: str, following: str) -> str:
@@ -60,8 +64,15 @@ def _edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-_OUT = ("doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
-        "edited_fingerprint string, near_edited double, near_next double")
+#: Digests and signatures are bytes until the last projection: half of their hexadecimal form.
+_OUT = ("doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, "
+        "edited_fingerprint binary, near_edited double, near_next double")
+_NAMES = [c.split()[0] for c in _OUT.split(", ")]
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    texts = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    return rows.select(*[F.lower(F.hex(c)).alias(c) if c in texts else F.col(c) for c in _NAMES])
 
 
 def _measured(ids, texts: list[str], following: list[str], marks, next_marks, shingle, powers) -> pa.RecordBatch:
@@ -70,9 +81,9 @@ def _measured(ids, texts: list[str], following: list[str], marks, next_marks, sh
     return pa.record_batch({
         "doc_id": ids,
         "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-        "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-        "fingerprint": pa.array(_hex(marks)),
-        "edited_fingerprint": pa.array(_hex(changed)),
+        "edited_sha256": pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary()),
+        "fingerprint": _packed(marks),
+        "edited_fingerprint": _packed(changed),
         "near_edited": pa.array((marks == changed).mean(1), pa.float64()),
         "near_next": pa.array((marks == next_marks).mean(1), pa.float64()),
     })
@@ -117,8 +128,8 @@ def _in_order(shingle: int):
 def _edge(place, edge, doc_id, text) -> pa.RecordBatch:
     return pa.record_batch({
         "doc_id": pa.array([doc_id], pa.int64()), "n_chars": pa.nulls(1, pa.int64()),
-        "edited_sha256": pa.nulls(1, pa.string()), "fingerprint": pa.nulls(1, pa.string()),
-        "edited_fingerprint": pa.nulls(1, pa.string()), "near_edited": pa.nulls(1, pa.float64()),
+        "edited_sha256": pa.nulls(1, pa.binary()), "fingerprint": pa.nulls(1, pa.binary()),
+        "edited_fingerprint": pa.nulls(1, pa.binary()), "near_edited": pa.nulls(1, pa.float64()),
         "near_next": pa.nulls(1, pa.float64()), "part": pa.array([place], pa.int32()),
         "edge": pa.array([edge], pa.int32()), "text": pa.array([text], pa.string())})
 
@@ -157,13 +168,13 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     # partitions that hold rows: as many as tasks, without their texts
     held = sorted(r.part for r in edges.where("edge = 1").select("part").collect())
     if not held:
-        return rows.select(*[c.split()[0] for c in _OUT.split(", ")])
+        return _shown(rows)
     chain = docs.sparkSession.createDataFrame(list(zip(held, [*held[1:], held[0]])), "part int, after int")
     ends = (
         edges.where("edge = 1").select("part", "doc_id", "text").join(chain, "part").join(heads, "after")
         .select("doc_id", "text", "following").mapInArrow(_at_edges(shingle), _OUT)
     )
-    return rows.where("edge IS NULL").select(*ends.columns).unionByName(ends)
+    return _shown(rows.where("edge IS NULL").select(*_NAMES).unionByName(ends))
 
 
 def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band: int = 4) -> DataFrame:
