@@ -82,20 +82,31 @@ def _block_windows(first: int, last: int):
 
 def running_sum(ordered: Ordered, value: Column, out: str) -> DataFrame:
     """Sum of ``value`` from the start of the group to the current row."""
+    return running_sums(ordered, {out: value})
+
+
+def running_sums(ordered: Ordered, sums: dict[str, Column]) -> DataFrame:
+    """Several running sums (output name to value) in one order."""
     if ordered.small():
         frame = ordered.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return ordered.df.withColumn(out, F.sum(value).over(frame))
-    rows = _blocks(ordered).withColumn("__value", value)
+        return ordered.df.withColumns({out: F.sum(value).over(frame) for out, value in sums.items()})
+    each = list(enumerate(sums))
+    rows = _blocks(ordered).withColumns({f"__value{i}": sums[out] for i, out in each})
     inside, earlier = _block_windows(Window.unboundedPreceding, Window.currentRow)
-    carry = rows.groupBy(_BLOCK, _GROUP).agg(F.sum("__value").alias("__sum")).select(
-        _BLOCK, _GROUP, F.sum("__sum").over(earlier).alias("__carry"))
-    local = rows.withColumn("__local", F.sum("__value").over(inside))
-    total = F.when(F.col("__carry").isNull(), F.col("__local")).otherwise(
-        F.col("__carry") + F.coalesce(F.col("__local"), F.lit(0)))
+    carry = rows.groupBy(_BLOCK, _GROUP).agg(*[F.sum(f"__value{i}").alias(f"__sum{i}") for i, _ in each]).select(
+        _BLOCK, _GROUP, *[F.sum(f"__sum{i}").over(earlier).alias(f"__carry{i}") for i, _ in each])
+    local = rows.withColumns({f"__local{i}": F.sum(f"__value{i}").over(inside) for i, _ in each})
+
+    def total(i: int) -> Column:
+        before = F.col(f"__carry{i}")
+        return F.when(before.isNull(), F.col(f"__local{i}")).otherwise(
+            before + F.coalesce(F.col(f"__local{i}"), F.lit(0)))
+
+    own = [f"__{part}{i}" for i, _ in each for part in ("value", "local", "carry")]
     return (
         local.join(carry, [_BLOCK, _GROUP], "left")
-        .withColumn(out, total)
-        .drop(_BLOCK, _GROUP, "__value", "__local", "__carry", ROW_ID)
+        .withColumns({out: total(i) for i, out in each})
+        .drop(_BLOCK, _GROUP, ROW_ID, *own)
     )
 
 
@@ -219,40 +230,61 @@ def asof(
     )
 
 
-def range_sum(
+def range_sums(
     probes: DataFrame,
     rows: DataFrame,
     key: str,
     ts: str,
     probe_id: str,
-    value: Column,
+    values: dict[str, Column],
     before: str,
     after: str,
-    out: str,
     group_rows: int = GROUP_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Per probe: sum of ``value`` over rows of its key within [ts-before, ts+after].
+    """Per probe: sums of ``values`` (output name to value) over rows of its key
+    within [ts-before, ts+after].
 
-    ``before`` and ``after`` are interval texts. The sum is the running sum at
-    the end of the range less the one at its start; no probe meets its rows.
-    ``value`` should be an exact type (integer or decimal).
+    ``before`` and ``after`` are interval texts. A sum is the running sum at the end
+    of the range less the one at its start; no probe meets its rows, and all sums
+    share one order. Values should be of an exact type (integer or decimal).
     """
     moved = lambda sign, gap: F.col(ts) + F.expr(f"INTERVAL {gap}") * sign
+    names = {out: f"__v{i}" for i, out in enumerate(values)}
     data = rows.select(
         key, F.col(ts).alias("__at"), F.lit(1).alias("__side"),
-        F.lit(None).cast(probes.schema[probe_id].dataType).alias("__probe"), value.alias("__v"),
+        F.lit(None).cast(probes.schema[probe_id].dataType).alias("__probe"),
+        *[value.alias(names[out]) for out, value in values.items()],
     )
-    none = F.lit(None).cast(data.schema["__v"].dataType)
-    starts = probes.select(key, moved(-1, before).alias("__at"), F.lit(0).alias("__side"),
-                           F.col(probe_id).alias("__probe"), none.alias("__v"))
-    ends = probes.select(key, moved(1, after).alias("__at"), F.lit(2).alias("__side"),
-                         F.col(probe_id).alias("__probe"), none.alias("__v"))
-    line = data.unionByName(starts).unionByName(ends)
+    none = [F.lit(None).cast(data.schema[v].dataType).alias(v) for v in names.values()]
+
+    def ends(sign: int, gap: str, side: int) -> DataFrame:
+        return probes.select(key, moved(sign, gap).alias("__at"), F.lit(side).alias("__side"),
+                             F.col(probe_id).alias("__probe"), *none)
+
+    line = data.unionByName(ends(-1, before, 0)).unionByName(ends(1, after, 2))
     ordered = Ordered(line, (key,), ("__at", "__side", "__probe"), group_rows, block_rows)
-    summed = running_sum(ordered, F.col("__v"), "__sum").filter(F.col("__side") != 1)
-    signed = F.coalesce(F.col("__sum"), F.lit(0)) * F.when(F.col("__side") == 2, 1).otherwise(-1)
-    return summed.groupBy(F.col("__probe").alias(probe_id)).agg(F.sum(signed).alias(out))
+    summed = running_sums(ordered, {f"__sum{v}": F.col(v) for v in names.values()}).filter(F.col("__side") != 1)
+    sign = F.when(F.col("__side") == 2, 1).otherwise(-1)
+    return summed.groupBy(F.col("__probe").alias(probe_id)).agg(*[
+        F.sum(F.coalesce(F.col(f"__sum{v}"), F.lit(0)) * sign).alias(out) for out, v in names.items()])
+
+
+def range_sum(
+    probes: DataFrame,
+    rows: DataFrame,
+    key: str,
+    ts: str,
+    probe_id: str,
+    value: Column,
+    before: str,
+    after: str,
+    out: str,
+    group_rows: int = GROUP_ROWS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``range_sums`` of one value."""
+    return range_sums(probes, rows, key, ts, probe_id, {out: value}, before, after, group_rows, block_rows)
 
 
 def quantiles(ordered: Ordered, value: str, probs: dict[str, float]) -> DataFrame:

@@ -13,6 +13,7 @@ from lakelens.operators.windows import (
     neighbours,
     quantiles,
     range_sum,
+    range_sums,
     ranks,
     running_sum,
 )
@@ -106,11 +107,9 @@ GROUP BY p.event_id"""
 def _range_join(t: Tables, **sizes) -> DataFrame:
     purchases = t.events.filter("event_type = 'purchase'")
     clicks = t.events.filter("event_type = 'click'")
-    args = (purchases, clicks, "user_id", "ts", "event_id")
-    count = range_sum(*args, F.lit(1).cast("bigint"), "6 HOURS", "1 HOUR", "clicks", **sizes)
-    total = range_sum(
-        *args, F.col("value").cast("decimal(18,2)"), "6 HOURS", "1 HOUR", "clicked", **sizes)
-    return count.join(total, "event_id").withColumn("clicked", F.col("clicked").cast("double"))
+    values = {"clicks": F.lit(1).cast("bigint"), "clicked": F.col("value").cast("decimal(18,2)")}
+    sums = range_sums(purchases, clicks, "user_id", "ts", "event_id", values, "6 HOURS", "1 HOUR", **sizes)
+    return sums.withColumn("clicked", F.col("clicked").cast("double"))
 
 
 @query(_RANGE)
