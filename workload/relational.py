@@ -487,6 +487,16 @@ def spec_top_suppliers(t: Tables) -> DataFrame:
     return out.withColumn("revenue", F.round("revenue", 2))
 
 
+@query("""
+SELECT row_number() OVER (ORDER BY n DESC, l_orderkey) - 1 AS __row_id, l_orderkey, n
+FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)""")
+def every_group_in_order(t: Tables) -> DataFrame:
+    return L.run(t.lineitem, QuerySpec(
+        mode="aggregate", group_by=("l_orderkey",), aggregates=(Agg("COUNT", "*", "n"),),
+        sorts=(Sort("n", "DESC"), Sort("l_orderkey")),
+    )).df
+
+
 _FLAGSHIP = """
 SELECT l_returnflag, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem
 WHERE l_quantity > 10 GROUP BY l_returnflag ORDER BY l_returnflag LIMIT 10"""

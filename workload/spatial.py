@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import lakelens as L
 from lakelens import GeoInfo, QuerySpec, Sort
-from lakelens.functions.crs import builtin_crs, utm
+from lakelens.functions.crs import builtin_crs, parse_definition, utm
 from lakelens.functions.decode import (
     esri_epsg,
     from_esri,
@@ -434,6 +434,45 @@ def reprojected_utm_zone(t: Tables) -> DataFrame:
         "o_orderkey", F.round(spot["x"], 7).alias("lon"), F.round(spot["y"], 7).alias("lat"))
 
 
+def _authalic_q(lat: Column) -> Column:
+    """The equal-area function of a latitude in radians, WGS 84."""
+    e = math.sqrt(2 / 298.257223563 - 1 / 298.257223563**2)
+    sin = F.sin(lat)
+    return F.lit(1 - e * e) * (sin / (1 - F.pow(F.lit(e) * sin, F.lit(2.0))) + F.atanh(F.lit(e) * sin) / e)
+
+
+def _equal_area_check(t: Tables, text: str, forward) -> DataFrame:
+    """Points written by a forward formula, then moved back by the engine."""
+    rows = placed(t).select("o_orderkey", forward(F.radians("x"), F.radians("y")).alias("geom"))
+    spot = first_vertex(F.col("geom"))
+    return L.reproject(rows, crs=parse_definition(text)).select(
+        "o_orderkey", F.round(spot["x"], 6).alias("lon"), F.round(spot["y"], 6).alias("lat"))
+
+
+@query(f"SELECT o_orderkey, round(x, 6) AS lon, round(y, 6) AS lat FROM {_PLACED}")
+def reprojected_albers(t: Tables) -> DataFrame:
+    e2 = 2 / 298.257223563 - 1 / 298.257223563**2
+    m2 = lambda p: F.pow(F.cos(p), F.lit(2.0)) / (1 - F.lit(e2) * F.pow(F.sin(p), F.lit(2.0)))
+
+    def forward(lon: Column, lat: Column) -> Column:
+        p1, p2 = F.radians(F.lit(20.0)), F.radians(F.lit(50.0))
+        cone = (m2(p1) - m2(p2)) / (_authalic_q(p2) - _authalic_q(p1))
+        far = lambda q: F.lit(6378137.0) * F.sqrt(m2(p1) + cone * (_authalic_q(p1) - q)) / cone
+        turn = cone * lon
+        return point(far(_authalic_q(lat)) * F.sin(turn), far(F.lit(0.0)) - far(_authalic_q(lat)) * F.cos(turn))
+
+    return _equal_area_check(t, "+proj=aea +lat_1=20 +lat_2=50 +lat_0=0 +lon_0=0", forward)
+
+
+@query(f"SELECT o_orderkey, round(x, 6) AS lon, round(y, 6) AS lat FROM {_PLACED}")
+def reprojected_azimuthal(t: Tables) -> DataFrame:
+    def forward(lon: Column, lat: Column) -> Column:
+        away = F.lit(6378137.0) * F.sqrt(_authalic_q(F.lit(math.pi / 2)) - _authalic_q(lat))
+        return point(away * F.sin(lon), -away * F.cos(lon))
+
+    return _equal_area_check(t, "+proj=laea +lat_0=90 +lon_0=0", forward)
+
+
 _REGISTRY_SQL = ", ".join(
     f"({code}, '{name}', '{units}', {box[0]}, {box[1]}, {box[2]}, {box[3]})"
     for code, (name, _, units, box) in builtin_crs().items())
