@@ -30,7 +30,7 @@ from lakelens.operators.rows import (
 )
 from lakelens.plans.spec import QuerySpec, Result, preview, run, run_spec
 from lakelens.plans.sqlapi import run_sql, run_sql_numbered
-from lakelens.session import configure
+from lakelens.session import configure, release
 from lakelens.sources.footers import audit_files, file_stats, footers, kv_metadata, schema_drift
 from lakelens.sources.load import load, normalize_uris
 from lakelens.sources.schema import describe

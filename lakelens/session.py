@@ -19,6 +19,7 @@ _SETTINGS = {
 BROADCAST_ROWS = 100_000  # narrow rows small enough to send to every executor
 
 _local_scratch: str | None = None
+_staged: list[str] = []  # tables this process has written and not yet released
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -55,10 +56,25 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lakelens-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.option("maxRecordsPerFile", 0).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables staged so far; how many there were.
+
+    To be called once results that read them have been written or are no longer
+    wanted: relations numbered, paged or sampled before it cannot be read after it.
+    """
+    done = 0
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        done += bool(files.delete(path, True))
+    return done
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a scan with fewer splits than cores out over all cores.
 

@@ -149,3 +149,16 @@ def test_oblique_stereographic_by_its_forward_formula(spark):
     crs = parse_definition(f"+proj=stere +lat_0={lat0} +lon_0={lon0} +k=0.9998")
     spot = reproject(df, "geom", crs).select(first_vertex(F.col("geom")).alias("v")).first().v
     assert (spot.x, spot.y) == (pytest.approx(lon, abs=1e-9), pytest.approx(lat, abs=1e-9))
+
+
+def test_staged_tables_are_released(spark):
+    from pathlib import Path
+
+    from lakelens.session import scratch_dir, stage
+
+    L.release(spark)
+    kept = stage(spark.range(3))
+    folder = Path(scratch_dir(spark).removeprefix("file:"))
+    tables = set(folder.glob("lakelens-*"))
+    assert kept.count() == 3 and L.release(spark) == 1
+    assert len(tables - set(folder.glob("lakelens-*"))) == 1 and L.release(spark) == 0
