@@ -1,9 +1,10 @@
 """WKB bytes to the canonical geometry, one Arrow batch at a time.
 
-Only headers are read value by value, and for the plain types not even those:
-their headers are gathered for the whole batch with numpy. What results is a
-table of coordinate runs (byte position, stride, count), from which all
-coordinates are gathered at once.
+Headers are gathered for the whole batch with numpy, one level of nesting and one
+item of every value at a time; collections, damaged values and the few that have
+many more items than the rest are read one by one. What results is a table of
+coordinate runs (byte position, stride, count), from which all coordinates are
+gathered at once.
 """
 
 from __future__ import annotations
@@ -30,9 +31,37 @@ LONG_RUN = 32  # from this mean length on, runs are copied one by one
 ROW, MEMBER, PART, RING, START, STRIDE, COUNT, BIG = range(8)
 
 
-def _u32(data: np.ndarray, at: np.ndarray, big: bool) -> np.ndarray:
-    raw = data[at[:, None] + np.arange(4)]
-    return np.ascontiguousarray(raw).view(">u4" if big else "<u4").ravel().astype(np.int64)
+#: Values that are still being read together; fewer are left to ``Walk``.
+TOGETHER = 16
+
+
+def _u32(data: np.ndarray, at: np.ndarray, big: np.ndarray) -> np.ndarray:
+    raw = np.ascontiguousarray(data[at[:, None] + np.arange(4)]).view("<u4").ravel()
+    return np.where(big, raw.byteswap(), raw).astype(np.int64)
+
+
+def _headers(data: np.ndarray, at: np.ndarray, end: np.ndarray):
+    """(readable?, big-endian?, type, bytes per vertex, position after) of each header."""
+    ok = at + 5 <= end
+    at = np.where(ok, at, 0)
+    order = data[at] if len(data) else np.zeros(len(at), np.uint8)
+    ok &= order <= 1
+    big = order == 0
+    code = np.zeros(len(at), np.int64)
+    code[ok] = _u32(data, at[ok] + 1, big[ok])
+    dims = 2 + (code & 0x80000000 > 0) + (code & 0x40000000 > 0)
+    after = at + 5 + 4 * (code & 0x20000000 > 0)
+    code &= 0x0FFFFFFF
+    stride = 8 * (dims + np.array([0, 1, 1, 2])[np.minimum(code // 1000, 3)])
+    return ok, big, code % 1000, stride, after
+
+
+def _counts(data: np.ndarray, at: np.ndarray, end: np.ndarray, big: np.ndarray):
+    """(readable?, the number at each position)."""
+    ok = at + 4 <= end
+    n = np.zeros(len(at), np.int64)
+    n[ok] = _u32(data, at[ok], big[ok])
+    return ok, n
 
 
 class Walk:
@@ -118,71 +147,126 @@ class Walk:
             raise
 
 
+class _Table:
+    """Runs of values, by the values' places in the batch."""
+
+    def __init__(self):
+        self.blocks: list[np.ndarray] = []
+
+    def add(self, of, part, ring, start, stride, count, big) -> None:
+        block = np.zeros((len(of), 8), dtype=np.int64)
+        for column, value in ((ROW, of), (PART, part), (RING, ring), (START, start),
+                              (STRIDE, stride), (COUNT, count), (BIG, big)):
+            block[:, column] = value
+        self.blocks.append(block)
+
+
 def _plain_runs(data, rows, starts, ends):
-    """Run and member tables of values with plain 2-D headers.
+    """Run and member tables of single values, with a mask of those they cover.
 
-    Returns them with a mask of the values they cover; the rest (multi-lines,
-    collections, other dimensions, damaged bytes) is left to ``Walk``.
+    Collections, values that cannot be read and the last few with many items are
+    left to ``Walk``.
     """
-    covered = np.zeros(len(rows), dtype=bool)
-    runs, members = [], []
-    headed = ends - starts >= 9
-    order = np.zeros(len(rows), dtype=np.uint8)
-    order[headed] = data[starts[headed]]
-    for big in (False, True):
-        mine = np.flatnonzero(headed & (order == (0 if big else 1)))
-        if len(mine) == 0:
-            continue
-        codes = _u32(data, starts[mine] + 1, big)
-        for code in (1, 2, 3, 4):
-            ix = mine[codes == code]
-            if len(ix) == 0:
-                continue
-            at, end = starts[ix] + 5, ends[ix]
-            if code == 1:
-                good = end - at >= 16
-                table = [(ix, 0 * ix, at, 16, 0 * ix + 1)]
-            else:
-                n, at = _u32(data, at, big), at + 4
-                if code == 2:
-                    good = at + 16 * n <= end
-                    table = [(ix, 0 * ix, at, 16, n)]
-                elif code == 4:
-                    good = at + 21 * n <= end
-                    table = [(ix, 0 * ix, at + 5, 21, n)]
-                else:
-                    good, table = _polygon_runs(data, ix, at, end, n, big)
-            bad = set(ix[~good].tolist())
-            for of, ring, start, stride, count in table:
-                keep = np.array([i not in bad for i in of.tolist()]) if bad else slice(None)
-                block = np.zeros((len(of), 8), dtype=np.int64)
-                block[:, ROW], block[:, RING] = rows[of], ring
-                block[:, START], block[:, STRIDE], block[:, COUNT] = start, stride, count
-                block[:, BIG] = big
-                runs.append(block[keep])
-            covered[ix[good]] = True
-            members.append(np.column_stack([rows[ix[good]], np.full(good.sum(), code)]))
-    return runs, members, covered
-
-
-def _polygon_runs(data, ix, at, end, n, big):
-    """Rings of many polygons, the k-th ring of all of them together."""
-    good = np.ones(len(ix), dtype=bool)
-    table = []
-    at = at.copy()
-    for k in range(int(n.max(initial=0))):
-        open_ = np.flatnonzero(good & (n > k))
-        fits = at[open_] + 4 <= end[open_]
-        good[open_[~fits]] = False
-        open_ = open_[fits]
-        if len(open_) == 0:
+    ok, big, code, stride, at = _headers(data, starts, ends)
+    table, done = _Table(), np.zeros(len(rows), dtype=bool)
+
+    ix = np.flatnonzero(ok & (code == 1))
+    good = at[ix] + stride[ix] <= ends[ix]
+    ix = ix[good]
+    table.add(ix, 0, 0, at[ix], stride[ix], 1, big[ix])
+    done[ix] = True
+
+    ix = np.flatnonzero(ok & (code >= 2) & (code <= 6))
+    fits, n = _counts(data, at[ix], ends[ix], big[ix])
+    ix, n = ix[fits], n[fits]
+    at[ix] += 4
+
+    line = code[ix] == 2
+    good = line & (at[ix] + stride[ix] * n <= ends[ix])
+    of = ix[good]
+    table.add(of, 0, 0, at[of], stride[of], n[good], big[of])
+    done[of] = True
+
+    points = code[ix] == 4
+    # items all have the first one's header, as every writer writes them
+    item_ok, item_big, item_code, item_stride, first = _headers(data, at[ix], ends[ix])
+    size = first - at[ix] + item_stride
+    good = points & ((n == 0) | (item_ok & (item_code == 1) & (at[ix] + size * n <= ends[ix])))
+    good &= (n == 0) | (item_stride == stride[ix]) & (item_big == big[ix])
+    of = ix[good]
+    # coordinates of consecutive points lie a whole item apart
+    table.add(of, 0, 0, first[good], size[good], n[good], big[of])
+    done[of] = True
+
+    nested = np.flatnonzero(np.isin(code[ix], (3, 5, 6)))
+    of = ix[nested]
+    done[_nested_runs(data, table, of, code[of], at[of], ends[of], big[of], stride[of], n[nested])] = True
+
+    runs = [block[done[block[:, ROW]]] for block in table.blocks]
+    for block in runs:
+        block[:, ROW] = rows[block[:, ROW]]
+    return runs, [np.column_stack([rows[done], code[done]])], done
+
+
+def _nested_runs(data, table, of, code, at, end, big, stride, n):
+    """Runs of polygons, multi-lines and multi-polygons, one item of each per step.
+
+    Returns the values that were read to their end. Cost follows the items of all
+    values, not the largest number of them: values that are done drop out.
+    """
+    finished = []
+    polygons = code == 3
+    state = {
+        "of": of, "code": code, "at": at.copy(), "end": end, "big": big, "stride": stride,
+        "items": np.where(polygons, 0, n), "rings": np.where(polygons, n, 0),
+        "part": np.zeros(len(of), np.int64) - (code == 6), "ring": np.zeros(len(of), np.int64),
+    }
+
+    def keep(mask):
+        for name in state:
+            state[name] = state[name][mask]
+
+    def fail(at_fault):
+        if at_fault.any():
+            keep(~at_fault)
+
+    while len(state["of"]):
+        idle = (state["items"] == 0) & (state["rings"] == 0)
+        if idle.any():
+            finished.append(state["of"][idle])
+            keep(~idle)
+        if len(state["of"]) < TOGETHER:
             break
-        count = _u32(data, at[open_], big)
-        start = at[open_] + 4
-        at[open_] = start + 16 * count
-        good[open_[at[open_] > end[open_]]] = False
-        table.append((ix[open_], np.full(len(open_), k), start, 16, count))
-    return good, table
+        # the next item's own header, where one is due
+        due = state["rings"] == 0
+        ok, item_big, item_code, item_stride, after = _headers(data, state["at"], state["end"])
+        wanted = np.where(state["code"] == 6, 3, 2)
+        bad = due & ~(ok & (item_code == wanted))
+        for name, value in (("big", item_big), ("stride", item_stride), ("at", after)):
+            state[name] = np.where(due & ~bad, value, state[name])
+        opens = due & ~bad & (state["code"] == 6)
+        fits, rings = _counts(data, state["at"], state["end"], state["big"])
+        bad |= opens & ~fits
+        opens &= ~bad
+        state["items"] = state["items"] - due
+        state["rings"] = np.where(opens, rings, np.where(due & (state["code"] == 5), 1, state["rings"]))
+        state["at"] = np.where(opens, state["at"] + 4, state["at"])
+        state["part"] = state["part"] + opens
+        state["ring"] = np.where(opens, 0, state["ring"])
+        # one ring or line of each
+        has = ~bad & (state["rings"] > 0)
+        fits, points = _counts(data, state["at"], state["end"], state["big"])
+        begin = state["at"] + 4
+        last = begin + state["stride"] * points
+        bad |= has & ~(fits & (last <= state["end"]))
+        has &= ~bad
+        table.add(state["of"][has], np.maximum(state["part"][has], 0), state["ring"][has], begin[has],
+                  state["stride"][has], points[has], state["big"][has])
+        state["at"] = np.where(has, last, state["at"])
+        state["rings"] = state["rings"] - has
+        state["ring"] = state["ring"] + has
+        fail(bad)
+    return np.concatenate([np.zeros(0, np.int64), *finished])
 
 
 def _coordinates(data: np.ndarray, runs: np.ndarray) -> np.ndarray:
