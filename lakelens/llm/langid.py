@@ -100,11 +100,12 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """From a bounded sample of rows with text and language that are not held out."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & trains(F.col("doc_id"))).select(
-        "doc_id", "text", "lang")
-    languages = sorted(r.lang for r in usable.select("lang").distinct().collect())
+        "doc_id", F.col("lang").alias("label"))
+    languages = sorted(r.label for r in usable.select("label").distinct().collect())
     if not languages:
         return Model([], b"", np.zeros((0, 0)))
-    rows = sample(usable, "lang", max(2, min(ROWS_PER_LANGUAGE, ROWS // len(languages))))
+    rows = sample(docs, usable, max(2, min(ROWS_PER_LANGUAGE, ROWS // len(languages))))
+    rows = rows.withColumnRenamed("label", "lang")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()

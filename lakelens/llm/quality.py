@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.learning import sample, with_labels
+from lakelens.llm.learning import labelled, sample
 from lakelens.llm.shared import slices
 from lakelens.llm.shingles import Powers, mix, text_bytes, word_hashes
 
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
     """From at most ``ROWS_PER_GRADE`` rated rows of each grade; None if ratings do
     not tell anything apart. Grades weigh as often as they come among all ratings.
     """
-    rated = with_labels(docs, labels, label)
+    rated = labelled(docs, labels, label)
     shares = {r.label: r["count"] for r in rated.groupBy("label").count().collect()}
     if len(shares) < 2:
         return None
@@ -144,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "label": part.column("label"),
                                        "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    got = sample(rated, "label", ROWS_PER_GRADE).mapInArrow(vectors, "doc_id bigint, label int, x binary").collect()
+    rows = sample(docs, rated, ROWS_PER_GRADE).select("doc_id", F.col("label").cast("int").alias("label"), "text")
+    got = rows.mapInArrow(vectors, "doc_id bigint, label int, x binary").collect()
     got = sorted(got, key=lambda r: r.doc_id)
     x = np.stack([np.frombuffer(bytes(r.x), np.float16) for r in got]).astype(np.float32)
     y = np.array([grades.index(r.label) for r in got])

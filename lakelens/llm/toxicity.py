@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.learning import sample, trains, with_labels
+from lakelens.llm.learning import labelled, sample, trains
 from lakelens.llm.shared import held_out, slices
 from lakelens.llm.shingles import Powers, shingle_sets
 
@@ -197,10 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar | None:
     Near copies are thinned out first: words of a text that was copied often would
     otherwise look like words of its label.
     """
-    known = with_labels(docs, labels, "toxic").where(trains(F.col("doc_id")))
+    known = labelled(docs, labels, "toxic").where(trains(F.col("doc_id")))
     known = known.withColumn("label", F.when(F.col("label") > 0, 1).otherwise(0))
-    toxic = sample(known.where("label = 1"), "label", TOXIC_ROWS)
-    clean = sample(known.where("label = 0"), "label", CLEAN_ROWS)
+    toxic = sample(docs, known.where("label = 1"), TOXIC_ROWS)
+    clean = sample(docs, known.where("label = 0"), CLEAN_ROWS)
     rows = toxic.unionByName(clean).select("doc_id", "label", "text").mapInArrow(
         _first_shingles, "doc_id bigint, label int, text string, low bigint, high bigint")
     for end in ("low", "high"):
