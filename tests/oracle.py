@@ -52,12 +52,13 @@ def compare(actual: pa.Table, expected: pa.Table) -> str | None:
 
 
 def check(spark, con, folder: str, name: str) -> str | None:
-    from workload.registry import ORACLES, QUERIES
+    import __spark_entry__ as entry
 
-    actual = QUERIES[name](spark, folder).toArrow()
-    if name not in ORACLES:
+    actual = entry.queries()[name](spark, folder).toArrow()
+    sql = entry.oracle_sql().get(name)
+    if sql is None:
         return None if actual.num_rows > 0 else "no rows"
-    return compare(actual, con.sql(ORACLES[name]).to_arrow_table())
+    return compare(actual, con.sql(sql).to_arrow_table())
 
 
 def main() -> None:
