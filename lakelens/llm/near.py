@@ -296,14 +296,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, comp): the smallest vertex that each vertex of ``edges`` (a, b) reaches.
 
     Alternating stars: every vertex hands its larger neighbours to its smallest
-    one, then its smaller ones. Each round is a written table; a round that
-    changes nothing is the last. Stars never gather a vertex's neighbours in
-    one row, and a vertex with very many of them is summed map-side.
+    one, then its smaller ones, until only stars are left: each vertex has one
+    edge, to a vertex that has none of its own. Each round is a written table.
+    Stars never gather a vertex's neighbours in one row, and a vertex with very many
+    of them is summed map-side.
     """
     edges = stage(edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
+    while not _is_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -312,11 +312,15 @@ def components(edges: DataFrame) -> DataFrame:
         down = starred.groupBy("a").agg(F.min("b").alias("m"))
         small = starred.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stage(small.union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            roots = edges.select(F.col("b").alias("v")).distinct().select("v", F.col("v").alias("comp"))
-            return edges.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(roots)
-        mark = now
+    roots = edges.select(F.col("b").alias("v")).distinct().select("v", F.col("v").alias("comp"))
+    return edges.select(F.col("a").alias("v"), F.col("b").alias("comp")).union(roots)
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    each = ends.groupBy("v").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return each.where("out > 1 OR (out > 0 AND into > 0)").isEmpty()
 
 
 def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -379,8 +383,8 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
         F.col("hub.v").alias("a"), F.col("v").alias("b")).distinct()
     links = stage(verified(stage(estimated(stars))))
     # a bucket's hub has met all others; what is left are pairs of others
-    labelled = others.select("bucket", "v", "n").join(components(links), "v", "left").withColumn(
-        "comp", F.coalesce("comp", "v"))
+    comp = stage(components(links))
+    labelled = others.select("bucket", "v", "n").join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
     open_ = labelled.groupBy("bucket").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(size).cast("int").alias("blocks")
@@ -394,9 +398,10 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     pieces = search.join(full_sets(search.select("v")), "v").select(
         "bucket", "i", "j", "v", "comp", "side", "shingles")
     more = pieces.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(
-        _searched(share), "a bigint, b bigint").distinct()
-    links = stage(links.union(more))
-    comp = components(links)
+        _searched(share), "a bigint, b bigint")
+    more = stage(more.distinct())
+    if not more.isEmpty():
+        comp = components(comp.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(more))
     named = classes.select("v", "set_key", "lead").join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     first = named.groupBy("comp").agg(F.min("lead").alias("first"))
     ids = named.join(first, "comp").select("set_key", "first")
