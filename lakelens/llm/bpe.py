@@ -9,7 +9,9 @@ The merges themselves are the tokenizers library's. Around it:
   the cut falls; leaves are rows of their own and are encoded in parallel by any
   task. Two neighbours are then joined: a window around the cut is encoded again and
   grown until it shares a token, at the same place, with either side beyond the part
-  that the cut could have changed. What lies between is taken from the window.
+  that the cut could have changed. What lies between is taken from the window. Only
+  the ends of a leaf, up to white space, keep the places of their tokens for that; a
+  leaf without white space is all end, and such leaves are joined pair by pair.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from lakelens.session import stage
 #: Texts of more code points than this are encoded as trees with leaves of this size.
 LEAF = 1 << 15
 
+#: Code points of a leaf's ends that keep their tokens' places, at least.
+EDGE = 256
+
 #: Words whose codes a task keeps; the table is emptied when it is full.
 _KEPT = 400_000
 
@@ -216,15 +221,40 @@ def _cut(leaf: int):
     return run
 
 
+_ENCODED = ("row bigint, doc_id bigint, leaf int, head string, head_spans array<bigint>, n bigint, ids string, "
+            "decoded string, tail string, tail_spans array<bigint>")
+_ENCODED_ARROW = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("leaf", pa.int32()), ("head", pa.string()),
+    ("head_spans", pa.list_(pa.int64())), ("n", pa.int64()), ("ids", pa.string()), ("decoded", pa.string()),
+    ("tail", pa.string()), ("tail_spans", pa.list_(pa.int64()))])
+
+
+def ends(text: str) -> tuple[int, int]:
+    """Where the middle of a leaf begins and ends: at white space, ``EDGE`` or more from
+    the leaf's ends. Without such places the middle is empty and the leaf all head."""
+    first = _SPACES.search(text, EDGE)
+    if first is None:
+        return len(text), len(text)
+    last = max(text.rfind(c, first.end(), max(0, len(text) - EDGE)) for c in " \n")
+    return (first.start(), last) if last > first.start() else (len(text), len(text))
+
+
 def _leaves(spec: str):
     def run(batches):
         encoder = Encoder(spec)
+        flat = lambda text: [x for t in encoder.spans(text, 0) for x in t]
         for batch in batches:
-            for part in slices(batch, "part"):
-                spans = [encoder.spans(t, s) for t, s in zip(
-                    part.column("part").to_pylist(), part.column("start").to_pylist())]
-                flat = pa.array([[x for t in s for x in t] for s in spans], pa.list_(pa.int64()))
-                yield pa.record_batch([*part.columns, flat], names=[*part.schema.names, "spans"])
+            for piece in slices(batch, "part"):
+                out = []
+                for x in piece.to_pylist():
+                    text = x["part"]
+                    a, b = ends(text) if encoder.by_word else (len(text), len(text))
+                    row = {k: x[k] for k in ("row", "doc_id", "leaf")} | {"head": text[:a], "head_spans": flat(text[:a])}
+                    if a < b:
+                        row |= dict(zip(("n", "ids", "decoded"), encoder.encode(text[a:b])))
+                        row |= {"tail": text[b:], "tail_spans": flat(text[b:])}
+                    out.append(row)
+                yield pa.RecordBatch.from_pylist(out, schema=_ENCODED_ARROW)
     return run
 
 
@@ -233,21 +263,35 @@ def _joined(spec: str):
     def run(batches):
         encoder = Encoder(spec)
 
+        def stretch(parts: list[tuple[str, list]]) -> tuple[int, str, str]:
+            """Codes of ends and whole leaves that follow each other without a middle."""
+            cuts, leaves, at = [], [], 0
+            for text, spans in parts:
+                cuts.append(at)
+                leaves.append([(i, a + at, b + at) for i, a, b in zip(spans[::3], spans[1::3], spans[2::3])])
+                at += len(text)
+            ids = [t[0] for t in encoder.tree("".join(t for t, _ in parts), cuts, leaves)]
+            return len(ids), " ".join(map(str, ids)), encoder._decoded(ids)
+
         def whole(leaves):
-            text = "".join(x["part"] for x in leaves)
-            spans = [list(zip(s[::3], s[1::3], s[2::3])) for s in (x["spans"] for x in leaves)]
-            ids = [t[0] for t in encoder.tree(text, [x["start"] for x in leaves], spans)]
-            code = len(ids), " ".join(map(str, ids)), encoder._decoded(ids)
+            codes, parts = [], []
+            for x in leaves:
+                parts.append((x["head"], x["head_spans"]))
+                if x["tail"] is not None:
+                    codes += [stretch(parts), (x["n"], x["ids"], x["decoded"])]
+                    parts = [(x["tail"], x["tail_spans"])]
+            codes.append(stretch(parts))
+            codes = [c for c in codes if c[0]]
+            code = sum(c[0] for c in codes), " ".join(c[1] for c in codes), " ".join(c[2] for c in codes)
             return _coded(pa.array([leaves[0]["doc_id"]], pa.int64()), [code])
 
         held = []
         for batch in batches:
-            for piece in slices(batch, "part"):
-                for x in piece.to_pylist():
-                    if held and x["row"] != held[0]["row"]:
-                        yield whole(held)
-                        held = []
-                    held.append(x)
+            for x in batch.to_pylist():
+                if held and x["row"] != held[0]["row"]:
+                    yield whole(held)
+                    held = []
+                held.append(x)
         if held:
             yield whole(held)
     return run
@@ -268,7 +312,7 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     cut = source.where(is_long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     # written, so that the two uses of a row's number see the same rows; long texts only
     cut = stage(cut.mapInArrow(_cut(leaf), _LEAF))
-    spread = cut.repartition("row", "leaf").mapInArrow(_leaves(spec), _LEAF + ", spans array<bigint>")
+    spread = cut.repartition("row", "leaf").mapInArrow(_leaves(spec), _ENCODED)
     joined = spread.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(_joined(spec), _CODES)
     return short.unionByName(joined)
 
