@@ -104,10 +104,11 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, weight: np.ndarray) -
     v = [np.zeros_like(w), np.zeros_like(cuts)]
     weight = weight / weight.sum()
     rows = np.arange(len(y))
+    x = np.ascontiguousarray(x, np.float32)  # mixed types would be copied at every step
     for step in range(1, STEPS + 1):
         gaps = np.exp(cuts[1:])
         t = np.concatenate([cuts[:1], cuts[0] + np.cumsum(gaps)])
-        above = 1 / (1 + np.exp(np.clip(t[None, :] - (x @ w)[:, None], -60, 60)))
+        above = 1 / (1 + np.exp(np.clip(t[None, :] - (x @ w.astype(np.float32))[:, None], -60, 60)))
         full = np.concatenate([np.ones((len(y), 1)), above, np.zeros((len(y), 1))], 1)
         slope = full * (1 - full)
         chance = np.maximum(full[rows, y] - full[rows, y + 1], 1e-9)
@@ -117,7 +118,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, weight: np.ndarray) -
         for g in range(grades - 1):
             d_t[g] = lower[y == g + 1].sum() + upper[y == g].sum()
         tail = np.cumsum(d_t[::-1])[::-1]
-        grads = [x.T @ d_line + RIDGE * w, np.concatenate([tail[:1], gaps * tail[1:]])]
+        grads = [d_line.astype(np.float32) @ x + RIDGE * w, np.concatenate([tail[:1], gaps * tail[1:]])]
         for i, (value, grad) in enumerate(zip((w, cuts), grads)):
             m[i] = 0.9 * m[i] + 0.1 * grad
             v[i] = 0.999 * v[i] + 0.001 * grad**2
