@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakelens.session import stage
+
 _VERSION = "WARC/1.0\r\n"
 _CRLF = "\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -234,7 +236,10 @@ def page_captures(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     are not read. An empty table writes empty archives and gives no rows.
     """
     write(pages, path, least)
-    read = captures(records(pages.sparkSession, path))
+    read = records(pages.sparkSession, path)
+    # parsed once: of the payloads only metadata is needed from here on
+    read = captures(stage(read.withColumn("payload", F.when(F.col("type") == "metadata", F.col("payload")))
+                          .withColumn("http_head", F.lit(None).cast("string"))))
     page = F.regexp_extract(F.decode("metadata.payload", "UTF-8"), r"pageId: (-?\d+)", 1)
     rows = read.select("record_id", page.try_cast("bigint").alias("page_id"),
                        "payload_bytes", "payload_digest", "record_type", F.col("refers_to").alias("ref"))
