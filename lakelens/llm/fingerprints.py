@@ -3,7 +3,8 @@
 A signature has one minimum per hash function of a universal family (multiply, add,
 keep the 16 high bits of the minimum) over the text's shingles; functions and shingles meet in numpy,
 many texts at once. Equal places of two signatures estimate the Jaccard similarity.
-``near_pairs`` joins signature bands in Spark and verifies on the full sets.
+``near_pairs`` joins signature bands in Spark, searches what the join leaves open, and
+verifies on the full sets.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakelens.llm import near
 from lakelens.llm.shared import slices, text_or_empty
 from lakelens.llm.shingles import Powers, mix, shingle_sets
 from lakelens.session import stage
@@ -180,12 +182,15 @@ def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
 def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band: int = 4) -> DataFrame:
     """(a, b, jaccard): near pairs between the classes of equal shingle sets.
 
-    ``a`` and ``b`` are the smallest doc_ids of two classes, a < b; copies are one
-    class and not expanded. Signature bands are joined in Spark: each member of a
-    band's bucket meets the bucket's first member, and what the star leaves open
-    is found by ``near.near_classes``, whose links are complete. Here a pair is
-    returned if it shares a band with its hub and its Jaccard similarity, counted
-    on the full sets, is at least ``similarity``. Rows without id or words have none.
+    ``a`` and ``b`` are the smallest doc_ids of two classes, a <= b, equal only where
+    one id has different texts; copies are one class and not expanded. Signature
+    bands are joined in Spark: each member of a band's bucket meets the bucket's first
+    member. A bucket whose members still are in different components after that is
+    searched whole, in blocks. Every pair's Jaccard similarity is counted on the full
+    sets and at least ``similarity`` (kept to hundredths). Not all pairs come out, which
+    are as many as the square of a group, but two classes that share a band and are
+    alike are always linked, directly or over others. Rows without id or words have
+    no pairs.
     """
     share = round(similarity * 100)
 
@@ -199,30 +204,58 @@ def near_pairs(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band:
                                                          digest_size=8).digest(), "big", signed=True)
                           for i in range(HASHES // band)] if len(s) else [] for s, r in zip(sets, rows)]
                 yield pa.record_batch({
-                    "doc_id": part.column("doc_id"),
+                    "doc_id": part.column("doc_id"), "row": part.column("row"),
+                    "n": pa.array([len(s) for s in sets], pa.int64()),
                     "set_key": pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     "bands": pa.array(bands, pa.list_(pa.int64()))})
 
     def counted(batches):
-        powers = Powers()
         for batch in batches:
-            for part in slices(batch, "text_a", 1 << 20):
-                x, y = (shingle_sets(part.column(c), shingle, powers) for c in ("text_a", "text_b"))
-                both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y)], float)
-                union = np.array([len(a) + len(b) for a, b in zip(x, y)]) - both
-                keep = 100 * both >= share * union
-                yield pa.record_batch({"a": part.column("a"), "b": part.column("b"),
-                                       "jaccard": pa.array(both / np.maximum(union, 1))}).filter(pa.array(keep))
+            both, union = [], []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both.append(len(np.intersect1d(x, y, assume_unique=True)))
+                union.append(len(x) + len(y) - both[-1])
+            both, union = np.array(both, np.int64), np.array(union, np.int64)
+            yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"),
+                                   "jaccard": pa.array(both / np.maximum(union, 1), pa.float64())}).filter(
+                pa.array(100 * both >= share * union, pa.bool_()))
 
     source = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    rows = stage(source.mapInArrow(signed, "doc_id bigint, set_key binary, bands array<bigint>").where("size(bands) > 0"))
-    classes = rows.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    member = classes.select("doc_id", F.explode("bands").alias("bucket"))
-    hubs = member.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).where("a < most")
-    pairs = member.join(hubs, "bucket").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    text = source.dropDuplicates(["doc_id"])
-    texts_a = text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    texts_b = text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(texts_a, "a").join(texts_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        counted, "a bigint, b bigint, jaccard double")
+    source = source.select("doc_id", near.row_key().alias("row"), "text")
+    rows = stage(source.mapInArrow(
+        signed, "doc_id bigint, row bigint, n bigint, set_key binary, bands array<bigint>").where("n > 0"))
+    # one vertex per distinct shingle set; its id is its place, fixed by writing
+    classes = rows.groupBy("set_key").agg(
+        F.min(F.struct("doc_id", "row")).alias("lead"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = stage(classes.select(
+        F.monotonically_increasing_id().alias("v"), "lead.doc_id", "lead.row", "n", "bands"))
+    member = classes.select("v", "doc_id", "n", F.explode("bands").alias("bucket"))
+    hubs = member.groupBy("bucket").agg(
+        F.min(F.struct("doc_id", "v", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    others = stage(member.join(hubs.select("bucket", "hub"), "bucket").where("v <> hub.v"))
+
+    def full_sets(ends: DataFrame) -> DataFrame:
+        return near.sets_of(ends, classes.select("v", "row"), source.select("row", "text"), shingle)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = full_sets(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))))
+        a = sets.select(F.col("v").alias("a"), F.col("shingles").alias("set_a"))
+        b = sets.select(F.col("v").alias("b"), F.col("shingles").alias("set_b"))
+        return stage(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(
+            counted, "a bigint, b bigint, jaccard double"))
+
+    # a set of other size cannot be alike
+    stars = stage(others.where(f"least(n, hub.n) * 100 >= greatest(n, hub.n) * {share}").select(
+        F.col("hub.v").alias("a"), F.col("v").alias("b")).distinct())
+    links = verified(stars)
+    # a bucket's hub has met all others; what is left are pairs of others
+    comp = stage(near.components(links.select("a", "b")))
+    more = near.open_links(others, comp, full_sets, share)
+    more = stage(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = links.unionByName(verified(more))
+    ids = classes.select("v", "doc_id")
+    named = links.join(ids.select(F.col("v").alias("a"), F.col("doc_id").alias("id_a")), "a").join(
+        ids.select(F.col("v").alias("b"), F.col("doc_id").alias("id_b")), "b")
+    return named.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "jaccard")

@@ -323,6 +323,37 @@ def _is_stars(edges: DataFrame) -> bool:
     return each.where("out > 1 OR (out > 0 AND into > 0)").isEmpty()
 
 
+def sets_of(ends: DataFrame, leads: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(v, shingles) of the classes ``ends`` (v): the full sets of their rows in ``leads`` (v, row)."""
+    wanted = ends.distinct().join(leads, "v")
+    sets = texts.join(wanted, "row").select("v", "text").mapInArrow(_sets(shingle), "v bigint, shingles binary")
+    # a class's row may come several times; dealt by v, as the joins need it
+    return sets.dropDuplicates(["v"])
+
+
+def open_links(members: DataFrame, comp: DataFrame, full_sets, share: int) -> DataFrame:
+    """(a, b): what still joins components (v, comp) inside buckets of ``members`` (bucket, v, n).
+
+    Buckets whose members are in several components are searched whole, in pairs of
+    blocks, on full sets. Links may come more than once.
+    """
+    labelled = members.select("bucket", "v", "n").join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    open_ = labelled.groupBy("bucket").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(size).cast("int").alias("blocks")
+    ).where("lo < hi").select("bucket", "blocks")
+    # a member meets every block once: as the left or as the right one of a pair of blocks
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    search = stage(
+        labelled.join(open_, "bucket")
+        .withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select("*", meets.alias("other"))
+        .select("bucket", "v", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")))
+    pieces = search.join(full_sets(search.select("v")), "v").select(
+        "bucket", "i", "j", "v", "comp", "side", "shingles")
+    return pieces.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(
+        _searched(share), "a bigint, b bigint")
+
+
 def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept, row, leads.
 
@@ -364,12 +395,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
             _estimated(least), "a bigint, b bigint")
 
     def full_sets(ends: DataFrame) -> DataFrame:
-        """(v, shingles) of the classes ``ends`` (v)."""
-        wanted = ends.distinct().join(classes.select("v", F.col("lead.row").alias("row")), "v")
-        sets = texts.join(wanted, "row").select("v", "text").mapInArrow(
-            _sets(shingle), "v bigint, shingles binary")
-        # a class's row may come several times; dealt by v, as the joins need it
-        return sets.dropDuplicates(["v"])
+        return sets_of(ends, classes.select("v", F.col("lead.row").alias("row")), texts, shingle)
 
     def verified(pairs: DataFrame) -> DataFrame:
         sets = full_sets(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))))
@@ -384,22 +410,7 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     links = stage(verified(stage(estimated(stars))))
     # a bucket's hub has met all others; what is left are pairs of others
     comp = stage(components(links))
-    labelled = others.select("bucket", "v", "n").join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)
-    open_ = labelled.groupBy("bucket").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(size).cast("int").alias("blocks")
-    ).where("lo < hi").select("bucket", "blocks")
-    # a member meets every block once: as the left or as the right one of a pair of blocks
-    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    search = stage(
-        labelled.join(open_, "bucket")
-        .withColumn("side", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select("*", meets.alias("other"))
-        .select("bucket", "v", "comp", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")))
-    pieces = search.join(full_sets(search.select("v")), "v").select(
-        "bucket", "i", "j", "v", "comp", "side", "shingles")
-    more = pieces.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(
-        _searched(share), "a bigint, b bigint")
-    more = stage(more.distinct())
+    more = stage(open_links(others, comp, full_sets, share).distinct())
     if not more.isEmpty():
         comp = components(comp.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(more))
     named = classes.select("v", "set_key", "lead").join(comp, "v", "left").withColumn("comp", F.coalesce("comp", "v"))

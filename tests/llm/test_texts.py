@@ -54,6 +54,25 @@ def test_near_pairs(spark):
     assert got == [(1, 2, round(94 / 96, 4))]
 
 
+def test_near_pairs_around_a_passage_that_many_share(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = words(100)
+    rows = [(i, " ".join(passage + words(70))) for i in range(1, 121)]
+    rows += [(500, " ".join(passage + words(4))), (501, " ".join(passage + words(4)))]
+    got = [(r.a, r.b) for r in fingerprints.near_pairs(docs(spark, rows)).collect()]
+    assert got == [(500, 501)]
+
+
+def test_near_pairs_of_an_id_with_two_texts(spark):
+    rng = random.Random(6)
+    base, other = ([f"w{rng.randrange(10**6)}" for _ in range(100)] for _ in range(2))
+    rows = [(7, " ".join(base)), (7, " ".join(other)), (8, " ".join(base[:-2])), (9, " ".join(other[:-2])),
+            (3, " ".join(base[1:])), (3, " ".join(base[1:-1]))]
+    got = {(r.a, r.b) for r in fingerprints.near_pairs(docs(spark, rows)).collect()}
+    assert (7, 9) in got and {b for a, b in got if a == 3} == {3, 7, 8} and got <= {(7, 9), (3, 3), (3, 7), (3, 8), (7, 8)}
+
+
 def vocabulary():
     import public_tokenizers
 
