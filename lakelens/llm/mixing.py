@@ -144,8 +144,9 @@ def thresholds(rows: DataFrame, mix: Mix) -> DataFrame:
     sums = sums.withColumn("_upto", F.sum("_sum").over(up_to))
     cut = sums.where((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_sum") <= F.col("_rest")))
     cut = cut.select(*leaf, "_bucket", (F.col("_rest") - F.col("_upto") + F.col("_sum")).alias("_room"))
-    inside = placed.select(*leaf, "_bucket", "_key", "_tokens").join(cut, [*leaf, "_bucket"])
-    # rows of equal key are peers of a range frame: taken or left together
+    # rows of equal key are taken or left together: summed map-side, a hot id is one row
+    inside = placed.join(cut, [*leaf, "_bucket"]).groupBy(*leaf, "_bucket", "_key", "_room").agg(
+        F.sum("_tokens").alias("_tokens"))
     running = F.sum("_tokens").over(Window.partitionBy(*leaf, "_bucket").orderBy("_key"))
     last = (
         inside.withColumn("_run", running).where("_run <= _room")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -104,6 +105,19 @@ def test_mix_is_what_sql_takes(spark, how):
     assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
+def test_rows_of_a_hot_id_are_summed_before_the_running_total(spark):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "'a' AS _domain", "'x' AS _lang",
+                                        "'s' AS _source", "1L AS _tokens")
+    how = mixing.Mix(tokens=1500)
+    plan = mixing.thresholds(rows, how)._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("_run"):]
+    assert re.search(r"Window \[sum\(_tokens.*\n.*Aggregate \[[^\]]*_key", window)
+    full, last = mixing.thresholds(rows, how).select("_full", "_last").first()
+    key = mixing.order_key(0, how.seed)
+    taken = rows.where(key <= last).count()
+    assert full == 0 and taken <= 1500
+
+
 def test_budgets_go_to_siblings_first(spark):
     sizes = spark.createDataFrame(
         [(1, "a", "x", "s", 10), (2, "a", "y", "s", 1000), (3, "b", "x", "s", 1000)],
