@@ -12,7 +12,8 @@ often as their sets are alike, so
 3. a pair's likeness is estimated from the counts of larger, equal and smaller
    registers jointly with both set sizes, by the sign of the derivative of their
    likelihood at a similarity four standard errors below the wanted one;
-4. pairs that pass are verified on their full shingle sets;
+4. pairs that pass are verified on their full shingle sets, then those that do not
+   pass, as far as their ends are not in one component by then;
 5. a bucket with members in several components after that is searched in blocks: full
    sets meet in numpy, and of the links found only those come out that still join
    two components. Shingles that one member alone has cannot be shared, so many
@@ -405,11 +406,19 @@ def near_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
             _verified(share), "a bigint, b bigint")
 
     others = member.where("v <> hub.v")
-    stars = others.where("least(n, hub.n) * 100 >= greatest(n, hub.n) * " + str(share)).select(
-        F.col("hub.v").alias("a"), F.col("v").alias("b")).distinct()
+    # a set of other size cannot be alike
+    stars = stage(others.where("least(n, hub.n) * 100 >= greatest(n, hub.n) * " + str(share)).select(
+        F.col("hub.v").alias("a"), F.col("v").alias("b")).distinct())
     links = stage(verified(stage(estimated(stars))))
-    # a bucket's hub has met all others; what is left are pairs of others
     comp = stage(components(links))
+    # the estimate only orders the work: pairs it refused are verified too, unless linked by others
+    ends = [comp.select(F.col("v").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab"]
+    refused = stars.join(ends[0], "a", "left").join(ends[1], "b", "left").where(
+        "coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b")
+    late = stage(verified(stage(refused)))
+    if not late.isEmpty():
+        comp = stage(components(comp.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(late)))
+    # a bucket's hub has met all others on full sets; what is left are pairs of others
     more = stage(open_links(others, comp, full_sets, share).distinct())
     if not more.isEmpty():
         comp = components(comp.select(F.col("v").alias("a"), F.col("comp").alias("b")).union(more))

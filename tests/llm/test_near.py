@@ -82,6 +82,11 @@ def test_long_bucket_is_dealt_in_blocks(spark, monkeypatch):
     test_components(spark, 4)
 
 
+def test_pairs_that_the_estimate_refuses_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(near, "_margin", lambda similarity: 0.995)
+    test_components(spark, 4)
+
+
 def test_linking_joins_what_all_pairs_would():
     rng = random.Random(5)
     data = [(i, t) for i, t in rows() if t and t.strip() and i is not None]
