@@ -441,8 +441,13 @@ def row_key() -> Column:
 
 def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each near-duplicate class of ``docs``, that with the smallest id, as it
-    came. Texts without words are no copies of each other; rows repeated with the
-    same id and text are one."""
-    leads = near_classes(docs, shingle, similarity).where("leads").select(F.col("row").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", row_key())
-    return keyed.join(leads, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    came; of rows with that id and text, one. Texts without words are no copies of each
+    other: all their rows stay, null and repeated ids too."""
+    worded = text_or_empty().rlike(r"[^\x20\x09-\x0D]")
+    key = "_row"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    leads = near_classes(docs, shingle, similarity).where("leads AND n_shingles > 0")
+    leads = leads.select(F.col("row").alias(key)).distinct()
+    first = docs.where(worded).withColumn(key, row_key()).join(leads, key, "left_semi").dropDuplicates([key])
+    return first.select(*docs.columns).union(docs.where(~worded))

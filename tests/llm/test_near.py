@@ -55,6 +55,15 @@ def test_one_of_each_class_stays(spark):
     assert wordless <= set(kept) and len(kept) == len(wordless) + len(ids)
 
 
+def test_all_rows_without_words_stay(spark):
+    data = [(None, None), (None, ""), (None, " \t\n"), (1, ""), (1, ""), (None, "one two"), (None, "one two"), (2, "\u00a0")]
+    table = spark.createDataFrame([(i, t, "en", str(k), k) for k, (i, t) in enumerate(data)], SCHEMA)
+    kept = near.deduplicated(table.withColumnRenamed("n_chars", "_row"))
+    assert kept.columns == ["doc_id", "text", "lang", "source", "_row"]
+    places = sorted(r._row for r in kept.collect())
+    assert places[:5] == [0, 1, 2, 3, 4] and places[5] in (5, 6) and places[6:] == [7]
+
+
 def test_empty(spark):
     table = spark.createDataFrame([], SCHEMA)
     assert near.near_classes(table).count() == 0
