@@ -7,7 +7,21 @@ import uuid
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakelens.llm import bpe, fingerprints, langid, mixing, near, quality, secrets, topk, toxicity, warc
+from lakelens.llm import (
+    bpe,
+    codes,
+    fingerprints,
+    langid,
+    mixing,
+    near,
+    quality,
+    resampling,
+    secrets,
+    semdedup,
+    topk,
+    toxicity,
+    warc,
+)
 from lakelens.llm.shared import table
 from lakelens.session import scratch_dir
 
@@ -104,3 +118,19 @@ def op6_quality(spark, folder):
 @query()
 def op8_language(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
+
+
+@query(codes.compress_sql())
+def op11_codes(spark, folder):
+    return codes.compress(table(spark, folder, "embeddings")).drop("label")
+
+
+@query(semdedup.vector_classes_sql())
+def op12_vectors(spark, folder):
+    return semdedup.vector_classes(table(spark, folder, "embeddings"))
+
+
+@query()
+def op13_resampling(spark, folder):
+    drawn = resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
