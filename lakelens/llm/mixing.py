@@ -192,10 +192,14 @@ def mix(docs: DataFrame, how: Mix = DEFAULT_MIX, domain: str = DOMAIN_SQL) -> Da
 
 
 def mix_sql(how: Mix = DEFAULT_MIX, domain: str = DOMAIN_SQL) -> str:
-    """The same choice in DuckDB SQL, with a plain running total per leaf."""
+    """The same choice in DuckDB SQL, with a plain running total per leaf.
+
+    Rows are taken in order of a hash of seed, epoch, id and text. Rows that repeat id and
+    text are alike to the query, so which of them a cut takes makes no difference.
+    """
     parts = [f"""
     docs AS (SELECT doc_id, {domain} AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-        CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS n_tokens FROM documents),
+        md5(coalesce(text, '')) AS text_hash, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS n_tokens FROM documents),
     leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens,
         CAST(sum(n_tokens) * {how.epochs} AS DOUBLE) AS cap FROM docs GROUP BY ALL),
     nodes0 AS (SELECT *, CAST({f'{how.tokens}' if how.tokens is not None else
@@ -224,7 +228,8 @@ def mix_sql(how: Mix = DEFAULT_MIX, domain: str = DOMAIN_SQL) -> str:
     cuts AS (SELECT domain, lang, source, least(budget // tokens, {how.epochs}) AS full_epochs,
         CASE WHEN budget < tokens * {how.epochs} THEN budget % tokens ELSE 0 END AS rest FROM plan),
     runs AS (SELECT d.*, e.epoch, full_epochs, rest, sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source, e.epoch
-        ORDER BY md5('{how.seed}:' || e.epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), ''))) AS run
+        ORDER BY md5('{how.seed}:' || e.epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_hash)
+        ROWS UNBOUNDED PRECEDING) AS run
         FROM docs d JOIN cuts USING (domain, lang, source), (SELECT unnest(range({how.epochs})) AS epoch) e)
     SELECT doc_id, domain, lang, source, n_tokens, CAST(epoch AS INTEGER) AS epoch FROM runs
     WHERE epoch < full_epochs OR (epoch = full_epochs AND run <= rest)""")
