@@ -8,9 +8,11 @@ is met among siblings before it reaches an ancestor's. Each leaf then takes whol
 seeded epochs and the token-prefix of one more.
 
 Rows of a leaf are never brought together: tokens are summed per (leaf, order
-bucket), the cut bucket is found on those sums, only the rows of the cut buckets are
-put in order, and the choice itself is a comparison of a row's order key with its
-leaf's threshold.
+bucket), the cut bucket is found on those sums in two levels of 256, only the rows of
+the cut buckets are put in order, and the choice itself is a comparison of a row's order
+key with its leaf's threshold. The key hashes id and text, so that rows of one id are
+spread like others. Exact repeats share a key; where the cut falls among them, as many
+as fit are taken, first in file order, found by counts of blocks of files.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakelens.llm.shared import text_or_empty
+from lakelens.llm.shared import free_name, packed, text_or_empty, unpacked
+from lakelens.operators.rows import file_position
 from lakelens.session import bounded_broadcast, stage
 
 LEVELS = ("domain", "lang", "source")
 
-#: Hexadecimal digits of the order key that name its bucket: 65,536 per leaf.
+#: Hexadecimal digits of the order key that name its bucket, half of them per level.
 _BUCKET_DIGITS = 4
 
+#: Rows of a file among which repeats are counted together.
+_STRETCH = 1 << 16
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -63,25 +69,30 @@ def token_count() -> Column:
 
 
 def order_key(epoch: Column | int, seed: int) -> Column:
-    """The place of a document in an epoch: a hash of seed, epoch and id.
+    """The place of a row in an epoch: a hash of seed, epoch, id and the text's hash.
 
-    Documents that share an id (null is one id) share a place, and are taken or
-    left together.
+    Null counts as an id, and as an empty text.
     """
     epoch = F.lit(epoch) if isinstance(epoch, int) else epoch
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"),
-                             F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+                             F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_hash")).cast("binary"))
 
 
-def tree(docs: DataFrame, domain: str = DOMAIN_SQL) -> DataFrame:
-    """(doc_id, _domain, _lang, _source, _tokens); null values are nodes named ''."""
-    return docs.select(
-        "doc_id",
+def _nodes(domain: str) -> list[Column]:
+    return [
         F.expr(domain).alias("_domain"),
         F.coalesce("lang", F.lit("")).alias("_lang"),
         F.coalesce("source", F.lit("")).alias("_source"),
-        token_count().alias("_tokens"),
-    )
+        F.md5(text_or_empty().cast("binary")).alias("_hash"),
+    ]
+
+
+def tree(docs: DataFrame, domain: str = DOMAIN_SQL) -> DataFrame:
+    """(doc_id, _domain, _lang, _source, _hash, _tokens, _file, _pos) of rows of files;
+    null values are nodes named ''."""
+    path, place = file_position(docs)
+    return docs.select("doc_id", *_nodes(domain), token_count().alias("_tokens"),
+                       path.alias("_file"), place.alias("_pos"))
 
 
 def _weight(level: str, mix: Mix) -> Column:
@@ -125,9 +136,21 @@ def budgets(sizes: DataFrame, mix: Mix) -> DataFrame:
     return nodes.select(*[f"_{x}" for x in LEVELS], "_tokens", F.floor("_budget").cast("bigint").alias("_budget"))
 
 
+def _cut(sums: DataFrame, leaf: list[str], digits: int) -> DataFrame:
+    """Of sums per ``_bucket`` the one the leaf's ``_rest`` ends in, by its first
+    ``digits``, and the rest left for it. A leaf has at most 256 rows here."""
+    short = sums.withColumn("_at", F.substring("_bucket", 1, digits)).groupBy(*leaf, "_rest", "_at").agg(
+        F.sum("_sum").alias("_sum"))
+    line = Window.partitionBy(*leaf).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    upto = short.withColumn("_upto", F.sum("_sum").over(line))
+    return upto.where("_upto > _rest AND _upto - _sum <= _rest").select(
+        *leaf, F.col("_at").alias("_edge"), (F.col("_rest") - F.col("_upto") + F.col("_sum")).alias("_room"))
+
+
 def thresholds(rows: DataFrame, mix: Mix) -> DataFrame:
-    """Per leaf: ``_full`` epochs taken whole and ``_last``, the greatest order key
-    taken in the epoch after them (null: none)."""
+    """Per leaf: ``_full`` epochs taken whole and ``_last``, the greatest order key taken
+    in the epoch after them; of the rows of that key those up to place ``_upto`` (file
+    and row; null: all)."""
     leaf = [f"_{x}" for x in LEVELS]
     whole = budgets(rows, mix).where("_tokens > 0")
     plan = whole.select(
@@ -139,56 +162,75 @@ def thresholds(rows: DataFrame, mix: Mix) -> DataFrame:
     plan = bounded_broadcast(plan)  # one row per leaf, if those are few
     placed = rows.join(plan, leaf).withColumn("_key", order_key(F.col("_full"), mix.seed))
     placed = placed.withColumn("_bucket", F.substring("_key", 1, _BUCKET_DIGITS))
-    sums = placed.groupBy(*leaf, "_full", "_rest", "_bucket").agg(F.sum("_tokens").alias("_sum"))
-    up_to = Window.partitionBy(*leaf).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("_upto", F.sum("_sum").over(up_to))
-    cut = sums.where((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_sum") <= F.col("_rest")))
-    cut = cut.select(*leaf, "_bucket", (F.col("_rest") - F.col("_upto") + F.col("_sum")).alias("_room"))
-    # rows of equal key are taken or left together: summed map-side, a hot id is one row
-    inside = placed.join(cut, [*leaf, "_bucket"]).groupBy(*leaf, "_bucket", "_key", "_room").agg(
-        F.sum("_tokens").alias("_tokens"))
-    running = F.sum("_tokens").over(Window.partitionBy(*leaf, "_bucket").orderBy("_key"))
-    last = (
-        inside.withColumn("_run", running).where("_run <= _room")
-        .groupBy(*leaf).agg(F.max("_key").alias("_last"))
-    )
-    edge = cut.select(*leaf, F.col("_bucket").alias("_edge"))
-    return (
-        plan.join(edge, leaf, "left").join(last, leaf, "left")
+    sums = stage(placed.groupBy(*leaf, "_rest", "_bucket").agg(F.sum("_tokens").alias("_sum")))
+    coarse = _cut(sums, leaf, _BUCKET_DIGITS // 2)
+    inner = sums.join(bounded_broadcast(coarse), leaf).where(F.col("_bucket").startswith(F.col("_edge")))
+    fine = _cut(inner.select(*leaf, F.col("_room").alias("_rest"), "_bucket", "_sum"), leaf, _BUCKET_DIGITS)
+    fine = bounded_broadcast(fine)
+    # repeats are summed map-side: a hot row is one row
+    inside = placed.join(fine, leaf).where(F.col("_bucket") == F.col("_edge")).groupBy(*leaf, "_key", "_room").agg(
+        F.sum("_tokens").alias("_sum"), F.max("_tokens").alias("_tokens"))
+    running = F.sum("_sum").over(Window.partitionBy(*leaf).orderBy("_key"))
+    inside = inside.withColumn("_run", running)
+    past = F.col("_run") > F.col("_room")
+    ends = inside.groupBy(*leaf).agg(
+        F.max(F.when(~past, F.col("_key"))).alias("_whole"),
+        F.min(F.when(past, F.struct("_key", F.floor((F.col("_room") - F.col("_run") + F.col("_sum")) / F.col("_tokens"))
+                                    .cast("bigint").alias("copies")))).alias("_part"))
+    some = F.col("_part.copies") > 0
+    cut = plan.join(fine.select(*leaf, "_edge"), leaf, "left").join(ends, leaf, "left").select(
+        *leaf, "_full", F.when(some, F.col("_part.copies")).alias("_copies"),
         # no row of the cut bucket fits: all buckets before it are taken, none of its rows
-        .withColumn("_last", F.coalesce("_last", "_edge"))
-        .select(*leaf, "_full", "_last")
-    )
+        F.when(some, F.col("_part._key")).otherwise(F.coalesce("_whole", "_edge")).alias("_last"))
+    cut = stage(cut)
+    return cut.join(_places(placed, cut, leaf), leaf, "left").select(*leaf, "_full", "_last", "_upto")
+
 
+def _places(placed: DataFrame, cut: DataFrame, leaf: list[str]) -> DataFrame:
+    """(leaf, _upto): the place of the last copy taken of the repeats that a cut falls among.
 
-def mix(docs: DataFrame, how: Mix = DEFAULT_MIX, domain: str = DOMAIN_SQL) -> DataFrame:
+    Repeats are counted by stretches of their files; only those of the stretch in which
+    the last copy lies are put in order.
+    """
+    wanted = bounded_broadcast(cut.where("_copies IS NOT NULL").select(*leaf, "_last", "_copies"))
+    copies = placed.join(wanted, leaf).where("_key = _last").select(
+        *leaf, "_copies", "_file", "_pos", F.expr(f"_pos div {_STRETCH}").alias("_stretch"))
+    counts = copies.groupBy(*leaf, "_copies", "_file", "_stretch").agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.partitionBy(*leaf).orderBy("_file", "_stretch").rowsBetween(Window.unboundedPreceding, 0)
+    held = counts.withColumn("_seen", F.sum("_n").over(line)).where("_seen >= _copies AND _seen - _n < _copies").select(
+        *leaf, "_file", "_stretch", (F.col("_copies") - F.col("_seen") + F.col("_n")).alias("_nth"))
+    row = F.row_number().over(Window.partitionBy(*leaf).orderBy("_pos"))
+    found = copies.drop("_copies").join(bounded_broadcast(held), [*leaf, "_file", "_stretch"]).withColumn("_row", row)
+    return found.where("_row = _nth").select(*leaf, F.struct("_file", "_pos").alias("_upto"))
+
+
+def mix(docs: DataFrame, how: Mix = DEFAULT_MIX, domain: str = DOMAIN_SQL, epoch: str = "epoch") -> DataFrame:
     """``docs`` with ``epoch`` (from 0): a row for each time a document is taken.
 
     Null languages, sources and domains are nodes of their own; a null or empty
     text has no tokens and comes with its leaf's first epoch if the leaf takes
     one whole or its place is before the cut. A leaf without any token has no
-    share and gives none of its rows. Repeated rows count as often as they come.
-    An empty table gives no rows. A column named ``epoch`` or one of the
-    operator's own (``_domain`` and so on) is refused.
+    share and gives none of its rows. Repeated rows count as often as they come;
+    where the cut falls among repeats of one id and text, those first in file order
+    are taken, so a leaf ends within one row of its budget. An empty table gives no
+    rows. Columns of any name pass through; where ``epoch`` is one of them, the added
+    column gets underscores behind its name. Rows that no longer are rows of files are
+    written first.
     """
-    own = {"epoch", "_full", "_last", "_tokens", *(f"_{x}" for x in LEVELS)}
-    if clash := own & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are used by the mix itself")
-    names = docs.columns
-    rows = stage(tree(docs, domain))  # narrow; read five times, so that texts are counted once
+    docs = docs if file_position(docs) else stage(docs)
+    rows = stage(tree(docs, domain))  # narrow; read several times, so that texts are read once
     leaf = [f"_{x}" for x in LEVELS]
     # few leaves are sent to the texts; many are joined, with the hot ones split by Spark
     cut = bounded_broadcast(thresholds(rows, how))
-    keyed = docs.withColumns({
-        "_domain": F.expr(domain),
-        "_lang": F.coalesce("lang", F.lit("")),
-        "_source": F.coalesce("source", F.lit("")),
-    })
+    path, place = file_position(docs)
+    keyed = docs.select(packed(docs), "doc_id", *_nodes(domain), F.struct(
+        path.alias("_file"), place.alias("_pos")).alias("_place"))
+    last = lambda e: (order_key(e, how.seed) < F.col("_last")) | (
+        (order_key(e, how.seed) == F.col("_last")) & (F.col("_upto").isNull() | (F.col("_place") <= F.col("_upto"))))
     epochs = F.array_compact(F.array(*[
-        F.when((F.col("_full") > e) | ((F.col("_full") == e) & (order_key(e, how.seed) <= F.col("_last"))), F.lit(e))
-        for e in range(how.epochs)
-    ]))
-    return keyed.join(cut, leaf).select(*names, F.explode(epochs).alias("epoch"))
+        F.when((F.col("_full") > e) | ((F.col("_full") == e) & last(e)), F.lit(e)) for e in range(how.epochs)]))
+    taken = keyed.join(cut, leaf).select("row", F.explode(epochs).alias("_epoch"))
+    return taken.select(*unpacked(docs), F.col("_epoch").alias(free_name(docs.columns, epoch)))
 
 
 def mix_sql(how: Mix = DEFAULT_MIX, domain: str = DOMAIN_SQL) -> str:

@@ -105,17 +105,30 @@ def test_mix_is_what_sql_takes(spark, how):
     assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
-def test_rows_of_a_hot_id_are_summed_before_the_running_total(spark):
-    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "'a' AS _domain", "'x' AS _lang",
-                                        "'s' AS _source", "1L AS _tokens")
-    how = mixing.Mix(tokens=1500)
-    plan = mixing.thresholds(rows, how)._jdf.queryExecution().optimizedPlan().toString()
-    window = plan[plan.index("_run"):]
-    assert re.search(r"Window \[sum\(_tokens.*\n.*Aggregate \[[^\]]*_key", window)
-    full, last = mixing.thresholds(rows, how).select("_full", "_last").first()
-    key = mixing.order_key(0, how.seed)
-    taken = rows.where(key <= last).count()
-    assert full == 0 and taken <= 1500
+@pytest.mark.parametrize("seed", [1, 2, 3, 17])
+@pytest.mark.parametrize("hot", ["IF(id % 3 = 0, NULL, id) AS doc_id, concat('a b c ', id) AS text",
+                                 "IF(id % 3 = 0, 7, id) AS doc_id, IF(id % 3 = 0, 'a b c d', concat('a b c ', id)) AS text"])
+def test_a_leaf_is_filled_across_hot_rows(spark, tmp_path, seed, hot):
+    """A third of the rows share an id, or are one row: the leaf ends within one row of its budget."""
+    rows = spark.sql(f"SELECT {hot}, 'en' AS lang, 's' AS source, id FROM range(3000)").repartition(7)
+    rows.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    taken = mixing.mix(docs, mixing.Mix(tokens=6001, seed=seed)).cache()
+    assert taken.count() == 1500 and taken.select("id").distinct().count() == 1500
+    again = mixing.mix(docs, mixing.Mix(tokens=6001, seed=seed))
+    assert taken.exceptAll(again).isEmpty()
+
+
+def test_repeats_are_taken_in_file_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "_STRETCH", 16)
+    spark.range(0, 300, 1, 3).selectExpr("5 AS doc_id", "'a b' AS text", "'en' AS lang", "'s' AS source", "id").write.parquet(
+        str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for tokens, copies in ((1, 0), (2, 1), (255, 127), (599, 299), (600, 300), (801, 400)):
+        got = mixing.mix(docs, mixing.Mix(tokens=tokens))
+        first = docs.select("id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").limit(copies % 300)
+        assert got.count() == copies
+        assert {r.id for r in got.where(f"epoch = {copies // 300}").collect()} == {r.id for r in first.collect()}
 
 
 def test_budgets_go_to_siblings_first(spark):
@@ -128,8 +141,32 @@ def test_budgets_go_to_siblings_first(spark):
 
 def test_mix_of_nothing(spark):
     assert mixing.mix(corpus(spark).limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(corpus(spark).withColumnRenamed("n_chars", "epoch"))
+
+
+OWN_NAMES = ("row", "_null", "_cid", "_chash", "_spans", "_rules", "_id", "_hash", "epoch", "_full", "_last", "_tokens", "_domain",
+             "_lang", "_source", "_place", "_upto", "_key", "_bucket", "expected_grade", "tail", "selected", "n_words", "doc",
+             "v", "comp", "bucket", "label", "h", "slot", "changed", "x")
+
+
+def test_names_of_an_operators_own_pass_through(spark, tmp_path):
+    """Every stage gives documents back with columns named like its own, values and all."""
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(30)) + ".", "en", "s", 0) for i in range(60)]
+    rows[7] = (7, rows[7][1] + " password=abcdef77 x", "en", "s", 0)
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in OWN_NAMES])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(
+        str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        for r in got.collect():
+            assert all(r[n] == f"{n}{r.doc_id}" for n in OWN_NAMES)
+    assert mixing.mix(docs).columns == [*docs.columns, "epoch_"]
+    rated = quality.rate(docs, quality.fit(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))))
+    assert rated.columns == [*docs.columns, "expected_grade_", "tail_", "selected_"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
 def toxic_rows():
@@ -187,6 +224,9 @@ def test_quality(spark):
     unknown = quality.rate(docs, quality.fit(docs, marks.limit(0)))
     assert unknown.where("NOT selected OR tail IS NOT NULL").count() == 0
     assert quality.rate(docs.limit(0), quality.fit(docs, marks)).count() == 0
+    halves = spark.createDataFrame([(i, 2.5 + 2 * (i % 2)) for i in range(160)], "doc_id long, quality double")
+    graded = quality.rate(docs, quality.fit(docs, halves)).collect()
+    assert all(r.selected == (r.doc_id % 2 == 1) for r in graded if r.doc_id is not None and r.doc_id < 200)
 
 
 def test_ordinal_grades():
