@@ -27,7 +27,7 @@ def sample(docs: DataFrame, ids: DataFrame, per_label: int) -> DataFrame:
         .groupBy(F.col("least.doc_id").alias("_doc")).agg(F.min("label").alias("label"))
     )
     # bounded by per_label and the number of labels
-    fetched = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"))
+    fetched = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"))
     return fetched.select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).groupBy("doc_id").agg(
         F.min("label").alias("label"), F.min("text").alias("text"))
 

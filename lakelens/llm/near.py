@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from lakelens.llm.shared import slices, text_or_empty
+from lakelens.llm.shared import packed, slices, text_or_empty, unpacked
 from lakelens.llm.shingles import Powers, mix, shingle_sets
 from lakelens.session import stage
 
@@ -444,10 +445,9 @@ def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     came; of rows with that id and text, one. Texts without words are no copies of each
     other: all their rows stay, null and repeated ids too."""
     worded = text_or_empty().rlike(r"[^\x20\x09-\x0D]")
-    key = "_row"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
-    leads = near_classes(docs, shingle, similarity).where("leads AND n_shingles > 0")
-    leads = leads.select(F.col("row").alias(key)).distinct()
-    first = docs.where(worded).withColumn(key, row_key()).join(leads, key, "left_semi").dropDuplicates([key])
-    return first.select(*docs.columns).union(docs.where(~worded))
+    leads = near_classes(docs, shingle, similarity).where("leads AND n_shingles > 0").select("row").distinct()
+    rows = docs.where(worded).select(packed(docs, "doc"), row_key().alias("row")).join(leads, "row", "left_semi")
+    # of rows with one id and text the same one at every run, whatever their other columns
+    rank = F.xxhash64(*[F.col("doc")[f.name] for f in docs.schema.fields if isinstance(f.dataType, AtomicType)])
+    first = rows.groupBy("row").agg(F.min_by("doc", rank).alias("doc"))
+    return first.select(*unpacked(docs, "doc")).union(docs.where(~worded))

@@ -20,14 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakelens.llm.learning import labelled, sample
-from lakelens.llm.shared import slices
+from lakelens.llm.shared import free_name, slices
 from lakelens.llm.shingles import Powers, mix, text_bytes, word_hashes
+from lakelens.sources.schema import quoted
 
 PLACES = 4096
 
 #: Labelled rows per grade to learn from; steps and ridge of the fit.
 ROWS_PER_GRADE, STEPS, RIDGE = 1024, 400, 1e-4
 
+#: Different grades learned from, and texts whose features are made at once.
+GRADES, ROWS = 64, 256
+
 _CLASSES = 16
 
 
@@ -129,24 +133,28 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, weight: np.ndarray) -
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
     """From at most ``ROWS_PER_GRADE`` rated rows of each grade; None if ratings do
-    not tell anything apart. Grades weigh as often as they come among all ratings.
+    not tell anything apart. Grades are any numbers, counted in their order, and weigh as
+    often as they come among all ratings; of more than ``GRADES`` different ones the most
+    frequent are learned from.
     """
-    rated = labelled(docs, labels, label)
-    shares = {r.label: r["count"] for r in rated.groupBy("label").count().collect()}
+    rated = labelled(docs, labels, label).withColumn("label", F.col("label").cast("double"))
+    shares = {r.label: r["count"] for r in rated.groupBy("label").count().orderBy(
+        F.desc("count"), "label").limit(GRADES).collect()}
     if len(shares) < 2:
         return None
     grades = sorted(shares)
+    rated = rated.where(F.col("label").isin(grades))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", 1 << 19, ROWS):
                 x = features(part.column("text"), powers).astype(np.float16)
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "label": part.column("label"),
                                        "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    rows = sample(docs, rated, ROWS_PER_GRADE).select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    got = rows.mapInArrow(vectors, "doc_id bigint, label int, x binary").collect()
+    rows = sample(docs, rated, ROWS_PER_GRADE).select("doc_id", "label", "text")
+    got = rows.mapInArrow(vectors, "doc_id bigint, label double, x binary").collect()
     got = sorted(got, key=lambda r: r.doc_id)
     x = np.stack([np.frombuffer(bytes(r.x), np.float16) for r in got]).astype(np.float32)
     y = np.array([grades.index(r.label) for r in got])
@@ -155,31 +163,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | N
     return fit_ordinal(x, y, len(grades), weight)
 
 
+ADDED = ("expected_grade", "tail", "selected")
+
+
 def rate(docs: DataFrame, model: Model | None, target: int = 1, least: float = 0.5) -> DataFrame:
     """``docs`` with ``expected_grade``, ``tail`` = P(grade >= target) and ``selected``.
 
     A null text is rated as an empty one. Without a model all are selected, with null
-    ratings. Rows come out as they went in, repeated ones too; a column with one of
-    the three names is refused.
+    ratings. Rows come out as they went in, repeated ones too. Where ``docs`` has a column
+    of one of the three names, the added one gets underscores behind its name.
     """
-    if clash := {"expected_grade", "tail", "selected"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are the ratings' own")
-    added = "expected_grade double, tail double, selected boolean"
+    names = [free_name(docs.columns, n) for n in ADDED]
     if model is None:
-        return docs.select("*", F.lit(None).cast("double").alias("expected_grade"),
-                           F.lit(None).cast("double").alias("tail"), F.lit(True).alias("selected"))
+        return docs.select("*", F.lit(None).cast("double").alias(names[0]),
+                           F.lit(None).cast("double").alias(names[1]), F.lit(True).alias(names[2]))
 
     def rated(batches):
         powers = Powers()
         for batch in batches:
-            for part in slices(batch, "text", 1 << 19):
+            for part in slices(batch, "text", 1 << 19, ROWS):
                 tails = model.tails(features(part.column("text"), powers))
                 tail = tails[:, min(target, tails.shape[1]) - 1].astype(float)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(tails.sum(1).astype(float)), pa.array(tail), pa.array(tail >= least)],
-                    names=[*part.schema.names, "expected_grade", "tail", "selected"])
+                    names=[*part.schema.names, *names])
+
+    return docs.mapInArrow(rated, _schema(docs, f"`{names[0]}` double, `{names[1]}` double, `{names[2]}` boolean"))
+
 
-    return docs.mapInArrow(rated, _schema(docs, added))
+def selected(docs: DataFrame, model: Model | None, target: int = 1, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``rate`` selects, as they came."""
+    chosen = rate(docs, model, target, least).where(F.col(free_name(docs.columns, ADDED[2])))
+    return chosen.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def _schema(docs: DataFrame, added: str):

@@ -17,7 +17,11 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakelens.llm.shared import let, text_or_empty
+from lakelens.llm.shared import let, packed, text_or_empty, unpacked
+from lakelens.session import bounded_broadcast
+
+#: Candidate rows that are sent to every executor rather than met by a shuffle of all texts.
+CANDIDATES = 1_000_000
 
 _parser = re._parser
 
@@ -241,22 +245,19 @@ def _joined(spans: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``_spans``, every span by start, then by the rules' order.
+    """(row, text, _spans): each row of ``docs`` as one struct, its text (null: empty) and
+    every span by start, then by the rules' order.
 
-    Null texts count as empty and have no span. Null and repeated ids are keys
-    like others: the key holds a hash of the text, so equal rows get equal spans
-    and rows are neither lost nor multiplied. An empty table gives no rows.
-    Columns of ``docs`` that begin with ``_spans`` or ``_rules`` would clash and
-    are refused; all others pass through.
+    Null and repeated ids are keys like others: the key holds a hash of the text, so
+    equal rows get equal spans and rows are neither lost nor multiplied. An empty table
+    gives no rows. Columns of any name pass through, as they are inside the struct.
     """
-    clash = {"_spans", "_rules", "_id", "_hash"} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are used by the scan itself")
-    keyed = docs.withColumn("text", text_or_empty())
-    found = candidates(keyed, rules).withColumnsRenamed({"_id": "_cid", "_hash": "_chash"})
-    text_hash = F.xxhash64("text")
+    keyed = docs.select(packed(docs), "doc_id", text_or_empty().alias("text"))
+    found = candidates(keyed.select("doc_id", "text"), rules).withColumnsRenamed({"_id": "_cid", "_hash": "_chash"})
+    # up to so many candidates (24 bytes each) are sent to the texts; else both are shuffled
+    found = bounded_broadcast(found, CANDIDATES)
     joined = keyed.join(
-        found, F.col("doc_id").eqNullSafe(F.col("_cid")) & (text_hash == F.col("_chash")), "left")
+        found, F.col("doc_id").eqNullSafe(F.col("_cid")) & (F.xxhash64("text") == F.col("_chash")), "left")
     spans = []
     for bit, rule in enumerate(rules):
         here = _spans(F.col("text"), rule, bit)
@@ -265,12 +266,15 @@ def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             here = F.when(asked, here).otherwise(
                 F.from_json(F.lit("[]"), "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"))
         spans.append(here)
-    return joined.withColumn("_spans", F.array_sort(F.concat(*spans))).drop("_cid", "_chash", "_rules")
+    return joined.select("row", "text", F.array_sort(F.concat(*spans)).alias("_spans"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> DataFrame:
-    """One row per document: counts of the first ``base`` rules, their digest, all spans."""
-    rows = with_spans(docs.select("doc_id", "text"), rules).select("doc_id", "_spans")
+    """One row per document: counts of the first ``base`` rules, their digest, all spans.
+
+    Null texts count as empty: no span, and the digest of an empty list.
+    """
+    rows = with_spans(docs.select("doc_id", "text"), rules).select("row.doc_id", "_spans")
     count = lambda i: F.size(F.filter("_spans", lambda s: s["rank"] == i)).cast("bigint")
     return rows.select(
         "doc_id",
@@ -287,8 +291,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     A text with no span, a null text included, keeps its value. ``n_chars`` is
     the new length where a text changed and the table has that column.
     """
-    names = docs.columns
-    found = with_spans(docs.withColumn("_null", F.col("text").isNull()), rules)
+    found = with_spans(docs, rules)
 
     def cut(text: Column, spans: Column) -> Column:
         start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -304,12 +307,14 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
             F.array_join(x["out"], ""), F.substring(text, (x["at"] + 1).cast("int"), F.lit(2**31 - 1))))
 
     changed = F.size("_spans") > 0
-    new = F.when(changed, cut(F.col("text"), F.col("_spans"))).otherwise(
-        F.when(~F.col("_null"), F.col("text")))
-    out = found.withColumn("text", new)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    new = F.when(changed, cut(F.col("text"), F.col("_spans"))).otherwise(F.col("row")["text"])
+    out = found.select("row", changed.alias("changed"), new.alias("text"))
+    columns = dict(zip(docs.columns, unpacked(docs)))
+    columns["text"] = F.col("text")
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("changed"), F.length("text").cast("bigint")).otherwise(
+            F.col("row")["n_chars"]).alias("n_chars")
+    return out.select(*columns.values())
 
 
 def scan_sql(rules: tuple[Rule, ...] = RULES, base: int = len(BASE)) -> str:
