@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lakelens.llm import bpe, mixing, near, quality, secrets
 from lakelens.llm.shared import table
 from lakelens.session import stage
+from lakelens.sources.schema import quoted
 
 #: Stages that SQL cannot express; the tests have a brute-force version.
 ORACLE_SQL = None
@@ -27,7 +28,7 @@ def vocabulary() -> str:
 def rated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents whose chance of a good grade is under one half go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.rate(docs, model).where("selected").select(*docs.columns)
+    return quality.selected(docs, model)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights: a row for each time a document is taken."""
-    return mixing.mix(docs).drop("epoch")
+    return mixing.mix(docs).select(*[quoted(c) for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
