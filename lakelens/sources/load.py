@@ -9,8 +9,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakelens.operators.ordering import ROW_ID
 from lakelens.operators.rows import file_position, number_scan, with_row_id
 from lakelens.session import configure
+from lakelens.sources.drift import read_groups, schema_groups
 from lakelens.sources.footers import _open, as_list, list_files
 from lakelens.sources.schema import dedupe_names, quoted
 
@@ -67,6 +69,7 @@ def load(
     columns: list[str] | None = None,
     row_id: bool = False,
     mixed_units: bool = False,
+    unify: bool = True,
 ) -> DataFrame:
     """Read Parquet and register it, replacing what ``view`` named before.
 
@@ -78,6 +81,10 @@ def load(
     midnight, and repeated column names are told apart by position. No setting of
     the session is touched. ``mixed_units`` looks at every footer, for folders in
     which only later files hold such columns.
+
+    Files of different schemas are read group by group and cast to common types (see
+    ``drift``); ``unify=False`` spares the look at the footers of a folder known to be
+    of one schema.
     """
     configure(spark)
     paths = [hadoop_uri(p) for p in as_list(path)]
@@ -85,21 +92,37 @@ def load(
         spark.catalog.refreshByPath(p)
     try:
         df = spark.read.parquet(*paths)
-        if mixed_units and _any_foreign(spark, paths):
+        if unify and len(df._jdf.inputFiles()) > 1 and len(groups := schema_groups(spark, paths)) > 1:
+            df = read_groups(groups, _reader(spark, paths), row_id)
+        elif mixed_units and _any_foreign(spark, paths):
             df = load_by_position(spark, paths)
     except Exception:  # a refused schema shows as several kinds of error
         if not _foreign(_first_arrow_schema(spark, paths)):
             raise
         df = load_by_position(spark, paths)
     if columns:
-        df = df.select([F.col(quoted(c)) for c in columns])
-    if row_id:
+        numbered = [ROW_ID] if ROW_ID in df.columns and row_id else []
+        df = df.select([F.col(quoted(c)) for c in [*numbered, *columns]])
+    if row_id and ROW_ID not in df.columns:
         df = number_scan(df) if file_position(df) else with_row_id(df)
     if view:
         df.createOrReplaceTempView(view)
     return df
 
 
+def _reader(spark: SparkSession, paths: list[str]):
+    """Reads files of one schema, with the partition columns of the folder they are in."""
+    def read(files: list[str]) -> DataFrame:
+        options = {"basePath": paths[0]} if len(paths) == 1 and paths[0] not in files else {}
+        try:
+            return spark.read.options(**options).parquet(*files)
+        except Exception:
+            if not _foreign(_first_arrow_schema(spark, files)):
+                raise
+            return load_by_position(spark, files)
+    return read
+
+
 def _data_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return list_files(spark, paths).filter(~F.element_at(F.split("path", "/"), -1).rlike("^[_.]"))
 
