@@ -3,18 +3,22 @@
 Reprojection is Column arithmetic over nested arrays. Transverse Mercator uses
 the Krueger series to fourth order in the third flattening; every conformal
 projection ends in the same series from conformal to geodetic latitude. Equal-area
-projections (Albers, Lambert azimuthal) do so from authalic latitude.
+projections (Albers, Lambert azimuthal) do so from authalic latitude. Oblique grids
+(Swiss, Dutch, Krovak) go from the plane to a conformal sphere first; since that sphere's
+isometric latitude is a linear function of the ellipsoid's, no iteration follows. Other
+datums are moved to WGS 84 through geocentric coordinates by three or seven terms.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakelens.functions.geometry import GEOM_TYPE, map_vertices, vertex, vertices
+from lakelens.functions.geometry import GEOM_TYPE, let, map_vertices, vertex, vertices
 from lakelens.session import bounded_broadcast
 
 # Ellipsoids as (semi-major axis in m, inverse flattening). Fixed values.
@@ -24,19 +28,42 @@ ELLIPSOIDS = {
     "clrk66": (6378206.4, 294.978698214),
     "intl": (6378388.0, 297.0),
     "bessel": (6377397.155, 299.1528128),
+    "airy": (6377563.396, 299.3249646),
+    "mod_airy": (6377340.189, 299.3249373647),
+    "clrk80": (6378249.145, 293.465),
+    "krass": (6378245.0, 298.3),
+    "evrst30": (6377276.345, 300.8017),
+    "aust_SA": (6378160.0, 298.25),
+    "GRS67": (6378160.0, 298.247167427),
+    "WGS72": (6378135.0, 298.26),
     "sphere": (6370997.0, 0.0),
 }
 
 # Metres per unit. Fixed values.
 UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048, "us-ft": 1200.0 / 3937.0}
 
-KINDS = ("longlat", "webmerc", "merc", "tmerc", "lcc", "stere", "aea", "laea", "eqc")
+KINDS = ("longlat", "webmerc", "merc", "tmerc", "lcc", "stere", "aea", "laea", "eqc",
+         "somerc", "sterea", "omerc", "krovak", "cass")
+
+# Named datums as (ellipsoid, shift to WGS 84). Fixed values.
+DATUMS = {
+    "WGS84": ("WGS84", ()),
+    "NAD83": ("GRS80", ()),
+    "OSGB36": ("airy", (446.448, -125.157, 542.06, 0.1502, 0.247, 0.8421, -20.4894)),
+    "ch1903": ("bessel", (674.374, 15.056, 405.346)),
+    "potsdam": ("bessel", (598.1, 73.7, 418.2, 0.202, 0.045, -2.455, 6.7)),
+    "hermannskogel": ("bessel", (577.326, 90.129, 463.919, 5.137, 1.474, 5.297, 2.4232)),
+    "ire65": ("mod_airy", (482.53, -130.596, 564.557, -1.042, -0.214, -0.631, 8.15)),
+    "carthage": ("clrk80", (-263.0, 6.0, 431.0)),
+}
 
 PARAMS_TYPE = (
     "struct<kind: string, fe: double, fn: double, unit: double, lon0: double, scale: double,"
     " xi0: double, b1: double, b2: double, b3: double,"
     " d1: double, d2: double, d3: double, d4: double,"
-    " cone: double, rho0: double, sin0: double, cos0: double, stretch: double, q0: double>"
+    " cone: double, rho0: double, sin0: double, cos0: double, stretch: double, q0: double,"
+    " sing: double, cosg: double, ex: double, ey: double, nx: double, ny: double,"
+    " ea: double, es: double, tx: double, ty: double, tz: double, rx: double, ry: double, rz: double, ds: double>"
 )
 REGISTRY_SCHEMA = (
     f"epsg int, name string, params {PARAMS_TYPE}, units string,"
@@ -60,6 +87,11 @@ class CrsDef:
     fe: float = 0.0
     fn: float = 0.0
     unit: float = 1.0
+    alpha: float | None = None  # azimuth of an oblique line, or co-latitude of a cone's axis
+    gamma: float | None = None  # angle from the skewed to the rectified grid
+    from_origin: bool = False  # oblique Mercator that counts from its natural origin
+    shift: tuple[float, ...] = ()  # to WGS 84: metres, arc seconds (position vector), parts per million
+    axis: str = "enu"
 
     def params(self) -> dict[str, float | str]:
         """Constants of the inverse, worked out once per definition."""
@@ -78,6 +110,10 @@ class CrsDef:
             "d3": 56 * n**3 / 15 - 136 * n**4 / 35,
             "d4": 4279 * n**4 / 630,
             "cone": 1.0, "rho0": 0.0, "sin0": 0.0, "cos0": 1.0, "stretch": 1.0, "q0": 0.0,
+            "sing": 0.0, "cosg": 1.0,
+            **dict(zip(("ex", "ey", "nx", "ny"), self._axes())),
+            "ea": self.a, "es": f * (2 - f),
+            **dict(zip(("tx", "ty", "tz", "rx", "ry", "rz", "ds"), self._shift())),
         }
         if self.kind == "tmerc":
             radius = self.a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
@@ -99,11 +135,64 @@ class CrsDef:
             out.update(self._equal_area(math.sqrt(f * (2 - f))))
         if self.kind == "stere":
             out.update(self._stereographic(math.sqrt(f * (2 - f))))
+        if self.kind in ("somerc", "sterea", "krovak"):
+            out.update(self._conformal_sphere(math.sqrt(f * (2 - f))))
+        if self.kind == "omerc":
+            out.update(self._oblique(math.sqrt(f * (2 - f))))
+        if self.kind == "cass":
+            out.update(scale=self.a / (1 + n) * (1 + n**2 / 4 + n**4 / 64), xi0=_rectifying(math.radians(self.lat0), n, f))
+            out.update(zip(("d1", "d2", "d3", "d4"), _footpoint_series(n)))
         if self.kind == "eqc":
             out.update(d1=0.0, d2=0.0, d3=0.0, d4=0.0, xi0=math.radians(self.lat0),
                        cos0=math.cos(math.radians(self.lat_ts or 0.0)), scale=self.a)
         return {k: v if k == "kind" else float(v) for k, v in out.items()}
 
+    def _shift(self) -> tuple[float, ...]:
+        given = (*self.shift, *[0.0] * (7 - len(self.shift)))
+        second = math.pi / 180 / 3600
+        return (*given[:3], *[r * second for r in given[3:6]], given[6] * 1e-6)
+
+    def _axes(self) -> tuple[float, ...]:
+        """How the first and second coordinate make up easting and northing."""
+        turn = {"e": (1.0, 0.0), "w": (-1.0, 0.0), "n": (0.0, 1.0), "s": (0.0, -1.0)}
+        first, second = (turn[c] for c in self.axis[:2])
+        return first[0], second[0], first[1], second[1]
+
+    def _conformal_sphere(self, e: float) -> dict[str, float]:
+        """``cone`` times the ellipsoid's isometric latitude plus ``q0`` is the sphere's."""
+        p0 = math.radians(self.lat0)
+        es = e * e
+        c = math.sqrt(1 + es * math.cos(p0) ** 4 / (1 - es))
+        s0 = math.asin(math.sin(p0) / c)
+        radius = self.a * math.sqrt(1 - es) / (1 - es * math.sin(p0) ** 2)
+        out = {"cone": c, "q0": math.atanh(math.sin(s0)) - c * _isometric(p0, e), "scale": radius * self.k0,
+               "sin0": math.sin(s0), "cos0": math.cos(s0)}
+        if self.kind == "krovak":
+            axis, parallel = math.radians(self.alpha), math.radians(self.lat1)
+            out |= {"sin0": math.sin(axis), "cos0": math.cos(axis), "stretch": math.sin(parallel),
+                    "rho0": radius * self.k0 / math.tan(parallel), "xi0": math.tan(math.pi / 4 + parallel / 2)}
+        return out
+
+    def _oblique(self, e: float) -> dict[str, float]:
+        p0, es = math.radians(self.lat0), e * e
+        alpha = math.radians(self.alpha)
+        gamma = math.radians(self.gamma if self.gamma is not None else self.alpha)
+        b = math.sqrt(1 + es * math.cos(p0) ** 4 / (1 - es))
+        a = self.a * b * self.k0 * math.sqrt(1 - es) / (1 - es * math.sin(p0) ** 2)
+        d = max(1.0, b * math.sqrt(1 - es) / (math.cos(p0) * math.sqrt(1 - es * math.sin(p0) ** 2)))
+        side = math.copysign(1.0, p0)
+        f = d + math.sqrt(d * d - 1) * side
+        turn = math.asin(math.sin(alpha) / d)
+        lon0 = math.radians(self.lon0) - math.asin((f - 1 / f) / 2 * math.tan(turn)) / b
+        if self.from_origin:
+            along = 0.0
+        elif abs(abs(self.alpha) - 90) < 1e-9:
+            along = a * (math.radians(self.lon0) - lon0)
+        else:
+            along = a / b * math.atan2(math.sqrt(d * d - 1), math.cos(alpha)) * side
+        return {"lon0": lon0, "scale": a / b, "cone": b, "q0": math.log(f) - b * _isometric(p0, e), "xi0": along,
+                "sin0": math.sin(turn), "cos0": math.cos(turn), "sing": math.sin(gamma), "cosg": math.cos(gamma)}
+
     def _equal_area(self, e: float) -> dict[str, float]:
         p1, p2, p0 = (math.radians(v) for v in (self.lat1, self.lat2, self.lat0))
         m = lambda p: math.cos(p) / math.sqrt(1 - (e * math.sin(p)) ** 2)
@@ -152,6 +241,11 @@ def _authalic_series(n: float) -> tuple[float, float, float, float]:
     )
 
 
+def _footpoint_series(n: float) -> tuple[float, float, float, float]:
+    """From rectifying to geodetic latitude, to fourth order."""
+    return (3 * n / 2 - 27 * n**3 / 32, 21 * n**2 / 16 - 55 * n**4 / 32, 151 * n**3 / 96, 1097 * n**4 / 512)
+
+
 def _isometric(phi: float, e: float) -> float:
     s = math.sin(phi)
     return math.atanh(s) - e * math.atanh(e * s)
@@ -181,7 +275,7 @@ def utm(zone: int, south: bool = False, rf: float = 298.257223563) -> CrsDef:
 
 #: Arguments of a definition that are used, or that change no coordinate.
 _KNOWN_ARGS = frozenset("""proj datum ellps a b rf units to_meter zone south lon_0 lat_0 lat_1 lat_2 lat_ts
-    x_0 y_0 k k_0 towgs84 nadgrids axis pm no_defs type wktext over title""".split()) | {""}
+    x_0 y_0 k k_0 alpha gamma lonc no_uoff no_off towgs84 nadgrids axis pm no_defs type wktext over title""".split()) | {""}
 
 #: Prime meridians by name, degrees east of Greenwich: fixed values.
 _MERIDIANS = {"greenwich": 0.0, "paris": 2.337229167, "lisbon": -9.131906111, "bogota": -74.080916667,
@@ -207,34 +301,40 @@ def parse_definition(text: str) -> CrsDef:
         args[key] = value
     if unknown := set(args) - _KNOWN_ARGS:
         raise ValueError(f"unsupported: {', '.join(sorted(unknown))}")
-    if args.get("axis", "enu") != "enu":
-        raise ValueError(f"unsupported: axis {args['axis']}")
+    axis = args.get("axis", "enu")
+    if not re.fullmatch("[ew][ns]u|[ns][ew]u", axis):
+        raise ValueError(f"unsupported: axis {axis}")
     proj = args.get("proj", "")
     number = lambda key, default=0.0: float(args.get(key) or default)
-    if any(float(v) for v in args.get("towgs84", "").split(",") if v):
-        raise ValueError("unsupported: datum shift")
     if args.get("nadgrids", "@null") != "@null":
         raise ValueError("unsupported: grid shift")
-    datum = {"WGS84": "WGS84", "NAD83": "GRS80"}.get(args.get("datum", ""), args.get("datum"))
-    if datum and datum not in ELLIPSOIDS:
+    datum = args.get("datum")
+    if datum and datum not in DATUMS:
         raise ValueError(f"unsupported: datum {datum}")
-    a, rf = ELLIPSOIDS[datum or args.get("ellps") or "WGS84"]
+    ellipsoid, shift = DATUMS[datum] if datum else (args.get("ellps") or "WGS84", ())
+    if ellipsoid not in ELLIPSOIDS:
+        raise ValueError(f"unsupported: ellipsoid {ellipsoid}")
+    if args.get("towgs84"):
+        shift = tuple(float(v) for v in args["towgs84"].split(","))
+        if len(shift) not in (3, 7):
+            raise ValueError("unsupported: datum shift of other than 3 or 7 terms")
+    shift = shift if any(shift) else ()
+    a, rf = ELLIPSOIDS[ellipsoid]
     if "a" in args:
         a = number("a")
         rf = number("rf") or (a / (a - number("b")) if "b" in args and number("b") != a else 0.0)
     unit = number("to_meter") or UNITS.get(args.get("units", "m"), 0.0)
     if not unit:
         raise ValueError(f"unsupported: units {args.get('units')}")
-    common = dict(a=a, rf=rf, unit=unit)
+    common = dict(a=a, rf=rf, unit=unit, shift=shift, axis=axis)
     pm = _meridian(args.get("pm", "0"))
     if pm and proj in ("longlat", "latlong", "utm"):
         raise ValueError(f"unsupported: {proj} from another prime meridian")
     if proj in ("longlat", "latlong"):
-        return CrsDef("longlat")
+        return CrsDef("longlat", a=a, rf=rf, shift=shift, axis=axis)
     if proj == "utm":
         base = utm(int(args["zone"]), "south" in args)
-        return CrsDef(base.kind, a=a, rf=rf, lon0=base.lon0, k0=base.k0, fe=base.fe, fn=base.fn,
-                      unit=unit)
+        return CrsDef(base.kind, **common, lon0=base.lon0, k0=base.k0, fe=base.fe, fn=base.fn)
     lat1 = number("lat_1", number("lat_0"))
     place = dict(
         lon0=number("lon_0") + pm, lat0=number("lat_0"), fe=number("x_0"), fn=number("y_0"),
@@ -250,6 +350,18 @@ def parse_definition(text: str) -> CrsDef:
         place |= dict(lat1=lat1, lat2=number("lat_2", lat1)) if proj == "aea" else {}
         place |= dict(lat_ts=number("lat_ts")) if "lat_ts" in args else {}
         return CrsDef(proj, **common, **place)
+    if proj in ("somerc", "sterea", "cass"):
+        return CrsDef(proj, **common, **place)
+    if proj == "omerc":
+        if "alpha" not in args or number("lat_0") == 0:
+            raise ValueError("unsupported: oblique Mercator by two points or at the equator")
+        place |= dict(lon0=number("lonc", number("lon_0")) + pm, alpha=number("alpha"))
+        place |= dict(gamma=number("gamma")) if "gamma" in args else {}
+        return CrsDef(proj, **common, **place, from_origin="no_uoff" in args or "no_off" in args)
+    if proj == "krovak":
+        place |= dict(lat0=number("lat_0", 49.5), lon0=number("lon_0", 24 + 5 / 6) + pm,
+                      k0=number("k_0", number("k", 0.9999)))
+        return CrsDef(proj, **common, **place, lat1=78.5, alpha=number("alpha", 30 + 17 / 60 + 17.3031 / 3600))
     if proj == "lcc":
         return CrsDef("lcc", **common, **place, lat1=lat1, lat2=number("lat_2", lat1))
     raise ValueError(f"unsupported: projection {proj!r}")
@@ -408,6 +520,131 @@ def _authalic_aea(parts: Column, p: Column) -> Column:
     ))
 
 
+def _from_sphere(sphere: Column, p: Column) -> Column:
+    """Longitude and latitude on the conformal sphere to conformal ones on the ellipsoid."""
+    return map_vertices(sphere, lambda v: F.struct(
+        (p["lon0"] + v["x"] / p["cone"]).alias("x"),
+        F.atan(F.sinh((F.atanh(F.sin(v["y"])) - p["q0"]) / p["cone"])).alias("y"),
+    ))
+
+
+def _metres(parts: Column, p: Column) -> Column:
+    return map_vertices(parts, lambda v: F.struct(
+        (v["x"] * p["unit"] - p["fe"]).alias("x"), (v["y"] * p["unit"] - p["fn"]).alias("y")))
+
+
+def _sphere_somerc(parts: Column, p: Column) -> Column:
+    turned = map_vertices(_metres(parts, p), lambda v: F.struct(
+        (v["x"] / p["scale"]).alias("x"), F.atan(F.sinh(v["y"] / p["scale"])).alias("y")))
+    return _from_sphere(map_vertices(turned, lambda v: F.struct(
+        F.atan2(F.cos(v["y"]) * F.sin(v["x"]),
+                p["cos0"] * F.cos(v["y"]) * F.cos(v["x"]) - p["sin0"] * F.sin(v["y"])).alias("x"),
+        F.asin(p["cos0"] * F.sin(v["y"]) + p["sin0"] * F.cos(v["y"]) * F.cos(v["x"])).alias("y"),
+    )), p)
+
+
+def _sphere_sterea(parts: Column, p: Column) -> Column:
+    polar = map_vertices(_metres(parts, p), lambda v: F.struct(
+        v["x"].alias("x"), v["y"].alias("y"), F.hypot(v["x"], v["y"]).alias("r"),
+        (F.lit(2.0) * F.atan(F.hypot(v["x"], v["y"]) / (F.lit(2.0) * p["scale"]))).alias("c")))
+    return _from_sphere(map_vertices(polar, lambda v: F.struct(
+        F.atan2(v["x"] * F.sin(v["c"]),
+                v["r"] * p["cos0"] * F.cos(v["c"]) - v["y"] * p["sin0"] * F.sin(v["c"])).alias("x"),
+        F.asin(F.cos(v["c"]) * p["sin0"] + F.when(v["r"] == 0, 0.0).otherwise(
+            v["y"] * F.sin(v["c"]) * p["cos0"] / v["r"])).alias("y"),
+    )), p)
+
+
+def _sphere_krovak(parts: Column, p: Column) -> Column:
+    # southing and westing count from the cone's apex
+    polar = map_vertices(_metres(parts, p), lambda v: F.struct(
+        (F.atan2(-v["x"], -v["y"]) / p["stretch"]).alias("x"),
+        (F.lit(2.0) * F.atan(F.pow(p["rho0"] / F.hypot(v["x"], v["y"]), F.lit(1.0) / p["stretch"]) * p["xi0"])
+         - F.lit(math.pi / 2)).alias("y"),
+    ))
+    return _from_sphere(map_vertices(polar, lambda v: F.struct(
+        F.atan2(-F.cos(v["y"]) * F.sin(v["x"]),
+                p["cos0"] * F.cos(v["y"]) * F.cos(v["x"]) + p["sin0"] * F.sin(v["y"])).alias("x"),
+        F.asin(p["cos0"] * F.sin(v["y"]) - p["sin0"] * F.cos(v["y"]) * F.cos(v["x"])).alias("y"),
+    )), p)
+
+
+def _conformal_omerc(parts: Column, p: Column) -> Column:
+    skewed = map_vertices(_metres(parts, p), lambda v: F.struct(
+        ((v["y"] * p["cosg"] + v["x"] * p["sing"] + p["xi0"]) / p["scale"]).alias("u"),
+        ((v["x"] * p["cosg"] - v["y"] * p["sing"]) / p["scale"]).alias("v"),
+    ))
+    # sinh and cosh of -v are half the difference and sum of exp(-v) and its inverse
+    return map_vertices(skewed, lambda v: F.struct(
+        (p["lon0"] - F.atan2(F.sinh(-v["v"]) * p["cos0"] - F.sin(v["u"]) * p["sin0"], F.cos(v["u"])) / p["cone"]).alias("x"),
+        F.atan(F.sinh((F.atanh((F.sin(v["u"]) * p["cos0"] + F.sinh(-v["v"]) * p["sin0"]) / F.cosh(v["v"])) - p["q0"])
+                      / p["cone"])).alias("y"),
+    ))
+
+
+def _geodetic_cass(parts: Column, p: Column) -> Column:
+    """Degrees, from the latitude at which the meridian's foot lies."""
+    foot = map_vertices(_metres(parts, p), lambda v: F.struct(
+        v["x"].alias("x"), (p["xi0"] + v["y"] / p["scale"]).alias("y")))
+
+    def at_foot(v: Column) -> Column:
+        lat = v["y"]
+        for j in range(1, 5):
+            lat = lat + p[f"d{j}"] * F.sin(F.lit(2.0 * j) * v["y"])
+        return F.struct(v["x"].alias("x"), lat.alias("y"))
+
+    def bent(v: Column) -> Column:
+        s2, t = F.pow(F.sin(v["y"]), F.lit(2.0)), F.pow(F.tan(v["y"]), F.lit(2.0))
+        w = F.lit(1.0) - p["es"] * s2
+        d = v["x"] * F.sqrt(w) / p["ea"]
+        d2 = d * d
+        lat = v["y"] - w / (F.lit(1.0) - p["es"]) * F.tan(v["y"]) * d2 * (
+            F.lit(0.5) - (F.lit(1.0) + F.lit(3.0) * t) * d2 / F.lit(24.0))
+        lon = d * (F.lit(1.0) - t * d2 * (F.lit(1 / 3.0) - (F.lit(1.0) + F.lit(3.0) * t) * d2 / F.lit(15.0))) / F.cos(v["y"])
+        return vertex(F.degrees(p["lon0"] + lon), F.degrees(lat))
+
+    return map_vertices(map_vertices(foot, at_foot), bent)
+
+
+_WGS_A, _WGS_F = ELLIPSOIDS["WGS84"][0], 1 / ELLIPSOIDS["WGS84"][1]
+_WGS_B, _WGS_ES = _WGS_A * (1 - _WGS_F), _WGS_F * (2 - _WGS_F)
+
+
+def _shifted(parts: Column, p: Column) -> Column:
+    """Degrees on the source's ellipsoid, height 0, to degrees on WGS 84.
+
+    The way back from geocentric coordinates is closed (one step from the reduced
+    latitude): near the ground it is right to a micrometre.
+    """
+    def geocentric(v: Column) -> Column:
+        lon, lat = F.radians(v["x"]), F.radians(v["y"])
+        nu = p["ea"] / F.sqrt(F.lit(1.0) - p["es"] * F.pow(F.sin(lat), F.lit(2.0)))
+        return F.struct((nu * F.cos(lat) * F.cos(lon)).alias("x"), (nu * F.cos(lat) * F.sin(lon)).alias("y"),
+                        (nu * (F.lit(1.0) - p["es"]) * F.sin(lat)).alias("z"))
+
+    def moved(v: Column) -> Column:
+        m = F.lit(1.0) + p["ds"]
+        x = m * (v["x"] - p["rz"] * v["y"] + p["ry"] * v["z"]) + p["tx"]
+        y = m * (p["rz"] * v["x"] + v["y"] - p["rx"] * v["z"]) + p["ty"]
+        z = m * (p["rx"] * v["y"] - p["ry"] * v["x"] + v["z"]) + p["tz"]
+        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+
+    def reduced(v: Column) -> Column:
+        r = F.hypot(v["x"], v["y"])
+        return F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"), r.alias("r"),
+                        F.atan2(v["z"] * F.lit(_WGS_A), r * F.lit(_WGS_B)).alias("t"))
+
+    def geodetic(v: Column) -> Column:
+        cube = lambda c: c * c * c
+        lat = F.atan2(v["z"] + F.lit(_WGS_ES / (1 - _WGS_ES) * _WGS_B) * cube(F.sin(v["t"])),
+                      v["r"] - F.lit(_WGS_ES * _WGS_A) * cube(F.cos(v["t"])))
+        return vertex(F.degrees(F.atan2(v["y"], v["x"])), F.degrees(lat))
+
+    for step in (geocentric, moved, reduced, geodetic):
+        parts = map_vertices(parts, step)
+    return parts
+
+
 def _plate_carree(parts: Column, p: Column) -> Column:
     return map_vertices(parts, lambda v: F.struct(
         (p["lon0"] + (v["x"] * p["unit"] - p["fe"]) / (p["scale"] * p["cos0"])).alias("x"),
@@ -438,17 +675,33 @@ _TO_AUXILIARY = {
     "laea": _authalic_laea,
     "aea": _authalic_aea,
     "eqc": _plate_carree,
+    "somerc": _sphere_somerc,
+    "sterea": _sphere_sterea,
+    "krovak": _sphere_krovak,
+    "omerc": _conformal_omerc,
 }
 
 
-def to_wgs84(geom: Column, params: Column, kinds: tuple[str, ...] = KINDS) -> Column:
-    """Every vertex to WGS 84; null where a result is not a finite coordinate."""
-    parts = F.when(params["kind"] == "longlat", geom["parts"])
+def to_wgs84(geom: Column, params: Column, crs: CrsDef | None = None) -> Column:
+    """Every vertex to WGS 84; null where a result is not a finite coordinate.
+
+    With ``crs``, the one that ``params`` are of, steps it does not take are left out.
+    """
+    kinds = (crs.kind,) if crs else KINDS
+    given = geom["parts"]
+    if crs is None or crs.axis != "enu":
+        plain = (params["ex"] == 1.0) & (params["ny"] == 1.0)
+        given = F.when(plain, given).otherwise(map_vertices(given, lambda v: vertex(
+            params["ex"] * v["x"] + params["ey"] * v["y"], params["nx"] * v["x"] + params["ny"] * v["y"])))
+    parts = F.when(params["kind"] == "longlat", given)
     for kind in kinds:
         if kind in _TO_AUXILIARY:
-            parts = parts.when(
-                params["kind"] == kind, _geodetic(_TO_AUXILIARY[kind](geom["parts"], params), params)
-            )
+            parts = parts.when(params["kind"] == kind, _geodetic(_TO_AUXILIARY[kind](given, params), params))
+    if "cass" in kinds:
+        parts = parts.when(params["kind"] == "cass", _geodetic_cass(given, params))
+    if crs is None or crs.shift:
+        terms = [F.abs(params[c]) for c in ("tx", "ty", "tz", "rx", "ry", "rz", "ds")]
+        parts = let(parts, lambda here: F.when(F.greatest(*terms) > 0, _shifted(here, params)).otherwise(here))
     moved = F.struct(geom["type"].alias("type"), parts.alias("parts")).cast(GEOM_TYPE)
     finite = F.forall(
         vertices(moved), lambda v: (F.abs(v["x"]) <= 1e6) & (F.abs(v["y"]) <= 90.0 + 1e-9)
@@ -475,9 +728,9 @@ def reproject(
             if crs not in known:
                 raise ValueError(f"unsupported EPSG code {crs}: give its definition")
             crs = known[crs][1]
-        if crs.kind == "longlat":
+        if crs.kind == "longlat" and not crs.shift and crs.axis == "enu":
             return _with_error(df, F.lit(None).cast("string"))
-        moved = df.withColumn("__moved", to_wgs84(F.col(geom), _params_column(crs), (crs.kind,)))
+        moved = df.withColumn("__moved", to_wgs84(F.col(geom), _params_column(crs), crs))
         unknown = F.lit(False)
     else:
         registry = registry if registry is not None else crs_registry(df.sparkSession)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +47,10 @@ class GeoInfo:
     bbox: tuple[float, float, float, float] | None = None
     epsg: int | None = None
     definition: CrsDef | None = None
+    #: Whether rows or files disagree; the other fields are then the majority's.
+    mixed: bool = field(default=False, compare=False)
+    #: What was counted: (encoding or geometry column, CRS, rows or files), most first.
+    found: tuple[tuple, ...] = field(default=(), compare=False)
 
     def with_epsg(self, epsg: int | None, definition: CrsDef | None = None) -> GeoInfo:
         """Override the CRS; built-in codes bring their own definition."""
@@ -125,11 +129,14 @@ def parse_geo_metadata(text: str) -> GeoInfo | None:
     )
 
 
-def _from_footers(spark: SparkSession, paths: str | list[str]) -> GeoInfo | None:
-    """What the first file's ``geo`` value says, with the bbox of all its kind.
+FOUND_ROWS = 50  # kinds of rows or files that a GeoInfo lists
 
-    Files of one dataset differ in bbox and other details; those that agree on
-    column and CRS have their boxes united in Spark.
+
+def footer_census(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(geo_column, encoding, crs, files, boxed, b0..b3, value): one row per kind of file.
+
+    Counted over every footer with a ``geo`` entry. Files of one dataset differ in bbox
+    and other details; the boxes of those that agree are united.
     """
     entries = kv_metadata(spark, paths, "geo")
     column = F.coalesce(
@@ -142,24 +149,26 @@ def _from_footers(spark: SparkSession, paths: str | list[str]) -> GeoInfo | None
     box = F.from_json(detail("bbox"), "array<double>")
     usable = F.when((F.size(box) == 4) & F.forall(box, lambda v: v.isNotNull() & ~F.isnan(v)), box)
     files = entries.withColumn("geo_column", column).select(
-        "path", "value", "geo_column", detail("crs").alias("crs"), usable.alias("box"))
-    rows = (
-        files.groupBy("geo_column", "crs")
-        .agg(
-            F.min_by("value", "path").alias("value"), F.min("path").alias("path"),
-            F.bool_and(F.col("box").isNotNull()).alias("boxed"),
-            *[F.min(F.get("box", F.lit(i))).alias(f"b{i}") for i in (0, 1)],
-            *[F.max(F.get("box", F.lit(i))).alias(f"b{i}") for i in (2, 3)],
-        )
-        .orderBy("path")
-        .limit(1)
-        .collect()
+        "path", "value", "geo_column", F.lower(F.coalesce(detail("encoding"), F.lit("wkb"))).alias("encoding"),
+        detail("crs").alias("crs"), usable.alias("box"))
+    return files.groupBy("geo_column", "encoding", "crs").agg(
+        F.count(F.lit(1)).alias("files"), F.min("path").alias("path"), F.min_by("value", "path").alias("value"),
+        F.bool_and(F.col("box").isNotNull()).alias("boxed"),
+        *[F.min(F.get("box", F.lit(i))).alias(f"b{i}") for i in (0, 1)],
+        *[F.max(F.get("box", F.lit(i))).alias(f"b{i}") for i in (2, 3)],
     )
-    info = parse_geo_metadata(rows[0]["value"]) if rows else None
-    if info is None:
+
+
+def _from_footers(spark: SparkSession, paths: str | list[str], columns: list[str]) -> GeoInfo | None:
+    """What most files say of a column the dataset has; ties go to the first path."""
+    kinds = footer_census(spark, paths).orderBy(F.desc("files"), "path").limit(FOUND_ROWS).collect()
+    told = [(r, info) for r in kinds if (info := parse_geo_metadata(r["value"])) and info.column in columns]
+    if not told:
         return None
-    box = tuple(rows[0][f"b{i}"] for i in range(4)) if rows[0]["boxed"] else None
-    return replace(info, bbox=box)
+    row, info = told[0]
+    box = tuple(row[f"b{i}"] for i in range(4)) if row["boxed"] else None
+    found = tuple((r["geo_column"], r["crs"], r["files"]) for r in kinds)
+    return replace(info, bbox=box, mixed=len(told) > 1, found=found)
 
 
 # ------------------------------------------------------------ name and type
@@ -179,71 +188,100 @@ def _hinted(name: str) -> bool:
     return any(part in name for part in NAME_PARTS)
 
 
-def _esri(df: DataFrame, field: T.StructField) -> GeoInfo:
-    col = F.col(quoted(field.name))
-    first = sample_prefix(df.filter(col.isNotNull()).select(col.alias("v")), 1)
-    row = first.select(esri_epsg(F.col("v"), field.dataType)).first()
-    epsg = row[0] if row else None
-    return GeoInfo(field.name, "esri", epsg=epsg, is_wgs84=epsg is None or epsg in GEOGRAPHIC_CODES)
+# A text that begins as well-known text does. Fixed value.
+_WKT = (r"(?i)^\s*(POINT|LINESTRING|POLYGON|MULTIPOINT|MULTILINESTRING|MULTIPOLYGON|GEOMETRYCOLLECTION)"
+        r"\s*(Z|M|ZM)?\s*(\(|EMPTY)")
+
 
+def text_kind(col: Column) -> Column:
+    """esri, wkt, empty or other; null for a null."""
+    return (
+        F.when(col.isNull(), F.lit(None).cast("string"))
+        .when(F.trim(col) == "", "empty")
+        .when(looks_like_esri(col), "esri")
+        .when(col.rlike(_WKT), "wkt")
+        .otherwise("other")
+    )
 
-def _sniffs_as_esri(df: DataFrame, field: T.StructField) -> bool:
-    col = F.col(quoted(field.name))
-    first = sample_prefix(df.filter(col.isNotNull()).select(col.alias("v")), 1)
-    row = first.select(looks_like_esri(F.col("v"))).first()
-    return bool(row and row[0])
 
+def geometry_census(df: DataFrame, column: str, rows: int | None = None) -> DataFrame:
+    """(kind, epsg, n): how many values of a text or Esri column are of which kind.
 
-def _nested_info(df: DataFrame, field: T.StructField) -> GeoInfo:
-    return _esri(df, field) if is_esri_struct(field.dataType) else GeoInfo(field.name, "struct")
+    One aggregate that merges: every row is classified by itself and counted map-side.
+    ``epsg`` is what an Esri value says, else null. Looks at the first ``rows`` non-null
+    values only if asked to.
+    """
+    dtype = field_of(df, column).dataType
+    values = df.where(F.col(quoted(column)).isNotNull()).select(F.col(quoted(column)).alias("v"))
+    values = values if rows is None else sample_prefix(values, rows)
+    kind = text_kind(F.col("v")) if isinstance(dtype, T.StringType) else F.lit("esri")
+    epsg = F.when(kind == "esri", esri_epsg(F.col("v"), dtype)).cast("int")
+    return values.groupBy(kind.alias("kind"), epsg.alias("epsg")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counted(df: DataFrame, field: T.StructField, rows: int | None) -> GeoInfo:
+    """The kind and CRS most values have; ``mixed`` if others have another."""
+    found = [tuple(r) for r in geometry_census(df, field.name, rows).orderBy(
+        F.desc("n"), F.col("kind"), F.col("epsg")).limit(FOUND_ROWS).collect()]
+    sums: dict[str, int] = {}
+    for kind, _, n in found:
+        if kind in ("esri", "wkt"):
+            sums[kind] = sums.get(kind, 0) + n
+    encoding = max(sums, key=sums.get) if sums else "esri" if not isinstance(field.dataType, T.StringType) else "wkt"
+    codes = [(epsg, n) for kind, epsg, n in found if kind == "esri" and epsg is not None]
+    epsg = codes[0][0] if encoding == "esri" and codes else None
+    return GeoInfo(
+        field.name, encoding, epsg=epsg, is_wgs84=epsg is None or epsg in GEOGRAPHIC_CODES,
+        mixed=len(sums) > 1 or (encoding == "esri" and len(codes) > 1), found=tuple(found))
 
 
-def _text_info(df: DataFrame, field: T.StructField) -> GeoInfo:
-    return _esri(df, field) if _sniffs_as_esri(df, field) else GeoInfo(field.name, "wkt")
+def _nested_info(df: DataFrame, field: T.StructField, rows: int | None) -> GeoInfo:
+    return _counted(df, field, rows) if is_esri_struct(field.dataType) else GeoInfo(field.name, "struct")
 
 
-def _known(df: DataFrame, field: T.StructField) -> GeoInfo | None:
+def _known(df: DataFrame, field: T.StructField, rows: int | None) -> GeoInfo | None:
     name, dtype = field.name.lower(), field.dataType
     if is_native_geometry(dtype) and (name in GEOMETRY_NAMES or _hinted(name)):
         return GeoInfo(field.name, "native")
     if _is_nested(dtype) and (name in GEOMETRY_NAMES or _hinted(name)):
-        return _nested_info(df, field)
+        return _nested_info(df, field, rows)
     if isinstance(dtype, T.StringType) and name in (*GEOMETRY_NAMES, *TEXT_NAMES):
-        return _text_info(df, field)
+        return _counted(df, field, rows)
     if isinstance(dtype, T.BinaryType) and name in GEOMETRY_NAMES:
         return GeoInfo(field.name, "wkb")
     return None
 
 
-def _hinted_binary(df: DataFrame, field: T.StructField) -> GeoInfo | None:
+def _hinted_binary(df: DataFrame, field: T.StructField, rows: int | None) -> GeoInfo | None:
     if isinstance(field.dataType, T.BinaryType) and _hinted(field.name.lower()):
         return GeoInfo(field.name, "wkb")
     return None
 
 
-def _named(df: DataFrame, field: T.StructField) -> GeoInfo | None:
+def _named(df: DataFrame, field: T.StructField, rows: int | None) -> GeoInfo | None:
     """A known name is enough, whatever the type."""
     if field.name.lower() not in GEOMETRY_NAMES:
         return None
     return GeoInfo(field.name, "wkb")
 
 
-def _from_schema(df: DataFrame) -> GeoInfo | None:
+def _from_schema(df: DataFrame, rows: int | None = None) -> GeoInfo | None:
     for rule in (_known, _hinted_binary, _named):
         for field in df.schema.fields:
-            info = rule(df, field)
+            info = rule(df, field, rows)
             if info is not None:
                 return info
     return None
 
 
-def resolve_encoding(df: DataFrame, info: GeoInfo) -> GeoInfo:
+def resolve_encoding(df: DataFrame, info: GeoInfo, rows: int | None = None) -> GeoInfo:
     """Let the column's own type decide where it is a native or nested one."""
     dtype = field_of(df, info.column).dataType
     if is_native_geometry(dtype):
         return replace(info, encoding="native")
     if info.encoding in ("wkb", "wkt") and _is_nested(dtype):
-        return _nested_info(df, field_of(df, info.column))
+        nested = _nested_info(df, field_of(df, info.column), rows)
+        return replace(nested, mixed=nested.mixed or info.mixed, found=nested.found or info.found)
     return info
 
 
@@ -280,18 +318,19 @@ def detect_geometry(
     paths: str | list[str] | None = None,
     check_range: bool = True,
     range_rows: int | None = RANGE_ROWS,
+    sniff_rows: int | None = None,
 ) -> GeoInfo | None:
     """Footer metadata first, then column types and names.
 
+    Every footer counts, and every value of a text or Esri column, unless ``sniff_rows``
+    says how many; the majority decides, and ``mixed`` and ``found`` tell of the others.
     Whether coordinates are degrees is asked of all rows, or of ``range_rows``.
     """
-    info = _from_footers(df.sparkSession, paths) if paths else None
-    if info is not None and info.column not in df.columns:
-        info = None
-    info = info or _from_schema(df)
+    info = _from_footers(df.sparkSession, paths, df.columns) if paths else None
+    info = info or _from_schema(df, sniff_rows)
     if info is None:
         return None
-    info = resolve_encoding(df, info)
+    info = resolve_encoding(df, info, sniff_rows)
     if check_range and info.is_wgs84 and info.encoding != "esri" and _decodable(df, info):
         if not looks_geographic(df, info, range_rows).first()[0]:
             info = replace(info, is_wgs84=False)
