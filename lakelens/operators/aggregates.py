@@ -24,7 +24,9 @@ class Agg:
         return given or f"{self.fn.lower()}_{'count' if self.col == '*' else self.col}"
 
 
-def aggregate_column(df: DataFrame, agg: Agg, widen: bool = False) -> Column:
+def aggregate_column(df: DataFrame, agg: Agg, widen: bool = True) -> Column:
+    """One aggregate. Sums of integers are decimals of 38 digits, so that they do not
+    overflow; ``widen=False`` keeps them longs, which fail when they do."""
     fn = agg.fn.upper()
     if fn not in FUNCTIONS:
         raise ValueError(f"unknown aggregate {agg.fn!r}; known: {FUNCTIONS}")
@@ -47,7 +49,7 @@ def aggregate_column(df: DataFrame, agg: Agg, widen: bool = False) -> Column:
 
 
 def aggregate(
-    df: DataFrame, group_by: list[str], aggs: list[Agg], widen: bool = False
+    df: DataFrame, group_by: list[str], aggs: list[Agg], widen: bool = True
 ) -> DataFrame:
     """Group and aggregate; groups alone give their distinct values."""
     keys = [F.col(quoted(c)) for c in group_by]

@@ -33,7 +33,7 @@ class QuerySpec:
     aggregates: tuple[Agg, ...] = ()
     sorts: tuple[Sort, ...] = ()
     limit: int | None = None
-    widen_sums: bool = False
+    widen_sums: bool = True
     keep: tuple[str, ...] = field(default=(), compare=False)  # shown although opaque
 
     def __post_init__(self):

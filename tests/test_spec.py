@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,8 +58,10 @@ def test_aggregate_names_and_defaults(df):
 
 def test_sum_widening(spark):
     big = spark.createDataFrame([(2**62,), (2**62,), (2**62,)], "v bigint")
-    out = L.run_spec(big, QuerySpec(mode="aggregate", aggregates=(Agg("SUM", "v", "t"),), widen_sums=True))
-    assert int(out.first().t) == 3 * 2**62
+    spec = QuerySpec(mode="aggregate", aggregates=(Agg("SUM", "v", "t"),))
+    assert int(L.run_spec(big, spec).first().t) == 3 * 2**62
+    with pytest.raises(Exception, match="ARITHMETIC_OVERFLOW"):
+        L.run_spec(big, replace(spec, widen_sums=False)).collect()
 
 
 def test_result_timing(df):
