@@ -8,10 +8,17 @@ The merges themselves are the tokenizers library's. Around it:
 * A long text is encoded as a tree: it is cut into halves down to leaves, wherever
   the cut falls; leaves are rows of their own and are encoded in parallel by any
   task. Two neighbours are then joined: a window around the cut is encoded again and
-  grown until it shares a token, at the same place, with either side beyond the part
-  that the cut could have changed. What lies between is taken from the window. Only
-  the ends of a leaf, up to white space, keep the places of their tokens for that; a
-  leaf without white space is all end, and such leaves are joined pair by pair.
+  grown until it shares a token, at the same place, with either side. What lies
+  between is taken from the window. Only the ends of a leaf keep the places of their
+  tokens for that.
+
+Why one shared token is enough: tokens are an encoding of a word exactly if each two
+neighbours are the encoding of what they spell. Left of the shared token all neighbours
+are neighbours in the left part, from it on in the window, and none of them touches the
+end that was cut into the left part or the window. Where a word ends, the text alone
+says: a run of letters or of other signs ends at the first sign of another kind,
+wherever one began to read it. Around added tokens, and for other kinds of vocabulary,
+a shared token counts only next to white space.
 """
 
 from __future__ import annotations
@@ -22,7 +29,9 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +45,16 @@ LEAF = 1 << 15
 EDGE = 256
 
 #: Words whose codes a task keeps; the table is emptied when it is full.
-_KEPT = 400_000
+_KEPT = 1_000_000
 
-# White space as the library's patterns see it; Python's own split() also cuts at 1C-1F.
-_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
-_ODD = re.compile("[\x1c-\x1f]")
+#: Words of letters that are encoded as one text.
+TOGETHER = 128
 
+#: Bytes of short texts whose words are looked up together.
+BYTES = 1 << 23
 
-def words(text: str) -> list[str]:
-    """The maximal runs without white space."""
-    if _ODD.search(text) is None:
-        return text.split()
-    return [w for w in _SPACES.split(text) if w]
+# White space as the library's patterns see it.
+_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
 def tokenizer_json(path: str) -> str:
@@ -71,6 +78,13 @@ def splits_at_spaces(spec: str) -> bool:
     return squeezed and plain and bool(cut) and tight and d.get("post_processor") is None and d.get("decoder") is None
 
 
+def neighbours_decide(spec: str) -> bool:
+    """Whether neighbouring tokens alone decide if an encoding is right: plain byte pairs."""
+    model = json.loads(spec)["model"]
+    return model.get("type") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "fuse_unk", "continuing_subword_prefix"))
+
+
 class Encoder:
     """Codes of texts, with the words met so far."""
 
@@ -81,99 +95,182 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.token = {i: t for t, i in self.tokenizer.get_vocab().items()}
         self.by_word = splits_at_spaces(spec)
-        self.kept: dict[str, tuple[int, str, str]] = {}
+        self.by_pair = self.by_word and neighbours_decide(spec)
+        added = json.loads(spec).get("added_tokens", ())
+        self.added = {t["content"].lower() for t in added}
+        self.tail = json.loads(spec)["model"].get("end_of_word_suffix")
+        most = max(self.token, default=-1) + 1
+        self.last = [bool(self.tail) and self.token.get(i, "").endswith(self.tail) for i in range(most)]
+        self.spelled = [pa.array([str(i) for i in range(most)], pa.string()),
+                        pa.array([self.token.get(i, "") for i in range(most)], pa.string())]
+        self.again = 0  # code points encoded again by joins
+        self._forget()
+
+    def _forget(self) -> None:
+        """No words are known: their spellings, numbers of ids, ids and decoded texts."""
+        self.known, self.counts = pa.array([], pa.string()), np.empty(0, np.int64)
+        self.codes = [pa.array([], pa.string()), pa.array([], pa.string())]
 
     def _decoded(self, ids: list[int]) -> str:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
-    def _learn(self, new: list[str]) -> None:
-        if len(self.kept) + len(new) > _KEPT:
-            self.kept.clear()
-        for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+    def _ids(self, new: list[str]) -> list[list[int]]:
+        """Ids of each word.
+
+        Words of letters alone are encoded many to a text, which takes the library half
+        the time: each has one token that ends a word, its last. A text in which there are
+        more or fewer of those than words goes word by word, as all other words do.
+        """
+        plain = [n for n, w in enumerate(new) if self.tail and w.isalpha()]
+        out: list = [None] * len(new)
+        runs = [plain[i:i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        texts = [" ".join([new[n] for n in run]) for run in runs]
+        for run, code in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = code.ids
-            # without a decoder step, decode() is the tokens' own texts
-            self.kept[word] = (len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids]))
+            cuts = [n + 1 for n, i in enumerate(ids) if self.last[i]]
+            if len(cuts) == len(run) and cuts[-1] == len(ids):
+                for n, start, end in zip(run, [0, *cuts], cuts):
+                    out[n] = ids[start:end]
+        rest = [n for n, x in enumerate(out) if x is None]
+        for n, code in zip(rest, self.tokenizer.encode_batch_fast([new[n] for n in rest], add_special_tokens=False)):
+            out[n] = code.ids
+        return out
+
+    def _learn(self, new: pa.Array) -> None:
+        ids = self._ids(new.to_pylist())
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        taken = pa.array(np.fromiter((i for x in ids for i in x), np.int64, ends[-1]))
+        bounds = pa.array(ends.astype(np.int32))
+        # without a decoder step, decode() is the tokens' own texts
+        texts = [pc.binary_join(pa.ListArray.from_arrays(bounds, each.take(taken)), " ") for each in self.spelled]
+        self.known = pa.concat_arrays([self.known, new])
+        self.counts = np.concatenate([self.counts, np.diff(ends)])
+        self.codes = [pa.concat_arrays([have, t]) for have, t in zip(self.codes, texts)]
 
     def encode(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, ids as text, decoded text)."""
+        """(number of ids, ids as text, decoded text), by the library alone."""
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return len(ids), " ".join(map(str, ids)), self._decoded(ids)
+
+    def encode_many(self, texts: pa.Array) -> list[tuple[int, str, str]]:
+        """``encode`` of each text; words are split, numbered and looked up by Arrow.
+
+        Texts with control signs at which Arrow splits and the vocabulary does not are
+        left to the library.
+        """
+        texts = texts.fill_null("")
         if not self.by_word:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return len(ids), " ".join(map(str, ids)), self._decoded(ids)
-        found = words(text)
-        kept = self.kept
-        new = [w for w in dict.fromkeys(found) if w not in kept]
-        if new:
-            if len(new) + len(kept) > _KEPT:  # then none may be lost on the way
-                new = list(dict.fromkeys(found))
+            return [self.encode(t) for t in texts.to_pylist()]
+        odd = np.flatnonzero(pc.match_substring_regex(texts, "[\\x1c-\\x1f]").to_numpy(zero_copy_only=False))
+        split = pc.utf8_split_whitespace(texts)
+        ends = np.asarray(split.offsets)
+        ends = ends - ends[0]
+        coded = split.flatten().dictionary_encode()
+        found = coded.dictionary
+        new = found.filter(pc.invert(pc.is_in(found, self.known)))
+        if len(new) + len(self.known) > _KEPT:
+            self._forget()
+            new = found
+        if len(new):
             self._learn(new)
-            kept = self.kept
-        codes = [kept[w] for w in found]
+        code = pc.index_in(found, self.known).to_numpy()[coded.indices.to_numpy()] if len(found) else np.empty(0, np.int32)
         # a library decode joins tokens by one space; a word without tokens adds none
-        codes = [c for c in codes if c[0]]
-        return sum(c[0] for c in codes), " ".join([c[1] for c in codes]), " ".join([c[2] for c in codes])
+        some = self.counts[code] > 0
+        bounds = pa.array(np.concatenate([[0], np.cumsum(some)])[ends].astype(np.int32))
+        sums = np.concatenate([[0], np.cumsum(self.counts[code])])
+        spelled = pa.array(code[some])
+        out = [np.diff(sums[ends]).tolist()] + [
+            pc.binary_join(pa.ListArray.from_arrays(bounds, each.take(spelled)), " ").to_pylist() for each in self.codes]
+        out = list(zip(*out))
+        for n in odd.tolist():
+            out[n] = self.encode(texts[n].as_py())
+        return out
 
     def spans(self, text: str, start: int) -> list[tuple[int, int, int]]:
         """(id, begin, end) per token, places counted from ``start``."""
         code = self.tokenizer.encode(text, add_special_tokens=False)
         return [(i, a + start, b + start) for i, (a, b) in zip(code.ids, code.offsets)]
 
-    def join(self, text: str, left: list, right: list, ends: tuple[int, int, int], window: int = 64) -> list:
+    def join(self, text: str, left: list, right: list, ends: tuple[int, int, int], window: int = 64,
+             inner: tuple[bool, bool] = (False, False)) -> list | None:
         """Tokens of a part of a text from those of its halves; ``ends``: begin, cut, end.
 
-        The window begins where a token of the left part begins and ends where one of
-        the right part ends, unless it has reached an end of the text. It agrees with
-        the left part if, between its own edge and the cut, both have the same token
-        at the same place next to white space, and likewise on the right: from such a
-        place on, neither part's edge can have had a say. A part whose agreement is
-        its outer end agrees by itself.
+        The window agrees with the left part where both have the same token at the same
+        place, short of the cut and next to white space unless neighbours decide alone;
+        likewise on the right. A part whose agreement is its outer end agrees by itself,
+        unless that end is said to be ``inner``: tokens beyond it are not at hand. If it
+        takes those to agree, there is no result.
         """
         lo_text, cut, hi_text = ends
+        alone = self.by_pair and self._plain(text)
         while True:
             lo = max(lo_text, cut - window)
             hi = min(hi_text, cut + window)
             middle = self.spans(text[lo:hi], lo)
-            i, j = self._agree_left(text, left, middle, lo, lo_text, cut)
-            k, m = self._agree_right(text, right, middle, hi, hi_text, cut)
+            self.again += hi - lo
+            i, j = (0, 0) if lo == lo_text and not inner[0] else self._agree_left(text, left, middle, lo, cut, alone)
+            k, m = ((len(right), len(middle)) if hi == hi_text and not inner[1]
+                    else self._agree_right(text, right, middle, hi, cut, alone))
             if i is not None and k is not None and j <= m:
                 return left[:i] + middle[j:m] + right[k:]
             if lo == lo_text and hi == hi_text:
-                return middle
+                return None if any(inner) else middle
             window *= 2
 
+    def _plain(self, text: str) -> bool:
+        """Whether no added token is in ``text``: those end words whatever stands before them."""
+        low = text.lower()
+        return not any(t in low for t in self.added)
+
+    @staticmethod
+    def _seam(text: str, token: tuple[int, int, int], lo: int, alone: bool) -> bool:
+        """Whether a token may be shared at all."""
+        return alone or (token[1] > lo and _SPACES.match(text[token[1] - 1]) is not None)
+
     @staticmethod
-    def _agree_left(text, left, middle, lo, lo_text, cut):
+    def _placed(tokens: list) -> dict:
+        """Tokens that share no character with a neighbour, and their numbers."""
+        last = len(tokens) - 1
+        return {t: n for n, t in enumerate(tokens)
+                if (n == 0 or tokens[n - 1][2] <= t[1]) and (n == last or tokens[n + 1][1] >= t[2])}
+
+    def _agree_left(self, text, left, middle, lo, cut, by_pair):
         """Places (i in left, j in middle) from which the window is taken."""
-        if lo == lo_text:
-            return 0, 0
-        at = {t: n for n, t in enumerate(left)}
+        near = next((n for n in range(len(left), 0, -1) if left[n - 1][1] < lo), 0)
+        at = {t: n + near for t, n in self._placed(left[near:]).items()}
+        alone = self._placed(middle)
         for j, token in enumerate(middle):
             if token[2] >= cut:
                 break
-            if token[1] > lo and _SPACES.match(text[token[1] - 1]) and token in at:
+            if token in at and token in alone and self._seam(text, token, lo, by_pair):
                 return at[token], j
         return None, None
 
-    @staticmethod
-    def _agree_right(text, right, middle, hi, hi_text, cut):
+    def _agree_right(self, text, right, middle, hi, cut, by_pair):
         """Places (k in right, m in middle) before which the window is taken."""
-        if hi == hi_text:
-            return len(right), len(middle)
-        at = {t: n for n, t in enumerate(right)}
+        far = next((n for n, t in enumerate(right) if t[1] >= hi), len(right))
+        at, alone = self._placed(right[:far]), self._placed(middle)
         for m in range(len(middle) - 1, -1, -1):
             token = middle[m]
             if token[1] <= cut:
                 break
-            if token[2] < hi and _SPACES.match(text[token[1] - 1]) and token in at:
+            if token[2] < hi and token in at and token in alone and self._seam(text, token, 0, by_pair):
                 return at[token], m
         return None, None
 
-    def tree(self, text: str, cuts: list[int], leaves: list[list]) -> list:
-        """Joins neighbouring leaves, then neighbouring pairs, up to the whole."""
+    def tree(self, text: str, cuts: list[int], leaves: list[list], inner: tuple[bool, bool] = (False, False)) -> list | None:
+        """Joins neighbouring leaves, then neighbouring pairs, up to the whole; ``inner``
+        says whether the first leaf's left end and the last one's right end are."""
         parts = list(zip(cuts, [*cuts[1:], len(text)], leaves))
         while len(parts) > 1:
             joined = []
-            for a, b in zip(parts[::2], parts[1::2]):
-                joined.append((a[0], b[1], self.join(text, a[2], b[2], (a[0], b[0], b[1]))))
+            for n in range(0, len(parts) - 1, 2):
+                a, b = parts[n], parts[n + 1]
+                sides = inner[0] and n == 0, inner[1] and n + 2 == len(parts)
+                tokens = self.join(text, a[2], b[2], (a[0], b[0], b[1]), inner=sides)
+                if tokens is None:
+                    return None
+                joined.append((a[0], b[1], tokens))
             parts = joined + parts[len(joined) * 2:]
         return parts[0][2] if parts else []
 
@@ -189,21 +286,26 @@ def leaf_cuts(length: int, leaf: int) -> list[int]:
 _CODES = "doc_id bigint, n_tokens bigint, ids string, decoded string"
 
 
-def _short(spec: str):
+_DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def _short(spec: str, hashed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec)
         for batch in batches:
-            for part in slices(batch, "text"):
-                codes = [encoder.encode(t) for t in part.column("text").to_pylist()]
-                yield _coded(part.column("doc_id"), codes)
+            for part in slices(batch, "text", BYTES):
+                yield _coded(part.column("doc_id"), encoder.encode_many(part.column("text")), hashed)
     return run
 
 
-def _coded(ids, codes) -> pa.RecordBatch:
-    return pa.record_batch({
-        "doc_id": ids, "n_tokens": pa.array([c[0] for c in codes], pa.int64()),
-        "ids": pa.array([c[1] for c in codes], pa.string()),
-        "decoded": pa.array([c[2] for c in codes], pa.string())})
+def _coded(doc_ids, codes, hashed: bool) -> pa.RecordBatch:
+    """Codes as they are, or only their digests: those are all that leaves the task."""
+    counts, *texts = (list(c) for c in zip(*codes)) if codes else ([], [], [])
+    if hashed:
+        texts = [[hashlib.sha256(t.encode()).hexdigest() for t in column] for column in texts]
+    names = ("ids_sha256", "decoded_sha256") if hashed else ("ids", "decoded")
+    return pa.record_batch({"doc_id": doc_ids, "n_tokens": pa.array(counts, pa.int64()),
+                            **{n: pa.array(t, pa.string()) for n, t in zip(names, texts)}})
 
 
 _LEAF = "row bigint, doc_id bigint, leaf int, start bigint, part string"
@@ -221,17 +323,17 @@ def _cut(leaf: int):
     return run
 
 
-_ENCODED = ("row bigint, doc_id bigint, leaf int, head string, head_spans array<bigint>, n bigint, ids string, "
-            "decoded string, tail string, tail_spans array<bigint>")
+_ENCODED = ("row bigint, doc_id bigint, leaf int, part string, head string, head_spans array<bigint>, n bigint, "
+            "ids string, decoded string, tail string, tail_spans array<bigint>")
 _ENCODED_ARROW = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("leaf", pa.int32()), ("head", pa.string()),
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("leaf", pa.int32()), ("part", pa.string()), ("head", pa.string()),
     ("head_spans", pa.list_(pa.int64())), ("n", pa.int64()), ("ids", pa.string()), ("decoded", pa.string()),
     ("tail", pa.string()), ("tail_spans", pa.list_(pa.int64()))])
 
 
 def ends(text: str) -> tuple[int, int]:
     """Where the middle of a leaf begins and ends: at white space, ``EDGE`` or more from
-    the leaf's ends. Without such places the middle is empty and the leaf all head."""
+    the leaf's ends. Without such places both are the end of the text."""
     first = _SPACES.search(text, EDGE)
     if first is None:
         return len(text), len(text)
@@ -239,51 +341,87 @@ def ends(text: str) -> tuple[int, int]:
     return (first.start(), last) if last > first.start() else (len(text), len(text))
 
 
+def _flat(spans: list, start: int = 0) -> list[int]:
+    return [x for i, a, b in spans for x in (i, a - start, b - start)]
+
+
+def _unspaced(encoder: Encoder, text: str) -> dict:
+    """A leaf without white space, encoded whole; ends and middle meet between two tokens.
+
+    ``part`` keeps the text, for the case that a join takes more than an end.
+    """
+    spans = encoder.spans(text, 0)
+    a = next((n for n, t in enumerate(spans) if t[1] >= EDGE), len(spans))
+    b = next((n for n in range(len(spans), 0, -1) if spans[n - 1][1] < len(text) - EDGE), 0)
+    if not encoder.by_pair or a >= b or spans[a - 1][2] > spans[a][1] or spans[b - 1][2] > spans[b][1]:
+        return {"part": text, "head": text, "head_spans": _flat(spans)}
+    middle = [t[0] for t in spans[a:b]]
+    return {"part": text, "head": text[:spans[a][1]], "head_spans": _flat(spans[:a]),
+            "n": len(middle), "ids": " ".join(map(str, middle)), "decoded": encoder._decoded(middle),
+            "tail": text[spans[b][1]:], "tail_spans": _flat(spans[b:], spans[b][1])}
+
+
 def _leaves(spec: str):
     def run(batches):
         encoder = Encoder(spec)
-        flat = lambda text: [x for t in encoder.spans(text, 0) for x in t]
         for batch in batches:
             for piece in slices(batch, "part"):
-                out = []
-                for x in piece.to_pylist():
+                out, rows = [], piece.to_pylist()
+                spots = [ends(x["part"]) if encoder.by_word else (0, 0) for x in rows]
+                codes = encoder.encode_many(pa.array([x["part"][a:b] for x, (a, b) in zip(rows, spots)], pa.string()))
+                for x, (a, b), code in zip(rows, spots, codes):
                     text = x["part"]
-                    a, b = ends(text) if encoder.by_word else (len(text), len(text))
-                    row = {k: x[k] for k in ("row", "doc_id", "leaf")} | {"head": text[:a], "head_spans": flat(text[:a])}
+                    row = {k: x[k] for k in ("row", "doc_id", "leaf")}
                     if a < b:
-                        row |= dict(zip(("n", "ids", "decoded"), encoder.encode(text[a:b])))
-                        row |= {"tail": text[b:], "tail_spans": flat(text[b:])}
+                        row |= dict(zip(("n", "ids", "decoded"), code))
+                        row |= {"head": text[:a], "head_spans": _flat(encoder.spans(text[:a], 0)),
+                                "tail": text[b:], "tail_spans": _flat(encoder.spans(text[b:], 0))}
+                    else:
+                        row |= _unspaced(encoder, text)
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, schema=_ENCODED_ARROW)
     return run
 
 
-def _joined(spec: str):
+def _joined(spec: str, hashed: bool):
     """Rows come sorted by (row, leaf): the leaves of one text follow each other."""
     def run(batches):
         encoder = Encoder(spec)
 
-        def stretch(parts: list[tuple[str, list]]) -> tuple[int, str, str]:
+        def stretch(parts: list[tuple[str, list]], inner: tuple[bool, bool]) -> tuple[int, str, str] | None:
             """Codes of ends and whole leaves that follow each other without a middle."""
             cuts, leaves, at = [], [], 0
             for text, spans in parts:
                 cuts.append(at)
                 leaves.append([(i, a + at, b + at) for i, a, b in zip(spans[::3], spans[1::3], spans[2::3])])
                 at += len(text)
-            ids = [t[0] for t in encoder.tree("".join(t for t, _ in parts), cuts, leaves)]
+            tokens = encoder.tree("".join(t for t, _ in parts), cuts, leaves, inner)
+            if tokens is None:
+                return None
+            ids = [t[0] for t in tokens]
             return len(ids), " ".join(map(str, ids)), encoder._decoded(ids)
 
-        def whole(leaves):
-            codes, parts = [], []
+        def codes_of(leaves) -> list | None:
+            """Stretches and middles in turn; a middle that does not end at white space
+            makes the stretch before it and the one after it end inside."""
+            codes, parts, before = [], [], False
             for x in leaves:
                 parts.append((x["head"], x["head_spans"]))
                 if x["tail"] is not None:
-                    codes += [stretch(parts), (x["n"], x["ids"], x["decoded"])]
-                    parts = [(x["tail"], x["tail_spans"])]
-            codes.append(stretch(parts))
+                    inside = x["part"] is not None
+                    codes += [stretch(parts, (before, inside)), (x["n"], x["ids"], x["decoded"])]
+                    parts, before = [(x["tail"], x["tail_spans"])], inside
+            codes.append(stretch(parts, (before, False)))
+            return None if None in codes else codes
+
+        def whole(leaves):
+            codes = codes_of(leaves)
+            if codes is None:  # an end was too short to agree: leaves without white space are taken whole
+                codes = codes_of([x if x["part"] is None else x | {
+                    "head": x["part"], "head_spans": _flat(encoder.spans(x["part"], 0)), "tail": None} for x in leaves])
             codes = [c for c in codes if c[0]]
             code = sum(c[0] for c in codes), " ".join(c[1] for c in codes), " ".join(c[2] for c in codes)
-            return _coded(pa.array([leaves[0]["doc_id"]], pa.int64()), [code])
+            return _coded(pa.array([leaves[0]["doc_id"]], pa.int64()), [code], hashed)
 
         held = []
         for batch in batches:
@@ -305,15 +443,25 @@ def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     no ids. Repeated rows and null ids give a row each; an empty table gives none;
     other columns are not read. ``path`` is read by the driver only.
     """
-    spec = tokenizer_json(path)
+    return _encoded(docs, path, leaf, False)
+
+
+def encode_digests(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of what ``encode`` gives,
+    taken where the codes are made."""
+    return _encoded(docs, path, leaf, True)
+
+
+def _encoded(docs: DataFrame, path: str, leaf: int, hashed: bool) -> DataFrame:
+    spec, fields = tokenizer_json(path), _DIGESTS if hashed else _CODES
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     is_long = F.length("text") > leaf
-    short = source.where(~is_long).mapInArrow(_short(spec), _CODES)
+    short = source.where(~is_long).mapInArrow(_short(spec, hashed), fields)
     cut = source.where(is_long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     # written, so that the two uses of a row's number see the same rows; long texts only
     cut = stage(cut.mapInArrow(_cut(leaf), _LEAF))
     spread = cut.repartition("row", "leaf").mapInArrow(_leaves(spec), _ENCODED)
-    joined = spread.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(_joined(spec), _CODES)
+    joined = spread.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(_joined(spec, hashed), fields)
     return short.unionByName(joined)
 
 

@@ -116,12 +116,54 @@ def test_bpe_of_odd_tables(spark):
     assert bpe.digests(bpe.encode(twice, vocabulary(), 1000)).count() == 2 * len(TEXTS)
 
 
-def test_join_grows_over_a_run_without_spaces():
-    encoder = bpe.Encoder(bpe.tokenizer_json(vocabulary()))
-    text = "the" * 2000
-    cuts = bpe.leaf_cuts(len(text), 500)
-    leaves = [encoder.spans(text[a:b], a) for a, b in zip(cuts, [*cuts[1:], len(text)])]
-    assert [t[0] for t in encoder.tree(text, cuts, leaves)] == library().encode(text, add_special_tokens=False).ids
+def encoder():
+    return bpe.Encoder(bpe.tokenizer_json(vocabulary()))
+
+
+def leaves_of(code, text, leaf):
+    cuts = bpe.leaf_cuts(len(text), leaf)
+    return cuts, [code.spans(text[a:b], a) for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", ["the"], "abc9!.é", "'s.tll"])
+def test_runs_without_spaces_keep_their_leaves(alphabet):
+    """A million code points without white space: the library's tokens, and joins that encode
+    only a little again."""
+    rng, code = random.Random(3), encoder()
+    text = "".join(rng.choice(alphabet) for _ in range(1_000_000 // len(alphabet[0])))
+    cuts, leaves = leaves_of(code, text, bpe.LEAF)
+    assert [t[0] for t in code.tree(text, cuts, leaves)] == library().encode(text, add_special_tokens=False).ids
+    assert code.by_pair and code.again < 0.01 * len(text)
+
+
+def test_joins_of_random_runs():
+    rng, code, want = random.Random(5), encoder(), library()
+    alphabets = ["ab' !.é\u0301\n\x1c\u3000Z9🙂<|>sd\x85 ", "abcdefghij", "ab'.!9", "'s'tll", "é🙂ñ漢字かな", "<|endoftext|>a"]
+    pieces = ["the", "ing", "<|endoftext|>", "'s", "''", "été", "9", "tion", "aaaa", "🙂"]
+    for n in range(1500):
+        alphabet, size = rng.choice(alphabets), rng.randrange(1, 160)
+        text = "".join(rng.choice(alphabet if n % 3 else pieces) for _ in range(size))
+        cuts, leaves = leaves_of(code, text, rng.choice([7, 15, 40]))
+        parts = list(zip(cuts, [*cuts[1:], len(text)], leaves))
+        while len(parts) > 1:
+            joined = [(a[0], b[1], code.join(text, a[2], b[2], (a[0], b[0], b[1]), window=rng.choice([2, 3, 5, 8])))
+                      for a, b in zip(parts[::2], parts[1::2])]
+            parts = joined + parts[len(joined) * 2:]
+        assert [t[0] for t in parts[0][2]] == want.encode(text, add_special_tokens=False).ids, text
+
+
+def test_looked_up_words_are_the_librarys():
+    texts = strange(4, 600) + ["", "  ", " a ", "\u200b \u200b", "ÀÉÎ naïve İstanbul ﬁn", "x\x1cy z"]
+    code = encoder()
+    for _ in range(2):  # words new, then known
+        assert [tuple(c) for c in code.encode_many(bpe.pa.array([*texts, None]))] == [code.encode(t) for t in [*texts, ""]]
+
+
+def test_digests_are_of_the_codes(spark):
+    rows = [(i, t) for i, t in enumerate([None, "", "ab " * 400, "the" * 900, "a b"])]
+    for leaf in (50, 1000):
+        want = sorted(map(tuple, bpe.digests(bpe.encode(docs(spark, rows), vocabulary(), leaf)).collect()))
+        assert sorted(map(tuple, bpe.encode_digests(docs(spark, rows), vocabulary(), leaf).collect())) == want
 
 
 SECRETS = [
