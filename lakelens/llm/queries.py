@@ -66,7 +66,7 @@ def op3_fingerprints(spark, folder):
 
 @query()
 def op9_bpe(spark, folder):
-    return bpe.digests(bpe.encode(table(spark, folder, "documents"), corpus_pipeline.vocabulary()))
+    return bpe.encode_digests(table(spark, folder, "documents"), corpus_pipeline.vocabulary())
 
 
 @query("""

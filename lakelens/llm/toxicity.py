@@ -3,10 +3,17 @@
 Small transducers read the words of a clause, one symbol each: an insult transducer
 (its words and stems are learned), a threat transducer (a threatening verb with its
 object), a target transducer (somebody is addressed), a negation and a reported-speech
-transducer. Their composition, one machine over tuples of their states, is built
-once; running it over a clause emits matches such as "insult, aimed, negated". What
-a match of each kind weighs is fitted to labelled rows, so it is matched clauses that
-are scored: a word outside of them has no weight.
+transducer. Their composition, one machine over tuples of their states, is built once
+and reads every clause forwards; a second one reads it backwards, so that a target or a
+reporting verb behind an insult counts like one before it. A clause emits its matches at
+its end: "insult, aimed, negated" and so on. All clauses of many texts that hold a
+candidate are read side by side.
+
+What a match of each kind weighs is fitted to labelled rows, around the grammar's own
+weights: a target adds, a negation and a report take away, and no fit may turn that
+round. An insult alone in its clause, without target, negation or report, is a kind like
+others: it weighs what the labels say of texts that hold no other kind, and nothing if
+those are not toxic more often than texts are on the whole.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +37,18 @@ from lakelens.llm.shingles import Powers, shingle_sets
 #: Labelled rows to learn from: toxic ones and others.
 TOXIC_ROWS, CLEAN_ROWS = 4096, 12288
 
-#: Entries of the learned lexicon, strongest first, and the evidence each needs
-#: (a log-likelihood ratio of its counts in toxic and other texts).
-ENTRIES, EVIDENCE = 2000, 24.0
+#: Evidence that an entry of the learned lexicon needs (a log-likelihood ratio of its
+#: counts in toxic and other texts).
+EVIDENCE = 24.0
 
 #: Lengths of the word beginnings that may be learned as stems.
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+
+#: What the grammar says before any label: a match, and factors of a target, a negation, a report.
+MATCH, AIMED, NEGATED, QUOTED = 1.0, 1.5, 0.3, 0.6
+
+#: Bytes of texts that are read side by side.
+BYTES = 1 << 22
 
 TARGETS = frozenset("""you your yours yourself u ur he she they him her them his their
     du dich dein deine ihr euch sie tu te toi ton ta vous votre usted ustedes tú ti""".split())
@@ -46,6 +60,7 @@ THREATS = frozenset("""kill murder hurt destroy beat shoot stab burn strangle
     töten umbringen schlagen tuer frapper matar golpear""".split())
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+_END, _SKIP = 6, 7  # a clause's end, and what is no word
 
 
 @dataclass(frozen=True)
@@ -80,8 +95,9 @@ PARTS = (INSULTS, THREATEN, AIM, NEGATE, REPORTED)
 def compose(parts: tuple[Transducer, ...] = PARTS):
     """One machine over the tuples of the parts' states that can be reached.
 
-    A step maps (state, symbol) to the next state and the kind of match: None, or
-    base (0 insult, 1 threat) with whether it is aimed, negated and reported.
+    A step maps (state, symbol) to the next state and what it says: for the first parts,
+    those that emit, whether each does, and for the others whether they are in a state
+    other than 0 before the step.
     """
     number, table, queue = {tuple(0 for _ in parts): 0}, {}, [tuple(0 for _ in parts)]
     while queue:
@@ -91,18 +107,43 @@ def compose(parts: tuple[Transducer, ...] = PARTS):
             if after not in number:
                 number[after] = len(number)
                 queue.append(after)
-            said = [(s, symbol) in p.emits for p, s in zip(parts[:2], state)]
-            kind = None
-            if any(said):
-                aimed, negated, reported = (bool(s) for s in state[2:])
-                kind = (int(said[1] and not said[0]), aimed, negated, reported)
-            table[number[state], symbol] = number[after], kind
+            said = tuple((s, symbol) in p.emits if p.emits else s > 0 for p, s in zip(parts, state))
+            table[number[state], symbol] = number[after], said
     return table
 
 
+def arrays(table) -> tuple[np.ndarray, np.ndarray]:
+    """A composed machine as next[state, symbol] and said[state, symbol, part]."""
+    states = 1 + max(s for s, _ in table)
+    parts = len(next(iter(table.values()))[1])
+    after, said = np.zeros((states, 6), np.int32), np.zeros((states, 6, parts), bool)
+    for (state, symbol), (to, what) in table.items():
+        after[state, symbol], said[state, symbol] = to, what
+    return after, said
+
+
+def read(machine, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, backwards: bool = False) -> np.ndarray:
+    """What the machine says at each symbol of clauses, all clauses a step at a time."""
+    after, said = machine
+    out = np.zeros((len(symbols), said.shape[2]), bool)
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    state = np.zeros(len(starts), np.int32)
+    live = len(starts)
+    for step in range(int(lengths.max(initial=0))):
+        while live and lengths[live - 1] <= step:
+            live -= 1
+        at = starts[:live] + (lengths[:live] - 1 - step if backwards else step)
+        now = symbols[at]
+        out[at] = said[state[:live], now]
+        state[:live] = after[state[:live], now]
+    return out
+
+
 KINDS = {k: i for i, k in enumerate(product((0, 1), (False, True), (False, True), (False, True)))}
+#: An insult with nothing else in its clause.
+BARE = KINDS[0, False, False, False]
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n|]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -116,9 +157,11 @@ class Grammar:
     bias: float
 
     def __post_init__(self):
-        self.machine = compose()
+        self.forwards, self.backwards = arrays(compose()), arrays(compose((AIM, REPORTED)))
         self.fixed = {w: s for s, group in ((TARGET, TARGETS), (NEGATION, NEGATIONS),
                                             (REPORT, REPORTING), (THREAT, THREATS)) for w in group}
+        self.fixed |= {".": _END, "": _SKIP}
+        self.seen: dict[str, tuple[int, float]] = {}
 
     def insult(self, word: str) -> float:
         best = self.words.get(word, 0.0)
@@ -127,37 +170,61 @@ class Grammar:
                 best = max(best, self.stems.get(word[:n], 0.0))
         return best
 
+    def symbol(self, word: str) -> tuple[int, float]:
+        """A word's symbol, and what it weighs if it is an insult."""
+        found = self.seen.get(word)
+        if found is None:
+            weight = 0.0 if word in (".", "") else self.insult(word)
+            found = (INSULT, weight) if weight else (self.fixed.get(word, OTHER), 1.0)
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            self.seen[word] = found
+        return found
+
     def matches(self, text: str) -> np.ndarray:
-        """Summed weight of matches per kind; the last place is their number per 100 words."""
-        out = np.zeros(len(KINDS) + 1)
-        low = text.lower()
-        marked = {}
-        for word in set(_WORD.findall(low)):
-            if weight := self.insult(word):
-                marked[word] = weight
-        threats = not THREATS.isdisjoint(_WORD.findall(low)) if not marked else True
-        if not marked and not threats:
+        return self.matches_many(pa.array([text], pa.string()))[0]
+
+    def matches_many(self, texts: pa.Array) -> np.ndarray:
+        """Summed weight of matches per kind, a row for each text; the last place is
+        their number per 100 words."""
+        out = np.zeros((len(texts), len(KINDS) + 1))
+        low = pc.utf8_lower(texts.fill_null(""))
+        low = pc.replace_substring_regex(low, r"[.!?;:\n|]+", " . ")
+        split = pc.utf8_split_whitespace(pc.replace_substring_regex(low, r"[^\pL.]+", " "))
+        ends = np.asarray(split.offsets)
+        coded = split.flatten().dictionary_encode()
+        if not len(coded):
             return out
-        state, total, hits = 0, 0, 0
-        machine, fixed = self.machine, self.fixed
-        for token in _TOKEN.findall(low):
-            if not token[0].isalpha():
-                state = 0  # a clause ends
-                continue
-            total += 1
-            weight = marked.get(token, 0.0)
-            state, kind = machine[state, INSULT if weight else fixed.get(token, OTHER)]
-            if kind is not None:
-                out[KINDS[kind]] += weight or 1.0
-                hits += 1
-        out[-1] = 100 * hits / max(1, total)
+        codes = [self.symbol(w) for w in coded.dictionary.to_pylist()]
+        place = coded.indices.to_numpy()
+        symbols = np.array([c[0] for c in codes], np.int8)[place]
+        weights = np.array([c[1] for c in codes])[place]
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+        word = symbols < _END
+        total = np.bincount(owner[word], minlength=len(texts))
+        # clauses end where a mark stands and where a text does
+        clause = np.cumsum(symbols == _END) + owner * (len(symbols) + 1)
+        symbols, weights, owner, clause = symbols[word], weights[word], owner[word], clause[word]
+        starts = np.flatnonzero(np.concatenate([[True], clause[1:] != clause[:-1]])) if len(clause) else np.empty(0, int)
+        lengths = np.diff(np.append(starts, len(clause)))
+        candidate = (symbols == INSULT) | (symbols == THREAT)
+        some = np.add.reduceat(candidate, starts) > 0 if len(starts) else np.empty(0, bool)
+        starts, lengths = starts[some], lengths[some]
+        said = read(self.forwards, symbols, starts, lengths)
+        behind = read(self.backwards, symbols, starts, lengths, backwards=True)
+        insult, threat, aimed, negated, reported = said.T
+        hit = np.flatnonzero(insult | threat)
+        kind = ((threat & ~insult) * 8 + (aimed | behind[:, 0]) * 4 + negated * 2 + (reported | behind[:, 1]))[hit]
+        np.add.at(out, (owner[hit], kind), weights[hit])
+        out[:, -1] = 100 * np.bincount(owner[hit], minlength=len(texts)) / np.maximum(total, 1)
         return out
 
-    def line(self, found: np.ndarray) -> np.ndarray:
-        return np.log1p(found) @ self.kinds + self.bias
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        line = np.log1p(self.matches_many(texts)) @ self.kinds + self.bias
+        return 1 / (1 + np.exp(-np.clip(line, -40, 40)))
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.line(self.matches(text)), -40, 40))))
+        return float(self.scores(pa.array([text], pa.string()))[0])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar | None:
         term = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
         evidence = 2 * (term(t, share) + term(c, 1 - share))
         best = found.where((t > 2) & (t > 4 * c)).withColumn("g", evidence).where(F.col("g") >= EVIDENCE).orderBy(
-            F.desc("g"), "entry").limit(ENTRIES).collect()
+            F.desc("g"), "entry").collect()  # bounded by the evidence that a bounded sample can give
         weigh = lambda r: float(np.log((r.t + 0.5) / (r.c + 0.5) * totals[0] / totals[1]))
         words = {r.entry[1:]: weigh(r) for r in best if r.entry.startswith("=")}
         stems = {r.entry: weigh(r) for r in best if not r.entry.startswith("=")}
@@ -227,39 +294,70 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar | None:
 
         def measured(batches):
             for batch in batches:
-                found = [start.matches(x) for x in batch.column("text").to_pylist()]
-                yield pa.record_batch({"label": batch.column("label"),
-                                       "found": pa.array([f.tolist() for f in found], pa.list_(pa.float64()))})
+                for part in slices(batch, "text", BYTES):
+                    found = start.matches_many(part.column("text"))
+                    yield pa.record_batch({"label": part.column("label"),
+                                           "found": pa.array(found.tolist(), pa.list_(pa.float64()))})
 
         got = rows.select("text", "label").mapInArrow(measured, "label int, found array<double>").collect()
     finally:
         rows.unpersist()
-    x, y = np.log1p(np.array([r.found for r in got])), np.array([r.label for r in got], float)
-    return Grammar(words, stems, *_logistic(x, y))
+    return Grammar(words, stems, *weigh_kinds(np.array([r.found for r in got]), np.array([r.label for r in got], float)))
+
 
+def prior() -> np.ndarray:
+    """The grammar's own weight of each kind of match, and none for their density."""
+    out = [MATCH * (AIMED if a else 1) * (NEGATED if n else 1) * (QUOTED if r else 1) for _, a, n, r in KINDS]
+    return np.array([*out, 0.0])
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Newton's method with a ridge; matches never speak against toxicity."""
+
+def in_order(w: np.ndarray) -> np.ndarray:
+    """Weights that keep the grammar's order: no kind below 0, a target never takes away,
+    a negation and a report never add."""
+    w = np.maximum(w, 0)
+    for base in (0, 1):
+        for flags in sorted(product((False, True), repeat=3), key=sum):
+            aimed, negated, reported = flags
+            here = KINDS[(base, *flags)]
+            if negated:
+                w[here] = min(w[here], NEGATED * w[KINDS[base, aimed, False, reported]])
+            elif reported:
+                w[here] = min(w[here], QUOTED * w[KINDS[base, aimed, negated, False]])
+            if aimed:
+                w[here] = max(w[here], w[KINDS[base, False, negated, reported]])
+    return w
+
+
+def weigh_kinds(found: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the kinds and the bias from matches (as ``matches`` has them) and labels.
+
+    The likeliest weights around the grammar's own, put in order, then scaled.
+    """
+    x = np.log1p(found)
+    w, _ = _logistic(x, y, prior())
+    kinds = found[:, :len(KINDS)] > 0
+    alone = kinds[:, BARE] & (kinds.sum(1) == 1)
+    if not alone.any() or y[alone].mean() <= y.mean():
+        w[BARE] = 0.0  # the labels do not say that a word alone is toxic
+    w = in_order(w)
+    scale, bias = _logistic((x @ w)[:, None], y, np.ones(1))
+    return w * max(scale[0], 0.0), bias
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, mean: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Newton's method with a ridge around ``mean``."""
     x1 = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w = np.zeros(x1.shape[1])
-    keep = np.ones(len(w), bool)
-    for _ in range(4):
-        w[:] = 0
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.clip(x1 @ w, -40, 40)))
-            grad = x1.T @ (p - y) + ridge * len(y) * np.append(w[:-1], 0)
-            hess = (x1 * (p * (1 - p))[:, None]).T @ x1 + ridge * len(y) * np.diag(np.append(np.ones(len(w) - 1), 1e-3))
-            step = np.zeros_like(w)
-            step[keep] = np.linalg.solve(hess[np.ix_(keep, keep)], grad[keep])
-            w -= step
-            if np.abs(step).max() < 1e-6:
-                break
-        wrong = (w < 0) & keep
-        wrong[-1] = False
-        if not wrong.any():
+    around = np.append(mean, 0.0)
+    w = around.copy()
+    hold = ridge * len(y) * np.append(np.ones(len(mean)), 1e-3)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -40, 40)))
+        grad = x1.T @ (p - y) + hold * (w - around)
+        step = np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(hold), grad)
+        step *= min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+        w -= step
+        if np.abs(step).max() < 1e-6:
             break
-        keep &= ~wrong
-    w[:-1] = np.maximum(w[:-1], 0)
     return w[:-1], float(w[-1])
 
 
@@ -275,10 +373,11 @@ def detect(docs: DataFrame, labels: DataFrame | None = None, grammar: Grammar |
 
     def scored(batches):
         for batch in batches:
-            scores = [grammar.score(t or "") if grammar else 0.0 for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
-                                   "score": pa.array(scores, pa.float64()),
-                                   "predicted": pa.array([int(s >= 0.5) for s in scores], pa.int32())})
+            for part in slices(batch, "text", BYTES):
+                scores = grammar.scores(part.column("text")) if grammar else np.zeros(part.num_rows)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"),
+                                       "score": pa.array(scores),
+                                       "predicted": pa.array((scores >= 0.5).astype(np.int32))})
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(
         scored, "doc_id bigint, held_out boolean, score double, predicted int")
