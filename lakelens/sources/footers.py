@@ -1,12 +1,13 @@
 """Parquet footers as DataFrames: statistics, key-value metadata, audits.
 
-Spark lists the files (``binaryFile`` with the content column pruned) and the
-footers are read inside the tasks, a batch of files each, so a directory of
+Files are listed by Spark (``binaryFile`` with the content column pruned) or in tasks, and
+the footers are read inside the tasks, a batch of files each, so a directory of
 many files costs one job.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -56,6 +57,7 @@ ADVICE = {
     "not_found": "check the address: nothing is stored there",
     "not_parquet": "the bytes are not a Parquet file: write it again",
     "zstd": "rewrite it with another codec, for example recompress(spark, src, dst, 'snappy')",
+    "damaged": "the footer is whole but data is not: restore the file or write it again",
     "unsupported_type": "load() leaves these columns out; cast them when writing",
 }
 
@@ -77,12 +79,39 @@ def list_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return listing.coalesce(8 * spark.sparkContext.defaultParallelism)
 
 
-def empty_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Paths of files without a byte: Spark lists them but plans no task for them."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(as_list(paths))
-    names = [(unquote(f.replace("file:///", "file:/", 1)),) for f in listing.inputFiles()]
-    listed = spark.createDataFrame(names, "path string")
-    return listed.join(listing.select("path"), "path", "left_anti")
+_GLOB = re.compile(r"[*?\[\]{}]")
+_FILES = "path string, length bigint, message string"
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every file below each root, or why there is none."""
+    import pyarrow.fs as pafs
+
+    for batch in batches:
+        for root in batch.column("path").to_pylist():
+            rows = []
+            try:
+                fs, name = _open(root)
+                info = fs.get_file_info(name)
+                if info.type == pafs.FileType.NotFound:
+                    rows.append((root, None, f"FileNotFound: {root}"))
+                elif info.type == pafs.FileType.File:
+                    rows.append((root, info.size, None))
+                else:
+                    rows += [(f.path, f.size, None) for f in fs.get_file_info(pafs.FileSelector(name, recursive=True))
+                             if f.type == pafs.FileType.File and not f.base_name.startswith(("_", "."))]
+            except Exception as error:  # the audit reports whatever the store says
+                rows.append((root, None, f"{type(error).__name__}: {error}"))
+            paths, sizes, messages = zip(*rows) if rows else ((), (), ())
+            yield pa.record_batch({"path": pa.array(paths, pa.string()), "length": pa.array(sizes, pa.int64()),
+                                   "message": pa.array(messages, pa.string())})
+
+
+def walk_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, length, message): files below files and folders, listed in tasks, empty and
+    missing ones included."""
+    roots = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return roots.mapInArrow(_walked, _FILES)
 
 
 def _open(path: str):
@@ -130,16 +159,52 @@ def _footer_row(path: str, length: int) -> dict:
     return row
 
 
-def _read_footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        files = zip(batch.column("path").to_pylist(), batch.column("length").to_pylist())
-        rows = [_footer_row(path, length) for path, length in files]
-        yield pa.RecordBatch.from_pylist(rows, FOOTER_SCHEMA)
+def _damage(path: str, length: int) -> str | None:
+    """Where a file's data is not what its footer says: every column chunk is read.
+
+    Chunks must lie inside the file; their pages are walked, decompressed and decoded,
+    with checksums where the writer left some. A chunk is in memory at a time.
+    """
+    import pyarrow.parquet as pq
+
+    fs, name = _open(path)
+    with fs.open_input_file(name) as handle:
+        file = pq.ParquetFile(handle, page_checksum_verification=True)
+        for g in range(file.metadata.num_row_groups):
+            group, tops = file.metadata.row_group(g), []
+            for c in range(group.num_columns):
+                chunk = group.column(c)
+                start = chunk.dictionary_page_offset or chunk.data_page_offset
+                if start < 4 or start + chunk.total_compressed_size > length:
+                    return f"damaged data: row group {g}, column {chunk.path_in_schema}: outside the file"
+                top = chunk.path_in_schema.split(".")[0]
+                tops += [top] if top not in tops else []
+            for top in tops:
+                try:
+                    rows = file.read_row_group(g, columns=[top], use_threads=False).num_rows
+                except Exception as error:
+                    return f"damaged data: row group {g}, column {top}: {error}"
+                if rows != group.num_rows:
+                    return f"damaged data: row group {g}, column {top}: {rows} of {group.num_rows} rows"
+    return None
+
+
+def _read_footers(deep: bool = False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                row = _footer_row(path, length)
+                if deep and row.get("message") is None:
+                    row["message"] = _damage(path, length)
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, FOOTER_SCHEMA)
+    return run
 
 
 def footers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per file with everything the footer says, or why it failed."""
-    return list_files(spark, paths).mapInArrow(_read_footers, from_arrow_schema(FOOTER_SCHEMA))
+    return list_files(spark, paths).mapInArrow(_read_footers(), from_arrow_schema(FOOTER_SCHEMA))
 
 
 def file_stats(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -203,37 +268,40 @@ def _audit_class(message: Column) -> Column:
     )
     return (
         F.when(message.isNull(), F.lit(None).cast("string"))
+        .when(text.startswith("damaged data"), F.lit("damaged"))
         .when(text.contains("filenotfound"), F.lit("not_found"))
         .when(unreadable, F.lit("not_parquet"))
         .otherwise(classify_message(message))
     )
 
 
-def audit_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Status of every file: ok, unsupported (Spark cannot read a type) or error."""
-    present, missing = [], []
-    for path in as_list(paths):
+def audit_files(spark: SparkSession, paths: str | list[str], deep: bool = False) -> DataFrame:
+    """Status of every file: ok, unsupported (Spark cannot read a type) or error.
+
+    Files are listed and read in tasks; a path with wildcards is listed by Spark, which
+    does not show empty files. ``deep`` reads all data as well: a file whose pages are
+    damaged is an error that names the first such row group and column.
+    """
+    whole = [p for p in as_list(paths) if not _GLOB.search(p)]
+    globs = [p for p in as_list(paths) if _GLOB.search(p)]
+    listed = walk_files(spark, whole) if whole else spark.createDataFrame([], _FILES)
+    for path in globs:
         try:
-            list_files(spark, path)
-            present.append(path)
+            found = list_files(spark, path).withColumn("message", F.lit(None).cast("string"))
         except AnalysisException as error:
-            missing.append((path, None, "FileNotFound: " + str(error).split("\n")[0]))
-    columns = "path string, unsupported array<string>, message string"
-    found = spark.createDataFrame(missing, columns)
-    if present:
-        refused = F.filter(
-            F.col("columns"), lambda c: c["type"].startswith("time32") | c["type"].startswith("time64")
-        )
-        found = found.unionByName(
-            footers(spark, present).select(
-                "path", F.transform(refused, lambda c: c["name"]).alias("unsupported"), "message"
-            )
-        )
-        empty = empty_files(spark, present).withColumns({
-            "unsupported": F.array().cast("array<string>"),
-            "message": F.lit("not a Parquet file: no content"),
-        })
-        found = found.unionByName(empty)
+            found = spark.createDataFrame([(path, None, "FileNotFound: " + str(error).split("\n")[0])], _FILES)
+        listed = listed.unionByName(found)
+    listed = listed.withColumn("message", F.when(F.col("length") == 0, "not a Parquet file: no content").otherwise(
+        F.col("message")))
+    refused = F.filter(
+        F.col("columns"), lambda c: c["type"].startswith("time32") | c["type"].startswith("time64")
+    )
+    cores = spark.sparkContext.defaultParallelism
+    sound = listed.where("message IS NULL").select("path", "length").repartition(4 * cores if deep else cores)
+    found = sound.mapInArrow(_read_footers(deep), from_arrow_schema(FOOTER_SCHEMA)).select(
+        "path", F.transform(refused, lambda c: c["name"]).alias("unsupported"), "message")
+    found = found.unionByName(listed.where("message IS NOT NULL").select(
+        "path", F.array().cast("array<string>").alias("unsupported"), "message"))
     return found.select(
         "path",
         F.when(F.col("message").isNotNull(), "error")

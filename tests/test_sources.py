@@ -99,6 +99,30 @@ def test_audit(spark, files):
     assert all(r.message and r.advice for r in rows if r.status != "ok")
 
 
+def test_audit_of_data(spark, tmp_path):
+    """Footers are whole; pages of one column chunk are not."""
+    table = pa.table({"a": list(range(5000)), "b": [f"text {i}" for i in range(5000)], "c": [[i] for i in range(5000)]})
+    for name, options in (("snappy", {}), ("plain", {"compression": "none", "use_dictionary": False, "write_page_checksum": True})):
+        path = str(tmp_path / f"{name}.parquet")
+        pq.write_table(table, path, row_group_size=2000, **options)
+        chunk = pq.ParquetFile(path).metadata.row_group(1).column(1)
+        start = chunk.dictionary_page_offset or chunk.data_page_offset
+        for kind, at, size in (("good", 0, 0), ("zeroed", start, chunk.total_compressed_size),
+                               ("inside", start + chunk.total_compressed_size // 2, 2000)):
+            raw = bytearray(open(path, "rb").read())
+            raw[at:at + size] = bytes(size)
+            (tmp_path / f"{name}-{kind}.parquet").write_bytes(bytes(raw))
+    shallow = L.audit_files(spark, str(tmp_path)).collect()
+    assert {r.status for r in shallow} == {"ok"} and len(shallow) == 8
+    rows = {os.path.basename(r.path): r for r in L.audit_files(spark, str(tmp_path), deep=True).collect()}
+    for name, r in rows.items():
+        bad = "zeroed" in name or "inside" in name
+        assert (r.status, r.error_class) == (("error", "damaged") if bad else ("ok", None)), name
+        assert not bad or "row group 1, column b" in r.message
+    one = L.audit_files(spark, [str(tmp_path / "*-good.parquet"), str(tmp_path / "none-*")], deep=True).collect()
+    assert sorted(r.status for r in one) == ["error", "ok", "ok"]
+
+
 def test_message_classes(spark):
     cases = {
         "CORS and http 404": "cors",
