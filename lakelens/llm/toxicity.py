@@ -44,6 +44,12 @@ EVIDENCE = 24.0
 #: Lengths of the word beginnings that may be learned as stems.
 STEMS = (4, 5, 6, 7, 8)
 
+#: Toxic texts of an entry for each other text that holds it, at least.
+PURE = 8
+
+#: Share of a stem's toxic texts that one word may account for.
+SHARED = 0.7
+
 #: What the grammar says before any label: a match, and factors of a target, a negation, a report.
 MATCH, AIMED, NEGATED, QUOTED = 1.0, 1.5, 0.3, 0.6
 
@@ -285,11 +291,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar | None:
         n = t + c
         term = lambda k, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
         evidence = 2 * (term(t, share) + term(c, 1 - share))
-        best = found.where((t > 2) & (t > 4 * c)).withColumn("g", evidence).where(F.col("g") >= EVIDENCE).orderBy(
+        best = found.where((t > 2) & (t > PURE * c)).withColumn("g", evidence).where(F.col("g") >= EVIDENCE).orderBy(
             F.desc("g"), "entry").collect()  # bounded by the evidence that a bounded sample can give
         weigh = lambda r: float(np.log((r.t + 0.5) / (r.c + 0.5) * totals[0] / totals[1]))
         words = {r.entry[1:]: weigh(r) for r in best if r.entry.startswith("=")}
-        stems = {r.entry: weigh(r) for r in best if not r.entry.startswith("=")}
+        # a stem speaks for words it was not seen with, so it must not owe its texts to one word
+        held = {r.entry[1:]: r.t for r in best if r.entry.startswith("=")}
+        stems = {r.entry: weigh(r) for r in best if not r.entry.startswith("=") and not any(
+            t >= SHARED * r.t for w, t in held.items() if w.startswith(r.entry))}
         start = Grammar(words, stems, np.zeros(len(KINDS) + 1), 0.0)
 
         def measured(batches):
