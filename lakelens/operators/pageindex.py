@@ -1,10 +1,10 @@
 """Pages of a sorted relation that is sorted once.
 
 The relation is written in its order, in files of a bounded number of rows, with a
-manifest of one short row per file: its first row id, its rows, and the least and
-greatest value of the first sort key. A page then opens the one or two files that hold
-its ids, and a page that begins at a key value finds its file by the bounds. Ids are
-those of ``with_row_id``.
+manifest of one short row per file: its first row id, its rows, and the nulls and the
+least and greatest value of the first sort key. A page then opens the one or two files
+that hold its ids, and a page that begins at a key value finds its file by the bounds.
+Ids are those of ``with_row_id``.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class PageIndex:
 
     @property
     def manifest(self) -> DataFrame:
-        """(file, first_id, rows, __low, __high), one row per file."""
+        """(file, first_id, rows, nulls, __low, __high), one row per file."""
         return self.spark.read.parquet(f"{self.path}/manifest")
 
     def rows(self) -> int:
@@ -76,11 +76,11 @@ class PageIndex:
         return self.between(first, first + size)
 
     def seek(self, value: object) -> int:
-        """Id of the first row whose first sort key is ``value`` or comes after it."""
+        """Id of the first row whose first sort key is ``value`` or comes after it, as nulls do."""
         down = self.sort.dir.upper() == "DESC"
         given = F.lit(value)
         bound = F.col(_LOW) <= given if down else F.col(_HIGH) >= given
-        files = self._files(bound.isNull() | bound)[:1]
+        files = self._files((F.col("nulls") > 0) | bound)[:1]
         if not files:
             return self.rows()
         key = F.col(quoted(self.sort.col))
@@ -113,10 +113,10 @@ def build_page_index(
     key = F.col(quoted(sorts[0].col))
     # file names go by task, then by file of the task: the order of the rows
     counts = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(key).alias(_LOW), F.max(key).alias(_HIGH))
+        F.count(F.lit(1)).alias("n"), F.count_if(key.isNull()).alias("nulls"), F.min(key).alias(_LOW), F.max(key).alias(_HIGH))
     counts = counts.where("n > 0")
     offsets = _offsets(counts, ["file"])
     counts.join(offsets, "file").select(
-        "file", F.col("__before").alias("first_id"), F.col("n").alias("rows"), _LOW, _HIGH,
+        "file", F.col("__before").alias("first_id"), F.col("n").alias("rows"), "nulls", _LOW, _HIGH,
     ).coalesce(1).write.parquet(f"{path}/manifest")
     return PageIndex(spark, path, sorts[0])

@@ -115,6 +115,32 @@ def test_esri_fields_are_matched_whole(spark):
     assert not is_esri_struct(df.schema["a"].dataType) and is_esri_struct(df.schema["b"].dataType)
 
 
+ESRI = '{"x": 1, "y": 2, "spatialReference": {"wkid": %d}}'
+
+
+def test_every_value_counts(spark):
+    """One Esri text before nine WKT ones, or an empty one before many, does not decide."""
+    shapes = lambda texts: spark.createDataFrame([(t,) for t in texts], "shape string")
+    info = L.detect_geometry(shapes([ESRI % 3857] + ["POINT (1 2)"] * 9))
+    assert (info.encoding, info.epsg, info.mixed) == ("wkt", None, True)
+    assert info.found == (("wkt", None, 9), ("esri", 3857, 1))
+    info = L.detect_geometry(shapes(["", None, "{"] + [ESRI % 2056] * 3 + [ESRI % 4326]))
+    assert (info.encoding, info.epsg, info.is_wgs84, info.mixed) == ("esri", 2056, False, True)
+    assert L.detect_geometry(shapes([None, " "])).encoding == "wkt"
+    plain = L.detect_geometry(shapes(["linestring m empty"] * 2))
+    assert (plain.encoding, plain.mixed, plain.found) == ("wkt", False, (("wkt", None, 2),))
+    first = L.detect_geometry(shapes([ESRI % 3857] + ["POINT (1 2)"] * 9), sniff_rows=1)
+    assert (first.encoding, first.mixed) == ("esri", False)
+
+
+def test_every_footer_counts(spark, tmp_path):
+    """Two of three files name one CRS; the first by path names another."""
+    for name, code in (("a", 32633), ("b", 32612), ("c", 32612)):
+        save(tmp_path / f"{name}.parquet", {"geometry": [wkb("Point", FAR)]}, meta(crs=crs(code)))
+    info = detect(spark, str(tmp_path))
+    assert (info.epsg, info.mixed, [f[2] for f in info.found]) == (32612, True, [2, 1])
+
+
 @pytest.mark.parametrize("depth", range(4))
 def test_range_check_at_every_depth(spark, tmp_path, depth):
     for x, geographic in ((100.0, True), (1000.0, False)):
