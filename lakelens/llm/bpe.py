@@ -45,13 +45,13 @@ LEAF = 1 << 15
 EDGE = 256
 
 #: Words whose codes a task keeps; the table is emptied when it is full.
-_KEPT = 1_000_000
+_KEPT = 500_000
 
 #: Words of letters that are encoded as one text.
 TOGETHER = 128
 
 #: Bytes of short texts whose words are looked up together.
-BYTES = 1 << 23
+BYTES = 1 << 22
 
 # White space as the library's patterns see it.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
