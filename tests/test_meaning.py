@@ -92,9 +92,10 @@ def test_empty_members_of_wkt(spark):
 
 def test_definitions_that_would_be_misread():
     assert parse_definition("+proj=lcc +lat_1=49 +lat_2=44 +lat_0=46.5 +lon_0=0 +pm=paris").lon0 == pytest.approx(2.337229167)
-    for text in ("+proj=tmerc +axis=wsu", "+proj=merc +what=1", "+proj=longlat +pm=paris", "+proj=lcc +pm=nowhere"):
+    for text in ("+proj=tmerc +axis=wnd", "+proj=tmerc +axis=eeu", "+proj=merc +what=1", "+proj=longlat +pm=paris", "+proj=lcc +pm=nowhere"):
         with pytest.raises(ValueError, match="unsupported"):
             parse_definition(text)
+    assert parse_definition("+proj=tmerc +axis=wsu").axis == "wsu"  # read, not passed over
     assert parse_definition("+proj=merc +axis=enu +no_defs +type=crs").kind == "merc"
 
 
