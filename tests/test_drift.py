@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 import lakelens as L
 from lakelens.sources.drift import Irreconcilable, common_type, drift_report, uncast_values
+from workload import folders
+from workload.registry import Tables
 
 D, S = T.DecimalType, T.StringType()
 
@@ -100,3 +102,25 @@ def test_clash_names_the_column(spark, tmp_path):
     write(base, "2.parquet", v=pa.array([1], pa.int64()))
     with pytest.raises(Irreconcilable, match="column 'v'"):
         L.load(spark, str(base), view=None)
+
+
+@pytest.fixture
+def wide_orders(tmp_path):
+    """Orders whose keys are too large for the narrow types of some files."""
+    keys = [1, 2, 3, 4, 5, 2**31 + 2, 2**31 + 3, 2**31 + 4, 8]
+    pq.write_table(pa.table({
+        "o_orderkey": pa.array(keys, pa.int64()),
+        "o_custkey": pa.array([7, 32_767, 8, None, 32_768, 40_000, 50_000, 90_000, None], pa.int64()),
+        "o_orderstatus": pa.array(["O"] * 9), "o_totalprice": pa.array([1.25] * 9),
+        "o_orderdate": pa.array([datetime(2024, 1, 1)] * 9, pa.timestamp("us")), "o_orderpriority": pa.array(["1"] * 9),
+    }), str(tmp_path / "orders.parquet"))
+    return str(tmp_path), keys
+
+
+def test_keys_too_large_for_a_narrow_file(spark, wide_orders):
+    base, keys = wide_orders
+    got = {r.o_orderkey: r for r in folders.drifted_folder(Tables(spark, base)).collect()}
+    assert sorted(got) == sorted(keys)
+    assert [got[k].o_custkey for k in keys] == [7, 32_767, 8, None, 32_768, 40_000, 50_000, 90_000, None]
+    assert [got[k].o_totalprice for k in keys] == [None if k % 3 == 2 else 1.25 for k in keys]
+    assert [got[k].o_orderstatus for k in keys] == ["O" if k % 3 == 2 else None for k in keys]

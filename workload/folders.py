@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import lakelens as L
@@ -20,15 +20,24 @@ def _folder(t: Tables, name: str, parts: list[DataFrame]) -> str:
     return base
 
 
+def _fits(name: str, kind: str) -> Column:
+    """Whether the narrower type holds a value; a null fits any."""
+    return F.col(name).isNull() | F.col(name).try_cast(kind).isNotNull()
+
+
 def _orders(t: Tables) -> str:
-    """Orders as longs, as doubles and decimals in other spelling, and without a price."""
+    """Orders as longs, as doubles and decimals in other spelling, and without a price.
+    Keys too large for the narrow type of a file are longs in a file beside it."""
     third = lambda i: t.orders.where(F.col("o_orderkey") % 3 == i)
+    short, small = _fits("o_orderkey", "int"), _fits("o_custkey", "smallint")
+    others = [F.col("o_custkey").cast("double"), F.col("o_totalprice").cast("decimal(15,2)").alias("O_TotalPrice"),
+              F.col("o_orderdate").cast("date")]
     return _folder(t, "drift", [
         third(0).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"),
-        third(1).select(F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("double"),
-                        F.col("o_totalprice").cast("decimal(15,2)").alias("O_TotalPrice"),
-                        F.col("o_orderdate").cast("date")),
-        third(2).select(F.col("o_custkey").cast("smallint"), "o_orderkey", F.col("o_orderstatus")),
+        third(1).where(short).select(F.col("o_orderkey").cast("int"), *others),
+        third(1).where(~short).select("o_orderkey", *others),
+        third(2).where(small).select(F.col("o_custkey").cast("smallint"), "o_orderkey", "o_orderstatus"),
+        third(2).where(~small).select("o_custkey", "o_orderkey", "o_orderstatus"),
     ])
 
 
