@@ -124,3 +124,9 @@ def test_keys_too_large_for_a_narrow_file(spark, wide_orders):
     assert [got[k].o_custkey for k in keys] == [7, 32_767, 8, None, 32_768, 40_000, 50_000, 90_000, None]
     assert [got[k].o_totalprice for k in keys] == [None if k % 3 == 2 else 1.25 for k in keys]
     assert [got[k].o_orderstatus for k in keys] == ["O" if k % 3 == 2 else None for k in keys]
+
+
+def test_numbers_of_a_folder_with_wide_keys(spark, wide_orders):
+    base, keys = wide_orders
+    row = folders.drifted_folder_numbered(Tables(spark, base)).first()
+    assert (row.n, row.ids, row["first"], row["last"]) == (len(keys), len(keys), 0, len(keys) - 1)
