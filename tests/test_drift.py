@@ -130,3 +130,13 @@ def test_numbers_of_a_folder_with_wide_keys(spark, wide_orders):
     base, keys = wide_orders
     row = folders.drifted_folder_numbered(Tables(spark, base)).first()
     assert (row.n, row.ids, row["first"], row["last"]) == (len(keys), len(keys), 0, len(keys) - 1)
+
+
+def test_plan_of_a_folder_with_wide_keys(spark, wide_orders):
+    found = {tuple(r) for r in folders.drifted_folder_plan(Tables(spark, wide_orders[0])).collect()}
+    assert found == {
+        ("o_orderkey", "bigint", "bigint"), ("o_orderkey", "int", "bigint"),
+        ("o_custkey", "bigint", "double"), ("o_custkey", "double", "double"), ("o_custkey", "smallint", "double"),
+        ("o_totalprice", "double", "double"), ("o_totalprice", "decimal(15,2)", "double"), ("o_totalprice", None, "double"),
+        ("o_orderdate", "timestamp_ntz", "timestamp_ntz"), ("o_orderdate", "date", "timestamp_ntz"),
+        ("o_orderdate", None, "timestamp_ntz"), ("o_orderstatus", "string", "string"), ("o_orderstatus", None, "string")}
