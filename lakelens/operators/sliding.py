@@ -1,8 +1,9 @@
 """Minimum, maximum and distinct count over sliding RANGE frames, in groups of any size.
 
-A plain window does minimum and maximum while the largest group is small. Beyond that,
-rows get dense ids in order of group and place and are cut into blocks. A frame that
-holds its own row has up to four parts:
+A plain window does minimum and maximum while the largest group is short: it goes over a
+whole frame for every row. Beyond that, rows get dense ids in order of group and place and
+are cut into short blocks, so that no row goes over more than a block. A frame that holds
+its own row has up to four parts:
 
 * what lies in the row's own block, by a plain window inside that block;
 * the end of the block in which the frame begins, as that block's suffix extreme;
@@ -32,13 +33,16 @@ from lakelens.operators.windows import (
     GROUP_ROWS,
     Ordered,
     _packed,
-    _same_keys,
+    largest_group,
     last_before,
     running_sum,
 )
 from lakelens.session import stage
 from lakelens.sources.schema import quoted
 
+SLIDING_ROWS = 4096  # largest group whose extremes are left to a plain window
+FRAME_ROWS = 256  # rows of a block, which a frame inside it goes over one by one
+
 _AT = "__at"
 
 
@@ -83,11 +87,12 @@ def sliding_extremes(
     ``at`` lies within [at - before, at + after], neither of which may be negative.
 
     ``before`` and ``after`` are numbers or interval texts. Nulls of ``value`` count for
-    nothing. Rows with a null ``at`` are a frame of their own, as in SQL.
+    nothing. Rows with a null ``at`` are a frame of their own, as in SQL. Groups and
+    blocks are no longer than ``SLIDING_ROWS`` and ``FRAME_ROWS``, whatever is asked for.
     """
     wanted = {out: kind for out, kind in ((low, "min"), (high, "max")) if out}
     place, val = F.col(quoted(at)), F.col(quoted(value))
-    ordered = Ordered(df, tuple(keys), (at,), group_rows, block_rows)
+    ordered = Ordered(df, tuple(keys), (at,), min(group_rows, SLIDING_ROWS), block_rows)
     if ordered.small():
         back, ahead = (_gap(df.sparkSession, g) for g in (before, after))
         over = ", ".join(quoted(k) for k in keys)
@@ -95,10 +100,11 @@ def sliding_extremes(
                  f"RANGE BETWEEN {back} PRECEDING AND {ahead} FOLLOWING")
         return df.withColumns({out: F.expr(f"{kind}({quoted(value)}) OVER ({frame})") for out, kind in wanted.items()})
 
+    frame_rows = min(block_rows, FRAME_ROWS)
     rows = stage(with_row_id(df.withColumns({_AT: place, "__val": val}), [Sort(c) for c in (*keys, at)], block_rows)
-                 .withColumns({"__blk": F.expr(f"{ROW_ID} div {block_rows}"), "__grp": _packed(keys)}))
+                 .withColumns({"__blk": F.expr(f"{ROW_ID} div {frame_rows}"), "__grp": _packed(keys)}))
     spans = _frame_ids(rows, keys, _number(before), _number(after), group_rows, block_rows)
-    spans = spans.withColumns({"__b0": F.expr(f"__l div {block_rows}"), "__b1": F.expr(f"__r div {block_rows}")})
+    spans = spans.withColumns({"__b0": F.expr(f"__l div {frame_rows}"), "__b1": F.expr(f"__r div {frame_rows}")})
 
     in_block = Window.partitionBy("__blk", "__grp").orderBy(ROW_ID)
     to_end = in_block.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -108,7 +114,7 @@ def sliding_extremes(
         *[_extreme(kind)("__val").over(to_end).alias(f"__s_{kind}") for kind in wanted.values()],
         *[_extreme(kind)("__val").over(from_start).alias(f"__p_{kind}") for kind in wanted.values()],
     )
-    runs, levels = _runs_of_blocks(rows, list(wanted.values()))
+    runs = _runs_of_blocks(rows, list(wanted.values()))
 
     # frames are the same for all rows of one place: each is looked up once
     found = spans.join(
@@ -171,22 +177,23 @@ def _frame_ids(rows: DataFrame, keys: list[str], before: Column, after: Column,
         (F.col("__start") + F.col("__past") - 1).alias("__r"))
 
 
-def _runs_of_blocks(rows: DataFrame, kinds: list[str]) -> tuple[DataFrame, int]:
+def _runs_of_blocks(rows: DataFrame, kinds: list[str]) -> DataFrame:
     """(__grp, __level, __blk, extremes): of the 2**level blocks that begin there.
 
-    One short row per block and level; a level is a window over the block rows.
+    One short row per block and level. A run is two runs of the level below, and the
+    blocks of a group follow each other without gaps.
     """
-    blocks = stage(rows.groupBy("__grp", "__blk").agg(*[_extreme(k)("__val").alias(k) for k in kinds]))
-    most = blocks.agg(F.max("__blk")).first()[0] or 0
-    levels = max(1, math.floor(math.log2(most + 1)) + 1)
+    blocks = stage(rows.groupBy("__grp", "__blk").agg(*[_extreme(k)("__val").alias(f"__{k}_0") for k in kinds]))
+    most = largest_group(blocks, ["__grp"])
+    levels = max(1, math.floor(math.log2(max(1, most))) + 1)
     line = Window.partitionBy("__grp").orderBy("__blk")
-    each = [
-        F.struct(F.lit(j).alias("__level"), *[
-            _extreme(k)(k).over(line.rowsBetween(0, 2**j - 1)).alias(k) for k in kinds])
-        for j in range(levels)
-    ]
-    wide = blocks.select("__grp", "__blk", F.array(*each).alias("__each"))
-    return wide.select("__grp", "__blk", F.inline("__each")), levels
+    wide = blocks
+    for j in range(1, levels):
+        wide = wide.withColumns({
+            f"__{k}_{j}": _better(k, F.col(f"__{k}_{j - 1}"), F.lead(f"__{k}_{j - 1}", 2 ** (j - 1)).over(line))
+            for k in kinds})
+    each = [F.struct(F.lit(j).alias("__level"), *[F.col(f"__{k}_{j}").alias(k) for k in kinds]) for j in range(levels)]
+    return wide.select("__grp", "__blk", F.inline(F.array(*each)))
 
 
 def sliding_distinct(

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lakelens.operators.intervals import contains, overlaps, points_in_ranges
-from lakelens.operators.sliding import sliding_distinct, sliding_extremes
+from lakelens.operators.sliding import SLIDING_ROWS, _runs_of_blocks, sliding_distinct, sliding_extremes
 
 SPLIT = {"group_rows": 0, "block_rows": 23}
 SIZES = ({}, {**SPLIT, "block_points": 4, "hot_ranges": 6})
@@ -110,3 +110,23 @@ def test_one_sided_and_empty(series):
     assert sliding_extremes(df, ["k"], "t", "v", 1, 1, low=None, high="h", **SPLIT).columns == [*df.columns, "h"]
     assert sliding_extremes(df.limit(0), ["k"], "t", "v", 1, 1, **SPLIT).count() == 0
     assert sliding_distinct(df.limit(0), ["k"], "t", "v", 1, 1).count() == 0
+
+
+def test_sliding_extremes_of_a_long_group_stay_in_short_blocks(spark):
+    """No window goes over frames of a whole group or of a block as long as asked for."""
+    n = 3 * SLIDING_ROWS
+    df = spark.range(n).selectExpr("'a' AS k", "id AS t", "(id * 7919) % 10007 AS v")
+    for sizes in ({}, {"group_rows": 0, "block_rows": 1 << 20}):
+        out = sliding_extremes(df, ["k"], "t", "v", 2000, 900, **sizes)
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "__blk" in text and "windowspecdefinition(k#" not in text
+        got = {r.t: (r.low, r.high) for r in out.collect()}
+        assert len(got) == n
+        for t in (0, 1, 255, 256, 2000, 5000, n - 901, n - 1):
+            held = [(i * 7919) % 10007 for i in range(max(0, t - 2000), min(n, t + 901))]
+            assert got[t] == (min(held), max(held))
+    blocks = spark.range(1024).selectExpr(
+        "struct('a') AS __grp", "id AS __blk", "id % 97 AS __val")
+    runs = {(r["__level"], r["__blk"]): r["min"] for r in _runs_of_blocks(blocks, ["min"]).collect()}
+    assert len(runs) == 11 * 1024
+    assert all(low == min(i % 97 for i in range(b, min(1024, b + 2**j))) for (j, b), low in runs.items())
