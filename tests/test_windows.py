@@ -100,3 +100,13 @@ def test_multisets(spark):
     for run in (7, 1000):
         assert got(except_all(dl, dr, run)) == Counter(left) - Counter(right)
         assert got(intersect_all(dl, dr, run)) == Counter(left) & Counter(right)
+
+
+def test_short_blocks_get_no_task_each(spark):
+    """As many ranges as a shuffle has partitions, however many blocks there are."""
+    df = spark.range(2000).selectExpr("id % 3 AS k", "(id * 997) % 2003 AS t")
+    ordered = Ordered(df, ("k",), ("t",), group_rows=0, block_rows=10)
+    assert len(ordered.numbered().inputFiles()) <= 8
+    got = {(r.k, r.t): r.n for r in running_sum(ordered, F.lit(1), "n").collect()}
+    assert len(got) == 2000 and max(got.values()) == 667
+    assert quantiles(ordered, "t", {"q": 0.5}).count() == 3
