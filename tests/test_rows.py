@@ -169,3 +169,11 @@ def test_recent_distinct_limits_before_the_shuffle(spark):
     df = L.load(spark, f"{TESTDATA}/events.parquet")
     text = plan(L.recent_distinct(df, "user_id", "event_type", "ts", 2))
     assert "WindowGroupLimit" in text
+
+
+def test_sorted_ids_of_short_blocks_get_no_task_each(spark):
+    df = spark.range(3000).selectExpr("(id * 997) % 3001 AS v")
+    got = L.with_row_id(df, [L.Sort("v")], block_rows=10)
+    assert len(got.inputFiles()) <= 8
+    rows = sorted((r["__row_id"], r.v) for r in got.collect())
+    assert [i for i, _ in rows] == list(range(3000)) and [v for _, v in rows] == sorted(v for _, v in rows)
