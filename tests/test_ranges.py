@@ -130,3 +130,13 @@ def test_sliding_extremes_of_a_long_group_stay_in_short_blocks(spark):
     runs = {(r["__level"], r["__blk"]): r["min"] for r in _runs_of_blocks(blocks, ["min"]).collect()}
     assert len(runs) == 11 * 1024
     assert all(low == min(i % 97 for i in range(b, min(1024, b + 2**j))) for (j, b), low in runs.items())
+
+
+def test_ranges_are_copied_to_few_blocks(spark):
+    """Ranges that hold many points meet blocks as long, and parts of a hot block are no smaller."""
+    points = spark.range(400).selectExpr("id", "id AS at")
+    ranges = spark.range(300).selectExpr("id", "0 AS lo", "399 AS hi")
+    met = points_in_ranges(points, ranges, "at", "lo", "hi", block_points=4, hot_ranges=3)
+    text = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "div 400" in text and "div 4)" not in text
+    assert met.distinct().count() == met.count() == 400 * 300
