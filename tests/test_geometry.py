@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import lakelens as L
+from lakelens import session
 from lakelens.functions.crs import CrsDef, builtin_crs, parse_definition, registry_row, utm
 from lakelens.functions.decode import (
     decode_esri,
@@ -359,3 +360,13 @@ def test_registry_takes_extra_rows(spark):
     assert [(r.i, r.rank, r.epsg) for r in got.orderBy("rank").collect()] == [(1, 1, 31287), (1, 2, 32633)]
     text = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_costly_rows_are_spread_over_tasks_by_their_number(spark, monkeypatch, tmp_path):
+    """A scan of as many splits as cores still gets tasks of a bounded number of rows."""
+    spark.range(0, 1000, 1, 20).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(session, "SPREAD_ROWS", 10)
+    out = session.spread(df)
+    assert out.rdd.getNumPartitions() == 100
+    assert sorted(r.id for r in out.collect()) == list(range(1000))
