@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from lakelens.operators import intervals
 from lakelens.operators.intervals import contains, overlaps, points_in_ranges
 from lakelens.operators.sliding import SLIDING_ROWS, _runs_of_blocks, sliding_distinct, sliding_extremes
 
@@ -140,3 +141,13 @@ def test_ranges_are_copied_to_few_blocks(spark):
     text = met._jdf.queryExecution().optimizedPlan().toString()
     assert "div 400" in text and "div 4)" not in text
     assert met.distinct().count() == met.count() == 400 * 300
+
+
+def test_many_pairs_of_few_rows_are_dealt_over_tasks(spark, monkeypatch):
+    points = spark.range(400).selectExpr("id", "id AS at")
+    ranges = spark.range(300).selectExpr("id", "id AS lo", "id + 40 AS hi")
+    monkeypatch.setattr(intervals, "TASK_PAIRS", 1000)
+    met = points_in_ranges(points, ranges, "at", "lo", "hi")
+    assert "hashpartitioning" in met._jdf.queryExecution().executedPlan().toString()
+    assert "RepartitionByExpression" in met._jdf.queryExecution().optimizedPlan().toString()
+    assert met.distinct().count() == met.count() == sum(min(399, i + 40) - i + 1 for i in range(300))
