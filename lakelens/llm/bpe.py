@@ -45,13 +45,19 @@ LEAF = 1 << 15
 EDGE = 256
 
 #: Words whose codes a task keeps; the table is emptied when it is full.
-_KEPT = 500_000
+_KEPT = 1 << 18
 
 #: Words of letters that are encoded as one text.
 TOGETHER = 128
 
-#: Bytes of short texts whose words are looked up together.
-BYTES = 1 << 22
+#: New words that are encoded together.
+LEARNED = 1 << 14
+
+#: Bytes of short texts whose words are looked up together; their codes take four times that.
+BYTES = 1 << 20
+
+#: Encoded leaves that are Python's strings at a time.
+ROWS = 16
 
 # White space as the library's patterns see it.
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -153,37 +159,49 @@ class Encoder:
         return len(ids), " ".join(map(str, ids)), self._decoded(ids)
 
     def encode_many(self, texts: pa.Array) -> list[tuple[int, str, str]]:
-        """``encode`` of each text; words are split, numbered and looked up by Arrow.
+        """``encode`` of each text."""
+        return list(zip(*(c.to_pylist() for c in self.encode_columns(texts))))
+
+    def encode_columns(self, texts: pa.Array) -> list[pa.Array]:
+        """``encode`` of each text as three columns, which never are Python's strings;
+        words are split, numbered and looked up by Arrow.
 
         Texts with control signs at which Arrow splits and the vocabulary does not are
         left to the library.
         """
         texts = texts.fill_null("")
         if not self.by_word:
-            return [self.encode(t) for t in texts.to_pylist()]
-        odd = np.flatnonzero(pc.match_substring_regex(texts, "[\\x1c-\\x1f]").to_numpy(zero_copy_only=False))
+            return _columns([self.encode(t) for t in texts.to_pylist()])
+        odd = pc.match_substring_regex(texts, "[\\x1c-\\x1f]")
         split = pc.utf8_split_whitespace(texts)
         ends = np.asarray(split.offsets)
         ends = ends - ends[0]
         coded = split.flatten().dictionary_encode()
-        found = coded.dictionary
-        new = found.filter(pc.invert(pc.is_in(found, self.known)))
-        if len(new) + len(self.known) > _KEPT:
-            self._forget()
-            new = found
-        if len(new):
-            self._learn(new)
-        code = pc.index_in(found, self.known).to_numpy()[coded.indices.to_numpy()] if len(found) else np.empty(0, np.int32)
+        code = self._numbers(coded.dictionary)[coded.indices.to_numpy()]
         # a library decode joins tokens by one space; a word without tokens adds none
         some = self.counts[code] > 0
         bounds = pa.array(np.concatenate([[0], np.cumsum(some)])[ends].astype(np.int32))
         sums = np.concatenate([[0], np.cumsum(self.counts[code])])
         spelled = pa.array(code[some])
-        out = [np.diff(sums[ends]).tolist()] + [
-            pc.binary_join(pa.ListArray.from_arrays(bounds, each.take(spelled)), " ").to_pylist() for each in self.codes]
-        out = list(zip(*out))
-        for n in odd.tolist():
-            out[n] = self.encode(texts[n].as_py())
+        out = [pa.array(np.diff(sums[ends]), pa.int64())] + [
+            pc.binary_join(pa.ListArray.from_arrays(bounds, each.take(spelled)), " ") for each in self.codes]
+        by_library = texts.filter(odd).to_pylist()
+        if by_library:
+            out = [pc.replace_with_mask(have, odd, c)
+                   for have, c in zip(out, _columns([self.encode(t) for t in by_library]))]
+        return out
+
+    def _numbers(self, found: pa.Array) -> np.ndarray:
+        """The number of each word in the table; new words enter it."""
+        at = pc.index_in(found, self.known)
+        if at.null_count + len(self.known) > _KEPT:
+            self._forget()
+            at = pc.index_in(found, self.known)
+        known, new = len(self.known), found.filter(at.is_null())
+        for start in range(0, len(new), LEARNED):
+            self._learn(new.slice(start, LEARNED))
+        out = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        out[out < 0] = np.arange(known, known + len(new))
         return out
 
     def spans(self, text: str, start: int) -> list[tuple[int, int, int]]:
@@ -294,18 +312,23 @@ def _short(spec: str, hashed: bool):
         encoder = Encoder(spec)
         for batch in batches:
             for part in slices(batch, "text", BYTES):
-                yield _coded(part.column("doc_id"), encoder.encode_many(part.column("text")), hashed)
+                yield _coded(part.column("doc_id"), encoder.encode_columns(part.column("text")), hashed)
+                pa.default_memory_pool().release_unused()  # an executor has a worker for each core
     return run
 
 
-def _coded(doc_ids, codes, hashed: bool) -> pa.RecordBatch:
+def _columns(codes: list[tuple[int, str, str]]) -> list[pa.Array]:
+    counts, ids, decoded = zip(*codes) if codes else ((), (), ())
+    return [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+
+
+def _coded(doc_ids: pa.Array, codes: list[pa.Array], hashed: bool) -> pa.RecordBatch:
     """Codes as they are, or only their digests: those are all that leaves the task."""
-    counts, *texts = (list(c) for c in zip(*codes)) if codes else ([], [], [])
+    counts, *texts = codes
     if hashed:
-        texts = [[hashlib.sha256(t.encode()).hexdigest() for t in column] for column in texts]
+        texts = [pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in column], pa.string()) for column in texts]
     names = ("ids_sha256", "decoded_sha256") if hashed else ("ids", "decoded")
-    return pa.record_batch({"doc_id": doc_ids, "n_tokens": pa.array(counts, pa.int64()),
-                            **{n: pa.array(t, pa.string()) for n, t in zip(names, texts)}})
+    return pa.record_batch({"doc_id": doc_ids, "n_tokens": counts, **dict(zip(names, texts))})
 
 
 _LEAF = "row bigint, doc_id bigint, leaf int, start bigint, part string"
@@ -314,12 +337,13 @@ _LEAF = "row bigint, doc_id bigint, leaf int, start bigint, part string"
 def _cut(leaf: int):
     def run(batches):
         for batch in batches:
-            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
-                cuts = leaf_cuts(len(text), leaf)
-                yield pa.record_batch({
-                    "row": pa.array([row] * len(cuts), pa.int64()), "doc_id": pa.array([doc] * len(cuts), pa.int64()),
-                    "leaf": pa.array(range(len(cuts)), pa.int32()), "start": pa.array(cuts, pa.int64()),
-                    "part": pa.array([text[a:b] for a, b in zip(cuts, [*cuts[1:], None])], pa.string())})
+            for few in slices(batch, "text"):
+                for row, doc, text in zip(*(few.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+                    cuts = leaf_cuts(len(text), leaf)
+                    yield pa.record_batch({
+                        "row": pa.array([row] * len(cuts), pa.int64()), "doc_id": pa.array([doc] * len(cuts), pa.int64()),
+                        "leaf": pa.array(range(len(cuts)), pa.int32()), "start": pa.array(cuts, pa.int64()),
+                        "part": pa.array([text[a:b] for a, b in zip(cuts, [*cuts[1:], None])], pa.string())})
     return run
 
 
@@ -365,7 +389,7 @@ def _leaves(spec: str):
     def run(batches):
         encoder = Encoder(spec)
         for batch in batches:
-            for piece in slices(batch, "part"):
+            for piece in slices(batch, "part", BYTES):
                 out, rows = [], piece.to_pylist()
                 spots = [ends(x["part"]) if encoder.by_word else (0, 0) for x in rows]
                 codes = encoder.encode_many(pa.array([x["part"][a:b] for x, (a, b) in zip(rows, spots)], pa.string()))
@@ -380,6 +404,7 @@ def _leaves(spec: str):
                         row |= _unspaced(encoder, text)
                     out.append(row)
                 yield pa.RecordBatch.from_pylist(out, schema=_ENCODED_ARROW)
+                pa.default_memory_pool().release_unused()
     return run
 
 
@@ -421,11 +446,11 @@ def _joined(spec: str, hashed: bool):
                     "head": x["part"], "head_spans": _flat(encoder.spans(x["part"], 0)), "tail": None} for x in leaves])
             codes = [c for c in codes if c[0]]
             code = sum(c[0] for c in codes), " ".join(c[1] for c in codes), " ".join(c[2] for c in codes)
-            return _coded(pa.array([leaves[0]["doc_id"]], pa.int64()), [code], hashed)
+            return _coded(pa.array([leaves[0]["doc_id"]], pa.int64()), _columns([code]), hashed)
 
         held = []
         for batch in batches:
-            for x in batch.to_pylist():
+            for x in (x for few in slices(batch, "ids", rows=ROWS) for x in few.to_pylist()):
                 if held and x["row"] != held[0]["row"]:
                     yield whole(held)
                     held = []

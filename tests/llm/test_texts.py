@@ -159,6 +159,30 @@ def test_looked_up_words_are_the_librarys():
         assert [tuple(c) for c in code.encode_many(bpe.pa.array([*texts, None]))] == [code.encode(t) for t in [*texts, ""]]
 
 
+def test_a_full_table_of_words_gives_the_same_codes(monkeypatch):
+    monkeypatch.setattr(bpe, "_KEPT", 40)
+    texts = strange(6, 60) + ["a b c a", "", "a d e f g h a"]
+    code = encoder()
+    for n in range(0, len(texts), 3):
+        few = texts[n:n + 3]
+        assert [tuple(c) for c in code.encode_many(bpe.pa.array(few))] == [code.encode(t) for t in few]
+
+
+def test_a_worker_holds_little_of_its_texts(monkeypatch):
+    """Words are learned some at a time, and codes leave the task before many are held."""
+    rng, sizes, learn = random.Random(8), [], bpe.Encoder._learn
+    monkeypatch.setattr(bpe.Encoder, "_learn", lambda self, new: (sizes.append(len(new)), learn(self, new)))
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(60_000)]
+    texts = [" ".join(words[n * 100:n * 100 + 100]) for n in range(600)] + [" ".join(words[:200])] * 1500
+    batch = bpe.pa.record_batch({"doc_id": bpe.pa.array(range(len(texts))), "text": bpe.pa.array(texts)})
+    parts = list(bpe._short(bpe.tokenizer_json(vocabulary()), False)(iter([batch])))
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert len(sizes) > 2 and max(sizes) < 20_000 and max(p.nbytes for p in parts) < 8e6
+    want = library().encode(texts[599], add_special_tokens=False).ids
+    ids = [i for p in parts for i in p.column("ids").to_pylist()]
+    assert ids[599] == " ".join(map(str, want)) and ids[600] == ids[-1]
+
+
 def test_digests_are_of_the_codes(spark):
     rows = [(i, t) for i, t in enumerate([None, "", "ab " * 400, "the" * 900, "a b"])]
     for leaf in (50, 1000):
