@@ -151,3 +151,16 @@ def test_many_pairs_of_few_rows_are_dealt_over_tasks(spark, monkeypatch):
     assert "hashpartitioning" in met._jdf.queryExecution().executedPlan().toString()
     assert "RepartitionByExpression" in met._jdf.queryExecution().optimizedPlan().toString()
     assert met.distinct().count() == met.count() == sum(min(399, i + 40) - i + 1 for i in range(300))
+
+
+def test_pairs_are_written_in_a_fraction_of_a_byte(spark, tmp_path):
+    """Pairs that outnumber their rows by far take little disk: stretches of points repeat."""
+    points = spark.range(4000).selectExpr("xxhash64(id) AS id", "id AS at").repartition(5)
+    ranges = spark.range(2500).selectExpr("xxhash64(-id) AS id", "id AS lo", "id + 900 + pmod(id * 37, 500) AS hi").repartition(5)
+    met = points_in_ranges(points, ranges, "at", "lo", "hi")
+    met.selectExpr("point.id AS p", "range.id AS r").write.option("compression", "snappy").parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    assert pairs.count() == pairs.distinct().count() == sum(901 + i * 37 % 500 for i in range(2500))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * pairs.count()
+    text = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
