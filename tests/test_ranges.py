@@ -164,3 +164,13 @@ def test_pairs_are_written_in_a_fraction_of_a_byte(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.4 * pairs.count()
     text = met._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+@pytest.mark.parametrize("sizes", SIZES)
+def test_pairs_across_tiles_and_runs(sides, sizes, monkeypatch):
+    """Ranges that begin, end or lie inside a tile, and runs cut anywhere, lose and repeat no pair."""
+    monkeypatch.setattr(intervals, "TILE_POINTS", 3)
+    monkeypatch.setattr(intervals, "RUN_RANGES", 2)
+    left, right, dl, dr = sides
+    want = sorted((a[0], b[0]) for a in left for b in right if known(a) and known(b) and a[2] <= b[3] and b[2] <= a[3])
+    assert ids(overlaps(dl, dr, "lo", "hi", **sizes), "left", "right") == want
